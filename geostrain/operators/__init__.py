@@ -1,0 +1 @@
+"""Operators over station tables, series, pixel stacks, pairs and rasters."""
