@@ -6,8 +6,10 @@ length, then by that hash.  Only texts whose (length, hash) pair occurs again
 are read a second time, whole, and grouped by their full SHA-256.
 
 Defined results: null counts as empty, and empty texts equal each other; ties
-of the original length go to the smallest doc_id (a null id comes last);
-further columns are ignored; an empty table gives an empty result.
+of the original length go to the smallest doc_id; rows with one doc_id are one
+row repeated, count each, and are kept or dropped together; a row with a null id
+is a group of its own; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -70,15 +72,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     prefixes = stored(prefixes, "prefixes")
     surviving = stored(begun.join(prefixes, ["length", "prefix"], "left_semi").select("doc_id", "points", "length", "prefix"), "surviving")
     size = surviving.count() * 16
-    again = join_by_size(ids.where("doc_id is not null"), surviving.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi", size)
-    hashes = full_hashes(again.unionByName(ids.where("doc_id is null")))
-    known = stored(hashes.withColumnRenamed("text_sha256", "full"), "hashes")
+    again = join_by_size(ids, surviving.select("doc_id").distinct(), "doc_id", "left_semi", size)
+    known = stored(full_hashes(again).withColumnRenamed("text_sha256", "full"), "hashes")
     rows = begun.select("doc_id", "points").join(known.dropDuplicates(["doc_id", "full"]), "doc_id") if size else None
     if rows is None:
         return begun.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     best = F.max_by("doc_id", F.struct("points", -F.coalesce("doc_id", F.lit((1 << 63) - 1))))
     groups = stored(rows.groupBy("full").agg(best.alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
-    members = rows.join(groups, "full").select(F.col("doc_id").alias("member"), "keep_id", "group_size")
+    members = rows.join(groups, "full").select(F.col("doc_id").alias("member"), "keep_id", "group_size").distinct()
     out = begun.select("doc_id").join(members, F.col("doc_id") == F.col("member"), "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The decision and the hash of every row; rows with a null id keep to themselves."""
+    hashes = full_hashes(docs)
+    known = exact_duplicates(docs.where("doc_id is not null")).distinct()
+    alone = hashes.where("doc_id is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return hashes.where("doc_id is not null").join(known, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256").unionByName(alone)

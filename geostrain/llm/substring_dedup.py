@@ -20,7 +20,8 @@ what comes back to a text is a bit for each symbol and a few ranges.
 
 Defined results: null texts have no words; the hash of no words is that of the
 empty string; rows with a null doc_id count as occurrences but lose no words
-themselves; equal rows repeat each other; an empty table gives an empty result;
+themselves; rows with one doc_id are one row repeated; equal rows repeat each
+other; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -222,7 +223,8 @@ def _counted_again(dealt: DataFrame, n_buckets: int, name: str) -> DataFrame:
     found = stored(dealt.mapInArrow(_found(n_buckets), "uid long, doc_id long, places binary"), name)
     ids = found.where("places is null").select(F.col("uid").alias("u"), F.col("doc_id").alias("id"))
     places = found.where("places is not null").select("uid", "places").groupBy("uid").agg(F.collect_list("places").alias("places"))
-    return ids.join(places, F.col("u") == F.col("uid"), "left").where(F.col("id") > -(1 << 63)).select(F.col("id").alias("doc_id"), "places")
+    known = ids.join(places, F.col("u") == F.col("uid"), "left").where(F.col("id") > -(1 << 63))
+    return known.groupBy(F.col("id").alias("doc_id")).agg(F.first("places", ignorenulls=True).alias("places"))
 
 
 def _places(blobs: list[bytes] | None) -> np.ndarray:

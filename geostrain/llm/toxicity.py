@@ -3,9 +3,10 @@
 The lexicon is learned: words that labelled toxic texts have far more often
 than clean ones.  It becomes a trie, and the trie's intersection with a
 Levenshtein automaton becomes one table-driven automaton, over which all words
-of many texts run at once.  A term found counts by its context window: other
-terms near it speak for abuse, quotation marks around it for a mention.  A
-logistic regression on these counts gives the score.
+of many texts run at once.  A term whose neighbourhood meets ordinary words of
+clean training texts takes no misspelling.  A term found counts by its context
+window: other terms near it speak for abuse, quotation marks around it for a
+mention.  A logistic regression on these counts gives the score.
 
 Training reads about ``TRAIN_ROWS`` labelled texts at most, by a hash of their
 ids.  Equal texts count once in it.
@@ -32,6 +33,10 @@ TRAIN_ROWS = 20_000
 MAX_TERMS = 200
 #: A term is in this share of toxic texts at least, and so many times likelier there.
 LEAST_SHARE, LEAST_LIFT = 0.01, 25.0
+#: Share of clean training texts in which misspellings of a term may be found.
+LOOSE = 0.001
+#: A misspelt term's weight beside that of the term itself.
+MISSPELT = 0.8
 #: Words on either side that count as context.
 WINDOW = 12
 _WORD_SQL = r"[^\p{L}\p{N}]+"
@@ -55,15 +60,19 @@ class Automaton:
     table: np.ndarray
     edits: np.ndarray
     weight: np.ndarray
+    term: np.ndarray
 
     @classmethod
-    def build(cls, terms: dict[str, float]) -> Automaton:
+    def build(cls, terms: dict[str, float], rigid: frozenset[str] = frozenset()) -> Automaton:
+        """``rigid`` terms take no edits; ``term`` numbers the sorted terms."""
+        edits_of = {t: 0 if t in rigid else edits_allowed(t) for t in terms}
+        number_of = {t: i for i, t in enumerate(sorted(terms))}
         children: list[dict[str, int]] = [{}]
         term_at: list[str | None] = [None]
         reach = [0]  # edits that some term below allows
         for term in sorted(terms):
             node = 0
-            allowed = edits_allowed(term)
+            allowed = edits_of[term]
             for c in term:
                 reach[node] = max(reach[node], allowed)
                 if c not in children[node]:
@@ -114,15 +123,15 @@ class Automaton:
                 row.append(number[state])
             rows.append(row)
             at += 1
-        edits, weight = np.full(len(states), -1, np.int8), np.zeros(len(states))
+        edits, weight, which = np.full(len(states), -1, np.int8), np.zeros(len(states)), np.zeros(len(states), np.int32)
         for i, state in enumerate(states):
-            found = [(e, -terms[t]) for node, e in state if (t := term_at[node]) and e <= edits_allowed(t)]
+            found = [(e, -terms[t], number_of[t]) for node, e in state if (t := term_at[node]) and e <= edits_of[t]]
             if found:
-                edits[i], weight[i] = min(found)[0], -min(found)[1]
-        return cls(classes, np.array(rows, np.int32), edits, weight)
+                edits[i], weight[i], which[i] = min(found)[0], -min(found)[1], min(found)[2]
+        return cls(classes, np.array(rows, np.int32), edits, weight, which)
 
-    def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(edits, weight) of each word; edits is -1 where no term is near."""
+    def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Last state of each word; ``edits`` there is -1 where no term is near."""
         states = np.zeros(len(start), np.int32)
         alive = np.arange(len(start))
         state, place = np.ones(len(start), np.int32), start.copy()
@@ -133,7 +142,7 @@ class Automaton:
             states[alive[over]] = state[over]
             on = ~over & (state > 0)
             alive, state, place = alive[on], state[on], place[on]
-        return self.edits[states], self.weight[states]
+        return states
 
 
 @dataclass
@@ -149,45 +158,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(features)), features] @ self.beta, -30, 30)))
 
 
-N_FEATURES = 5
+N_FEATURES = 4
+
+
+class Hits:
+    """The words of some texts that are terms or near one."""
+
+    def __init__(self, automaton: Automaton, texts: list[str | None]):
+        lowered = [(t or "").lower() for t in texts]
+        self.at = np.r_[0, np.cumsum([len(t) + 1 for t in lowered])]
+        self.points = points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        known = _word_points()[points]
+        if len(points) > 2:
+            joiner = np.isin(points, [ord(c) for c in _JOINERS])
+            known[1:-1] |= joiner[1:-1] & known[:-2] & known[2:]
+        edge = np.diff(np.r_[False, known, False].astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        states = automaton.run(points, start, end)
+        self.n_words = np.diff(np.searchsorted(start, self.at))
+        self.word = np.flatnonzero(automaton.edits[states] >= 0)
+        self.start, self.end, states = start[self.word], end[self.word], states[self.word]
+        self.exact, self.weight, self.term = automaton.edits[states] == 0, automaton.weight[states], automaton.term[states]
+        self.text = np.searchsorted(self.at, self.start, "right") - 1
+
+    def quoted(self) -> np.ndarray:
+        """Hits between quotation marks of their line."""
+        points = self.points
+        straight = np.r_[0, np.cumsum(points == 0x22)]
+        opened = np.r_[0, np.cumsum(np.isin(points, (0xAB, 0x201C, 0x201E)).astype(int) - np.isin(points, (0xBB, 0x201D)))]
+        breaks = np.r_[-1, np.flatnonzero(points == 0x0A), len(points)]
+        line = np.searchsorted(breaks, self.start) - 1
+        first, stop = breaks[line] + 1, breaks[line + 1]
+        inside = ((straight[self.start] - straight[first]) % 2 == 1) & (straight[stop] > straight[self.end])
+        return inside | (opened[self.start] > opened[first])
 
 
 def features(automaton: Automaton, texts: list[str | None]) -> np.ndarray:
-    """Counts of terms by context for each text."""
-    whole = "\n".join(t or "" for t in texts).lower()
-    lengths = np.array([len((t or "").lower()) for t in texts])
-    at = np.r_[0, np.cumsum(lengths + 1)]
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = np.zeros(0x110000, bool) if not len(points) else _word_points()[points]
-    if len(points):
-        joiner = np.isin(points, [ord(c) for c in _JOINERS])
-        known[1:-1] |= joiner[1:-1] & known[:-2] & known[2:]
-    else:
-        return np.zeros((len(texts), N_FEATURES))
-    edge = np.diff(np.r_[False, known, False].astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    edits, weight = automaton.run(points, start, end)
-    hit = np.flatnonzero(edits >= 0)
-    out = np.zeros((len(texts), N_FEATURES))
-    n_words = np.diff(np.searchsorted(start, at))
-    if len(hit):
-        text = np.searchsorted(at, start[hit], "right") - 1
-        straight = np.r_[0, np.cumsum(points == 0x22)]
-        opened = np.r_[0, np.cumsum(np.isin(points, (0xAB, 0x201C, 0x201E)).astype(int) - np.isin(points, (0xBB, 0x201D)))]
-        breaks = np.flatnonzero(points == 0x0A)
-        before = np.searchsorted(breaks, start[hit])
-        line = np.where(before > 0, breaks[np.maximum(before - 1, 0)] + 1 if len(breaks) else 0, 0)
-        stop = np.where(before < len(breaks), breaks[np.minimum(before, len(breaks) - 1)] if len(breaks) else 0, len(points))
-        marks = straight[start[hit]] - straight[line]
-        quoted = (marks % 2 == 1) & (straight[stop] > straight[end[hit]]) | (opened[start[hit]] > opened[line])
-        exact = edits[hit] == 0
-        near = np.zeros(len(hit), bool)
-        close = (np.diff(hit) <= WINDOW) & (np.diff(text) == 0)
+    """Weights of terms by context for each text."""
+    n = len(texts)
+    hits = Hits(automaton, texts)
+    out = np.zeros((n, N_FEATURES))
+    if len(hits.word):
+        quoted = hits.quoted()
+        weight = hits.weight * np.where(hits.exact, 1.0, MISSPELT)
+        near = np.zeros(len(weight), bool)
+        close = (np.diff(hits.word) <= WINDOW) & (np.diff(hits.text) == 0)
         near[1:] |= close
         near[:-1] |= close
-        for k, chosen in enumerate((exact & ~quoted, ~exact & ~quoted, quoted, near & ~quoted)):
-            out[:, k] = np.log1p(np.bincount(text[chosen], weight[hit][chosen], len(texts)))
-        out[:, 4] = np.minimum(1.0, 20 * np.bincount(text[~quoted], minlength=len(texts)) / np.maximum(n_words, 1))
+        for k, chosen in enumerate((~quoted, quoted, near & ~quoted)):
+            out[:, k] = np.log1p(np.bincount(hits.text[chosen], weight[chosen], n))
+        out[:, 3] = np.minimum(1.0, 20 * np.bincount(hits.text[~quoted], minlength=n) / np.maximum(hits.n_words, 1))
     return out
 
 
@@ -240,7 +260,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not terms:
         return Model(base)
     top = max(t["weight"] for t in terms)
-    automaton = Automaton.build({t["word"]: t["weight"] / top for t in terms})
+    weights = {t["word"]: t["weight"] / top for t in terms}
+    wide = docs.sparkSession.sparkContext.broadcast(Automaton.build(weights))
+
+    def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(weights), np.int64)
+        for batch in pieces(batches):
+            hits = Hits(wide.value, batch.column(1).to_pylist())
+            loose = np.unique(np.stack([hits.text, hits.term], 1)[~hits.exact], axis=0)
+            found += np.bincount(loose[:, 1], minlength=len(weights))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
+
+    loose = once.where("toxic = 0").select("toxic", "text").mapInArrow(misspelt, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1.0, LOOSE * (n_all - n_toxic))).collect()
+    names = sorted(weights)
+    automaton = Automaton.build(weights, frozenset(names[r["term"]] for r in loose))
     sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
