@@ -278,15 +278,13 @@ def _observed(spark, sf):
 
 @query("L05_collocation_at_stations", None)
 def l05(spark, sf):
-    model = GS.Collocation(_observed(spark, sf).orderBy("lon", "lat").toPandas(), (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
-    return spark.createDataFrame(model.at_stations())
+    return GS.collocate_stations(_observed(spark, sf), (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
 @query("L06_collocation_on_grid", None)
 def l06(spark, sf):
-    model = GS.Collocation(_observed(spark, sf).orderBy("lon", "lat").toPandas(), (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
     grid = view(spark, sf, "v_pixel").select("y", "x").distinct().select((-120 + c("x") / 5.0).alias("lon"), (33 + c("y") / 4.0).alias("lat"))
-    return model.predict(grid)
+    return GS.collocate(_observed(spark, sf), grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
 @query("L08_empirical_covariance", None)
