@@ -16,5 +16,58 @@ FROM n
 """
 
 
+
+def _division(nodes: str, parent: str, order: str, out: str, given: str) -> str:
+    """Common tables that divide ``given`` among the children in ``nodes``."""
+    by = f"PARTITION BY {parent} " if parent else ""
+    return f"""
+  {out}_s AS (
+    SELECT *, CAST(capacity AS DOUBLE) / weight AS rate,
+           {given} - coalesce(sum(capacity) OVER ({by}ORDER BY CAST(capacity AS DOUBLE) / weight, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+           sum(weight) OVER ({by}ORDER BY CAST(capacity AS DOUBLE) / weight, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares,
+           row_number() OVER ({by}ORDER BY CAST(capacity AS DOUBLE) / weight, {order}) AS place
+    FROM {nodes}),
+  {out}_c AS (
+    SELECT *, min(CASE WHEN CAST(rest AS HUGEINT) * weight < CAST(capacity AS HUGEINT) * shares THEN place END) OVER ({by or ''}) AS cut
+    FROM {out}_s),
+  {out} AS (
+    SELECT a.*, CASE WHEN a.cut IS NULL OR a.place < a.cut THEN a.capacity
+                     ELSE greatest(0, least(a.capacity, CAST(CAST(b.rest AS HUGEINT) * a.weight // CAST(b.shares AS HUGEINT) AS BIGINT))) END AS budget
+    FROM {out}_c a LEFT JOIN {out}_c b ON a.cut = b.place {''.join(f" AND a.{c.strip()} IS NOT DISTINCT FROM b.{c.strip()}" for c in parent.split(",") if c.strip())})"""
+
+
+_DOMAIN = "CASE coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'code' END"
+_DOMAIN_WEIGHT = "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END"
+_LANG_WEIGHT = "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END"
+_LEAF = "a.domain = b.domain AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source"
+
+OP7 = f"""
+WITH d AS (
+    SELECT doc_id, lang, source, {_DOMAIN} AS domain,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+    FROM documents),
+  l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS capacity, 1 AS weight FROM d GROUP BY ALL),
+  t AS (SELECT CAST(sum(n_tokens) * 3 // 5 AS BIGINT) AS target FROM d),
+  n1 AS (SELECT domain, sum(capacity)::BIGINT AS capacity, {_DOMAIN_WEIGHT} AS weight, any_value(t.target) AS target FROM l, t GROUP BY domain),
+  {_division("n1", "", "domain", "b1", "target").strip()},
+  n2 AS (SELECT l.domain, lang, sum(l.capacity)::BIGINT AS capacity, {_LANG_WEIGHT} AS weight, any_value(b1.budget) AS given FROM l JOIN b1 ON l.domain = b1.domain GROUP BY l.domain, lang),
+  {_division("n2", "domain", "lang", "b2", "given").strip()},
+  n3 AS (SELECT l.*, b2.budget AS given FROM l JOIN b2 ON l.domain = b2.domain AND l.lang IS NOT DISTINCT FROM b2.lang),
+  {_division("n3", "domain, lang", "source", "b3", "given").strip()},
+  p AS (
+    SELECT a.*, b.budget AS leaf_budget, CASE WHEN b.capacity > 0 THEN b.budget // b.capacity ELSE 0 END AS epochs, b.capacity
+    FROM d a JOIN b3 b ON {_LEAF}),
+  q AS (
+    SELECT *, leaf_budget - epochs * capacity AS left_over,
+           CAST(('0x' || substr(md5('11:' || CAST(epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) AS place
+    FROM p),
+  r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) AS run FROM q),
+  f AS (SELECT *, bool_or(run > left_over) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) AS beyond FROM r)
+SELECT doc_id, domain, lang, source, n_tokens, leaf_budget,
+       CAST(epochs + CASE WHEN left_over > 0 AND NOT beyond THEN 1 ELSE 0 END AS BIGINT) AS n_copies
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op7_mixing": OP7}
