@@ -28,7 +28,7 @@ def root_median_square(value: Column) -> Column:
 def weighted_rms(predicted: Column, target: Column, weight: Column) -> Column:
     """Weights count even where the difference is missing."""
     off = no_nan(predicted - target)
-    return F.sqrt(F.sum(weight * off * off) / F.sum(weight))
+    return F.sqrt(F.try_divide(F.sum(weight * off * off), F.sum(weight)))
 
 
 def weighted_average(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -38,10 +38,10 @@ def weighted_average(df: DataFrame, keys: list[str], value: str, weight: str) ->
     """
     x, w = F.col(value), F.col(weight)
     sums = df.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"), F.count(x).alias("n"))
-    sums = sums.withColumn("mean", F.nullif(F.col("wx"), F.lit(0.0)) / F.col("w"))
+    sums = sums.withColumn("mean", F.try_divide(F.nullif(F.col("wx"), F.lit(0.0)), F.col("w")))
     ss = F.nullif(F.col("wxx") - F.col("mean") * F.col("wx"), F.lit(0.0))
     sums = sums.withColumn("ss", ss).withColumn("dof", F.col("n") - 1)
-    return sums.select(*keys, "mean", "dof", (F.col("ss") / (F.col("dof") * F.col("w"))).alias("variance"), (F.col("ss") / F.col("dof")).alias("mse"), F.sqrt(F.col("ss") / (F.col("dof") * F.col("w")) / (F.col("ss") / F.col("dof"))).alias("std"))
+    return sums.select(*keys, "mean", "dof", F.try_divide("ss", F.col("dof") * F.col("w")).alias("variance"), F.try_divide("ss", "dof").alias("mse"), F.sqrt(F.try_divide(F.try_divide("ss", F.col("dof") * F.col("w")), F.try_divide("ss", "dof"))).alias("std"))
 
 
 def duration(series: DataFrame, gap: int = 6) -> DataFrame:
@@ -63,7 +63,7 @@ def gap_percentage(series: DataFrame, start: str, end: str) -> DataFrame:
 
 def equal_width_bin(value: Column, lo: Column, hi: Column, n: int) -> Column:
     """Index of one of ``n`` bins on [lo, hi]; the maximum is in the last."""
-    return F.least(F.floor((value - lo) / ((hi - lo) / n)), F.lit(n - 1)).cast("int")
+    return F.coalesce(F.least(F.floor(F.try_divide(value - lo, (hi - lo) / n)), F.lit(n - 1)), F.lit(0)).cast("int")
 
 
 def binned(df: DataFrame, by: str, value: str, n: int) -> DataFrame:
@@ -91,7 +91,7 @@ def covariance_bins(pairs: DataFrame, stations: DataFrame, edges: list[float], n
     """
     c0 = stations.agg((0.5 * (F.avg(F.col("d1") ** 2) - F.avg(F.col("n1") ** 2)) + 0.5 * (F.avg(F.col("d2") ** 2) - F.avg(F.col("n2") ** 2))).alias("c0"))
     rows = pairs.withColumn("bin", edge_bin(F.col("dist"), edges)).where("bin is not null").withColumn("p", F.col("a1") * F.col("b2"))
-    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), (F.sum("p") / (F.count("*") - 1)).alias("cov"), F.stddev_pop("p").alias("std")).where(F.col("n") >= 2 * n_least)
+    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.try_divide(F.sum("p"), F.count("*") - 1).alias("cov"), F.stddev_pop("p").alias("std")).where(F.col("n") >= 2 * n_least)
     return c0, bins
 
 
@@ -100,8 +100,8 @@ def correlation_bins(pairs: DataFrame, edges: list[float], n_least: int) -> Data
     rows = pairs.withColumn("bin", edge_bin(F.col("dist"), edges)).where("bin is not null")
     own = lambda c: rows.select("bin", c).distinct().groupBy("bin").agg(F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))
     joined = rows.join(own("a1"), "bin").join(own("b2"), "bin")
-    p = (F.col("a1") - F.col("m_a1")) * (F.col("b2") - F.col("m_b2")) / (F.col("s_a1") * F.col("s_b2"))
-    return joined.groupBy("bin").agg(F.count("*").alias("n"), (F.sum(p) / (F.count("*") - 1)).alias("corr")).where(F.col("n") >= n_least)
+    p = F.try_divide((F.col("a1") - F.col("m_a1")) * (F.col("b2") - F.col("m_b2")), F.col("s_a1") * F.col("s_b2"))
+    return joined.groupBy("bin").agg(F.count("*").alias("n"), F.try_divide(F.sum(p), F.count("*") - 1).alias("corr")).where(F.col("n") >= n_least)
 
 
 def site_pairs(sites: DataFrame, distance: Column | None = None) -> DataFrame:
@@ -139,7 +139,7 @@ def structure_function(pairs: DataFrame, keys: list[str], spacing: float, dvmax:
     centre = F.sqrt(edge(F.col("bin")) * edge(F.col("bin") + 1))
     bins = joined.groupBy(*keys, "bin", "w").agg(F.median("dv").alias("m")).withColumn("inverse", 1 / F.nullif(F.col("m"), F.lit(0.0)))
     top = Window.partitionBy(*(keys or [F.lit(0)]))
-    out = bins.select(*keys, "bin", centre.alias("centre"), (F.col("inverse") / F.max("inverse").over(top)).alias("ssf"))
+    out = bins.select(*keys, "bin", centre.alias("centre"), F.try_divide(F.col("inverse"), F.max("inverse").over(top)).alias("ssf"))
     first = span.select(*keys, F.lit(-1).alias("bin"), F.lit(0.0).alias("centre"), F.lit(1.0).alias("ssf"))
     return out.unionByName(first)
 
@@ -196,7 +196,7 @@ def fit_statistics(df: DataFrame, observed: str, fitted: str, n_parameters: int
     mean = df.agg(F.avg(observed).alias("_m"))
     o, f = F.col(observed), F.col(fitted)
     rows = df.crossJoin(F.broadcast(mean))  # one row
-    return rows.agg(F.sqrt(F.sum((o - f) ** 2) / (F.count("*") - n_parameters)).alias("rmse"), (F.sum((f - F.col("_m")) ** 2) / F.sum((o - F.col("_m")) ** 2)).alias("r2"))
+    return rows.agg(F.sqrt(F.try_divide(F.sum((o - f) ** 2), F.count("*") - n_parameters)).alias("rmse"), F.try_divide(F.sum((f - F.col("_m")) ** 2), F.sum((o - F.col("_m")) ** 2)).alias("r2"))
 
 
 def covariance_fit_quality(df: DataFrame, observed: str, fitted: str, c0: Column) -> DataFrame:

@@ -336,7 +336,7 @@ def l18(spark, sf):
 
 @query("L20_near_plates", None)
 def l20(spark, sf):
-    return spark.createDataFrame(plates.near_plates(_on_plates(spark, sf), 200.0).astype({"ix1": int, "ix2": int, "shift": float}), "ix1 long, ix2 long, shift double")
+    return spark.createDataFrame(plates.near_plates(_on_plates(spark, sf), 800.0).astype({"ix1": int, "ix2": int, "shift": float}), "ix1 long, ix2 long, shift double")
 
 
 @query("L21_separate_plates", None)
