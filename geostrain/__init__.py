@@ -1,0 +1 @@
+"""Geodetic analytics on PySpark, and operators for text corpora."""
