@@ -69,5 +69,43 @@ FROM f
 """
 
 
+
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5 = f"""
+WITH RECURSIVE
+  t AS (SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+  w AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+  v AS (
+    SELECT doc_id, n_words, pos, string_agg(word, ' ') OVER f AS shingle, count(*) OVER f AS width
+    FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM v WHERE width = 5 OR (n_words < 5 AND pos = 1)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS MATERIALIZED (SELECT a, b, k = x.n AND k = y.n AS equal FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+  c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
+  k AS (SELECT d.doc_id, coalesce(min(l.a), d.doc_id) AS class FROM documents d LEFT JOIN l ON l.b = d.doc_id AND l.equal GROUP BY d.doc_id),
+  g AS (SELECT x.class, count(DISTINCT y.class) AS n_links FROM e JOIN k x ON e.a = x.doc_id JOIN k y ON e.b = y.doc_id WHERE x.class <> y.class GROUP BY x.class)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(g.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id JOIN k ON d.doc_id = k.doc_id LEFT JOIN g ON k.class = g.class
+"""
+
+OP6 = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+  w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+  v AS (
+    SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS width
+    FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+  c AS (SELECT doc_id, pos, word, CASE WHEN width = 35 AND count(*) OVER (PARTITION BY h, width) > 1 THEN 1 ELSE 0 END AS again FROM v),
+  m AS (SELECT doc_id, pos, word, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c)
+SELECT d.doc_id, count(m.word) AS n_words, CAST(coalesce(sum(m.gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.pos) FILTER (WHERE m.gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op7_mixing": OP7}
+    return {"op3_exact_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op6_substring_dedup": OP6, "op7_mixing": OP7}

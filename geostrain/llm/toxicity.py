@@ -149,7 +149,6 @@ class Automaton:
 class Model:
     base: float
     automaton: Automaton | None = None
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(0))
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -283,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     seen = once.select("toxic", "text").mapInArrow(counts, "x array<double>, toxic int").toPandas()
     x, y = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float)
-    return Model(base, automaton, np.zeros(0), _regression(x, y))
+    return Model(base, automaton, _regression(x, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
