@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import inverse_arrays, direct_arrays, local_frame
 
 
-def _inverse3(n: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(n)
-
-
 def estimate_pole(sites: DataFrame) -> dict:
     """Rotation vector (rad/yr), pole, covariance and fit statistics of station velocities.
 
@@ -39,7 +35,7 @@ def estimate_pole(sites: DataFrame) -> dict:
     y = (F.col("ve"), F.col("vn"))
     sums = df.agg(F.count("*").alias("n"), *(F.sum(product(d[i], d[j])).alias(f"n{i}{j}") for i in range(3) for j in range(i, 3)), *(F.sum(product(d[i], y)).alias(f"r{i}") for i in range(3))).first()
     n = np.array([[sums[f"n{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
-    q = _inverse3(n)
+    q = np.linalg.inv(n)
     w = q @ np.array([sums[f"r{i}"] for i in range(3)])
     re = F.col("ve") - sum((F.col(f"_e{j}") * float(w[j]) for j in range(3)), F.lit(0.0))
     rn = F.col("vn") - sum((F.col(f"_n{j}") * float(w[j]) for j in range(3)), F.lit(0.0))
@@ -134,13 +130,13 @@ def hull(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
 
 
 def hull_vertices(points: DataFrame) -> DataFrame:
-    """Hull vertices of each plate; first a coarse reduction by direction, so a group stays small.
+    """Hull vertices of each plate: its extreme points in 180 directions.
 
-    The extreme points in 720 directions contain all hull vertices that matter
-    at that resolution and combine on the map side.
+    They are aggregates, which combine on the map side; a vertex between two
+    directions lies within their angle's reach of the hull returned.
     """
-    angles = np.arange(0, 2 * math.pi, math.pi / 360)
-    best = [F.max_by(F.struct("lon", "lat"), F.col("lon") * float(math.cos(a)) + F.col("lat") * float(math.sin(a))).alias(f"p{i}") for i, a in enumerate(angles[::4])]
+    angles = np.arange(0, 2 * math.pi, math.pi / 90)
+    best = [F.max_by(F.struct("lon", "lat"), F.col("lon") * float(math.cos(a)) + F.col("lat") * float(math.sin(a))).alias(f"p{i}") for i, a in enumerate(angles)]
     extreme = points.groupBy("plate_ix").agg(*best)
     return extreme.select("plate_ix", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(best)))))).alias("p")).select("plate_ix", "p.lon", "p.lat")
 

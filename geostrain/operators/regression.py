@@ -169,3 +169,15 @@ def core_weight(y: Column, x: Column, box: list[int], pad: int) -> Column:
     reach = float(np.hypot(y1 - y0, x1 - x0) / 2 + pad)
     core = y.between(y0, y1 - 1) & x.between(x0, x1 - 1)
     return F.when(core, 1.0).otherwise(F.greatest(F.lit(0.0), 0.75 * (1 - (dist / reach) ** 2)))
+
+
+def is_symmetric(a: np.ndarray, tolerance: float = 1e-8) -> bool:
+    return bool(np.allclose(a, np.asarray(a).T, atol=tolerance))
+
+
+def is_positive_definite(a: np.ndarray) -> bool:
+    try:
+        np.linalg.cholesky(np.asarray(a, float))
+    except np.linalg.LinAlgError:
+        return False
+    return True

@@ -160,3 +160,46 @@ def nearest_epoch(series: DataFrame, steps: DataFrame) -> DataFrame:
     gap = F.abs(F.datediff("d", "step"))
     joined = series.select("site", "d").join(s, "site")
     return joined.groupBy("site", "step").agg(F.max_by("d", F.struct(-gap, F.col("d"))).alias("epoch"), F.min(gap).alias("gap_days"))
+
+
+def pairs_of_sites(series: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The kernel's pairs of every site, as days: site, first, second."""
+    t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
+
+    def one(key, g: pd.DataFrame) -> pd.DataFrame:
+        days = np.sort(g["t"].to_numpy(float))
+        i, j = select_pairs(days, (), tolerance).reshape(-1, 2).T
+        return pd.DataFrame({"site": key[0], "first": days[i].astype(int), "second": days[j].astype(int)})
+
+    return series.select("site", t).groupBy("site").applyInPandas(one, "site long, first long, second long")
+
+
+def site_fits(series: DataFrame, steps: DataFrame, method: str = "robust") -> DataFrame:
+    """Rate (mm/yr) and sigma of every site by ``robust``, ``ols`` or ``mle``, and an error instead of a failure."""
+    from .noise import TrendModel, ml_trend
+    from .regression import lscov
+
+    def fit(days, disp, cuts) -> tuple[float | None, float | None]:
+        if method == "robust":
+            found = trend(days, disp, cuts)
+            return found["vel"], found["sigma"]
+        if method == "mle":
+            found = ml_trend(days, disp, TrendModel(), cuts)
+            return found["rate"], found["sigma"]
+        years = (days - days[0]) / YEAR_DAYS
+        inside = [c for c in np.unique(cuts) if days[0] < c < days[-1]]
+        found = lscov(np.stack([np.ones(len(days)), years, *((days > c).astype(float) for c in inside)], 1), disp)
+        return float(found["x"][1]), float(found["stdx"][1])
+
+    def one(key, g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        try:
+            rate, sigma, error = *fit(g["t"].to_numpy(float), g["disp"].to_numpy(float), c["t"].to_numpy(float)), None
+        except Exception as e:  # one site must not end the job
+            rate, sigma, error = None, None, str(e)
+        scaled = [None if v is None else 1000 * v for v in (rate, sigma)]
+        return pd.DataFrame([[key[0], *scaled, error]], columns=["site", "rate", "sigma", "error"]).astype({"rate": "float64", "sigma": "float64"})
+
+    t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
+    rows, cut = series.select("site", t, "disp").groupBy("site"), steps.select("site", t).groupBy("site")
+    return rows.cogroup(cut).applyInPandas(one, "site long, rate double, sigma double, error string")
