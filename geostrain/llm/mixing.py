@@ -45,6 +45,10 @@ class Plan:
     languages: dict[str, int] = field(default_factory=lambda: {"en": 4, "de": 2, "fr": 2, "es": 2})
     sources: dict[str, int] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if min([1, *self.domains.values(), *self.languages.values(), *self.sources.values(), self.max_epochs, self.target_share[1]]) < 1:
+            raise ValueError("weights, epochs and the share's denominator are positive integers")
+
 
 def domain(source: Column) -> Column:
     """The domain of a source: by the number in its name."""
