@@ -88,7 +88,7 @@ def j10(spark, sf):
 
 @query("M01_geodesic_distance", None)
 def m01(spark, sf):
-    p = A.site_pairs(view(spark, sf, "v_sites").where("site <= 200").select("site", "lon", "lat"))
+    p = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
     return p.select("site1", "site2", F.round(G.geodesic_distance(c("lon1"), c("lat1"), c("lon2"), c("lat2"), "km"), 6).alias("km"))
 
 
@@ -157,7 +157,7 @@ def l04(spark, sf):
 def l07(spark, sf):
     xy = spark.range(-6, 7).select((c("id") * 80.0).alias("x")).withColumn("y", F.explode(F.sequence(lit(-480), lit(480), lit(80)).cast("array<double>")))
     grid = xy.select(G.aeqd_inverse(c("x"), c("y"), -115.0, 37.0).alias("p")).select("p.lon", "p.lat")
-    obs = view(spark, sf, "v_sites").where("site <= 200").select("lon", "lat", c("v").alias("ew"), (c("v") / 2).alias("ns"), (c("sv") / 5).alias("noise_ew"), (c("sv") / 6).alias("noise_ns"))
+    obs = view(spark, sf, "v_sites").select("lon", "lat", c("v").alias("ew"), (c("v") / 2).alias("ns"), (c("sv") / 5).alias("noise_ew"), (c("sv") / 6).alias("noise_ns"))
     return GS.collocate(obs, grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 

@@ -226,24 +226,26 @@ def v34(spark, sf):
 
 @query("V08_ml_trend", None)
 def v08(spark, sf):
-    return noise.ml_trends(view(spark, sf, "v_series").where("site <= 8"), ["site"], noise.TrendModel(periods=(1.0,)))
+    return noise.ml_trends(view(spark, sf, "v_series"), ["site"], noise.TrendModel(periods=(1.0,)))
 
 
 @query("V10_pixel_ml_trend", None)
 def v10(spark, sf):
-    return noise.ml_trends(view(spark, sf, "v_pixel").where("y < 2"), ["y", "x"], noise.TrendModel(periods=(), sampling_days=91.3125))
+    return noise.ml_trends(view(spark, sf, "v_pixel"), ["y", "x"], noise.TrendModel(periods=(), sampling_days=91.3125))
 
 
 @query("V11_spectrum", None)
 def v11(spark, sf):
-    return noise.spectra(W.fill_gaps_regular(view(spark, sf, "v_series").where("site <= 8")), ["site"])
+    return noise.spectra(W.fill_gaps_regular(view(spark, sf, "v_series")), ["site"])
 
 
 # ------------------------------------------------------------ collocation
 
 
-def _station_pairs(spark, sf, most: int = 100):
-    s = view(spark, sf, "v_sites").where(f"site <= {most}")
+def _station_pairs(spark, sf, most: int | None = 100):
+    """Pairs of stations: all of them if ``most`` is None; L01, L11, L12, L15 have the bound of their SQL."""
+    s = view(spark, sf, "v_sites")
+    s = s if most is None else s.where(f"site <= {most}")
     p = A.site_pairs(s.select("site", "lon", "lat", c("v").alias("e"), (c("v") / 2).alias("n"), (c("sv") / 5).alias("se"), (c("sv") / 6).alias("sn")))
     return p.withColumn("dist", F.sqrt((c("lon1") - c("lon2")) ** 2 + (c("lat1") - c("lat2")) ** 2) * 100)
 
@@ -265,15 +267,15 @@ def l02(spark, sf):
 
 @query("L03_moving_covariance", None)
 def l03(spark, sf):
-    p = _station_pairs(spark, sf)
-    s = view(spark, sf, "v_sites").where("site <= 100")
+    p = _station_pairs(spark, sf, None)
+    s = view(spark, sf, "v_sites")
     around = p.select(c("site1").alias("site"), c("e2").alias("x"), "dist").unionByName(p.select(c("site2").alias("site"), c("e1").alias("x"), "dist")).unionByName(s.select("site", c("v").alias("x"), lit(0.0).alias("dist")))
     sigma = A.moving_variance(around, 4.0, 200.0)
     return GS.scaled_covariance(GS.signal_covariance(p, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0)), sigma, 4.0, "c_ee").select("site1", "site2", "c_ee")
 
 
 def _observed(spark, sf):
-    return view(spark, sf, "v_sites").where("site <= 200").select("lon", "lat", c("v").alias("ew"), (c("v") / 2).alias("ns"), (c("sv") / 5).alias("noise_ew"), (c("sv") / 6).alias("noise_ns"))
+    return view(spark, sf, "v_sites").select("lon", "lat", c("v").alias("ew"), (c("v") / 2).alias("ns"), (c("sv") / 5).alias("noise_ew"), (c("sv") / 6).alias("noise_ns"))
 
 
 @query("L05_collocation_at_stations", None)
@@ -289,7 +291,7 @@ def l06(spark, sf):
 
 @query("L08_empirical_covariance", None)
 def l08(spark, sf):
-    p = _station_pairs(spark, sf, 1000)
+    p = _station_pairs(spark, sf, None)
     edges = GS.edges_of(50.0, 900.0)
     s = view(spark, sf, "v_sites").select(c("v").alias("d1"), (c("v") / 2).alias("d2"), lit(0.1).alias("n1"), lit(0.1).alias("n2"))
     c0, bins = A.covariance_bins(p.withColumnsRenamed({"e1": "a1", "e2": "b2"}), s, edges, 5)
