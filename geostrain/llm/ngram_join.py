@@ -21,6 +21,10 @@ the group's main component are compared with the whole of it and with each
 other, in blocks.  Pairs are refuted by histograms of their shingles where these
 differ too much, else decided on the whole sets.
 
+That gives the components.  Links lie inside components, so the members of large
+groups meet all others of their component, in blocks again, and what they share
+is counted on the whole sets; only the numbers of links leave a block.
+
 Defined results: null texts and texts without words have no shingles and link
 with nothing; a row with a null doc_id takes the component of a row with equal
 shingles that has an id, else null; rows with one doc_id are one row repeated;
@@ -48,6 +52,10 @@ WIDTH = 5
 ALL_PAIRS = 8
 #: Rows of a side that meet in one task.
 BLOCK = 1000
+#: Shingles of a side that meet in one task, on average; a single set is always whole.
+BLOCK_SHINGLES = 1 << 21
+#: Shingles that are counted at once, and pairs that rare ones give at once.
+COLUMNS, EXPANDED = 2048, 1 << 20
 BUCKETS = 1024
 #: Least bins of a set's histogram; it grows with the set.
 HISTOGRAM = 256
@@ -346,8 +354,96 @@ def _crossing(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): every document with its class, and the links of classes."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set on the left shares with each on the right.
+
+    Frequent shingles are columns of 0 and 1 in products of matrices; of rare ones
+    the pairs are counted.
+    """
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(x, y)
+    if not len(both):
+        return out
+
+    def entries(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, values)
+        at[at == len(both)] = 0
+        hit = both[at] == values
+        row, at = row[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order], np.bincount(at, minlength=len(both))
+
+    (rx, cx, nx), (ry, cy, ny) = entries(x, left), entries(y, right)
+    rare = 50 * nx * ny < n * m
+    rows, cols = rx[rare[cx]], cx[rare[cx]]
+    begin, many = np.r_[0, np.cumsum(ny)], ny[cols]
+    upto = np.cumsum(many)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - many[a] + EXPANDED, "right")))
+        k = many[a:b]
+        own = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        other = ry[np.repeat(begin[cols[a:b]], k) + own]
+        out += np.bincount(np.repeat(rows[a:b], k) * m + other, minlength=n * m).reshape(n, m)
+        a = b
+    place = np.cumsum(~rare) - 1
+    rx, px = rx[~rare[cx]], place[cx[~rare[cx]]]
+    ry, py = ry[~rare[cy]], place[cy[~rare[cy]]]
+    for lo in range(0, int((~rare).sum()), COLUMNS):
+        sides = []
+        for size, r, p in ((n, rx, px), (m, ry, py)):
+            a, b = np.searchsorted(p, [lo, lo + COLUMNS])
+            side = np.zeros((size, COLUMNS), np.float32)
+            side[r[a:b], p[a:b] - lo] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _degrees(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of each set of two blocks, or of one block, with the others there."""
+    same = group["i"].iloc[0] == group["j"].iloc[0]
+    left = group if same else group[group["piece"] == group["i"]]
+    right = group if same else group[group["piece"] == group["j"]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    x, y = ([np.frombuffer(v, "<u8") for v in side["shingles"]] for side in (left, right))
+    shared = shared_counts(x, y)
+    united = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None] - shared
+    linked = 100 * shared >= 75 * united
+    if same:
+        return pd.DataFrame({"id": left["id"].to_numpy(), "n": linked.sum(axis=1) - 1})
+    return pd.DataFrame({"id": np.r_[left["id"], right["id"]], "n": np.r_[linked.sum(axis=1), linked.sum(axis=0)]})
+
+
+def _crowded(docs: DataFrame, crowd: DataFrame, parts: DataFrame) -> DataFrame:
+    """id and n: links of the members of large groups (``crowd``: id, n) among each other.
+
+    A pair that meets in large groups alone is never listed before, but its link
+    lies in one component.  Each component's members are dealt into blocks and
+    every two blocks meet once: rows are the members once for a block.
+    """
+    member = stored(crowd.join(parts, "id"), "crowd")
+    size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+    size = size.select("component", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    member = stored(member.join(stored(size, "crowd-blocks"), "component").select("id", "component", "nb"), "crowd-members")
+    sets = stored(_sets_of(docs, member.select("id"), member.count()), "crowd-sets")
+    rows = member.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(6)), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("id", "component", "piece", F.least("piece", "q").alias("i"), F.greatest("piece", "q").alias("j")).join(sets, "id")
+    rows = rows.repartition(4 * n_partitions(docs.sparkSession), "component", "i", "j")
+    found = stored(rows.groupBy("component", "i", "j").applyInPandas(_degrees, "id long, n long"), "crowd-links")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, crowd): every document with its class, links of classes, members of large groups.
+
+    The links are all but some of those between two members of large groups, and
+    enough for the components.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = stored(shingle_classes(docs), "classes")
@@ -371,9 +467,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     decided = _decide(docs, near)
     linked = decided.where(_LINKED).select("a", "b")
     large = found.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("uid")).distinct()
+    crowd = stored(large.select("uid").distinct().join(info, "uid").select("id", "n"), "crowded")
     if not large.isEmpty():
         linked = linked.unionByName(_rest(docs, large, info, decided, linked))
-    return members.join(reps.withColumnRenamed("n_shingles", "n"), [members["h1"] == reps["h1"], members["h2"] == reps["h2"], F.col("n_shingles") == F.col("n")], "left").select("doc_id", "n_shingles", "rep"), linked
+    return members.join(reps.withColumnRenamed("n_shingles", "n"), [members["h1"] == reps["h1"], members["h2"] == reps["h2"], F.col("n_shingles") == F.col("n")], "left").select("doc_id", "n_shingles", "rep"), linked, crowd
 
 
 def _rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame, linked: DataFrame) -> DataFrame:
@@ -416,10 +513,17 @@ def _rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (of its class) of every row."""
-    members, found = links(docs)
+    members, found, crowd = links(docs)
     found = stored(found.distinct(), "found-links")
-    parts = components(found)
-    degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    parts = stored(parts.join(degree, "id").withColumnRenamed("id", "pid"), "components")
+    parts = stored(components(found), "found-parts")
+    ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id"))).withColumn("n", F.lit(1))
+    if crowd.isEmpty():
+        counted = ends(found)
+    else:  # links inside the crowd are all counted there
+        a, b = (crowd.select(F.col("id").alias(k), F.lit(True).alias(f"in_{k}")) for k in ("a", "b"))
+        listed = found.join(a, "a", "left").join(b, "b", "left").where("in_a is null or in_b is null")
+        counted = ends(listed).unionByName(_crowded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), crowd, parts))
+    degree = counted.groupBy("id").agg(F.sum("n").alias("n_links"))
+    parts = stored(parts.join(degree, "id", "left").withColumnRenamed("id", "pid"), "components")
     out = members.join(parts, F.col("rep") == F.col("pid"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -216,6 +216,37 @@ def test_near_duplicates(docs, rows, block, monkeypatch):
             assert g.component_id == component[g.doc_id]
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_number_of_links(spark, block, monkeypatch):
+    """Every link of large groups is counted: families above ALL_PAIRS against all pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    texts = []
+    for size, edits in ((60, (0, 1, 1, 2, 3, 5)), (25, (1, 2)), (5, (1, 2)), (12, (6, 7, 8))):
+        family = [word() for _ in range(150)]
+        for _ in range(size):
+            copy = list(family)
+            for _ in range(rng.choice(edits)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += texts[:3] + [" ".join(word() for _ in range(80)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    n_links = {x: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in set(sets)) for x in set(sets)}
+    assert max(n_links.values()) > 4 * ngram_join.ALL_PAIRS
+    assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()} == {i: n_links[x] for i, x in enumerate(sets)}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    usual = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    some = lambda: [np.unique(np.r_[usual[rng.random(5000) < p], rng.integers(0, 200, 60, dtype=np.uint64)]) for p in rng.random(40)]
+    for a, b in ((some(), some()), ([usual[:1]], [usual[1:2]]), ([np.unique(usual)], some())):
+        want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        assert ngram_join.shared_counts(a, b).tolist() == want
+
+
 def test_signatures_meet():
     """Sets at the threshold share a signature, whatever their sizes."""
     rng = np.random.default_rng(2)
