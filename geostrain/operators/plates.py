@@ -130,15 +130,24 @@ def hull(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
 
 
 def hull_vertices(points: DataFrame) -> DataFrame:
-    """Hull vertices of each plate: its extreme points in 180 directions.
+    """Exact hull vertices of each plate.
 
-    They are aggregates, which combine on the map side; a vertex between two
-    directions lies within their angle's reach of the hull returned.
+    Each batch gives the hulls of its own points, which hold every vertex of the
+    whole; these few meet by plate.
     """
-    angles = np.arange(0, 2 * math.pi, math.pi / 90)
-    best = [F.max_by(F.struct("lon", "lat"), F.col("lon") * float(math.cos(a)) + F.col("lat") * float(math.sin(a))).alias(f"p{i}") for i, a in enumerate(angles)]
-    extreme = points.groupBy("plate_ix").agg(*best)
-    return extreme.select("plate_ix", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(best)))))).alias("p")).select("plate_ix", "p.lon", "p.lat")
+    schema = points.select("plate_ix", F.col("lon").cast("double"), F.col("lat").cast("double")).schema
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["lon", "lat"])
+        return pdf.iloc[hull(pdf["lon"].to_numpy(), pdf["lat"].to_numpy())]
+
+    def of_batches(batches):
+        for pdf in batches:
+            for _, own in pdf.groupby("plate_ix"):
+                yield corners(own)
+
+    known = points.select(*(F.col(f.name).cast(f.dataType) for f in schema)).where("plate_ix is not null and not isnan(lon) and not isnan(lat)")  # a null is no point either
+    return known.mapInPandas(of_batches, schema).groupBy("plate_ix").applyInPandas(corners, schema)
 
 
 def near_plates(points: DataFrame, dist_km: float) -> pd.DataFrame:

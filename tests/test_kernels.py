@@ -202,6 +202,25 @@ def test_rotation_is_recovered(spark):
     assert len(stations.ITRF2014) == 11
 
 
+def test_hull_vertices_are_exact(spark):
+    """Every vertex is found, also where more than a direction's worth lie between two."""
+    rng = np.random.default_rng(6)
+    angle = np.r_[rng.random(250) * 2 * np.pi, rng.random(50) * 2 * np.pi]
+    reach = np.r_[np.ones(250), np.sqrt(rng.random(50))]
+    x, y = -118 + 3 * reach * np.cos(angle), 36 + 2 * reach * np.sin(angle)
+    plate = np.arange(300) % 2
+    got = plates.hull_vertices(spark.createDataFrame(pd.DataFrame({"plate_ix": plate, "lon": x, "lat": y})).repartition(5)).toPandas()
+    for k in (0, 1):
+        p = np.c_[x, y][plate == k]
+        side = (p[None, :, None, 0] - p[:, None, None, 0]) * (p[None, None, :, 1] - p[:, None, None, 1]) - (p[None, :, None, 1] - p[:, None, None, 1]) * (p[None, None, :, 0] - p[:, None, None, 0])
+        edge = (side >= 0).all(axis=2)  # all points are left of the line from a to b
+        np.fill_diagonal(edge, False)
+        want = {tuple(v) for v in p[edge.any(axis=1)]}
+        own = got[got["plate_ix"] == k]
+        assert len(want) >= 120 and len(own) == len(want) and set(zip(own["lon"], own["lat"], strict=True)) == want
+    assert len(got) > 180
+
+
 def test_points_in_a_polygon(spark):
     ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0))))
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.5, 3.0), (5.0, 1.0)], "lon double, lat double")
