@@ -2,10 +2,11 @@
 
 The standard library's parser streams events; every block element makes a
 line.  A line's text-to-tag ratio is its text outside links over its tags; the
-ratios are smoothed with a Gaussian along the page and lines above a threshold
-form the content clusters.  The containers in which most clustered text lies
-are the content regions, and every line of theirs is returned: a region's short
-paragraphs belong to it though their own ratio is low.
+ratios are smoothed with a Gaussian along the page and lines above a threshold,
+of which most isn't links, form the content clusters.  The clusters only choose
+the root of the content: the articles and main elements, if there are any with
+text, else the innermost container that holds all clustered lines.  Every line
+under the root is returned, whatever its own ratio.
 
 Text inside boilerplate elements (menus, headers, footers, asides, forms,
 scripts, styles, elements whose class or id names an advert, a notice, reader
@@ -50,15 +51,19 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # name, skipped, container
         self.lines: list[list] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.skips = self.containers = self.articles = 0
+        self.above = [0]  # of each container, the one around it; 0 is the page
+        self.tags = self.linked = self.links = self.skips = self.articles = 0
 
     def flush(self) -> None:
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
         if text:
-            container = next((c for _, _, c in reversed(self.stack) if c), 0)
+            container = self.around()
             self.lines.append([container, text, self.tags, self.linked, self.articles > 0])
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def around(self) -> int:
+        return next((c for _, _, c in reversed(self.stack) if c), 0)
+
     def pop(self) -> None:
         name, skipped, _ = self.stack.pop()
         self.skips -= skipped
@@ -86,8 +91,8 @@ class _Lines(HTMLParser):
                     skipped = True
         container = 0
         if tag in CONTAINERS:
-            self.containers += 1
-            container = self.containers
+            container = len(self.above)
+            self.above.append(self.around())
         self.stack.append((tag, skipped, container))
         self.skips += skipped
         self.links += tag == "a"
@@ -137,18 +142,21 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    if any(x[4] for x in lines):  # an article names itself: what is outside has no ratio
-        lines = [x for x in lines if x[4]]
+    if any(x[4] for x in lines):  # an article names itself: it is the root
+        return "\n".join(x[1] for x in lines if x[4])
     ratio = smoothed([max(0, len(text) - linked) / (1 + tags) for _, text, tags, linked, _ in lines])
     mean = sum(ratio) / len(ratio)
-    threshold = max(0.0, mean - math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)))
-    mass: dict[int, float] = {}
+    threshold = max(0.0, mean - math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))) * (1 - 1e-9)  # of two lines, it is the lesser
+    held = [0] * len(parser.above)
     for (container, text, _, linked, _), r in zip(lines, ratio, strict=True):
-        if r >= threshold:
-            mass[container] = mass.get(container, 0.0) + len(text) - linked
-    most = max(mass.values(), default=0.0)
-    regions = {c for c, m in mass.items() if m > 0 and (lines[0][4] or m >= 0.2 * most)}
-    return "\n".join(x[1] for x in lines if x[0] in regions or not regions)
+        held[container] += r >= threshold and 2 * linked < len(text)
+    for c in range(len(held) - 1, 0, -1):  # a container comes after the one around it
+        held[parser.above[c]] += held[c]
+    root = max(c for c in range(len(held)) if held[c] == held[0]) if held[0] else 0
+    under = [root == 0]
+    for c in range(1, len(held)):
+        under.append(c == root or under[parser.above[c]])
+    return "\n".join(x[1] for x in lines if under[x[0]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

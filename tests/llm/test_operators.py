@@ -330,6 +330,26 @@ def test_html():
     assert [html_extract.main_text(x) for x in (None, "", "<p>", "<script>x")] == [""] * 4
 
 
+def test_html_keeps_every_line_of_the_root():
+    """Cells, runs of short lines and paragraphs in containers of their own are text too."""
+    long = [f"{i} " + "word " * 59 + "end." for i in range(20)]
+    cells = [f"cell{i}" for i in range(10)]
+    ps = lambda x: "".join(f"<p>{v}</p>" for v in x)
+    table = "<table><tr>" + "".join(f"<td>{v}</td>" for v in cells) + "</tr></table>"
+    short = "<div>" + ps(cells) + "</div>"
+    links = "<div>" + "".join(f"<a href='/{i}'>link {i}</a> " for i in range(12)) + "</div>"
+    want = "\n".join(long[:10] + cells + long[10:])
+    for inner in (table, short):
+        text = ps(long[:10]) + inner + ps(long[10:])
+        assert html_extract.main_text(f"<body><article>{text}</article>{links}</body>") == want
+        assert html_extract.main_text(f"<body>{links}<div>{text}</div>{links}</body>") == want
+    divs = ["word " * 399 + "end.", "word " * 59 + "end."]
+    assert html_extract.main_text("<body><div>" + "".join(f"<div><p>{v}</p></div>" for v in divs) + f"</div>{links}</body>") == "\n".join(divs)
+    assert html_extract.main_text("<body>" + "".join(f"<div>{v}</div>" for v in divs) + "</body>") == "\n".join(divs)
+    each = "".join(f"<div><p>{v}</p></div>" for v in long[:10]) + short + "".join(f"<div><p>{v}</p></div>" for v in long[10:])
+    assert html_extract.main_text(f"<body><div>{each}</div>{links}</body>") == want
+
+
 # ------------------------------------------------------------ quality
 
 
