@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Names of noise models (fixed values): spectral index, None if it is estimated.
+#: RWFNWN has two coloured components, random walk and flicker, besides the white one.
+#: Damping of the Gauss-Markov model a step (the published control file's 1 - phi).
+DAMPING = {"GGMWN": 6.9e-6}
 NOISE = {"WN": 0.0, "FNWN": -1.0, "RWWN": -2.0, "PLWN": None, "GGMWN": None, "RWFNWN": None}
 
 
@@ -37,55 +40,91 @@ class TrendModel:
         return [f"{p * 365.25:.3f}" for p in self.periods]
 
 
-def power_law_filter(n: int, index: float) -> np.ndarray:
+def power_law_filter(n: int, index: float, damping: float = 0.0) -> np.ndarray:
     """Impulse response of fractionally integrated noise of a spectral index (0 to -2)."""
-    h = np.ones(n)
-    for k in range(1, n):
-        h[k] = h[k - 1] * (k - 1 - index / 2) / k
-    return h
+    k = np.arange(1, n)
+    return np.cumprod(np.r_[1.0, (k - 1 - index / 2) / k * (1 - damping)])
 
 
-def _covariance(days: np.ndarray, step: float, index: float) -> np.ndarray:
-    """Covariance of power-law noise that begins at the first epoch, at the epochs there are."""
-    at = np.rint((days - days[0]) / step).astype(int)
-    h = power_law_filter(int(at[-1]) + 1, index)
-    rows = np.zeros((len(at), int(at[-1]) + 1))
-    for i, k in enumerate(at):
-        rows[i, : k + 1] = h[: k + 1][::-1]
-    return rows @ rows.T
-
+def _covariance(days: np.ndarray, step: float, index: float, damping: float = 0.0) -> np.ndarray:
+    """Covariance of power-law noise that begins at the first epoch, at the epochs there are.
 
-def _likelihood(a, y, c) -> tuple[float, np.ndarray, np.ndarray, float]:
-    low = np.linalg.cholesky(c)
-    wa, wy = np.linalg.solve(low, a), np.linalg.solve(low, y)
+    Steps follow one another, so that one row of all steps is held at a time.
+    """
+    at = np.rint((days - days[0]) / step).astype(int)
+    h = power_law_filter(int(at[-1]) + 1, index, damping)
+    out = np.empty((len(at), len(at)))
+    row, k = h.copy(), 0
+    for i, a in enumerate(at):
+        while k < a:
+            k += 1
+            row[1:] = row[:-1] + h[k] * h[1:]
+            row[0] = h[k]
+        out[i] = row[at]
+    return out
+
+
+def _scaled(c: np.ndarray) -> np.ndarray:
+    return c / np.trace(c) * len(c)
+
+
+def _greatest(f, grid, tol: float) -> tuple[float, tuple]:
+    """Argument and value of the greatest f (a tuple that begins with it): grid, then golden section around its best."""
+    values = [f(g) for g in grid]
+    k = max(range(len(grid)), key=lambda i: values[i][0])
+    found = [(grid[k], values[k])]
+    lo, hi = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
+    r = (math.sqrt(5) - 1) / 2
+    a, b = hi - r * (hi - lo), lo + r * (hi - lo)
+    fa, fb = f(a), f(b)
+    while hi - lo > tol:
+        found += [(a, fa), (b, fb)]
+        if fa[0] >= fb[0]:
+            hi, b, fb = b, a, fa
+            a = hi - r * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + r * (hi - lo)
+            fb = f(b)
+    return max([*found, (a, fa), (b, fb)], key=lambda v: v[1][0])
+
+
+def _likelihood(a, y, d) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Of uncorrelated observations with variances proportional to ``d``."""
+    root = np.sqrt(d)
+    wa, wy = a / root[:, None], y / root
     q = np.linalg.inv(wa.T @ wa)
     x = q @ (wa.T @ wy)
     r = wy - wa @ x
     n = len(y)
     s2 = float(r @ r) / n
-    return -0.5 * (n * math.log(2 * math.pi) + 2 * np.log(np.diag(low)).sum() + n * math.log(max(s2, 1e-300)) + n), x, q, s2
+    return -0.5 * (n * math.log(2 * math.pi) + np.log(d).sum() + n * math.log(max(s2, 1e-300)) + n), x, q, s2
+
+
+def _best_fraction(a, y, c) -> tuple:
+    """(likelihood, x, q, s2, fraction) of the best mix of white noise and ``c``.
+
+    In the axes of ``c`` every mix is diagonal, so one decomposition serves all.
+    """
+    w, u = np.linalg.eigh(c)
+    w, a, y = np.maximum(w, 0.0), u.T @ a, u.T @ y
+    f, got = _greatest(lambda f: _likelihood(a, y, (1 - f) + f * w), np.linspace(0, 0.9999, 21), 1e-5)
+    return *got, f
 
 
-def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=(), most: int = 400) -> dict:
+def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=()) -> dict:
     """Rate (per year), its deviation, noise fraction and index of one series.
 
-    Series of more than ``most`` epochs are averaged to a coarser sampling: the
-    work grows with the cube of the epochs.
+    The whole series is fitted: work grows with the cube of its epochs, memory
+    with their square.  Of RWFNWN, ``kappa`` is none and ``walk`` is the share of
+    the random walk in the coloured noise.
     """
     days, obs = np.asarray(days, float), np.asarray(obs, float)
     ok = np.isfinite(obs)
     days, obs = days[ok], obs[ok]
     out = {"rate": None, "sigma": None, "fraction": None, "kappa": None, "loglik": None}
     step = model.sampling_days
-    if len(days) > most:
-        step = (days[-1] - days[0]) / most
-        bins = ((days - days[0]) / step).astype(int)
-        n = np.bincount(bins)
-        keep = n > 0
-        days, obs = np.bincount(bins, days)[keep] / n[keep], np.bincount(bins, obs)[keep] / n[keep]
-        days = days[0] + np.rint((days - days[0]) / step) * step
-        days, first = np.unique(days, return_index=True)
-        obs = obs[first]
     t = (days - days.mean()) / 365.25 if len(days) else days
     cols = [t**k for k in range(model.poly_deg + 1)]
     for p in model.periods:
@@ -95,16 +134,18 @@ def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=(), most: int =
         return out
     a = np.stack(cols, 1)
     fixed = NOISE[model.noise]
-    best = None
-    for k in [0.0] if model.noise == "WN" else [fixed] if fixed is not None else np.linspace(-2, -0.2, 7):
-        c = _covariance(days, step, k) if k else np.eye(len(days))
-        c = c / np.trace(c) * len(days)
-        for f in [0.0] if k == 0 else (0.05, 0.25, 0.5, 0.75, 0.95):
-            got = _likelihood(a, obs, (1 - f) * np.eye(len(days)) + f * c)
-            if best is None or got[0] > best[0][0]:
-                best = (got, f, k)
-    (ll, x, q, s2), f, k = best
-    return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": float(k), "loglik": float(ll)}
+    walk = {}
+    if model.noise == "WN":
+        got, k = (*_likelihood(a, obs, np.ones(len(days))), 0.0), 0.0
+    elif model.noise == "RWFNWN":
+        flicker, random = (_scaled(_covariance(days, step, NOISE[n])) for n in ("FNWN", "RWWN"))
+        share, got = _greatest(lambda g: _best_fraction(a, obs, (1 - g) * flicker + g * random), np.linspace(0, 1, 6), 1e-3)
+        k, walk = None, {"walk": float(share)}
+    else:
+        of = lambda k: _best_fraction(a, obs, _scaled(_covariance(days, step, k, DAMPING.get(model.noise, 0.0))))
+        k, got = (fixed, of(fixed)) if fixed is not None else _greatest(of, np.linspace(-2, -0.05, 7), 1e-3)
+    ll, x, q, s2, f = got
+    return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": None if k is None else float(k), "loglik": float(ll)} | walk
 
 
 def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:

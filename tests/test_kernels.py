@@ -281,6 +281,50 @@ def test_likelihood_trend():
     assert np.mean(p[1:]) == pytest.approx(2.0, rel=0.15) and len(f) == len(p)
 
 
+def _dense(t, y, c):
+    """Likelihood and rate of a trend under a covariance, in the plain way."""
+    a, n = np.c_[np.ones(len(t)), (t - t.mean()) / 365.25], len(t)
+    q = np.linalg.inv(a.T @ np.linalg.solve(c, a))
+    x = q @ a.T @ np.linalg.solve(c, y)
+    s2 = (y - a @ x) @ np.linalg.solve(c, y - a @ x) / n
+    return -0.5 * (n * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + n * np.log(s2) + n), x[1]
+
+
+def test_likelihood_of_whole_series():
+    """More than 400 epochs, with gaps: no grid of mixes of the whole covariance is likelier."""
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.choice(1100, 520, replace=False)).astype(float)
+    at = (t - t[0]).astype(int)
+    coloured = np.convolve(rng.normal(size=at[-1] + 1), noise.power_law_filter(at[-1] + 1, -1.0))[at]
+    y = 0.01 * t + coloured + 1.5 * rng.normal(size=len(t))
+    c = {}
+    for k in (-1.0, -2.0):
+        h = noise.power_law_filter(at[-1] + 1, k)
+        rows = np.stack([np.r_[h[: i + 1][::-1], np.zeros(at[-1] - i)] for i in at])
+        c[k] = rows @ rows.T
+        assert np.allclose(noise._covariance(t, 1.0, k), c[k])
+        c[k] *= len(t) / np.trace(c[k])
+    got = noise.ml_trend(t, y, noise.TrendModel(periods=()))
+    ll, rate = _dense(t, y, (1 - got["fraction"]) * np.eye(len(t)) + got["fraction"] * c[-1.0])
+    assert got["loglik"] == pytest.approx(ll) and got["rate"] == pytest.approx(rate)
+    assert got["loglik"] >= max(_dense(t, y, (1 - f) * np.eye(len(t)) + f * c[-1.0])[0] for f in np.linspace(0, 0.98, 25)) - 1e-6
+
+
+def test_two_coloured_components():
+    rng = np.random.default_rng(12)
+    n = 200
+    t = np.arange(n, dtype=float)
+    part = lambda k: np.convolve(rng.normal(size=n), noise.power_law_filter(n, k))[:n]
+    y = 0.02 * t + 0.5 * part(-2.0) + part(-1.0) + 0.5 * rng.normal(size=n)
+    got = noise.ml_trend(t, y, noise.TrendModel(periods=(), noise="RWFNWN"))
+    assert got["kappa"] is None and 0 <= got["walk"] <= 1
+    for one in ("FNWN", "RWWN"):  # each is a case of the mix
+        assert got["loglik"] >= noise.ml_trend(t, y, noise.TrendModel(periods=(), noise=one))["loglik"] - 1e-6
+    free = noise.ml_trend(t, y, noise.TrendModel(periods=(), noise="PLWN"))
+    around = [noise._best_fraction(np.c_[np.ones(n), (t - t.mean()) / 365.25], y, noise._scaled(noise._covariance(t, 1.0, k)))[0] for k in np.linspace(-2, -0.05, 30)]
+    assert free["loglik"] >= max(around) - 1e-3
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("15JAN01",), ("99DEC31",), ("68feb29",)], "t string")
     assert [str(r[0]) for r in df.select(T.parse_yymmmdd(F.col("t"))).collect()] == ["2015-01-01", "1999-12-31", "2068-02-29"]
