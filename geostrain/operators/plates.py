@@ -166,32 +166,57 @@ def near_plates(points: DataFrame, dist_km: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ix1", "ix2", "shift"])
 
 
-def shift_plate(points: DataFrame, ix1: int, ix2: int, dist_km: float) -> DataFrame:
-    """Points with plate ``ix2`` moved away from ``ix1`` along their centroids' azimuth."""
+def _azimuth(points: DataFrame, ix1: int, ix2: int) -> float:
+    """Azimuth from the centroid of one plate to that of another."""
     c = {r["plate_ix"]: r for r in points.where(F.col("plate_ix").isin(ix1, ix2)).groupBy("plate_ix").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).collect()}
-    azimuth = float(inverse_arrays(c[ix1]["lon"], c[ix1]["lat"], c[ix2]["lon"], c[ix2]["lat"])[1][0])
+    return float(inverse_arrays(c[ix1]["lon"], c[ix1]["lat"], c[ix2]["lon"], c[ix2]["lat"])[1][0])
+
+
+def _moved(points: DataFrame, moves: dict[int, list[tuple[float, float]]]) -> DataFrame:
+    """Points with plates moved by (azimuth, km), one move after another, in one pass."""
 
     @F.pandas_udf("lon double, lat double")
-    def moved(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
-        x, y = direct_arrays(lon, lat, np.full(len(lon), azimuth), np.full(len(lon), dist_km * 1000))
+    def moved(plate: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+        x, y = lon.to_numpy(float).copy(), lat.to_numpy(float).copy()
+        for ix, own in moves.items():
+            hit = (plate == ix).to_numpy()
+            for azimuth, dist_km in own if hit.any() else ():
+                x[hit], y[hit] = direct_arrays(x[hit], y[hit], np.full(hit.sum(), azimuth), np.full(hit.sum(), dist_km * 1000))
         return pd.DataFrame({"lon": x, "lat": y})
 
-    m = moved(F.col("lon"), F.col("lat"))
-    hit = F.col("plate_ix") == ix2
-    return points.withColumn("_m", m).withColumns({"lon": F.when(hit, F.col("_m.lon")).otherwise(F.col("lon")), "lat": F.when(hit, F.col("_m.lat")).otherwise(F.col("lat"))}).drop("_m")
+    m = moved(F.col("plate_ix"), F.col("lon"), F.col("lat"))
+    hit = F.col("plate_ix").isin(list(moves))
+    return points.withColumn("_m", m).withColumns({k: F.when(hit, F.col(f"_m.{k}")).otherwise(F.col(k)) for k in ("lon", "lat")}).drop("_m")
+
+
+def shift_plate(points: DataFrame, ix1: int, ix2: int, dist_km: float) -> DataFrame:
+    """Points with plate ``ix2`` moved away from ``ix1`` along their centroids' azimuth."""
+    return _moved(points, {ix2: [(_azimuth(points, ix1, ix2), dist_km)]})
+
+
+def separate_plates(points: DataFrame, dist_km: float, central: int, patience: int = 20) -> DataFrame:
+    """Shift plates away from the central one, then from each other, until no two are nearer than a distance.
+
+    Each round shifts every pair that was close at its start, by whole kilometres
+    as published.  If the sum of the shifts hasn't become less for ``patience``
+    rounds, that is an error: unfinished positions are never returned.
+    """
+    moves: dict[int, list[tuple[float, float]]] = {}
 
+    def shift(fixed: int, ix: int, km: float) -> None:
+        azimuth = _azimuth(_moved(points, moves), fixed, ix)
+        moves.setdefault(ix, []).append((azimuth, km))
 
-def separate_plates(points: DataFrame, dist_km: float, central: int, most: int = 20) -> DataFrame:
-    """Shift plates away from the central one until no two are nearer than a distance."""
-    for ix in [r["plate_ix"] for r in points.select("plate_ix").distinct().orderBy("plate_ix").collect()]:
+    for ix in [r["plate_ix"] for r in points.select("plate_ix").distinct().where("plate_ix is not null").orderBy("plate_ix").collect()]:
         if ix != central:
-            points = shift_plate(points, central, ix, dist_km)
-    for _ in range(most):
-        close = near_plates(points, dist_km)
-        if len(close) <= 1:
-            break
-        row = close.sort_values("shift", ascending=False).iloc[0]
-        moved = row["ix2"] if row["ix2"] != central else row["ix1"]
-        fixed = row["ix1"] if moved == row["ix2"] else row["ix2"]
-        points = shift_plate(points, int(fixed), int(moved), float(row["shift"]))
-    return points
+            shift(central, ix, dist_km)
+    least, idle = math.inf, 0
+    while len(close := near_plates(_moved(points, moves), dist_km)):
+        total = float(close["shift"].sum())
+        least, idle = (total, 0) if total < least - 1e-3 else (least, idle + 1)
+        if idle >= patience:
+            raise RuntimeError(f"plates don't come {dist_km} km apart: {close.to_dict('records')}")
+        for ix1, ix2, km in close.itertuples(index=False, name=None):
+            fixed, ix = (ix2, ix1) if ix2 == central else (ix1, ix2)
+            shift(int(fixed), int(ix), float(np.rint(km)))
+    return _moved(points, moves)

@@ -221,6 +221,18 @@ def test_hull_vertices_are_exact(spark):
     assert len(got) > 180
 
 
+def test_plates_are_moved_apart(spark):
+    """Eight plates of one block: no two end nearer than the distance, and a block that can't be parted is an error."""
+    x, y = np.meshgrid(np.arange(12) / 2.0, np.arange(6) / 2.0)
+    plate = (y // 1.5).astype(int) * 4 + (x // 1.5).astype(int)
+    points = spark.createDataFrame(pd.DataFrame({"plate_ix": plate.ravel(), "lon": x.ravel(), "lat": y.ravel()})).coalesce(1)
+    got = plates.separate_plates(points, 300.0, 1)
+    assert not len(plates.near_plates(got, 300.0)) and got.count() == plate.size
+    same = points.where("plate_ix < 2").unionByName(points.where("plate_ix = 0").withColumn("plate_ix", F.lit(2).cast("long")))
+    with pytest.raises(RuntimeError):
+        plates.separate_plates(same, 30000.0, 1, patience=2)
+
+
 def test_points_in_a_polygon(spark):
     ring = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0))))
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.5, 3.0), (5.0, 1.0)], "lon double, lat double")
