@@ -1,15 +1,19 @@
 """Shared pieces of the corpus operators: shared-folder tables, hashing, buckets.
 
 Nothing here keeps state on one machine.  Intermediate tables go to the folder
-that the session names in ``spark.checkpoint.dir``; a session without one (a
-test on one machine) gets a temporary folder of its own.
+that the session names in ``spark.checkpoint.dir``, into one folder for each
+application, which can go when the application has ended.  A session without
+the setting gets a temporary folder if it runs on one machine, else an error.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="geostrain-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before this table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema: StructType = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -65,7 +71,9 @@ def n_partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- hashing
 
 _MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Ranges of more bytes are hashed by the library, one by one.
+LONG = 256
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -79,38 +87,50 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, base, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = tuple(_Powers(b) for b in _BASES)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 7) | np.uint64(1)
-_BYTE_VALUES[_IS_SPACE] = 0
-_LOWERED = _BYTE_VALUES.copy()
-_LOWERED[65:91] = _BYTE_VALUES[97:123]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` for many ranges at once.
 
-def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hash of ``values[start:end]`` for many ranges at once."""
-    up, down = _POWERS[which].to(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start], which + 1)
+    Eight bytes at a time go through the finaliser, which is not linear, so no
+    family of strings collides by construction.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64), seed)
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    row = np.flatnonzero(size <= LONG)
+    at, left = start[row], size[row]
+    while len(row):
+        lane = lanes[at]
+        last = left < 8
+        lane[last] &= (np.uint64(1) << (np.uint64(8) * left[last].astype(np.uint64))) - np.uint64(1)
+        out[row] = mix(out[row] ^ lane, seed)
+        on = left > 8
+        row, at, left = row[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(2, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def window_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of every ``width`` values in a row, from those of 1, 2, 4, ... values."""
+    n = max(0, len(values) - width + 1)
+    power, out, done, size = values, None, 0, 1
+    while n:
+        if width & size:
+            part = power[done : done + n]
+            out = mix(part, seed) if out is None else mix(out * _ODD + part, seed + size)
+            done += size
+        if 2 * size > width:
+            return out
+        power = mix(power[:-size] * _ODD + power[size:], seed + 1000 + size)
+        size *= 2
+    return np.zeros(0, np.uint64)
 
 
 class Words:
@@ -136,8 +156,8 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.lower = lower
 
-    def hashes(self) -> np.ndarray:
-        return ranges_hash((_LOWERED if self.lower else _BYTE_VALUES)[self.data], self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return range_hashes(_LOWERED[self.data] if self.lower else self.data, self.start, self.end, seed)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -155,7 +175,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``limit`` bytes of text each, or one row.
 
     Whole texts always; only the number of rows handled at once is bounded.
@@ -171,9 +191,48 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
             row = stop
 
 
+def release() -> None:
+    """Give free memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
+def trimmed(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``, which gives the memory it freed back to the system.
+
+    Python workers are used again, by other operators too; what one task held
+    must not stay with the worker.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 # ---------------------------------------------------------------- buckets
 
 
+#: Bytes of text whose entries meet in one bucket, and in one task, about.
+BUCKET_TEXT, TASK_TEXT = 1 << 19, 1 << 24
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bucket_count(n_bytes: int) -> int:
+    """A power of two that keeps buckets of one size, whatever the corpus."""
+    return max(256, 1 << (n_bytes // BUCKET_TEXT).bit_length())
+
+
+def task_count(spark: SparkSession, n_bytes: int) -> int:
+    return max(n_partitions(spark), n_bytes // TASK_TEXT)
+
+
 def scatter(keys: np.ndarray, records: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
     """Split a structured array into one blob per bucket of ``keys``."""
     bucket = (keys % np.uint64(n_buckets)).astype(np.int64)

@@ -4,16 +4,20 @@ Texts with equal shingle sets are one class and act once.  Sizes are divided
 into bands; two sets with Jaccard similarity of at least 3/4 lie in one band or
 in two neighbours, and differ in at most ``k = 2 * r / 7`` shingles, ``r`` the
 largest size there.  For each such instance the domain of shingles is divided
-into ``n1 > k`` partitions by hash.  Similar sets agree on ``n1 - k`` partitions
-at least.  A signature is the content of a partition that isn't empty.  Each
-set enumerates its first ``k + 1`` signatures in a common order: those of common
-shingles alone come last (counters over all texts say which are common), then
-those with fewer shingles.  Of all that two sets share, the first in this order
-is among those of both, if the set with fewer empty partitions has less than
-``n1 - k`` of them.  A set for which
-that fails is dealt anew with another hash, and gives the signatures of all
-levels up to the first at which it holds, so two sets always share a level at
-which it holds for one of them.
+by hash into ``n1`` partitions, and each of these into three parts.  The
+signatures are enumerated: of every partition, every subset of two parts, as
+the content of the set there.  With ``n1`` above ``k / 2``, some partition has
+at most one difference, so at least one of its subsets agrees; ``partitions``
+gives the least number ``s`` of signatures that two similar sets share.
+
+Empty subsets give no signature, and of the others each set takes the first
+``3 * n1 - s + 1`` in a common order: those of common shingles alone come last
+(counters over all texts say which are common), then those with fewer shingles.
+Of all that two sets share, the first in this order is among those of both, if
+one of the sets has less than ``s`` empty subsets.  A set for which that fails
+is dealt anew with another hash, and gives the signatures of all levels up to
+the first at which it holds, so two sets always share a level at which it holds
+for one of them.
 
 Groups of up to ``ALL_PAIRS`` sets give all pairs.  Of larger groups each member
 is compared with one hub; where that leaves several components, members outside
@@ -45,10 +49,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, Words, blob_batch, by_bucket, join_by_size, mix, n_partitions, pieces, ranges_hash, scatter, stored, text_buffer
+from .common import BLOB, Words, blob_batch, bucket_count, by_bucket, join_by_size, mix, n_partitions, pieces, scatter, stored, task_count, text_buffer, trimmed, window_hashes
 from .components import components
 
 WIDTH = 5
+#: Second-level parts of a partition; a signature takes all but one of them.
+PARTS = 3
 ALL_PAIRS = 8
 #: Rows of a side that meet in one task.
 BLOCK = 1000
@@ -56,12 +62,11 @@ BLOCK = 1000
 BLOCK_SHINGLES = 1 << 21
 #: Shingles that are counted at once, and pairs that rare ones give at once.
 COLUMNS, EXPANDED = 2048, 1 << 20
-BUCKETS = 1024
 #: Least bins of a set's histogram; it grows with the set.
 HISTOGRAM = 256
 #: Counters of shingles; one is common if its counter is so many times the mean.
 COUNTERS, COMMON = 1 << 18, 4.0
-FLUSH_SIGNATURES, FLUSH_ROWS = 1 << 20, 50_000
+FLUSH_SIGNATURES, FLUSH_ROWS = 1 << 19, 50_000
 MAX_LEVEL = 64
 
 
@@ -71,17 +76,14 @@ def shingle_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     h = words.hashes()
     n = len(h) - WIDTH + 1
     if n > 0:
-        window = h[:n].copy()
-        for j in range(1, WIDTH):
-            window = window * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j]
-        window = mix(window, 5)
+        window = window_hashes(h, WIDTH, 5)
     first = words.first.tolist()
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= WIDTH:
             own = np.sort(window[a : b - WIDTH + 1])
             yield own[np.r_[True, own[1:] != own[:-1]]]
         elif b > a:
-            yield ranges_hash(h[a:b], np.array([0]), np.array([b - a]), 1) ^ np.uint64(b - a)
+            yield window_hashes(h[a:b], b - a, 6) ^ np.uint64(b - a)
         else:
             yield np.zeros(0, np.uint64)
 
@@ -103,33 +105,47 @@ class Bands:
         return self.last[band]
 
 
-def partitions(k: int) -> int:
-    return 1 if k == 0 else k + 1 + max(1, (6 * k + 9) // 10)
+def partitions(k: int) -> tuple[int, int]:
+    """(n1, least): first-level partitions for ``k`` differing shingles, and how many signatures two such sets share.
+
+    A partition without a difference shares all three of its signatures, one
+    with differences in one part shares one, any other none.  The worst case
+    spoils as many signatures as ``k`` differences can.
+    """
+    n1 = max(1, k // 2 + 1, (6 * k + 9) // 10)
+    return n1, 3 * n1 - 2 * k if n1 >= k else 2 * n1 - k
 
 
 def signatures(own: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
     """All signatures of one set, for both instances it takes part in."""
     band = bands.of(len(own))
+    usual = common[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
     out = []
     for instance in (band, band + 1):
         k = 2 * bands.end(instance) // 7
-        n1 = partitions(k)
+        n1, least = partitions(k)
         for level in range(MAX_LEVEL):
-            dealt, usual = own, common[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            dealt, rare = own, ~usual
             if level:
                 dealt = mix(own ^ np.uint64(level), 11 + level)
                 order = np.argsort(dealt)
-                dealt, usual = dealt[order], usual[order]
-            part = ((dealt >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
+                dealt, rare = dealt[order], rare[order]
+            part = (((dealt >> np.uint64(32)) * np.uint64(PARTS * n1)) >> np.uint64(32)).astype(np.int64)
             start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            filled = len(start)
-            content = np.add.reduceat(mix(dealt, 3), start)
-            sig = mix(content ^ (part[start] + np.uint64((instance * MAX_LEVEL + level) << 32)), 4)
-            if filled > k + 1:
-                size = np.diff(np.r_[start, len(dealt)])
-                sig = sig[np.lexsort((sig, -size, np.logical_and.reduceat(usual, start)))[: k + 1]]
+            content, size, unusual = np.zeros(PARTS * n1, np.uint64), np.zeros(PARTS * n1, np.int64), np.zeros(PARTS * n1, np.int64)
+            content[part[start]] = np.add.reduceat(mix(dealt, 3), start)
+            size[part[start]] = np.diff(np.r_[start, len(dealt)])
+            unusual[part[start]] = np.add.reduceat(rare.astype(np.int64), start)
+            # the subsets of a partition's parts: all but one of them
+            content, size, unusual = ((x.reshape(n1, PARTS).sum(axis=1, dtype=x.dtype, keepdims=True) - x.reshape(n1, PARTS)).ravel() for x in (content, size, unusual))
+            filled = np.flatnonzero(size)
+            name = filled.astype(np.uint64) + np.uint64((instance * MAX_LEVEL + level) << 32)
+            sig = mix(content[filled] ^ mix(name, 12), 4)
+            most = PARTS * n1 - least + 1
+            if len(sig) > most:
+                sig = sig[np.lexsort((sig, -size[filled], unusual[filled] == 0))[:most]]
             out.append(sig)
-            if n1 - filled < n1 - k:
+            if PARTS * n1 - len(filled) < least:
                 break
         else:  # never seen; all such sets of an instance meet here
             out.append(mix(np.array([instance], np.uint64), 99))
@@ -157,7 +173,7 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(counters > counters.mean() + 2 * np.sqrt(counters.mean()) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counters[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(hashed), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def common_shingles(counters: DataFrame, total: int) -> np.ndarray:
@@ -308,7 +324,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch)], pa.binary())], ["id", "shingles"])
 
     chosen = join_by_size(docs, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", 8 * count)
-    return chosen.select("doc_id", "text").mapInArrow(made, "id long, shingles binary").dropDuplicates(["id"])
+    return chosen.select("doc_id", "text").mapInArrow(trimmed(made), "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _decide(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -318,7 +334,7 @@ def _decide(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(_decided, "a long, b long, shared long, united long"), "decided")
+    return stored(joined.mapInArrow(trimmed(_decided), "a long, b long, shared long, united long"), "decided")
 
 
 _LINKED = "100 * shared >= 75 * united"
@@ -454,11 +470,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = stored(reps, "representatives")
     n_reps = reps.count()
     chosen = join_by_size(docs, reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi", 8 * n_reps)
-    n_buckets = BUCKETS
-    while n_buckets < n_reps // 2000:
-        n_buckets *= 2
-    dealt = chosen.mapInArrow(_emit(n_buckets, sent), BLOB).repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = stored(dealt.mapInArrow(_match(n_buckets), _FOUND), "found")
+    n_buckets = bucket_count(8 * total)
+    dealt = chosen.mapInArrow(trimmed(_emit(n_buckets, sent)), BLOB).repartition(task_count(spark, 8 * total), "bucket").sortWithinPartitions("bucket")
+    found = stored(dealt.mapInArrow(trimmed(_match(n_buckets)), _FOUND), "found")
     info = stored(found.where("kind = 1").select(F.col("a").alias("uid"), F.col("b").alias("id"), "n", "hist"), "info")
     name = lambda c: info.select(F.col("uid").alias(f"u_{c}"), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
     pairs = found.where("kind = 0").select(F.col("a").alias("u_a"), F.col("b").alias("u_b")).distinct().join(name("a"), "u_a").join(name("b"), "u_b")

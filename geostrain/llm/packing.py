@@ -5,10 +5,14 @@ Full windows are cut off every document first.  What is left of each document
 ``GROUP_TOKENS`` tokens; inside a group the Karmarkar-Karp multiway differencing
 method spreads the pieces over ``ceil(tokens / capacity)`` windows.  If a window
 exceeds the capacity, the number of windows rises and the group is spread anew.
+A full window leaves no room for another piece, so differencing has nothing to
+decide for it.
 
 Defined results: a null or empty text is the end-of-text id alone; rows with
-equal texts are packed each on their own; an empty table gives an empty result;
-further columns of the input are ignored whatever their names are.
+equal texts or equal ids are packed each on their own; a text of any length is
+cut, never shortened; pieces of one length go in the order of their rows; a
+null id stays null; an empty table gives an empty result; further columns of
+the input are ignored whatever their names are.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, pieces, stored
+from .common import n_partitions, pieces, stored, trimmed
 
 CAPACITY = 2048
 #: Pieces of what is left of a document; small ones balance well.
@@ -34,40 +38,51 @@ END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
 
-@functools.lru_cache(maxsize=2)
-def encoders(vocabulary: str):
-    """(fast, plain): byte-pair encoders over one vocabulary, with equal ids.
+@functools.lru_cache(maxsize=1)
+def tokenizer(vocabulary: str):
+    """The tokenizer library's own encoder, as the file defines it."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
 
-    The fast one merges the ranks of the same file; the plain one is the
-    tokenizer library itself and takes over texts on which the fast one fails.
-    """
+    return Tokenizer.from_file(public.path(vocabulary))
+
+
+@functools.lru_cache(maxsize=1)
+def fast_encoder(vocabulary: str):
+    """(encoder, special): merges by the ranks of the same file, and the file's special tokens."""
     import json
 
     import public_tokenizers as public
     import tiktoken
-    from tokenizers import Tokenizer
 
     path = public.path(vocabulary)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     with open(path, encoding="utf-8") as f:
         table = json.load(f)
     special = {x["content"] for x in table.get("added_tokens", ())}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in table["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, plain
+    return tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}), tuple(sorted(special))
 
 
 def token_ids(text: str | None, vocabulary: str = TOKENIZER) -> np.ndarray:
-    fast, plain = encoders(vocabulary)
-    try:
-        ids = fast.encode_ordinary(text or "")
-    except BaseException as error:  # the regular expression engine gives up on some endless runs
-        if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
-            raise
-        ids = plain.encode(text, add_special_tokens=False).ids
+    """The tokenizer's ids and the end id.
+
+    Texts with the name of a special token, and those on which the fast
+    encoder's pattern engine gives up, go to the tokenizer library; it is
+    loaded only then.
+    """
+    text = text or ""
+    fast, special = fast_encoder(vocabulary)
+    ids = None
+    if not any(name in text for name in special):
+        try:
+            ids = fast.encode_ordinary(text)
+        except BaseException as error:
+            if type(error).__name__ != "PanicException":  # how the engine gives up; it can't be imported
+                raise
+    if ids is None:
+        ids = tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
     ids.append(END_ID)
     return np.array(ids, "<u4")
 
@@ -143,7 +158,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE,
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenised, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(tokenised), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, group_tokens: int = GROUP_TOKENS, vocabulary: str = TOKENIZER) -> DataFrame:

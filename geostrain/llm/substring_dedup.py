@@ -3,26 +3,37 @@
 A text is a sequence of word symbols.  In each round, runs of one symbol and
 then pairs of neighbours whose first is of the left and whose second is of the
 right half of the alphabet (by a seeded hash) become new symbols.  Names are
-hashes of what they stand for, so they are the same everywhere without a
-dictionary, and equal passages get equal symbols inside.  Symbols stand for
-``CAP`` words at most.
-
-Each symbol carries the words its existence depends on: neighbours that kept it
-from merging otherwise.  If these lie inside a window, the symbol is in every
-copy of that window.  Spark counts the symbols of ``MIN_SPAN`` words or more
-over all texts.  A window that must contain a symbol which occurs only once
-cannot be a repeat; all other windows are verified: their hashes (90 bits) are
-counted over all texts.
-
-Both counts combine on the map side: of a symbol or window that one task meets
-often, one entry is shuffled.  Entries travel as compact blobs in buckets, and
-what comes back to a text is a bit for each symbol and a few ranges.
+hashes (122 bits are compared) of what they stand for, so they are the same
+everywhere without a dictionary, and equal passages get equal symbols inside.
+Rounds go on until symbols stand for whole passages.
+
+Two rounds of Spark compare names over all texts.  The first counts symbols.
+
+* Low symbols, of ``MIN_SPAN`` to ``CAP`` words, prune.  Each carries the words
+  its existence depends on: neighbours that kept it from merging otherwise.  If
+  these lie inside a window, the symbol is in every copy of that window, so a
+  window that must contain a symbol which occurs only once is no repeat.
+* High symbols, of ``WINDOW`` words or more, reveal and verify.  One that occurs
+  twice stands for equal words, so every window inside it is a repeat.  Its
+  first occurrence also speaks for the others: only there, windows inside it
+  take part in the second round.
+
+The second round verifies the windows left, those across the borders of shared
+symbols and the ones that first occurrences speak for, by their hashes (122
+bits).  A window that isn't sent lies in a later occurrence of a symbol, whose
+first occurrence has the same window earlier; as this goes back in one order of
+all texts, it ends at a window that is sent.
+
+Both rounds combine on the map side: of a symbol or window that one task meets
+often, one entry is shuffled.  Entries travel as compact blobs in buckets, whose
+number follows from the measured bytes of text; what comes back to a text are
+two bits for each symbol and a few ranges.
 
 Defined results: null texts have no words; the hash of no words is that of the
 empty string; rows with a null doc_id count as occurrences but lose no words
 themselves; rows with one doc_id are one row repeated; equal rows repeat each
-other; an empty table gives an empty result;
-further columns are ignored.
+other; a text is read whole, whatever its length; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,48 +47,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, Words, blob_batch, by_bucket, join_by_size, mix, n_partitions, pieces, ranges_hash, scatter, stored, text_buffer
+from .common import BLOB, Words, blob_batch, bucket_count, by_bucket, join_by_size, mix, pieces, scatter, stored, task_count, text_buffer, text_bytes, trimmed, window_hashes
 
 WINDOW = 35
-ROUNDS, RUN_ROUNDS = 7, (0, 3)
+#: Rounds up to ``CAP`` words, rounds that also join runs, and all rounds.
+LOW_ROUNDS, RUN_ROUNDS, ROUNDS = 7, (0, 3), 24
 CAP, MIN_SPAN = 12, 4
-BUCKETS = 1024
-FLUSH = 1 << 20
-_ENTRY = np.dtype([("key", "<u8"), ("check", "<u4"), ("at", "<u4")])
+FLUSH = 1 << 19
+_ENTRY = np.dtype([("key", "<u8"), ("check", "<u8"), ("at", "<u4")])
 #: The bit of an entry's ``at`` that says that its task has met the key again.
 _AGAIN = np.uint32(1 << 31)
+#: The bit of a place that says that an earlier one has the same key.
+_LATER = np.uint32(1 << 30)
 _INFO = np.dtype([("uid", "<i8"), ("doc_id", "<i8")])
 _KNOWN = np.dtype([("uid", "<i8"), ("at", "<u4")])
+_FAR = 1 << 40
 
 
 class Symbols:
-    """Symbols of some texts: name, first word, span, and needed words [lo, hi)."""
+    """Symbols of some texts: two names, first word, span, and needed words [lo, hi)."""
+
+    _COLUMNS = ("name", "twin", "at", "span", "lo", "hi", "text")
 
     def __init__(self, words: Words):
         n = words.counts()
-        self.name = mix(words.hashes(), 21)
+        self.name, self.twin = mix(words.hashes(), 21), mix(words.hashes(1), 21)
         self.at = np.arange(len(self.name))
         self.span = np.ones(len(self.name), np.int64)
         self.lo, self.hi = self.at.copy(), self.at + 1
         self.text = np.repeat(np.arange(len(n)), n)
 
-    def _beside(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _beside(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether a next symbol is there; what depends on the neighbours; a missing one is out of reach."""
         follows = np.r_[self.text[1:] == self.text[:-1], False] if len(self.text) else np.zeros(0, bool)
-        far = 1 << 40
-        hi_next = np.where(follows, np.r_[self.hi[1:], far], far)
-        lo_prev = np.where(np.r_[False, follows[:-1]], np.r_[-far, self.lo[:-1]], -far)
-        return follows, hi_next, lo_prev, np.r_[False, follows[:-1]]
+        hi_next = np.where(follows, np.r_[self.hi[1:], _FAR], _FAR)
+        lo_prev = np.where(np.r_[False, follows[:-1]], np.r_[-_FAR, self.lo[:-1]], -_FAR)
+        return follows, hi_next, lo_prev
 
     def _take(self, chosen: np.ndarray) -> None:
-        for c in ("name", "at", "span", "lo", "hi", "text"):
+        for c in self._COLUMNS:
             setattr(self, c, getattr(self, c)[chosen])
 
+    def _some(self, chosen: np.ndarray) -> Symbols:
+        out = object.__new__(Symbols)
+        for c in self._COLUMNS:
+            setattr(out, c, getattr(self, c)[chosen])
+        return out
+
     def runs(self) -> None:
         if not len(self.name):
             return
-        follows, hi_next, lo_prev, _ = self._beside()
-        same = follows & np.r_[self.name[1:] == self.name[:-1], False]
+        follows, hi_next, lo_prev = self._beside()
+        same = follows & np.r_[(self.name[1:] == self.name[:-1]) & (self.twin[1:] == self.twin[:-1]), False]
         head = ~np.r_[False, same[:-1]]
         start = np.flatnonzero(head)
         count = np.diff(np.r_[start, len(head)])
@@ -87,68 +108,97 @@ class Symbols:
         member = np.repeat(np.arange(len(start)), count)
         self.lo, self.hi = np.minimum(self.lo, lo[member]), np.maximum(self.hi, hi[member])
         joined = fits & (count > 1)
-        name = self.name[start]
-        self.name[start] = np.where(joined, mix(name * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64), 22), name)
+        for c, seed in (("name", 22), ("twin", 24)):
+            name = getattr(self, c)
+            name[start] = np.where(joined, mix(name[start] * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64), seed), name[start])
         self.span[start] = np.where(joined, count * self.span[start], self.span[start])
         self._take(head | ~joined[member])
 
-    def pairs(self, seed: int) -> None:
+    def pairs(self, seed: int, cap: int) -> np.ndarray:
+        """Joins pairs of ``cap`` words at most; which of the symbols left are new."""
         if not len(self.name):
-            return
-        follows, hi_next, lo_prev, _ = self._beside()
+            return np.zeros(0, bool)
+        follows, hi_next, lo_prev = self._beside()
         left = (mix(self.name, 31 + seed) >> np.uint64(63)).astype(bool)
-        ahead = np.r_[self.span[1:], CAP + 1]
-        joined = follows & left & ~np.r_[left[1:], True] & (self.span + ahead <= CAP)
-        name_next = np.r_[self.name[1:], np.uint64(0)]
+        ahead = np.r_[self.span[1:], cap + 1]
+        joined = follows & left & ~np.r_[left[1:], True] & (self.span + ahead <= cap)
         first, second = self.lo.copy(), self.hi.copy()
         lo_next = np.r_[self.lo[1:], 0]
-        self.hi = np.where(joined | left, np.maximum(second, np.where(follows, hi_next, 1 << 40)), second)
+        self.hi = np.where(joined | left, np.maximum(second, np.where(follows, hi_next, _FAR)), second)
         self.lo = np.where(joined, np.minimum(first, lo_next), np.where(left, first, np.minimum(first, lo_prev)))
-        self.name = np.where(joined, mix(self.name * np.uint64(0x9FB21C651E98DF25) + name_next, 23), self.name)
+        for c, k in (("name", 23), ("twin", 25)):
+            name = getattr(self, c)
+            setattr(self, c, np.where(joined, mix(name * np.uint64(0x9FB21C651E98DF25) + np.r_[name[1:], np.uint64(0)], k), name))
         self.span = np.where(joined, self.span + ahead, self.span)
-        self._take(~np.r_[False, joined[:-1]])
+        left_over = ~np.r_[False, joined[:-1]]
+        self._take(left_over)
+        return joined[left_over]
 
     def compress(self) -> Symbols:
+        """The low symbols and the high ones of all rounds, in the order of texts, places and spans."""
+        found = []
         for r in range(ROUNDS):
             if r in RUN_ROUNDS:
                 self.runs()
-            self.pairs(r)
-        self._take(self.span >= MIN_SPAN)
+            if r < LOW_ROUNDS:
+                self.pairs(r, CAP)
+                continue
+            if r == LOW_ROUNDS:
+                found.append(self._some(self.span >= MIN_SPAN))
+            new = self.pairs(r, _FAR)
+            found.append(self._some(new & (self.span >= WINDOW)))
+        for c in self._COLUMNS:
+            setattr(self, c, np.concatenate([getattr(x, c) for x in found]))
+        self._take(np.lexsort((self.span, self.at)))  # words of texts lie one after another
         return self
 
 
-def open_windows(words: Words, symbols: Symbols, shared: np.ndarray) -> np.ndarray:
-    """First words of the windows that contain no symbol outside ``shared`` for sure."""
+def open_windows(words: Words, s: Symbols, shared: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows for the second round, and of windows that symbols have verified.
+
+    Left out are windows that contain a low symbol outside ``shared`` for sure,
+    and windows inside a high symbol of ``later``.  The verified ones are as
+    many as cover every shared high symbol.
+    """
     n = int(words.first[-1])
     counts = words.counts()
     fits = np.zeros(n + 1, bool)
     whole = np.repeat(words.first[1:], counts)
     fits[:n] = np.arange(n) + WINDOW <= whole
-    a, b = symbols.hi[~shared] - WINDOW, symbols.lo[~shared]
-    text = symbols.text[~shared]
-    a = np.maximum(a, words.first[text])
+    high = s.span >= WINDOW
+    alone = ~shared & ~high
+    a, b = np.maximum(s.hi[alone] - WINDOW, words.first[s.text[alone]]), s.lo[alone]
     ok = a <= b
+    a, b = np.r_[a[ok], s.at[later & high]], np.r_[b[ok], (s.at + s.span - WINDOW)[later & high]]
     out = np.zeros(n + 2, np.int64)
-    np.add.at(out, a[ok], 1)
-    np.add.at(out, b[ok] + 1, -1)
-    return np.flatnonzero(fits[:n] & (np.cumsum(out)[:n] == 0))
+    np.add.at(out, a, 1)
+    np.add.at(out, b + 1, -1)
+    begin, span = s.at[shared & high], s.span[shared & high]
+    steps = -(-span // WINDOW)
+    step = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+    known = np.repeat(begin, steps) + np.minimum(step * WINDOW, np.repeat(span - WINDOW, steps))
+    return np.flatnonzero(fits[:n] & (np.cumsum(out)[:n] == 0)), np.unique(known)
 
 
 class Emitter:
     """Entries (key, check, place) of rows, counted in the task and put in blobs.
 
     ``rows`` gives (bucket, blob): entries in buckets below ``n``; in [n, 2n) the
-    ids of rows; in [2n, 3n) places of keys that the task itself met again.
+    ids of rows; in [2n, 3n) places that the task itself knows to be repeated.
+    Of equal keys the first place is sent, for all.
     """
 
     def __init__(self, n_buckets: int):
         self.n, self.uid = n_buckets, TaskContext.get().partitionId() << 33
-        self.base, self.held, self.ids, self.count = self.uid, [], [], 0
+        self.base, self.held, self.known, self.ids, self.count = self.uid, [], [], [], 0
 
-    def add(self, doc_ids: list, text: np.ndarray, keys: np.ndarray, check: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc_ids: list, text: np.ndarray, keys: np.ndarray, check: np.ndarray, at: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+        """``known``: texts and places that are repeated for sure."""
         if len(self.ids) + len(doc_ids) > 60_000 or self.count + len(keys) > FLUSH:
             yield from self.flush()
         self.held.append((text + len(self.ids), keys, check, at))
+        if known is not None:
+            self.known.append((known[0] + len(self.ids), known[1]))
         self.ids += [(self.uid + i, d if d is not None else -(1 << 63)) for i, d in enumerate(doc_ids)]
         self.uid += len(doc_ids)
         self.count += len(keys)
@@ -169,13 +219,15 @@ class Emitter:
             sent["check"], sent["at"] = check[head], at[head].astype(np.uint32) | np.where(again[head], _AGAIN, np.uint32(0))
             base = np.int64(self.base).tobytes()
             rows += [(b, base + blob) for b, blob in scatter(keys[head], sent, self.n)]
-            known = np.zeros(int(again.sum()), _KNOWN)
-            known["uid"], known["at"] = self.base + row[again], at[again]
+            later = np.where(head, np.uint32(0), _LATER)[again]
+            more = [np.concatenate(x) for x in zip(*self.known, strict=True)] or [np.zeros(0, np.int64)] * 2
+            known = np.zeros(int(again.sum()) + len(more[0]), _KNOWN)
+            known["uid"], known["at"] = self.base + np.r_[row[again], more[0]], np.r_[at[again].astype(np.uint32) | later, more[1].astype(np.uint32)]
             ids = np.array(self.ids, _INFO)
             for kind, table in ((1, ids), (2, known)):
                 rows += [(kind * self.n + (self.base // 997 + i) % self.n, table[i * 512 : (i + 1) * 512].tobytes()) for i in range(-(-len(table) // 512))]
             yield blob_batch(rows)
-        self.base, self.held, self.ids, self.count = self.uid, [], [], 0
+        self.base, self.held, self.known, self.ids, self.count = self.uid, [], [], [], 0
 
 
 def _found(n_buckets: int):
@@ -204,53 +256,57 @@ def _found(n_buckets: int):
                 uid = np.concatenate([np.frombuffer(x, "<i8", 1)[0] + (e["key"] & np.uint64(0xFFFF)).astype(np.int64) for x, e in zip(blobs, entries, strict=True)])
                 e = np.concatenate(entries)
                 key = e["key"] >> np.uint64(16)
-                order = np.lexsort((e["check"], key))
+                order = np.lexsort((uid, e["check"], key))
                 key, check, at, uid = key[order], e["check"][order], e["at"][order], uid[order]
                 same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
                 again = np.zeros(len(key), bool)
                 again[1:] |= same
                 again[:-1] |= same
-                again &= (at & _AGAIN) == 0  # the others are known to their task
-                yield by_uid(uid[again], at[again])
+                later = np.r_[False, same] if len(key) else again
+                told = (at & _AGAIN) > 0  # their task knows that they are repeated, not that they are later
+                again &= ~told | later
+                yield by_uid(uid[again], (at[again] & ~_AGAIN) | np.where(later, _LATER, np.uint32(0))[again])
 
     return found
 
 
-def _counted_again(dealt: DataFrame, n_buckets: int, name: str) -> DataFrame:
+def _counted_again(dealt: DataFrame, n_bytes: int, name: str) -> DataFrame:
     """doc_id and the list of blobs of places that occur again."""
-    spark = dealt.sparkSession
-    dealt = dealt.repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = stored(dealt.mapInArrow(_found(n_buckets), "uid long, doc_id long, places binary"), name)
-    ids = found.where("places is null").select(F.col("uid").alias("u"), F.col("doc_id").alias("id"))
+    dealt = dealt.repartition(task_count(dealt.sparkSession, n_bytes), "bucket").sortWithinPartitions("bucket")
+    found = stored(dealt.mapInArrow(trimmed(_found(bucket_count(n_bytes))), "uid long, doc_id long, places binary"), name)
+    ids = found.where("places is null").select(F.col("uid").alias("u"), F.col("doc_id").alias("id"))  # ascending ids are the order of all texts
     places = found.where("places is not null").select("uid", "places").groupBy("uid").agg(F.collect_list("places").alias("places"))
     known = ids.join(places, F.col("u") == F.col("uid"), "left").where(F.col("id") > -(1 << 63))
-    return known.groupBy(F.col("id").alias("doc_id")).agg(F.first("places", ignorenulls=True).alias("places"))
+    return known.groupBy(F.col("id").alias("doc_id")).agg(F.min_by("places", "u").alias("places"))
 
 
-def _places(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or ()), "<u4").astype(np.int64)
+def _places(blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and whether they are later ones."""
+    raw = np.frombuffer(b"".join(blobs or ()), "<u4")
+    return (raw & ~_LATER).astype(np.int64), (raw & _LATER) > 0
 
 
 def _symbol_entries(n_buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Emitter(n_buckets)
         for batch in pieces(batches):
-            words = Words(*text_buffer(batch.column(1)))
-            s = Symbols(words).compress()
+            s = Symbols(Words(*text_buffer(batch.column(1)))).compress()
             ordinal = np.arange(len(s.text)) - np.searchsorted(s.text, s.text)
-            yield from out.add(batch.column(0).to_pylist(), s.text, s.name, np.zeros(len(s.text), np.uint32), ordinal)
+            yield from out.add(batch.column(0).to_pylist(), s.text, s.name, s.twin, ordinal)
         yield from out.flush()
 
     return emit
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two bits a symbol: it occurs again, and an earlier one is the first."""
     for batch in batches:
         out = []
         for blobs in batch.column(1).to_pylist():
-            at = _places(blobs)
-            flags = np.zeros(int(at.max()) + 1 if len(at) else 0, np.uint8)
-            flags[at] = 1
+            at, later = _places(blobs)
+            flags = np.zeros((int(at.max()) + 1 if len(at) else 0, 2), np.uint8)
+            flags[at, 0] = 1
+            flags[at[later], 1] = 1
             out.append(np.packbits(flags).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bits"])
 
@@ -261,18 +317,18 @@ def _window_entries(n_buckets: int):
         for batch in pieces(batches):
             words = Words(*text_buffer(batch.column(1)))
             s = Symbols(words).compress()
-            shared = np.zeros(len(s.text), bool)
+            flags = np.zeros((len(s.text), 2), bool)
             first = np.searchsorted(s.text, np.arange(batch.num_rows + 1))
             for row, bits in enumerate(batch.column(2).to_pylist()):
-                if bits:
-                    a, b = first[row], first[row + 1]
-                    flags = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
-                    shared[a : a + len(flags)] = flags
-            at = open_windows(words, s, shared)
-            h = words.hashes()
-            text = np.searchsorted(words.first, at, "right") - 1
-            keys, check = ranges_hash(h, at, at + WINDOW, 0), ranges_hash(h, at, at + WINDOW, 1)
-            yield from out.add(batch.column(0).to_pylist(), text, keys, (check >> np.uint64(32)).astype(np.uint32), at - words.first[text])
+                if bits is None:  # without an id there is nothing known: all its windows go
+                    flags[first[row] : first[row + 1], 0] = True
+                elif bits:
+                    own = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(-1, 2)[: first[row + 1] - first[row]]
+                    flags[first[row] : first[row] + len(own)] = own
+            at, known = open_windows(words, s, flags[:, 0], flags[:, 1])
+            keys, check = (window_hashes(words.hashes(seed), WINDOW, 40 + seed)[at] for seed in (0, 1))
+            text, sure = (np.searchsorted(words.first, x, "right") - 1 for x in (at, known))
+            yield from out.add(batch.column(0).to_pylist(), text, keys, check, at - words.first[text], (sure, known - words.first[sure]))
         yield from out.flush()
 
     return emit
@@ -283,7 +339,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for blobs in batch.column(1).to_pylist():
-            at = np.unique(_places(blobs))
+            at = np.unique(_places(blobs)[0])
             cut = np.flatnonzero(np.diff(at) > WINDOW) + 1
             first, last = at[np.r_[0, cut]] if len(at) else at, at[np.r_[cut - 1, len(at) - 1]] if len(at) else at
             out.append(np.stack([first, last + WINDOW], 1).astype("<u4").tobytes())
@@ -321,13 +377,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id and the ranges of words inside windows that occur elsewhere too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_buckets = BUCKETS
-    bits = _counted_again(docs.mapInArrow(_symbol_entries(n_buckets), BLOB), n_buckets, "symbols")
-    bits = stored(bits.mapInArrow(_bits, "doc_id long, bits binary"), "bits")
+    n_bytes = text_bytes(docs)
+    n_buckets = bucket_count(n_bytes)
+    bits = _counted_again(docs.mapInArrow(trimmed(_symbol_entries(n_buckets)), BLOB), n_bytes, "symbols")
+    bits = stored(bits.mapInArrow(trimmed(_bits), "doc_id long, bits binary"), "bits")
     size = bits.agg(F.sum(F.length("bits") + 24)).first()[0] or 0
     marked = join_by_size(docs, bits, "doc_id", "left", size)
-    again = _counted_again(marked.select("doc_id", "text", "bits").mapInArrow(_window_entries(n_buckets), BLOB), n_buckets, "windows")
-    return stored(again.where("places is not null").mapInArrow(_ranges, "doc_id long, ranges binary"), "ranges")
+    again = _counted_again(marked.select("doc_id", "text", "bits").mapInArrow(trimmed(_window_entries(n_buckets)), BLOB), n_bytes, "windows")
+    return stored(again.where("places is not null").mapInArrow(trimmed(_ranges), "doc_id long, ranges binary"), "ranges")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -335,4 +392,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     ranges = repeated_ranges(docs)
     size = ranges.agg(F.sum(F.length("ranges") + 24)).first()[0] or 0
     joined = join_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ranges, "doc_id", "left", size)
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(trimmed(_kept), "doc_id long, n_words long, n_removed long, kept_sha256 string")

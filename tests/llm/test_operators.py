@@ -7,10 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from geostrain.llm import exact_dedup, html_extract, language_id, mixing, ngram_join, packing, quality, secrets, substring_dedup, toxicity
+from geostrain.llm.common import Words, window_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, `group` string, id long, n long, kept boolean, places binary, h string"
@@ -69,10 +72,13 @@ def test_empty_tables(spark, empty):
 
 
 def test_fast_ids_are_those_of_the_tokenizer(rows):
-    _, plain = packing.encoders(packing.TOKENIZER)
-    for r in rows:
-        want = plain.encode(r.text or "", add_special_tokens=False).ids + [1]
-        assert packing.token_ids(r.text).tolist() == want
+    """Against an untouched tokenizer: special tokens, odd white space and endless runs included."""
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(12)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext |>", " " * 5000, "a" * 200_000, "\u00a0\u2003 x\u0000", "1" * 300, "'s 'S don't", "\r\n \t x  "]
+    odd += ["".join(rng.choice("ab '1.\n \t<|>é漢🙂\u0301") for _ in range(200)) for _ in range(100)]
+    for text in [r.text for r in rows] + odd:
+        assert packing.token_ids(text).tolist() == plain.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_packing_round_trip(docs, rows):
@@ -265,24 +271,85 @@ def test_signatures_meet():
 # ------------------------------------------------------------ repeated passages
 
 
-def test_repeated_passages(docs, rows):
+def _passages(rows):
+    """n_words, n_removed and digest of each row, by comparing words."""
     n = substring_dedup.WINDOW
     count = Counter(tuple(w[i : i + n]) for r in rows for w in [words(r.text)] for i in range(len(w) - n + 1))
-    got = {g.doc_id: g for g in substring_dedup.drop_repeats(docs).collect()}
-    removed = 0
+    out = []
     for r in rows:
-        if r.doc_id is None:
-            continue
         w = words(r.text)
         kept = [True] * len(w)
         for i in range(len(w) - n + 1):
             if count[tuple(w[i : i + n])] > 1:
                 kept[i : i + n] = [False] * n
-        g = got[r.doc_id]
-        removed += g.n_removed
-        assert (g.n_words, g.n_removed) == (len(w), kept.count(False))
-        assert g.kept_sha256 == hashlib.sha256(" ".join(x for x, k in zip(w, kept, strict=True) if k).encode()).hexdigest()
-    assert removed > 500
+        out.append((len(w), kept.count(False), hashlib.sha256(" ".join(x for x, k in zip(w, kept, strict=True) if k).encode()).hexdigest()))
+    return out
+
+
+def test_repeated_passages(docs, rows):
+    got = {g.doc_id: g for g in substring_dedup.drop_repeats(docs).collect()}
+    want = _passages(rows)
+    for r, x in zip(rows, want, strict=True):
+        if r.doc_id is not None:
+            g = got[r.doc_id]
+            assert (g.n_words, g.n_removed, g.kept_sha256) == x
+    assert sum(x[1] for x in want) > 500
+
+
+@pytest.mark.parametrize("flush", [1 << 19, 500])
+def test_long_repeats_with_other_borders(spark, flush, monkeypatch):
+    """Copies of long passages, whole, nested, cut anywhere, run together, and in a row without an id."""
+    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+    rng = random.Random(17)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    long, other = prose(900), prose(300)
+    texts = [long, long, prose(20) + long[100:700] + prose(9), long[:420] + other, other + long[410:], long[33:80], prose(400), other[:150] * 3, ["la"] * 200, ["la"] * 34, ["a", "b"] * 80, prose(7) + ["a", "b"] * 20]
+    for _ in range(40):
+        a = rng.randrange(860)
+        texts.append(prose(rng.randrange(30)) + long[a : a + rng.randrange(20, 300)] + prose(rng.randrange(30)))
+    table = [(i if i % 9 else None, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = {g.doc_id: g for g in substring_dedup.drop_repeats(df).collect()}
+    for r, x in zip(df.collect(), _passages(df.collect()), strict=True):
+        if r.doc_id is not None:
+            assert (got[r.doc_id].n_words, got[r.doc_id].n_removed, got[r.doc_id].kept_sha256) == x
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements, on which hashes modulo a power of two collide."""
+    one = _thue_morse(4096)
+    two = one.translate(str.maketrans("ab", "ba"))
+    head = [f"q{i}" for i in range(34)]
+    texts = [" ".join([*head, one]), " ".join([*head, two]), " ".join(["x", "y", "z", "t", one[:200]]), " ".join(["x", "y", "z", "t", two[:200]])]
+    texts += [" ".join(_thue_morse(64)), " ".join(_thue_morse(64).translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(df.where("doc_id < 4")).collect()}
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]  # 30 and 30 shingles, 29 of them shared
+    assert got[0].n_links == got[1].n_links == 1
+    rows = df.collect()
+    got = {r.doc_id: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert [(got[r.doc_id].n_words, got[r.doc_id].n_removed, got[r.doc_id].kept_sha256) for r in rows] == _passages(rows)
+
+
+def test_hashes_tell_words_apart():
+    seen = {f"w{i}" for i in range(30_000)} | {"x" * i for i in range(1, 600)} | {"a" * i + "b" + "a" * (700 - i) for i in range(700)}
+    seen = sorted(seen)
+    line = "  ".join(seen).encode()
+    w = Words(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
+    for seed in (0, 1):
+        h = w.hashes(seed)
+        assert len(h) == len(seen) == len(np.unique(h))
+        alone = [Words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hashes(seed)[0] for x in seen[::97]]
+        assert alone == h[::97].tolist()
+    values = np.random.default_rng(1).integers(0, 4, 3000).astype(np.uint64)
+    for width in (1, 2, 3, 5, 35, 64):
+        h = window_hashes(values, width)
+        assert len(h) == 3000 - width + 1
+        assert len(set(h.tolist())) == len({tuple(values[i : i + width]) for i in range(len(h))})
 
 
 # ------------------------------------------------------------ mixing
