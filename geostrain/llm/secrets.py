@@ -7,17 +7,23 @@ spans of the same text wherever their intervals lie within ``SCOPE`` code
 points, and a weak part is reported only if its complement is there: a weak
 identifier needs a secret, a weak secret an identifier, an endpoint both.
 
-The join runs inside a row, over the few spans of that text, so the operator is
-a map without a shuffle.  Positions are code points, ends exclusive; they follow
-from the lengths of the matches and of the gaps between them.
-
-Defined results: null counts as empty; equal rows give equal results; further
-columns are ignored; an empty table gives an empty result.
+Matches become rows of (row, kind, start, end); the texts stay behind.  The
+interval join is a merge over the sorted spans of a text: of all spans of a class
+that begin earlier, only the furthest end can be near, and of those that begin
+later only the first begin.  It takes time in proportion to the spans, and never
+makes pairs.  Positions are code points, ends exclusive; they follow from the
+lengths of the matches and of the gaps between them.
+
+Defined results: null counts as empty; texts of any length are read whole;
+spans that begin together are listed in the order of kinds; equal rows, rows
+with equal ids and rows with a null id are reported each on their own; further
+columns are ignored whatever their names are; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
@@ -36,51 +42,62 @@ WEAK = {
 #: Code points between parts of one credential, at most.
 SCOPE = 200
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_MATCHES = "array<struct<pos:int,kind:int,step:int,size:int,long_enough:boolean>>"
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Leftmost matches that do not overlap, as (start, kind, end), ascending."""
+def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
+    """Leftmost matches that do not overlap: the gap before each, its size, and whether it counts."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    steps = F.transform(
+        F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")),
+        lambda x, i: F.struct(i.alias("pos"), F.lit(kind).alias("kind"), F.length(x["gap"]).alias("step"), F.length(x["hit"]).alias("size"), (F.length(x["value"]) >= least).alias("long_enough")),
+    )
+    return F.when(text.rlike(pattern), steps).otherwise(F.array().cast(_MATCHES))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["found"], new)).otherwise(state["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step, lambda state: state["found"])).otherwise(F.array().cast(_SPANS))
+def span_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, kind, start, end of every match that counts; one row without a kind for other texts."""
+    text = F.coalesce("text", F.lit(""))
+    found = F.concat(*(matches(text, pattern, group, least, k) for k, (pattern, group, least) in enumerate((BASE | WEAK).values())))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), found.alias("found"))
+    rows = rows.select("doc_id", "row", F.explode_outer("found").alias("x")).select("doc_id", "row", "x.*").repartition("row")
+    along = Window.partitionBy("row", "kind").orderBy("pos")
+    rows = rows.withColumn("end", F.sum(F.col("step") + F.coalesce("size", F.lit(0))).over(along).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    # what follows the last match is a gap alone; a text keeps its first row, whatever it holds
+    counts = F.coalesce("long_enough", F.lit(False))
+    return rows.withColumn("kind", F.when(counts, F.col("kind"))).select("row", "doc_id", "kind", "start", "end")
 
 
-def near(others: Column, x: Column, scope: int) -> Column:
-    """Whether an interval of ``others`` lies within ``scope`` of ``x``."""
-    return F.exists(others, lambda y: (y["start"] - x["end"] <= scope) & (x["start"] - y["end"] <= scope))
+def within(spans: DataFrame, name: str, chosen: Column, reach: int) -> DataFrame:
+    """Flag ``name``: a span of the class ``chosen`` begins at most ``reach`` after this one's end and ends at most so long before its start."""
+    upto = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(chosen, F.col("end"))).over(upto) >= F.col("start") - reach
+    behind = F.min(F.when(chosen, F.col("start"))).over(after) <= F.col("end") + reach
+    return spans.withColumn(name, F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False)))
 
 
-def listed(found: Column, kinds: list[str]) -> Column:
-    names = F.array(*map(F.lit, kinds))
-    each = F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string")))
-    return F.array_join(each, ",")
+def listed(names: Column, chosen: Column) -> Column:
+    """The chosen spans of a text, as kind:start:end by start, then kind."""
+    each = F.sort_array(F.collect_list(F.when(chosen, F.struct("start", "kind", "end"))))
+    return F.array_join(F.transform(each, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Counts, digest of the base spans, and all spans of every text."""
     kinds = [*BASE, *WEAK]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for k, (kind, (pattern, group, least)) in enumerate((BASE | WEAK).items()):
-        rows = rows.withColumn(kind, spans(F.col("text"), pattern, group, least, k))
-    rows = rows.drop("text").withColumn("base", F.concat(*BASE))
-    apart = lambda kind: F.filter(kind, lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    rows = rows.withColumns({kind: apart(kind) for kind in WEAK})
-    rows = rows.withColumns({"ids": F.concat("access", "ident"), "keys": F.concat("assign", "hex", "weak")})
-    linked = F.concat(
-        F.filter("ident", lambda x: near(F.col("keys"), x, scope)),
-        F.filter("weak", lambda x: near(F.col("ids"), x, scope)),
-        F.filter("endpoint", lambda x: near(F.col("keys"), x, scope) & near(F.col("ids"), x, scope)),
-    )
-    count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *map(count, BASE), F.sha2(listed(F.col("base"), kinds), 256).alias("base_sha256"), listed(F.concat("base", linked), kinds).alias("spans"))
+    number = {kind: k for k, kind in enumerate(kinds)}
+    of = lambda *chosen: F.col("kind").isin([number[c] for c in chosen])
+    spans = span_rows(docs)
+    # a weak part that touches a base span is that span's own; it neither counts nor helps
+    spans = within(spans, "inside", of(*BASE), -1)
+    spans = spans.withColumn("kind", F.when(~(of(*WEAK) & F.col("inside")), F.col("kind")))
+    spans = within(spans, "by_id", of("access", "ident"), scope)
+    spans = within(spans, "by_key", of("assign", "hex", "weak"), scope)
+    linked = of("ident") & F.col("by_key") | of("weak") & F.col("by_id") | of("endpoint") & F.col("by_id") & F.col("by_key")
+    names = F.array(*map(F.lit, kinds))
+    counts = [F.count_if(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    found = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *counts, listed(names, of(*BASE)).alias("base"), listed(names, of(*BASE) | linked).alias("spans"))
+    return found.select("doc_id", *(f"n_{kind}" for kind in BASE), F.sha2("base", 256).alias("base_sha256"), "spans")

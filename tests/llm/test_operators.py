@@ -186,6 +186,36 @@ def test_secrets(spark):
     assert got[8].spans == "" and got[9].spans == "" and got[11].spans == ""
 
 
+def _secrets(text, scope=secrets.SCOPE):
+    """All spans of a text by comparing each with each."""
+    text = text or ""
+    found = {name: [(m.start(), k, m.end(), name) for m in re.finditer(p, text) if len(m[g]) >= least] for k, (name, (p, g, least)) in enumerate((secrets.BASE | secrets.WEAK).items())}
+    base = [x for name in secrets.BASE for x in found[name]]
+    weak = {name: [x for x in found[name] if not any(y[0] < x[2] and x[0] < y[2] for y in base)] for name in secrets.WEAK}
+    near = lambda x, others: any(y[0] - x[2] <= scope and x[0] - y[2] <= scope for y in others)
+    ids, keys = found["access"] + weak["ident"], found["assign"] + found["hex"] + weak["weak"]
+    linked = [x for x in weak["ident"] if near(x, keys)] + [x for x in weak["weak"] if near(x, ids)] + [x for x in weak["endpoint"] if near(x, ids) and near(x, keys)]
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(base + linked))
+
+
+def test_secrets_against_all_pairs(spark):
+    rng = random.Random(21)
+    parts = ["user=alice", "login: bob_7", "pwd=hunter22", "pass = 'abcdefg'", "auth=zzzzzzz", "token=abcdef123", "secret: xy", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "https://h.example/x", "s3://b", "user=pwd=abcdefgh", "token=user=alice99", "é🙂", "x" * 60, " " * 90, "\n", "plain words"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "\t", " " * 70]) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "", "z" * 300_000 + " user=alice pwd=hunter22"]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].spans == _secrets(t), t
+    assert sum("ident" in r.spans for r in got.values()) > 20
+
+
+def test_secrets_of_a_long_text(spark):
+    """Time follows the number of spans; repeated rows, null ids and clashing columns are kept apart."""
+    text = "user=alice pwd=hunter22\n" * 20_000
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefg"), (2, "token=abcdefg"), (None, "user=alice")], "doc_id long, text string").selectExpr("*", *(f"1L as `{c}`" for c in ("row", "kind", "start", "end", "pos", "found", "step", "size", "spans", "base")))
+    assert sorted((str(r.doc_id), r.n_assign, r.spans.count(":") // 2) for r in secrets.find_secrets(df).collect()) == [("1", 0, 40_000), ("2", 1, 1), ("2", 1, 1), ("None", 0, 0)]
+
+
 # ------------------------------------------------------------ near duplicates
 
 
