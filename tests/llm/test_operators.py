@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -447,6 +448,66 @@ def test_html_keeps_every_line_of_the_root():
     assert html_extract.main_text(f"<body><div>{each}</div>{links}</body>") == want
 
 
+def test_html_names_are_evidence_only():
+    article = "<article><h1>Title</h1><p>" + "Words of the article. " * 12 + "</p><p>End.</p></article>"
+    want = html_extract.main_text(article)
+    assert want.startswith("Title\n") and want.endswith("\nEnd.")
+    for a, b in (("<div class='layout no-sidebar'>", "</div>"), ("<div id=page class=has-banner>", "</div>"), ("<section class='legal-analysis'>", "</section>"), ("<div class='content share-enabled'>", "</div>"), ("<div class='post comment-count-3'>", "</div>"), ("<div class='sidebar'>", "</div>"), ("<body class=modal>", "</body>")):
+        assert html_extract.main_text(a + article + b) == want, a
+        assert html_extract.main_text(a + article.replace("article>", "div>") + b) == want, a
+    comments = "<p>" + "A reader's long opinion on it all. " * 40 + "</p>"
+    for c in (f"<div class=comments>{comments}</div>", f"<section id='comment-list'>{comments}</section>", f"<article class='comment'>{comments}</article>", f"<div class='CommentThread'>{comments}</div>"):
+        assert html_extract.main_text(f"<body>{article}{c}</body>") == want, c
+        assert html_extract.main_text("<body>" + article.replace("</article>", f"<div class='user-comments'>{comments}</div></article>") + "</body>") == want
+    assert html_extract.main_text("<table><tr><td>alpha</td><td>beta</td><td>gamma</td></tr></table>") == "alpha\nbeta\ngamma"
+    assert html_extract.main_text("<article><table><tr><td>alpha</td><td>beta</td><td>gamma</td></tr></table></article>") == "alpha\nbeta\ngamma"
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Without smoothing and thresholds, lines full of tags would join the content."""
+    long = ["A sentence of the text that goes on for long enough to count. " * 5 for _ in range(8)]
+    chips = "".join(f"<div><i></i><i></i><i></i><i></i><i></i><span>tag</span><i></i><i></i>{i}</div>" for i in range(8))
+    page = f"<body><div>{chips}</div><div>" + "".join(f"<p>{x}</p>" for x in long) + "</div></body>"
+    teasers = "<body><article>" + "".join(f"<p>{x}</p>" for x in long) + f"</article>{'<p>' * 6}<article>{chips}</article></body>"
+    want = "\n".join(x.strip() for x in long)
+    assert html_extract.main_text(page) == html_extract.main_text(teasers) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda values: [1.0] * len(values))
+    assert html_extract.main_text(page) != want and html_extract.main_text(teasers) != want
+
+
+def test_html_of_random_pages(spark):
+    """Pages put together from a known article and known boilerplate."""
+    rng = random.Random(31)
+    say = lambda n: " ".join("".join(rng.choice("abcdeéß漢") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    escape = lambda t: t.replace("é", rng.choice(["é", "&eacute;", "&#233;", "&#xE9;"]))
+
+    def block(text):
+        x = rng.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<div><p>{}</p></div>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>"])
+        words_ = escape(text).split(" ")
+        words_[len(words_) // 2] = f"<b>{words_[len(words_) // 2]}</b>"
+        return x.format(rng.choice([" ", "\n ", "<br>", "  \t"]).join(words_)) + ("" if x != "<p>{}" else "\n")
+
+    junk = [lambda: f"<nav><ul><li><a href=/>{say(2)}</a></ul></nav>", lambda: f"<div class='{rng.choice(['ad', 'cookie-notice', 'sidebar', 'comments', 'share-buttons'])}'><p>{say(rng.randint(1, 60))}</p></div>", lambda: f"<aside>{say(20)}</aside>", lambda: f"<form><p>{say(5)}<input></form>", lambda: f"<script>x='<p>{say(3)}'</script>", lambda: f"<style>p{{}}</style><!-- {say(4)} -->"]
+    pages, want = [], []
+    for i in range(150):
+        texts = [say(rng.choice([1, 5, 30, 80])) for _ in range(rng.randint(1, 9))]
+        inner = "".join(block(t) + (rng.choice(junk)() if rng.random() < 0.3 else "") for t in texts)
+        around = lambda: "".join(rng.choice(junk)() for _ in range(rng.randrange(4)))
+        a, b = rng.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<div class='page no-sidebar'><article>", "</article></div>"), ("<main><div>", "</div></main>")])
+        pages.append((i, "u", f"<html><head><title>{say(3)}</title></head><body><header>{say(3)}</header>{around()}{a}{inner}{b}{around()}<footer>{say(9)}</footer></body></html>", 1, "t"))
+        want.append("\n".join(texts))
+    pages += [(None, None, None, 1, "t"), (3, "u", "<p>" + "x " * 400_000, 1, "t")]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars long, text string").coalesce(1)).collect()
+    assert [r.text for r in got] == [*want, "", ("x " * 400_000).strip()] and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_is_linear():
+    began = time.perf_counter()
+    for page in ("<div>" * 60_000 + "x" + "</p></span>" * 60_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000, "<td>y" * 40_000, "<div class='a'><p>t</p>" * 20_000):
+        assert html_extract.main_text(page) is not None
+    assert time.perf_counter() - began < 20
+
+
 # ------------------------------------------------------------ quality
 
 
