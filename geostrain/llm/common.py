@@ -27,6 +27,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: A broadcast side may have this many bytes at most; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: What one id takes in the hash table of a broadcast, at most.
+ID_BYTES = 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_by_size(left: DataFrame, right: DataFrame, on: str, how: str, right_bytes: int) -> DataFrame:
-    """Broadcast ``right`` if its measured size allows it, else join by shuffle."""
+    """Broadcast ``right`` if its size allows it (measured, or ``ID_BYTES`` for each counted id), else join by shuffle."""
     if right_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     return left.join(right.hint("merge"), on, how)

@@ -3,7 +3,8 @@
 Texts are compared without their white space.  A first pass over the texts
 finds the length of each and a hash of its beginning; rows are grouped by
 length, then by that hash.  Only texts whose (length, hash) pair occurs again
-are read a second time, whole, and grouped by their full SHA-256.
+are read a second time, whole, and grouped by their full SHA-256.  (``report``
+also gives the hash of every text, which takes a pass of its own.)
 
 Defined results: null counts as empty, and empty texts equal each other; ties
 of the original length go to the smallest doc_id; rows with one doc_id are one
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_size, pieces, stored, text_buffer
+from .common import ID_BYTES, join_by_size, pieces, stored, text_buffer, trimmed
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 PREFIX_BYTES = 96
@@ -54,7 +55,7 @@ def full_hashes(docs: DataFrame) -> DataFrame:
             digest = [hashlib.sha256(_normal(data, at, row)).hexdigest() for row in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.string())], ["doc_id", "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, text_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(hashed), "doc_id long, text_sha256 string")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -66,12 +67,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     holds many rows.
     """
     ids = docs.select(F.col("doc_id").cast("long"), "text")
-    begun = stored(ids.mapInArrow(_beginnings, "doc_id long, points long, length long, prefix long"), "beginnings")
+    begun = stored(ids.mapInArrow(trimmed(_beginnings), "doc_id long, points long, length long, prefix long"), "beginnings")
     lengths = stored(begun.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length"), "lengths")
     prefixes = begun.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix")
     prefixes = stored(prefixes, "prefixes")
     surviving = stored(begun.join(prefixes, ["length", "prefix"], "left_semi").select("doc_id", "points", "length", "prefix"), "surviving")
-    size = surviving.count() * 16
+    size = surviving.count() * ID_BYTES
     again = join_by_size(ids, surviving.select("doc_id").distinct(), "doc_id", "left_semi", size)
     known = stored(full_hashes(again).withColumnRenamed("text_sha256", "full"), "hashes")
     rows = begun.select("doc_id", "points").join(known.dropDuplicates(["doc_id", "full"]), "doc_id") if size else None

@@ -12,7 +12,9 @@ Training counts trigrams and scripts of labelled texts, at most about
 Defined results: a null text and one without any letter are ``und`` with score
 0; texts in a script no learned language uses get a learned label with a score
 of one over the number of languages; without any labelled text every text is
-``und``; further columns are ignored; an empty table gives an empty result.
+``und``; of languages with equal scores the first by name wins; texts of any
+length are labelled whole; equal rows have equal labels; further columns are
+ignored whatever their names are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_buffer
+from .common import pieces, text_buffer, trimmed
 
 #: Labelled texts of each language that training reads, about, at most.
 TRAIN_ROWS = 6000
@@ -153,7 +155,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], ["lang", "bin", "n"])
 
-    sums = taken.select("doc_id", "text", "lang").mapInArrow(counted, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = taken.select("doc_id", "text", "lang").mapInArrow(trimmed(counted), "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     table, scripts = np.zeros((BINS, len(languages))), np.zeros(len(languages), np.uint16)
     for k, lang in enumerate(languages):
         own = sums[sums["lang"] == lang]
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), spans: b
 
     chosen = docs.select(F.col("doc_id").cast("long"), "text", *kept)
     schema = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return chosen.mapInArrow(labelled, schema + (", spans array<struct<start:long,end:long,lang:string>>" if spans else ""))
+    return chosen.mapInArrow(trimmed(labelled), schema + (", spans array<struct<start:long,end:long,lang:string>>" if spans else ""))
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -15,8 +15,10 @@ All numbers are integers, so results don't depend on the order of sums.
 
 Defined results: null texts have no tokens; null languages and sources are
 nodes of their own; a domain without weight has the weight 1, as have languages
-and sources; documents with equal ids are taken or left together; an empty
-table gives an empty result; further columns are ignored.
+and sources; documents with equal ids are taken or left together; texts of any
+length are counted whole; of documents at one place of the order the lesser id
+comes first; an empty table gives an empty result; further columns are ignored
+whatever their names are.
 """
 
 from __future__ import annotations

@@ -29,8 +29,10 @@ That gives the components.  Links lie inside components, so the members of large
 groups meet all others of their component, in blocks again, and what they share
 is counted on the whole sets; only the numbers of links leave a block.
 
+Shingles are compared by 64-bit hashes of their words, classes by 128 bits.
+
 Defined results: null texts and texts without words have no shingles and link
-with nothing; a row with a null doc_id takes the component of a row with equal
+with nothing; texts of any length are read whole; a row with a null doc_id takes the component of a row with equal
 shingles that has an id, else null; rows with one doc_id are one row repeated;
 equal texts share a component; an empty table gives an empty result; further
 columns are ignored.
@@ -49,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, Words, blob_batch, bucket_count, by_bucket, join_by_size, mix, n_partitions, pieces, scatter, stored, task_count, text_buffer, trimmed, window_hashes
+from .common import BLOB, ID_BYTES, Words, blob_batch, bucket_count, by_bucket, join_by_size, mix, n_partitions, pieces, scatter, stored, task_count, text_buffer, trimmed, window_hashes
 from .components import components
 
 WIDTH = 5
@@ -323,7 +325,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch)], pa.binary())], ["id", "shingles"])
 
-    chosen = join_by_size(docs, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", 8 * count)
+    chosen = join_by_size(docs, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi", ID_BYTES * count)
     return chosen.select("doc_id", "text").mapInArrow(trimmed(made), "id long, shingles binary").dropDuplicates(["id"])
 
 
@@ -469,7 +471,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = members.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = stored(reps, "representatives")
     n_reps = reps.count()
-    chosen = join_by_size(docs, reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi", 8 * n_reps)
+    chosen = join_by_size(docs, reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi", ID_BYTES * n_reps)
     n_buckets = bucket_count(8 * total)
     dealt = chosen.mapInArrow(trimmed(_emit(n_buckets, sent)), BLOB).repartition(task_count(spark, 8 * total), "bucket").sortWithinPartitions("bucket")
     found = stored(dealt.mapInArrow(trimmed(_match(n_buckets)), _FOUND), "found")

@@ -1,21 +1,28 @@
 """Operator 9: quality rules and robust multivariate outliers.
 
 One pass counts each text's statistics.  Rows that pass the base rules are
-vectors of transformed statistics, grouped by language and source; per group a
-minimum-covariance-determinant estimate is reached by concentration steps: the
+vectors of transformed statistics.  The minimum covariance determinant of a
+group is searched from several starts: medians and absolute deviations, all
+rows, and two halves of the rows by a hash.  In a concentration step the
 ``H_SHARE`` rows nearest to the current centre give the next centre and
-covariance.  Rows with a large Mahalanobis distance to the final estimate are
-rejected.  A step is two aggregates with map-side partials (a quantile sketch
-of the distances, then sums and cross products), so a group of any size costs a
-row a task; all rows take part.
-
-Groups under ``MIN_GROUP`` rows are pooled by language, and those of languages
-that stay under it in one pool; a pool under it has no estimate and keeps its
-rows.
-
-Defined results: a null text has no words and fails the base rule; a null
-language or source is a group of its own; an empty table gives an empty result;
-further columns are ignored.
+covariance, which never enlarges the determinant; steps go on until no group's
+determinant falls any more.  The start with the least determinant is kept, and
+reweighted: rows within the ``REWEIGHT`` quantile of chi-squared give the final
+estimate.  Rows with a large Mahalanobis distance to it are rejected.
+
+Groups are the languages with their sources, the languages, and all rows.  The
+estimate of a group is drawn towards that of the group above it, as if that had
+``PRIOR`` rows; so a group of any size has one, and nothing switches with size.
+
+A step is two aggregates with map-side partials (a quantile sketch of the
+distances, then sums and cross products), for all groups and starts at once, so
+a group of any size costs a row a task; all rows take part.
+
+Defined results: a null text has no words and fails the base rule; texts of any
+length are counted whole; a null language or source is a group of its own; rows
+at one distance are on one side together; repeated rows count each; a group of
+equal rows has the least spread (``FLOOR``) and keeps them; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, stored, text_buffer
+from .common import Words, mix, pieces, stored, text_buffer, trimmed
 
-MIN_GROUP = 100
 H_SHARE = 0.75
-STEPS = 3
+#: Halves of the rows that are starts, besides medians and all rows.
+HALVES = 2
+#: Determinants that fall by less than this share fall no more.
+STABLE = 0.01
+#: Rows of the group above that stand behind a group's estimate.
+PRIOR = 100.0
 #: Squared Mahalanobis distance from which a row is an outlier.
 CUTOFF = 150.0
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.3, 0.15, 0.25, 0.3, 0.4)
-#: Median of the chi-squared distribution with five degrees of freedom.
-CHI2_MEDIAN = 4.351
+#: Quantiles 0.5 and 0.975 of the chi-squared distribution with five degrees of freedom.
+CHI2_MEDIAN, REWEIGHT = 4.351, 12.833
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _SYMBOL = np.zeros(256, bool)
@@ -96,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in STATISTICS) + ", lang string, source string"
-    counted = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(_counted, schema)
+    counted = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(trimmed(_counted), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -110,20 +121,55 @@ P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with no variance below ``FLOOR``: correlations stay, and no direction is flat."""
+    least = np.square(FLOOR)
+    scale = np.sqrt(np.maximum(least, np.diag(cov)))
+    scaled = cov / np.outer(scale, scale)
+    np.fill_diagonal(scaled, 1.0)
+    values, vectors = np.linalg.eigh(scaled)
+    return (vectors * np.maximum(values, 1e-3)) @ vectors.T * np.outer(scale, scale)
+
+
+def moments(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a count, sums and sums of products."""
+    mean = np.array([row[f"s{i}"] for i in range(P)]) / row["n"]
+    cov = np.zeros((P, P))
+    for i, j in _PAIRS:
+        cov[i, j] = cov[j, i] = row[f"q{i}{j}"] / row["n"] - mean[i] * mean[j]
+    return mean, cov
+
+
+def quadratic(cov: np.ndarray) -> list[float]:
+    """Coefficients of the squared distance, in the order of ``_PAIRS``."""
+    inv = np.linalg.inv(cov)
+    return [float(inv[i, j]) * (1 if i == j else 2) for i, j in _PAIRS]
+
+
+_STATE = "pool string, start int, centre array<double>, inverse array<double>, logdet double, falls boolean"
+
+
 def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and inverse covariance of each group from its sums."""
+    """Centre, inverse covariance and determinant of each group and start from its sums.
+
+    Where a determinant doesn't fall (``logdet`` is the one before), the state
+    before stays.
+    """
     for pdf in batches:
-        centre, inverse = [], []
+        made = []
         for row in pdf.to_dict("records"):
-            mean = np.array([row[f"s{i}"] for i in range(P)]) / row["n"]
-            cov = np.zeros((P, P))
-            for i, j in _PAIRS:
-                cov[i, j] = cov[j, i] = row[f"q{i}{j}"] / row["n"] - mean[i] * mean[j]
-            cov += np.diag(np.square(FLOOR))
-            inv = np.linalg.inv(cov)
-            centre.append(mean.tolist())
-            inverse.append([float(inv[i, j]) * (1 if i == j else 2) for i, j in _PAIRS])
-        yield pd.DataFrame({"pool": pdf["pool"], "centre": centre, "inverse": inverse})
+            mean, cov = moments(row)
+            cov = floored(cov)
+            logdet = float(np.linalg.slogdet(cov)[1])
+            if logdet < row["logdet"]:
+                made.append((mean.tolist(), quadratic(cov), logdet, logdet < row["logdet"] - STABLE))
+            else:
+                made.append((row["centre"], row["inverse"], row["logdet"], False))
+        centre, inverse, logdet, falls = zip(*made, strict=True) if made else ((), (), (), ())
+        yield pd.DataFrame({"pool": pdf["pool"], "start": pdf["start"], "centre": centre, "inverse": inverse, "logdet": logdet, "falls": falls})
+
+
+X = [f"x{i}" for i in range(P)]
 
 
 def _distance() -> Column:
@@ -131,39 +177,88 @@ def _distance() -> Column:
     return sum((F.col("inverse")[k] * d[i] * d[j] for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
-def robust_distances(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """row, d2 for rows with columns row, pool, x0 .. x4."""
-    x = [f"x{i}" for i in range(P)]
-    medians = vectors.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{c}") for c in x))
-    centre = F.array(*(F.col(f"m{c}") for c in x))
-    spread = stored(medians, "medians")
-    deviations = vectors.join(spread, "pool").groupBy("pool").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c}")), 0.5, 1000).alias(f"d{c}") for c in x))
-    scale = [F.pow(1.4826 * F.col(f"d{c}"), 2) + FLOOR[i] ** 2 for i, c in enumerate(x)]
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
+
+
+def starts(vectors: DataFrame) -> DataFrame:
+    """First centres and covariances of each pool."""
+    spread = stored(vectors.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{c}") for c in X)), "medians")
+    deviations = vectors.join(spread, "pool").groupBy("pool").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c}")), 0.5, 1000).alias(f"d{c}") for c in X))
+    scale = [F.greatest(F.pow(1.4826 * F.col(f"d{c}"), 2), F.lit(FLOOR[i] ** 2)) for i, c in enumerate(X)]
     inverse = F.array(*((1 / scale[i]) if i == j else F.lit(0.0) for i, j in _PAIRS))
-    state = stored(spread.join(deviations, "pool").select("pool", centre.alias("centre"), inverse.alias("inverse")), "start")
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
-    for _ in range(steps):
-        at = vectors.join(state, "pool").withColumn("d2", _distance())
-        bound = stored(at.groupBy("pool").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("bound")), "bound")
-        subset = at.join(bound, "pool").where("d2 <= bound").groupBy("pool").agg(*sums)
-        state = stored(subset.mapInPandas(_estimates, "pool string, centre array<double>, inverse array<double>"), "state")
-    at = vectors.join(state, "pool").withColumn("d2", _distance())
+    robust = spread.join(deviations, "pool").select("pool", F.lit(0).alias("start"), F.array(*(F.col(f"m{c}") for c in X)).alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("logdet"), F.lit(True).alias("falls"))
+    halves = [F.when(F.pmod(F.xxhash64("row", F.lit(h)), F.lit(2)) == 0, h + 2) for h in range(HALVES)]
+    dealt = vectors.withColumn("start", F.explode(F.array_compact(F.array(F.lit(1), *halves))))
+    nothing = F.array().cast("array<double>")
+    sums = dealt.groupBy("pool", "start").agg(*_sums()).withColumns({"centre": nothing, "inverse": nothing, "logdet": F.lit(float("inf"))})
+    others = sums.mapInPandas(_estimates, _STATE)
+    return stored(robust.unionByName(others.withColumn("logdet", F.lit(float("inf")))), "starts")
+
+
+def least_determinants(vectors: DataFrame) -> DataFrame:
+    """pool, centre, inverse of the least determinant that concentration steps reach."""
+    state = starts(vectors)
+    while True:  # each round but the last lowers a determinant, which the floor bounds, by a set share
+        at = vectors.join(state.select("pool", "start", "centre", "inverse", "logdet"), "pool").withColumn("d2", _distance())
+        bound = at.groupBy("pool", "start").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("bound"))
+        nearest = at.join(bound, ["pool", "start"]).where("d2 <= bound").groupBy("pool", "start")
+        before = [F.first(c).alias(c) for c in ("centre", "inverse", "logdet")]
+        state = stored(nearest.agg(*_sums(), *before).mapInPandas(_estimates, _STATE), "steps")
+        if state.where("falls").isEmpty():
+            return state.groupBy("pool").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best")).select("pool", "best.*")
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """pool and the sums of the rows that the reweighting step takes."""
+    best = stored(least_determinants(vectors), "least")
+    at = vectors.join(best, "pool").withColumn("d2", _distance())
     factor = stored(at.groupBy("pool").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("factor")), "factor")
-    return at.join(factor, "pool").select("row", (F.col("d2") / F.col("factor")).alias("d2"))
+    return stored(at.join(factor, "pool").where(F.col("d2") <= F.col("factor") * REWEIGHT).groupBy("pool").agg(*_sums()), "reweighted")
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def drawn(row: dict, above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """A group's mean and covariance, drawn towards those of the group above it."""
+    mean, cov = moments(row)
+    if above is None:
+        return mean, cov
+    share = row["n"] / (row["n"] + PRIOR)
+    return share * mean + (1 - share) * above[0], share * cov + (1 - share) * above[1]
+
+
+def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Final centre and inverse of each group, from the sums of the levels above it."""
+    for pdf in batches:
+        centre, inverse = [], []
+        for row in pdf.to_dict("records"):
+            estimate = None
+            for level in ("every", "tongue", "own"):
+                estimate = drawn(row[level], estimate)
+            centre.append(estimate[0].tolist())
+            inverse.append(quadratic(floored(estimate[1])))
+        yield pd.DataFrame({"pool": pdf["pool"], "centre": centre, "inverse": inverse})
+
+
+def robust_distances(vectors: DataFrame) -> DataFrame:
+    """row and d2 for rows with columns row, own (group), tongue (the one above) and x0 .. x4."""
+    levels = F.array(F.concat(F.lit("own\t"), "own"), F.concat(F.lit("tongue\t"), "tongue"), F.lit("every"))
+    pooled = stored(vectors.select("row", F.explode(levels).alias("pool"), *X), "pooled")
+    found = estimates(pooled)
+    sums = F.struct("n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _PAIRS))
+    of = lambda level: found.select(F.col("pool").alias(f"{level}_pool"), sums.alias(level))
+    groups = vectors.select(F.concat(F.lit("own\t"), "own").alias("own_pool"), F.concat(F.lit("tongue\t"), "tongue").alias("tongue_pool"), F.lit("every").alias("every_pool")).distinct()
+    for level in ("own", "tongue", "every"):
+        groups = groups.join(of(level), f"{level}_pool")
+    final = stored(groups.select(F.col("own_pool").alias("pool"), "own", "tongue", "every").mapInPandas(_composed, "pool string, centre array<double>, inverse array<double>"), "final")
+    at = stored(vectors.select("row", F.concat(F.lit("own\t"), "own").alias("pool"), *X).join(final, "pool").select("row", _distance().alias("d2")), "distances")
+    return at
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Statistics, base_failed, robust distance d2 and kept of every row."""
     rows = stored(statistics(docs).withColumn("row", F.monotonically_increasing_id()), "statistics")
-    x = [c.alias(f"x{i}") for i, c in enumerate(transformed())]
-    fit = rows.where("not base_failed").select("row", "lang", "source", *x)
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    fit = fit.withColumn("own", F.concat_ws("\t", name(F.col("lang")), name(F.col("source")))).withColumn("tongue", name(F.col("lang")))
-    sizes = fit.groupBy("own", "tongue").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < min_group).groupBy("tongue").agg(F.sum("n").alias("n_small"))
-    pools = sizes.join(small, "tongue", "left").select("own", F.when(F.col("n") >= min_group, F.col("own")).when(F.col("n_small") >= min_group, F.concat("tongue", F.lit("\t*"))).otherwise("*").alias("pool"), "n")
-    pools = stored(pools, "pools")
-    counts = pools.groupBy("pool").agg(F.sum("n").alias("n_pool")).where(F.col("n_pool") >= min_group)
-    vectors = stored(fit.join(stored(pools.join(counts, "pool").select("own", "pool"), "pool"), "own").select("row", "pool", *(f"x{i}" for i in range(P))), "vectors")
-    out = rows.join(robust_distances(vectors), "row", "left")
+    x = [c.alias(f"x{i}") for i, c in enumerate(transformed())]
+    vectors = rows.where("not base_failed").select("row", F.concat_ws("\t", name(F.col("lang")), name(F.col("source"))).alias("own"), name(F.col("lang")).alias("tongue"), *x)
+    out = rows.join(robust_distances(stored(vectors, "vectors")), "row", "left")
     return out.select("doc_id", *STATISTICS, "base_failed", "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"))

@@ -9,11 +9,16 @@ window: other terms near it speak for abuse, quotation marks around it for a
 mention.  A logistic regression on these counts gives the score.
 
 Training reads about ``TRAIN_ROWS`` labelled texts at most, by a hash of their
-ids.  Equal texts count once in it.
+ids.  Equal texts count once in it.  Every word that is in ``LEAST_SHARE`` of the
+toxic ones and ``LEAST_LIFT`` times likelier there is a term, so the lexicon has
+1 / ``LEAST_SHARE`` times the words of a text at most, whatever the corpus.
 
 Defined results: null and empty texts have the score of a text without terms;
 without labelled rows, or with one label only, every score is the base rate;
-rows with two labels use the larger; further columns are ignored.
+rows with two labels use the larger; of terms at one distance the heavier one
+counts, then the first by name; texts of any length are read whole; equal rows
+have equal scores; an empty table gives an empty result; further columns are
+ignored whatever their names are.
 """
 
 from __future__ import annotations
@@ -26,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, trimmed
 
 #: Labelled texts that training reads, about, at most.
 TRAIN_ROWS = 20_000
-MAX_TERMS = 200
 #: A term is in this share of toxic texts at least, and so many times likelier there.
 LEAST_SHARE, LEAST_LIFT = 0.01, 25.0
 #: Share of clean training texts in which misspellings of a term may be found.
@@ -252,10 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     base = n_toxic / n_all if n_all else 0.0
     if not 0 < n_toxic < n_all:
         return Model(base)
-    counted = once.select("toxic", F.explode(words).alias("word")).where("length(word) between 3 and 40").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = once.select("toxic", F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     lift = (F.col("a") / n_toxic) / ((F.col("n") - F.col("a") + 0.5) / (n_all - n_toxic + 1))
     least = max(3.0, LEAST_SHARE * n_toxic)
-    terms = counted.where((F.col("a") >= least) & (lift >= LEAST_LIFT)).orderBy(F.desc("a"), "word").limit(MAX_TERMS).select("word", F.log(lift).alias("weight")).collect()
+    terms = counted.where((F.col("a") >= least) & (lift >= LEAST_LIFT)).select("word", F.log(lift).alias("weight")).collect()
     if not terms:
         return Model(base)
     top = max(t["weight"] for t in terms)
@@ -271,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
 
-    loose = once.where("toxic = 0").select("toxic", "text").mapInArrow(misspelt, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1.0, LOOSE * (n_all - n_toxic))).collect()
+    loose = once.where("toxic = 0").select("toxic", "text").mapInArrow(trimmed(misspelt), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1.0, LOOSE * (n_all - n_toxic))).collect()
     names = sorted(weights)
     automaton = Automaton.build(weights, frozenset(names[r["term"]] for r in loose))
     sent = docs.sparkSession.sparkContext.broadcast(automaton)
@@ -280,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(features(sent.value, batch.column(1).to_pylist()).tolist(), pa.list_(pa.float64())), batch.column(0)], ["x", "toxic"])
 
-    seen = once.select("toxic", "text").mapInArrow(counts, "x array<double>, toxic int").toPandas()
+    seen = once.select("toxic", "text").mapInArrow(trimmed(counts), "x array<double>, toxic int").toPandas()
     x, y = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float)
     return Model(base, automaton, _regression(x, y))
 
@@ -297,4 +301,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(scored), "doc_id long, score double, predicted int")

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on a table of awkward rows, and on an empty one."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -526,19 +527,41 @@ def _statistics(text):
 
 
 def test_quality(docs, rows):
-    for r in quality.judge(docs, min_group=20).collect():
+    for r in quality.judge(docs).collect():
         want = _statistics(next(x.text for x in rows if x.doc_id == r.doc_id))
         assert tuple(r[c] for c in quality.STATISTICS) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert not (r.kept and r.base_failed)
 
 
+VECTORS = "row long, own string, tongue string, x0 double, x1 double, x2 double, x3 double, x4 double"
+
+
 def test_outliers_of_each_group(spark):
+    """Groups of any size; a third of the rows of one group are outliers that lie together."""
     rng = np.random.default_rng(4)
-    rows = [(i, f"g{i % 3}", *(float(v) for v in rng.normal(i % 3, 1, 5))) for i in range(900)] + [(900 + i, "g0", *[25.0 + i] * 5) for i in range(6)]
-    df = spark.createDataFrame(rows, "row long, pool string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    d2 = {r.row: r.d2 for r in quality.robust_distances(df).collect()}
-    assert min(d2[900 + i] for i in range(6)) > 300 and np.quantile([d2[i] for i in range(900)], 0.99) < 30
+    rows = [(i, f"g{i % 3}", "t", *(float(v) for v in rng.normal(i % 3, 1, 5))) for i in range(900)] + [(900 + i, "g0", "t", *(float(v) for v in rng.normal(14, 0.5, 5))) for i in range(90)]
+    rows += [(2000, "g1", "t", *[40.0] * 5), (2001, "alone", "t", *[1.0] * 5), (2002, "same", "u", *[2.0] * 5), (2003, "same", "u", *[2.0] * 5)]
+    d2 = {r.row: r.d2 for r in quality.robust_distances(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(d2) == len(rows)
+    assert min(d2[900 + i] for i in range(90)) > 150 and np.quantile([d2[i] for i in range(900)], 0.99) < 25
+    assert d2[2000] > 150 and max(d2[2001], d2[2002], d2[2003]) < 20
+
+
+def test_least_determinant_of_a_small_case(spark):
+    """Concentration steps against the determinants of all subsets."""
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(0, 1, (9, 5)), rng.normal(9, 1, (3, 5))]
+    rows = [(i, "p", *map(float, v)) for i, v in enumerate(x)]
+    h = -(-len(x) * 3 // 4)
+    best = min(np.linalg.slogdet(quality.floored(np.cov(x[list(c)].T, bias=True)))[1] for c in itertools.combinations(range(len(x)), h))
+    got = quality.least_determinants(spark.createDataFrame(rows, "row long, pool string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()
+    assert len(got) == 1
+    inverse = np.zeros((5, 5))
+    for (i, j), v in zip(quality._PAIRS, got[0].inverse, strict=True):
+        inverse[i, j] = inverse[j, i] = v / (1 if i == j else 2)
+    assert -np.linalg.slogdet(inverse)[1] <= best + 0.05
+    assert np.abs(np.array(got[0].centre)).max() < 1.5
 
 
 # ------------------------------------------------------------ toxicity
@@ -613,3 +636,25 @@ def test_pipeline(spark, sf):
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept[4]
     assert packed.agg(F.sum("length")).first()[0] == sum(len(packing.token_ids(ids[i])) for i in kept[4])
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Empty tables, null texts, no labelled language, repeated and null ids, and one more column."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    long = "some words of a text that is long enough to be told apart " * 3
+    tables = {
+        "empty": ([], set()),
+        "unlabelled": ([(1, long, None, None, 1, "x"), (2, None, None, "s1", None, None), (3, "123", None, "s1", 1, "x"), (None, "other words here", None, None, 1, "x")], {1, None}),
+        "labelled": ([(1, long, "en", "s1", 1, "x"), (1, long, "en", "s1", 1, "x"), (2, long + " ", "en", "s1", 1, "x"), (3, "", "en", "s1", 1, "x"), (None, long, "en", "s1", 1, "x")], {2, None}),
+    }
+    for name, (rows, want) in tables.items():
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in pipeline.STAGES[:3]:
+            docs = pipeline.stored(stage(spark, docs, str(folder)), "stage")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+        assert {r.doc_id for r in docs.collect()} == want, name
+        assert {r.doc_id for r in pipeline.run(spark, str(folder)).collect()} <= want
