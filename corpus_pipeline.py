@@ -2,9 +2,14 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; the
 result is written as Parquet and read again as the next stage's ``docs``.  All
-stages but the last return the columns of ``documents``.  Stages drop rows by
-their ids; a row whose id is null can't be dropped by a later stage than the
-first, and stays.
+stages but the last return the columns of ``documents``.
+
+Defined results: an empty table stays empty through all stages; a null text has
+no letter and is rejected by the first stage; where no language is labelled,
+none can be told, and only texts without a letter are rejected.  Later stages
+drop rows by their ids: rows with one id go or stay together, and a row whose id
+is null stays.  Further columns are carried along, up to packing.  Texts of any
+length are taken whole.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrain.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from geostrain.llm.common import join_by_size, read_table, stored
+from geostrain.llm.common import ID_BYTES, join_by_size, read_table, stored
 
 #: Texts whose language is less sure than this are rejected.
 LEAST_SCORE = 0.5
@@ -22,12 +27,14 @@ LEAST_SCORE = 0.5
 def _without(docs: DataFrame, decided: DataFrame, dropped: str) -> DataFrame:
     """``docs`` without the ids that ``decided`` (doc_id, ...) marks as dropped."""
     ids = stored(decided.where(dropped).where("doc_id is not null").select("doc_id").distinct(), "dropped")
-    return join_by_size(docs, ids, "doc_id", "left_anti", 8 * ids.count())
+    return join_by_size(docs, ids, "doc_id", "left_anti", ID_BYTES * ids.count())
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label every document; those without letters or with an unsure label go."""
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
     labelled = language_id.identify(docs, model, rest)
     kept = labelled.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
