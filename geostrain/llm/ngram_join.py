@@ -269,7 +269,7 @@ def _pairs_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     for at, m in zip(start[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
         own = ids[at : at + m]
         group = mix(mix(own.astype(np.uint64), 8).sum(keepdims=True, dtype=np.uint64), 9)
-        hub = own[mix(own.astype(np.uint64) ^ group, 6).argmin()]
+        hub = own[mix(own.astype(np.uint64), 6).argmin()]  # one order for all groups, so that those of one family share hubs
         a.append(np.minimum(own, hub))
         b.append(np.maximum(own, hub))
         groups.append(np.full(m, group[0].view(np.int64)))
