@@ -59,7 +59,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on: str, how: str, right_bytes: int) -> DataFrame:
+def join_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, right_bytes: int) -> DataFrame:
     """Broadcast ``right`` if its size allows it (measured, or ``ID_BYTES`` for each counted id), else join by shuffle."""
     if right_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)

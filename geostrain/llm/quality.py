@@ -6,17 +6,17 @@ group is searched from several starts: medians and absolute deviations, all
 rows, and two halves of the rows by a hash.  In a concentration step the
 ``H_SHARE`` rows nearest to the current centre give the next centre and
 covariance, which never enlarges the determinant; steps go on until no group's
-determinant falls any more.  The start with the least determinant is kept, and
-reweighted: rows within the ``REWEIGHT`` quantile of chi-squared give the final
+determinant falls any more.  After ``TRIALS`` steps the start with the least
+determinant is kept.  What it reaches is reweighted: rows within the ``REWEIGHT`` quantile of chi-squared give the final
 estimate.  Rows with a large Mahalanobis distance to it are rejected.
 
 Groups are the languages with their sources, the languages, and all rows.  The
 estimate of a group is drawn towards that of the group above it, as if that had
 ``PRIOR`` rows; so a group of any size has one, and nothing switches with size.
 
-A step is two aggregates with map-side partials (a quantile sketch of the
-distances, then sums and cross products), for all groups and starts at once, so
-a group of any size costs a row a task; all rows take part.
+A step is two aggregates with map-side partials (a histogram of the logarithms
+of the distances, then sums and cross products), for all groups and starts at
+once, so a group of any size costs a few rows a task; all rows take part.
 
 Defined results: a null text has no words and fails the base rule; texts of any
 length are counted whole; a null language or source is a group of its own; rows
@@ -32,16 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, stored, text_buffer, trimmed
+from .common import Words, join_by_size, mix, pieces, stored, text_buffer, trimmed
 
 H_SHARE = 0.75
 #: Halves of the rows that are starts, besides medians and all rows.
 HALVES = 2
 #: Determinants that fall by less than this share fall no more.
 STABLE = 0.01
+#: Steps of all starts before the best one goes on alone.
+TRIALS = 2
+#: Bins of a factor e of squared distance.
+FINE = 64
+#: Bytes of a group's state in a broadcast, at most.
+STATE_BYTES = 1024
 #: Rows of the group above that stand behind a group's estimate.
 PRIOR = 100.0
 #: Squared Mahalanobis distance from which a row is an outlier.
@@ -184,7 +190,7 @@ def _sums() -> list[Column]:
 def starts(vectors: DataFrame) -> DataFrame:
     """First centres and covariances of each pool."""
     spread = stored(vectors.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{c}") for c in X)), "medians")
-    deviations = vectors.join(spread, "pool").groupBy("pool").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c}")), 0.5, 1000).alias(f"d{c}") for c in X))
+    deviations = join_by_size(vectors, spread, "pool", "inner", STATE_BYTES * spread.count()).groupBy("pool").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c}")), 0.5, 1000).alias(f"d{c}") for c in X))
     scale = [F.greatest(F.pow(1.4826 * F.col(f"d{c}"), 2), F.lit(FLOOR[i] ** 2)) for i, c in enumerate(X)]
     inverse = F.array(*((1 / scale[i]) if i == j else F.lit(0.0) for i, j in _PAIRS))
     robust = spread.join(deviations, "pool").select("pool", F.lit(0).alias("start"), F.array(*(F.col(f"m{c}") for c in X)).alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("logdet"), F.lit(True).alias("falls"))
@@ -196,25 +202,39 @@ def starts(vectors: DataFrame) -> DataFrame:
     return stored(robust.unionByName(others.withColumn("logdet", F.lit(float("inf")))), "starts")
 
 
+def concentrated(vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after one more step of every group and start."""
+    size = STATE_BYTES * state.count()
+    at = join_by_size(vectors, state.select("pool", "start", "centre", "inverse"), "pool", "inner", size)
+    at = at.select("pool", "start", *X, F.floor(F.log(F.greatest(_distance(), F.lit(1e-9))) * FINE).cast("int").alias("bin"))
+    counts = at.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("pool", "start")
+    reached = counts.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
+    bound = reached.where(F.col("upto") >= H_SHARE * F.col("all")).groupBy("pool", "start").agg(F.min("bin").alias("bound"))
+    sums = join_by_size(at, bound, ["pool", "start"], "inner", size).where("bin <= bound").groupBy("pool", "start").agg(*_sums())
+    before = join_by_size(sums, state.select("pool", "start", "centre", "inverse", "logdet"), ["pool", "start"], "inner", size)
+    return stored(before.mapInPandas(_estimates, _STATE), "steps")
+
+
 def least_determinants(vectors: DataFrame) -> DataFrame:
     """pool, centre, inverse of the least determinant that concentration steps reach."""
     state = starts(vectors)
-    while True:  # each round but the last lowers a determinant, which the floor bounds, by a set share
-        at = vectors.join(state.select("pool", "start", "centre", "inverse", "logdet"), "pool").withColumn("d2", _distance())
-        bound = at.groupBy("pool", "start").agg(F.percentile_approx("d2", H_SHARE, 1000).alias("bound"))
-        nearest = at.join(bound, ["pool", "start"]).where("d2 <= bound").groupBy("pool", "start")
-        before = [F.first(c).alias(c) for c in ("centre", "inverse", "logdet")]
-        state = stored(nearest.agg(*_sums(), *before).mapInPandas(_estimates, _STATE), "steps")
-        if state.where("falls").isEmpty():
-            return state.groupBy("pool").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best")).select("pool", "best.*")
+    for _ in range(TRIALS):
+        state = concentrated(vectors, state)
+    best = F.min_by(F.struct("start", "centre", "inverse", "logdet", "falls"), F.struct("logdet", "start"))
+    state = stored(state.groupBy("pool").agg(best.alias("best")).select("pool", "best.*"), "best")
+    while not state.where("falls").isEmpty():  # each round but the last lowers a determinant, which the floor bounds, by a set share
+        state = concentrated(vectors, state)
+    return state.select("pool", "centre", "inverse")
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """pool and the sums of the rows that the reweighting step takes."""
-    best = stored(least_determinants(vectors), "least")
-    at = vectors.join(best, "pool").withColumn("d2", _distance())
+    best = least_determinants(vectors)
+    size = STATE_BYTES * best.count()
+    at = join_by_size(vectors, best, "pool", "inner", size).select("pool", *X, _distance().alias("d2"))
     factor = stored(at.groupBy("pool").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("factor")), "factor")
-    return stored(at.join(factor, "pool").where(F.col("d2") <= F.col("factor") * REWEIGHT).groupBy("pool").agg(*_sums()), "reweighted")
+    return stored(join_by_size(at, factor, "pool", "inner", size).where(F.col("d2") <= F.col("factor") * REWEIGHT).groupBy("pool").agg(*_sums()), "reweighted")
 
 
 def drawn(row: dict, above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -250,8 +270,8 @@ def robust_distances(vectors: DataFrame) -> DataFrame:
     for level in ("own", "tongue", "every"):
         groups = groups.join(of(level), f"{level}_pool")
     final = stored(groups.select(F.col("own_pool").alias("pool"), "own", "tongue", "every").mapInPandas(_composed, "pool string, centre array<double>, inverse array<double>"), "final")
-    at = stored(vectors.select("row", F.concat(F.lit("own\t"), "own").alias("pool"), *X).join(final, "pool").select("row", _distance().alias("d2")), "distances")
-    return at
+    at = vectors.select("row", F.concat(F.lit("own\t"), "own").alias("pool"), *X)
+    return stored(join_by_size(at, final, "pool", "inner", STATE_BYTES * final.count()).select("row", _distance().alias("d2")), "distances")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
