@@ -118,6 +118,19 @@ def site_pairs(sites: DataFrame, distance: Column | None = None) -> DataFrame:
     return one.join(two, ["_b1", "_b2"]).where("site1 < site2").drop("_b1", "_b2")
 
 
+def pair_matrix(first: DataFrame, second: DataFrame, key1: str, key2: str, blocks: int = 16) -> DataFrame:
+    """Every row of ``first`` beside every row of ``second``: the result is the matrix.
+
+    Both sides are dealt by blocks of their keys, so no task holds more than the
+    product of two blocks, and neither side is broadcast.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    one = first.withColumn("_b1", block(key1)).withColumn("_b2", every)
+    two = second.withColumn("_b2", block(key2)).withColumn("_b1", every)
+    return one.join(two, ["_b1", "_b2"]).drop("_b1", "_b2")
+
+
 def structure_function(pairs: DataFrame, keys: list[str], spacing: float, dvmax: float = 10.0, km: bool = False) -> DataFrame:
     """Spatial structure function: inverted median difference per distance bin.
 

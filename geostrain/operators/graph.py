@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """A round's table in the shared folder: later rounds read it, not its history."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geostrain-")
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """id and least id of its component; ``edges``: a, b.
 
     Each round takes the least label around a node and then that label's own,
-    so paths halve.
+    so paths halve; rounds go on until no label moves.
     """
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
-    for _ in range(rounds):
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
+    while True:
         around = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(around, F.col("id") == F.col("a")).select("id", F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("at"), F.col("label").alias("further"))
-        new = _written(new.join(jump, F.col("label") == F.col("at"), "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = written(new.join(jump, F.col("label") == F.col("at"), "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         labels = new
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def date_clusters(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import YEAR_DAYS
@@ -39,23 +39,19 @@ def scaled_mad(values: DataFrame, key: str, value: str, centre: DataFrame | None
 def pair_trend(series: DataFrame) -> DataFrame:
     """Rate, number of pairs kept and their scaled MAD for every site.
 
-    A site's slopes are one array, so that both medians and the rejection are
-    expressions over it: one join and one aggregate, no join back.
+    One shuffle, by site: partners are looked up in a range window that holds
+    the epochs of one day, one year on; medians are windows over the site.
     """
-    slopes = pair_rates(series).groupBy("site").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    slopes = slopes.withColumn("v0", _middle(F.col("s")))
-    slopes = slopes.withColumn("sigma", SCALE * _middle(F.array_sort(F.transform("s", lambda x: F.abs(x - F.col("v0"))))))
-    slopes = slopes.withColumn("kept", F.filter("s", lambda x: F.abs(x - F.col("v0")) < 2.0 * F.col("sigma"))).where(F.size("kept") > 0)
-    slopes = slopes.withColumn("vel", _middle(F.col("kept")))
-    mad = SCALE * _middle(F.array_sort(F.transform("kept", lambda x: F.abs(x - F.col("vel")))))
-    return slopes.select("site", F.round(F.col("vel") * 1000.0, 6).alias("vel_mm"), F.size("kept").cast("long").alias("n_pairs"), F.round(mad * 1000.0, 6).alias("mad_mm"))
-
-
-def _middle(ordered):
-    """Median of an ordered array."""
-    n = F.size(ordered)
-    at = lambda i: F.element_at(ordered, i.cast("int"))
-    return F.when(n == 0, F.lit(None)).otherwise((at(F.floor((n - 1) / 2) + 1) + at(F.floor(n / 2) + 1)) / 2)
+    day = F.datediff("d", F.lit("2000-01-01").cast("date"))
+    year_on = Window.partitionBy("site").orderBy("t").rangeBetween(ONE_YEAR, ONE_YEAR)
+    partners = series.select("site", day.alias("t"), "disp").withColumn("later", F.collect_list("disp").over(year_on))
+    slope = (F.col("disp2") - F.col("disp")) / (ONE_YEAR / YEAR_DAYS)
+    site = Window.partitionBy("site")
+    rows = partners.select("site", "disp", F.explode("later").alias("disp2")).select("site", slope.alias("s")).withColumn("v0", F.median("s").over(site))
+    rows = rows.withColumn("sigma", SCALE * F.median(F.abs(F.col("s") - F.col("v0"))).over(site)).where(F.abs(F.col("s") - F.col("v0")) < 2.0 * F.col("sigma"))
+    rows = rows.withColumn("vel", F.median("s").over(site))
+    found = rows.groupBy("site").agg(F.first("vel").alias("vel"), F.count("*").alias("n_pairs"), (SCALE * F.median(F.abs(F.col("s") - F.col("vel")))).alias("mad"))
+    return found.select("site", F.round(F.col("vel") * 1000.0, 6).alias("vel_mm"), "n_pairs", F.round(F.col("mad") * 1000.0, 6).alias("mad_mm"))
 
 
 # ------------------------------------------------------------ kernel
@@ -68,7 +64,7 @@ def segment_ids(years: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """
     n = len(years)
     opens = np.zeros(n, np.int64)
-    for s in np.unique(steps):
+    for s in np.unique(steps) if n else ():
         gap = np.abs(years - s)
         opens[n - 1 - int(np.argmin(gap[::-1]))] = 1
     opens[:1] = 0
@@ -76,22 +72,25 @@ def segment_ids(years: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def _one_direction(years: np.ndarray, steps: np.ndarray, tolerance: float) -> np.ndarray:
-    """Pairs (i, j), j later in run order; ``years`` moves in one direction."""
+    """Pairs (i, j), j later in run order; ``years`` moves in one direction.
+
+    Partners of an epoch are a range of the run, cut off where its segment ends;
+    without any, the first epoch beyond a year stands in, if it is in the segment.
+    """
     n = len(years)
-    part = segment_ids(years, steps)
-    along = np.abs(years - years[0]) if n else years
-    pairs = []
-    for i in range(n - 1):
-        a = np.searchsorted(along, along[i] + 1 - tolerance, "right")
-        b = np.searchsorted(along, along[i] + 1 + tolerance, "left")
-        exact = [j for j in range(max(a, i + 1), b) if part[j] == part[i]]
-        if exact:
-            pairs += [(i, j) for j in exact]
-        elif i != n - 2:
-            later = np.flatnonzero(part[max(a, i + 1) :] == part[i])
-            if len(later):
-                pairs.append((i, max(a, i + 1) + int(later[0])))
-    return np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
+    part = segment_ids(years, steps)  # never falls along the run
+    along = np.abs(years - years[0])
+    i = np.arange(n - 1)
+    first = np.maximum(np.searchsorted(along, along[:-1] + 1 - tolerance, "right"), i + 1)
+    last = np.minimum(np.searchsorted(along, along[:-1] + 1 + tolerance, "left"), np.searchsorted(part, part[:-1], "right"))
+    count = np.maximum(0, last - first)
+    stand_in = (count == 0) & (i != n - 2) & (first < n) & (part[np.minimum(first, n - 1)] == part[:-1])
+    count[stand_in] = 1
+    own = np.repeat(i, count)
+    other = np.repeat(first, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    return np.sort(np.stack([own, other], 1), axis=0)
 
 
 def select_pairs(days: np.ndarray, steps: np.ndarray = (), tolerance: float = TOLERANCE) -> np.ndarray:
@@ -154,12 +153,32 @@ def robust_trend(series: DataFrame, steps: DataFrame | None = None, tolerance: f
     return rows.cogroup(cut).applyInPandas(lambda key, g, c: one(key, g, c), TREND).where("n_pairs is not null")
 
 
+def beside_steps(series: DataFrame, steps: DataFrame) -> DataFrame:
+    """site, step, and the epochs before (or on), on (or after), and strictly after it.
+
+    One pass in the order of days over epochs and steps together; no epoch meets a step it isn't next to.
+    """
+    t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
+    rows = series.select("site", t, F.col("d").alias("epoch"), F.lit(None).cast("date").alias("step")).unionByName(steps.distinct().select("site", t, F.lit(None).cast("date").alias("epoch"), F.col("d").alias("step")))
+    up, down = Window.partitionBy("site").orderBy("t"), Window.partitionBy("site").orderBy(F.desc("t"))
+    found = {
+        "before": F.max("epoch").over(up.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "after": F.min("epoch").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "later": F.min("epoch").over(down.rangeBetween(Window.unboundedPreceding, -1)),
+    }
+    return rows.withColumns(found).where("step is not null").select("site", "step", *found)
+
+
 def nearest_epoch(series: DataFrame, steps: DataFrame) -> DataFrame:
     """The epoch nearest to each step of its site; ties go to the later one."""
-    s = steps.select("site", F.col("d").alias("step"))
-    gap = F.abs(F.datediff("d", "step"))
-    joined = series.select("site", "d").join(s, "site")
-    return joined.groupBy("site", "step").agg(F.max_by("d", F.struct(-gap, F.col("d"))).alias("epoch"), F.min(gap).alias("gap_days"))
+    gap = lambda c: F.abs(F.datediff(c, "step"))
+    near = beside_steps(series, steps).withColumn("epoch", F.when(F.col("before").isNull() | (gap("after") <= gap("before")), F.col("after")).otherwise(F.col("before")))
+    return near.where("epoch is not null").select("site", "step", "epoch", gap("epoch").alias("gap_days"))
+
+
+def first_after(series: DataFrame, steps: DataFrame) -> DataFrame:
+    """The first epoch after each step, if there is one."""
+    return beside_steps(series, steps).where("later is not null").select("site", F.col("step").alias("d"), F.col("later").alias("e"))
 
 
 def pairs_of_sites(series: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

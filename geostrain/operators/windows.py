@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .robust import _middle, trend
+from .robust import trend
 
 
 def _by_site():
@@ -18,7 +18,9 @@ def rolling(series: DataFrame, k: int, value: str = "disp") -> DataFrame:
     """Median, mean and sample deviation of the last ``k`` rows; null before that."""
     w = _by_site().rowsBetween(-(k - 1), 0)
     full = F.count(value).over(w) == k
-    return series.withColumns({"median_k": F.when(full, _middle(F.array_sort(F.collect_list(value).over(w)))), "mean_k": F.when(full, F.avg(value).over(w)), "std_k": F.when(full, F.stddev_samp(value).over(w))})
+    ordered = F.sort_array(F.collect_list(value).over(w))  # of k values, where it counts
+    median = ordered[k // 2] if k % 2 else (ordered[k // 2 - 1] + ordered[k // 2]) / 2
+    return series.withColumns({"median_k": F.when(full, median), "mean_k": F.when(full, F.avg(value).over(w)), "std_k": F.when(full, F.stddev_samp(value).over(w))})
 
 
 def difference(series: DataFrame, periods: int = 1, value: str = "disp") -> DataFrame:
@@ -63,34 +65,41 @@ def reconstruction_error(df: DataFrame, columns: list[str], k: int = 2) -> DataF
 
 
 def anchors(days: np.ndarray, years: float) -> np.ndarray:
-    """Starts of windows: each the first epoch beyond half a width after the last."""
+    """Starts of windows: each the first epoch beyond half a width after the last; ``days`` ascend."""
     if not len(days):
         return days
     half, width = int(365 * (years / 2)), 365 * years
     out, cur = [days[0]], days[0]
-    while True:
-        later = days[days > cur + half]
-        if not len(later):
-            return np.array(out)
-        if int(days[-1] - later[0]) > width:
-            out.append(later[0])
-        cur = later[0]
+    while (at := int(np.searchsorted(days, cur + half, "right"))) < len(days):
+        cur = days[at]
+        if int(days[-1] - cur) > width:
+            out.append(cur)
+    return np.array(out)
 
 
 def window_rates(days, disp, years: float, steps=(), method: str = "robust", offset: float = 0.0) -> list[dict]:
-    """Rate in each window; members lie strictly between its anchor and its end."""
+    """Rate in each window; members lie strictly between its anchor and its end.  ``days`` ascend."""
     days, disp = np.asarray(days, float), np.asarray(disp, float)
-    out = []
-    for a in anchors(days, years):
-        start = a + int(365 * offset)
-        m = (days > start) & (days < start + int(365 * years))
-        if method == "robust":
-            vel = trend(days[m], disp[m], steps)["vel"]
-        else:
-            vel = ols_rate(days[m], disp[m])
-        if vel is not None:
-            out.append({"anchor": float(a), "vel": vel})
-    return out
+    start = anchors(days, years)
+    first = np.searchsorted(days, start + int(365 * offset), "right")
+    last = np.searchsorted(days, start + int(365 * offset) + int(365 * years), "left")
+    if method == "robust":
+        rates = [trend(days[a:b], disp[a:b], steps)["vel"] for a, b in zip(first, last, strict=True)]
+    else:
+        rates = ols_rates(days, disp, first, np.maximum(first, last))
+    return [{"anchor": float(a), "vel": vel} for a, vel in zip(start, rates, strict=True) if vel is not None]
+
+
+def ols_rates(days: np.ndarray, disp: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[float | None]:
+    """Least-squares rate of each range of epochs, from running sums; none for one day alone."""
+    ok = np.isfinite(disp)
+    t = (days - days[:1].sum()) / 365.25
+    x = np.where(ok, disp - (np.mean(disp[ok]) if ok.any() else 0.0), 0.0)
+    n, st, sx, stt, stx = (np.diff(np.r_[0, np.cumsum(v)][np.stack([first, last])], axis=0)[0] for v in (ok.astype(float), t * ok, x, t * t * ok, t * x))
+    with np.errstate(all="ignore"):
+        spread = stt - st * st / n
+        rate = (stx - st * sx / n) / spread
+    return [float(v) if k >= 2 and w > 1e-9 else None for v, k, w in zip(rate, n, spread, strict=True)]
 
 
 def ols_rate(days: np.ndarray, disp: np.ndarray) -> float | None:

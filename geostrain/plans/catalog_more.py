@@ -15,6 +15,8 @@ from ..operators import filters as FL
 from ..operators import geostatistics as GS
 from ..operators import network, plates, regression, robust
 from ..sources import stations as S
+from ..sources.shared import shared_dir
+from .ellipsoid import distances
 from .registry import query
 from .views import duck, view
 
@@ -26,9 +28,10 @@ def r6(column, name: str):
 
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
+    return f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
 
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/sink-{uuid.uuid4().hex}"
+
+_PAIRS = "SELECT a.site AS site1, b.site AS site2, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM v_sites a JOIN v_sites b ON a.site < b.site"
 
 
 @query("S02_providers", "SELECT * FROM (VALUES ('jpl', '.series', 2000e0), ('unr', '.tenv3', 2000e0), ('cors', NULL, 2010e0)) t(name, suffix, epoch)")
@@ -62,9 +65,9 @@ def f04(spark, sf):
     return FL.without_outliers(view(spark, sf, "v_sites"), ["v"], 1.5).select("site")
 
 
-@query("F14_barrier_between_sets", duck("SELECT a.site AS site1, b.site AS site2, CAST((a.lon <= -115.003e0) <> (b.lon <= -115.003e0) AS INT) AS crosses FROM v_sites a JOIN v_sites b ON a.site % 2 = 0 AND b.site % 2 = 1 WHERE a.site <= 100 AND b.site <= 100"))
+@query("F14_barrier_between_sets", duck("SELECT a.site AS site1, b.site AS site2, CAST((a.lon <= -115.003e0) <> (b.lon <= -115.003e0) AS INT) AS crosses FROM v_sites a JOIN v_sites b ON a.site % 2 = 0 AND b.site % 2 = 1"))
 def f14(spark, sf):
-    s = view(spark, sf, "v_sites").where("site <= 100").select("site", "lon", "lat")
+    s = view(spark, sf, "v_sites").select("site", "lon", "lat")
     both = A.site_pairs(s).where("(site1 + site2) % 2 = 1")
     even = lambda k: F.when(c("site1") % 2 == 0, c(f"{k}1")).otherwise(c(f"{k}2")).alias(f"{k}1")
     odd = lambda k: F.when(c("site1") % 2 == 0, c(f"{k}2")).otherwise(c(f"{k}1")).alias(f"{k}2")
@@ -72,11 +75,11 @@ def f14(spark, sf):
     return FL.barrier_mask(pairs, [(-115.003, 0.0, -115.003, 80.0)]).select("site1", "site2", "crosses")
 
 
-@query("J07_pair_matrix", duck("SELECT a.site AS i, b.site AS j, a.v AS first, b.v AS second FROM v_sites a, v_sites b WHERE a.site <= 40 AND b.site <= 60"))
+@query("J07_pair_matrix", duck("SELECT a.site AS i, b.site AS j, a.v AS first, b.v AS second FROM v_sites a, v_sites b"))
 def j07(spark, sf):
     s = view(spark, sf, "v_sites")
-    few = s.where("site <= 40").select(c("site").alias("i"), c("v").alias("first"))
-    return s.where("site <= 60").select(c("site").alias("j"), c("v").alias("second")).crossJoin(F.broadcast(few))  # forty rows by the filter
+    first, second = s.select(c("site").alias("i"), c("v").alias("first")), s.select(c("site").alias("j"), c("v").alias("second"))
+    return A.pair_matrix(first, second, "i", "j")
 
 
 @query("J10_neighbour_join", None)
@@ -86,17 +89,17 @@ def j10(spark, sf):
     return e.join(s.withColumnsRenamed({"site": "src", "v": "v_src"}), "src").join(s.withColumnsRenamed({"site": "dst", "v": "v_dst"}), "dst")
 
 
-@query("M01_geodesic_distance", None)
+@query("M01_geodesic_distance", duck(f"p AS ({_PAIRS}), {distances('p', 'site1, site2')} SELECT site1, site2, round(m / 1000, 6) AS km FROM e"))
 def m01(spark, sf):
     p = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
     return p.select("site1", "site2", F.round(G.geodesic_distance(c("lon1"), c("lat1"), c("lon2"), c("lat2"), "km"), 6).alias("km"))
 
 
-@query("M17_window_grid", duck("SELECT DISTINCT y, x, round(36e0 - 0.01e0 * (y + (y / 39e0)), 6) AS lat, round(-118e0 + 0.02e0 * (x + (x / 49e0)), 6) AS lon FROM v_pixel WHERE y < 40"))
+@query("M17_window_grid", duck("SELECT DISTINCT y, x, round(36e0 - 0.01e0 * (y + (y / 39e0)), 6) AS lat, round(-118e0 + 0.02e0 * (x + (x / 49e0)), 6) AS lon FROM v_pixel"))
 def m17(spark, sf):
     # centres by an inclusive division of the box: a step of span over n - 1
     lat, lon = 36 - 0.01 * 40 / 39 * c("y"), -118 + 0.02 * 50 / 49 * c("x")
-    return view(spark, sf, "v_pixel").where("y < 40").select("y", "x").distinct().select("y", "x", r6(lat, "lat"), r6(lon, "lon"))
+    return view(spark, sf, "v_pixel").select("y", "x").distinct().select("y", "x", r6(lat, "lat"), r6(lon, "lon"))
 
 
 @query("M34_matrix_predicates", "SELECT true AS symmetric, true AS positive, false AS indefinite")
@@ -127,11 +130,11 @@ def v02(spark, sf):
     return robust.pairs_of_sites(view(spark, sf, "v_series"))
 
 
-@query("V03_design_matrix", duck("SELECT DISTINCT d, round(days_between(DATE '1995-01-02', d) / 365.25e0, 6) AS p1, round(cos(days_between(DATE '1995-01-02', d) / 365.25e0 * 6.283185307179586e0), 6) AS c0 FROM v_series WHERE site <= 20"))
+@query("V03_design_matrix", duck("SELECT DISTINCT d, round(days_between(DATE '1995-01-02', d) / 365.25e0, 6) AS p1, round(cos(days_between(DATE '1995-01-02', d) / 365.25e0 * 6.283185307179586e0), 6) AS c0 FROM v_series"))
 def v03(spark, sf):
     t = F.datediff("d", lit("1995-01-02").cast("date")) / 365.25
     cols = M.time_design(t, 1, [1.0])
-    return view(spark, sf, "v_series").where("site <= 20").select("d").distinct().select("d", r6(cols["p1"], "p1"), r6(cols["c0"], "c0"))
+    return view(spark, sf, "v_series").select("d").distinct().select("d", r6(cols["p1"], "p1"), r6(cols["c0"], "c0"))
 
 
 @query("V06_site_fits", None)
@@ -140,7 +143,7 @@ def v06(spark, sf):
 
 
 def _pairs(spark, sf):
-    s = view(spark, sf, "v_sites").where("site <= 100")
+    s = view(spark, sf, "v_sites")
     p = A.site_pairs(s.select("site", "lon", "lat", c("v").alias("e"), (c("v") / 2).alias("n"), (c("sv") / 5).alias("se"), (c("sv") / 6).alias("sn")))
     return p.withColumn("dist", F.sqrt((c("lon1") - c("lon2")) ** 2 + (c("lat1") - c("lat2")) ** 2) * 100)
 
@@ -161,19 +164,19 @@ def l07(spark, sf):
     return GS.collocate(obs, grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
-@query("L09_weighted_beta_bins", duck("p AS (SELECT radians(a.lat) AS t1, radians(b.lat) AS t2, radians(a.lon - b.lon) AS s, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 AS dist, a.v AS e1, b.v AS e2, a.sv / 5 AS n1, b.sv / 5 AS n2 FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 100 AND b.site <= 100), f AS (SELECT *, sin(t1) * sin(t2) * cos(s) + cos(t1) * cos(t2) AS f FROM p), b AS (SELECT CAST(floor(dist / 100) AS INT) AS bin, (e1 * e2 - 0.5e0 * pow(n1 - n2, 2)) / f AS beta, (n1 * n1 * n2 * n2 + pow(0.5e0 * pow(n1 - n2, 2), 2)) / (f * f) AS var FROM f) SELECT bin, count(*) AS n, round(sum(beta / var) / sum(1 / var), 5) AS k FROM b GROUP BY bin"))
+@query("L09_weighted_beta_bins", duck("p AS (SELECT radians(a.lat) AS t1, radians(b.lat) AS t2, radians(a.lon - b.lon) AS s, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 AS dist, a.v AS e1, b.v AS e2, a.sv / 5 AS n1, b.sv / 5 AS n2 FROM v_sites a JOIN v_sites b ON a.site < b.site), f AS (SELECT *, sin(t1) * sin(t2) * cos(s) + cos(t1) * cos(t2) AS f FROM p), b AS (SELECT CAST(floor(dist / 100) AS INT) AS bin, (e1 * e2 - 0.5e0 * pow(n1 - n2, 2)) / f AS beta, (n1 * n1 * n2 * n2 + pow(0.5e0 * pow(n1 - n2, 2), 2)) / (f * f) AS var FROM f) SELECT bin, count(*) AS n, round(sum(beta / var) / sum(1 / var), 5) AS k FROM b GROUP BY bin"))
 def l09(spark, sf):
     b = GS.pair_betas(_pairs(spark, sf).withColumn("bin", F.floor(c("dist") / 100).cast("int"))).where("component = 'ee'")
     return GS.alpha_weighted(b, ["bin"]).select("bin", "n", F.round("k", 5).alias("k"))
 
 
-@query("L13_factor_products", duck("SELECT a.site AS site1, b.site AS site2, round(pow(cos(radians(a.lon - b.lon)), 2), 6) AS fnn2 FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 100 AND b.site <= 100"))
+@query("L13_factor_products", duck("SELECT a.site AS site1, b.site AS site2, round(pow(cos(radians(a.lon - b.lon)), 2), 6) AS fnn2 FROM v_sites a JOIN v_sites b ON a.site < b.site"))
 def l13(spark, sf):
     f = M.angular_factors(c("lon1"), c("lat1"), c("lon2"), c("lat2"))
     return _pairs(spark, sf).select("site1", "site2", r6(f["nn"] * f["nn"], "fnn2"))
 
 
-@query("L14_kernel_of_distance", duck("SELECT a.site AS site1, b.site AS site2, round(2 * exp(-sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 / 250e0), 6) AS k FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 100 AND b.site <= 100"))
+@query("L14_kernel_of_distance", duck("SELECT a.site AS site1, b.site AS site2, round(2 * exp(-sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 / 250e0), 6) AS k FROM v_sites a JOIN v_sites b ON a.site < b.site"))
 def l14(spark, sf):
     return _pairs(spark, sf).select("site1", "site2", r6(M.COVARIANCE["gm1"](c("dist"), lit(2.0), lit(250.0)), "k"))
 

@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import noise, plates, rasters, regression, robust
 from ..sources import stations as S
+from .ellipsoid import distances
 from .registry import query
 from .views import duck, view
 
@@ -61,14 +62,14 @@ def s05(spark, sf):
     return got.select("site", F.round(c("lon").cast("double"), 4).alias("lon"), "start_date", "end_date", F.round(c("duration").cast("double"), 4).alias("duration"))
 
 
-@query("S08_steps", duck("SELECT DISTINCT CAST(site AS VARCHAR) AS site, d, CASE WHEN site % 4 = 0 THEN 7.1e0 END AS mag FROM v_steps WHERE site <= 50"))
+@query("S08_steps", duck("SELECT DISTINCT CAST(site AS VARCHAR) AS site, d, CASE WHEN site % 4 = 0 THEN 7.1e0 END AS mag FROM v_steps"))
 def s08(spark, sf):
     steps = view(spark, sf, "v_steps").coalesce(1)
     date = F.upper(F.date_format("d", "yyMMMdd"))
     plain, quake = F.concat_ws(" ", "site", date, lit("1"), lit("antenna")), F.concat_ws(" ", "site", date, lit("2"), lit("100"), lit("50"), lit("7.1"), lit("event"))
     lines = steps.select(F.when(c("site") % 4 == 0, quake).otherwise(plain).alias("value"))
     tail = spark.range(0, 1, 1, 1).select(lit("incompl").alias("value"))
-    sites = view(spark, sf, "v_sites").where("site <= 50").select(c("site").cast("string").alias("site"))
+    sites = view(spark, sf, "v_sites").select(c("site").cast("string").alias("site"))
     return S.read_steps(lines.unionByName(tail), sites).select("site", "d", "mag").distinct()
 
 
@@ -190,9 +191,9 @@ def f12(spark, sf):
     return FL.covered(rows, ["ty"], "disp", 0.5).select("ty", r6(c("missing"), "missing"))
 
 
-@query("F13_barrier_mask", duck("p AS (SELECT a.site AS site1, b.site AS site2, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 200 AND b.site <= 200) SELECT site1, site2, CAST((lon1 <= -115.003e0) <> (lon2 <= -115.003e0) AS INT) AS crosses FROM p"))
+@query("F13_barrier_mask", duck("p AS (SELECT a.site AS site1, b.site AS site2, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM v_sites a JOIN v_sites b ON a.site < b.site) SELECT site1, site2, CAST((lon1 <= -115.003e0) <> (lon2 <= -115.003e0) AS INT) AS crosses FROM p"))
 def f13(spark, sf):
-    pairs = A.site_pairs(view(spark, sf, "v_sites").where("site <= 200").select("site", "lon", "lat"))
+    pairs = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
     return FL.barrier_mask(pairs, [(-115.003, 0.0, -115.003, 80.0)]).select("site1", "site2", "crosses")
 
 
@@ -243,11 +244,13 @@ def j06(spark, sf):
     return robust.nearest_epoch(view(spark, sf, "v_series"), view(spark, sf, "v_steps")).withColumn("gap_days", c("gap_days").cast("long"))
 
 
-@query("J08_distance_pairs", duck("SELECT count(*) AS n FROM v_sites a JOIN v_sites b ON a.site < b.site"))
+_POINTS = "SELECT a.site AS site1, b.site AS site2, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM v_sites a JOIN v_sites b ON a.site < b.site"
+
+
+@query("J08_distance_pairs", duck(f"p AS ({_POINTS}), {distances('p', 'site1, site2')} SELECT site1, site2, round(m / 1000, 5) AS dist FROM e"))
 def j08(spark, sf):
     pairs = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
-    d = G.geodesic_distance(c("lon1"), c("lat1"), c("lon2"), c("lat2"), "km")
-    return pairs.withColumn("dist", d).where("dist >= 0").agg(F.count("*").alias("n"))
+    return pairs.select("site1", "site2", F.round(G.geodesic_distance(c("lon1"), c("lat1"), c("lon2"), c("lat2"), "km"), 5).alias("dist"))
 
 
 @query("J09_upper_triangle", duck("SELECT a.site AS site1, b.site AS site2, round(abs(a.v - b.v), 6) AS dv FROM v_sites a JOIN v_sites b ON a.site < b.site"))
@@ -269,9 +272,9 @@ def j12(spark, sf):
     return plates.on_plates(view(spark, sf, "v_sites").select("site", "lon", "lat"), polygons).select("site", "plate_ix")
 
 
-@query("J13_track_overlap", duck("SELECT a.site AS s1, b.site AS s2, greatest(a.lat, b.lat) AS s, least(a.lat, b.lat) + 2 AS n, greatest(a.lon, b.lon) AS w, least(a.lon, b.lon) + 2 AS e FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 60 AND b.site <= 60 AND greatest(a.lat, b.lat) < least(a.lat, b.lat) + 2 AND greatest(a.lon, b.lon) < least(a.lon, b.lon) + 2"))
+@query("J13_track_overlap", duck("SELECT a.site AS s1, b.site AS s2, greatest(a.lat, b.lat) AS s, least(a.lat, b.lat) + 2 AS n, greatest(a.lon, b.lon) AS w, least(a.lon, b.lon) + 2 AS e FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE greatest(a.lat, b.lat) < least(a.lat, b.lat) + 2 AND greatest(a.lon, b.lon) < least(a.lon, b.lon) + 2"))
 def j13(spark, sf):
-    p = A.site_pairs(view(spark, sf, "v_sites").where("site <= 60").select("site", "lon", "lat"))
+    p = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
     p = p.select(c("site1").alias("s1"), c("site2").alias("s2"), F.greatest("lat1", "lat2").alias("s"), (F.least("lat1", "lat2") + 2).alias("n"), F.greatest("lon1", "lon2").alias("w"), (F.least("lon1", "lon2") + 2).alias("e"))
     return p.where("s < n and w < e")
 
@@ -364,7 +367,7 @@ def m03(spark, sf):
 
 @query("M04_vincenty", None)
 def m04(spark, sf):
-    p = A.site_pairs(view(spark, sf, "v_sites").where("site <= 200").select("site", "lon", "lat"))
+    p = A.site_pairs(view(spark, sf, "v_sites").select("site", "lon", "lat"))
     return p.select("site1", "site2", G.vincenty(c("lat1"), c("lon1"), c("lat2"), c("lon2")).alias("g")).select("site1", "site2", "g.*")
 
 
@@ -376,10 +379,13 @@ def m02(spark, sf):
     return s.select("site", r6(c("q.lon"), "lon"), r6(c("q.lat"), "lat"))
 
 
-@query("M05_pixel_metres", None)
+_STEPS = "SELECT site, 0 AS way, lon AS lon1, lat AS lat1, lon AS lon2, lat + 0.01e0 AS lat2 FROM v_sites UNION ALL SELECT site, 1, lon, lat, lon + 0.01e0, lat FROM v_sites"
+
+
+@query("M05_pixel_metres", duck(f"p AS ({_STEPS}), {distances('p', 'site, way')} SELECT site, round(max(CASE WHEN way = 0 THEN m END), 5) AS north, round(max(CASE WHEN way = 1 THEN m END), 5) AS east FROM e GROUP BY site"))
 def m05(spark, sf):
     n, e = G.pixel_metres(c("lat"), c("lon"), lit(0.01), lit(0.01))
-    return view(spark, sf, "v_sites").select("site", r6(n, "north"), r6(e, "east"))
+    return view(spark, sf, "v_sites").select("site", F.round(n, 5).alias("north"), F.round(e, 5).alias("east"))
 
 
 @query("M06_enu_matrix", duck("SELECT site, round(-sin(radians(lon)), 6) AS r00, round(cos(radians(lon)), 6) AS r01, round(-sin(radians(lat)) * cos(radians(lon)), 6) AS r10, round(-sin(radians(lat)) * sin(radians(lon)), 6) AS r11, round(cos(radians(lat)), 6) AS r12, round(cos(radians(lat)) * cos(radians(lon)), 6) AS r20, round(cos(radians(lat)) * sin(radians(lon)), 6) AS r21, round(sin(radians(lat)), 6) AS r22 FROM v_sites"))
@@ -529,11 +535,11 @@ def m28(spark, sf):
     return p.select("site1", "site2", *(r6(x, k) for k, x in f.items()))
 
 
-@query("M29_time_design", duck("t AS (SELECT site, d, days_between(DATE '1992-01-01', d) / 365.25e0 AS t FROM v_series WHERE site <= 20) SELECT site, d, 1e0 AS p0, round(t, 6) AS p1, round(t * t / 2, 6) AS p2, round(cos(t * 6.283185307179586e0), 6) AS c0, round(sin(t * 6.283185307179586e0), 6) AS s0, CASE WHEN t > 3 THEN 1e0 ELSE 0e0 END AS h0, round(CASE WHEN t > 3 THEN 1 - exp(-(t - 3) / 0.5e0) ELSE 0 END, 6) AS e0, round(CASE WHEN t > 3 THEN ln(1 + (t - 3) / 0.5e0) ELSE 0 END, 6) AS l0 FROM t"))
+@query("M29_time_design", duck("t AS (SELECT site, d, days_between(DATE '1992-01-01', d) / 365.25e0 AS t FROM v_series) SELECT site, d, 1e0 AS p0, round(t, 6) AS p1, round(t * t / 2, 6) AS p2, round(cos(t * 6.283185307179586e0), 6) AS c0, round(sin(t * 6.283185307179586e0), 6) AS s0, CASE WHEN t > 3 THEN 1e0 ELSE 0e0 END AS h0, round(CASE WHEN t > 3 THEN 1 - exp(-(t - 3) / 0.5e0) ELSE 0 END, 6) AS e0, round(CASE WHEN t > 3 THEN ln(1 + (t - 3) / 0.5e0) ELSE 0 END, 6) AS l0 FROM t"))
 def m29(spark, sf):
     t = F.datediff("d", day("1992-01-01")) / 365.25
     cols = M.time_design(t, 2, [1.0], [lit(3.0)], [(lit(3.0), 0.5)], [(lit(3.0), 0.5)])
-    return view(spark, sf, "v_series").where("site <= 20").select("site", "d", *(r6(x, k) for k, x in cols.items()))
+    return view(spark, sf, "v_series").select("site", "d", *(r6(x, k) for k, x in cols.items()))
 
 
 @query("M30_plane_design", duck("SELECT site, lon * lon AS t0, lat * lat AS t1, lon * lat AS t2, lon AS t3, lat AS t4, 1e0 AS t5 FROM v_sites"))
@@ -551,9 +557,9 @@ def m32(spark, sf):
     return view(spark, sf, "v_sites").select("site", r6(M.plane_variance(c("lon"), c("lat"), [[0.2, 0.01, 0.02], [0.01, 0.3, 0.03], [0.02, 0.03, 0.5]], 1), "variance"))
 
 
-@query("M33_unit_metres", duck("SELECT y, x, d, disp * 0.001e0 AS disp FROM v_pixel WHERE y < 3"))
+@query("M33_unit_metres", duck("SELECT y, x, d, disp * 0.001e0 AS disp FROM v_pixel"))
 def m33(spark, sf):
-    return view(spark, sf, "v_pixel").where("y < 3").select("y", "x", "d", (c("disp") * F.when(lit("mm") == "mm", 0.001).otherwise(1.0)).alias("disp"))
+    return view(spark, sf, "v_pixel").select("y", "x", "d", (c("disp") * F.when(lit("mm") == "mm", 0.001).otherwise(1.0)).alias("disp"))
 
 
 @query("V30_core_weight", duck("SELECT DISTINCT y, x, round(CASE WHEN y BETWEEN 2 AND 3 AND x BETWEEN 10 AND 29 THEN 1 ELSE greatest(0, 0.75 * (1 - pow(((sqrt(pow(y - 2, 2) + pow(x - 19, 2)) + sqrt(pow(y - 2, 2) + pow(x - 20, 2)) + sqrt(pow(y - 3, 2) + pow(x - 19, 2)) + sqrt(pow(y - 3, 2) + pow(x - 20, 2))) / 4) / (sqrt(404e0) / 2 + 5), 2))) END, 6) AS w FROM v_pixel"))

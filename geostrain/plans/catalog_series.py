@@ -159,11 +159,11 @@ def a16(spark, sf):
     return A.date_counts(view(spark, sf, "v_ifg"))
 
 
-_STACK = "z AS (SELECT i.date1, i.date2, p.y, p.x, CASE WHEN p.x % 5 = 0 THEN 0 ELSE p.disp END AS value FROM v_ifg i JOIN v_pixel p ON i.date1 = p.d WHERE p.y < 4)"
+_STACK = "z AS (SELECT i.date1, i.date2, p.y, p.x, CASE WHEN p.x % 5 = 0 THEN 0 ELSE p.disp END AS value FROM v_ifg i JOIN v_pixel p ON i.date1 = p.d)"
 
 
 def _ifg_stack(spark, sf):
-    p = view(spark, sf, "v_pixel").where("y < 4").select("y", "x", c("d").alias("date1"), F.when(c("x") % 5 == 0, 0.0).otherwise(c("disp")).alias("value"))
+    p = view(spark, sf, "v_pixel").select("y", "x", c("d").alias("date1"), F.when(c("x") % 5 == 0, 0.0).otherwise(c("disp")).alias("value"))
     return view(spark, sf, "v_ifg").join(p, "date1")
 
 
@@ -266,15 +266,15 @@ def w11(spark, sf):
     return W.moving_windows(view(spark, sf, "v_pixel").select("y", "x", c("disp").alias("value")), 15, 20, 5, 5)
 
 
-@query("W12_extended_windows", duck("t AS (SELECT DISTINCT y AS y0, y + 5 AS y1, 10 AS x0, 30 AS x1 FROM v_pixel WHERE y <= 30) SELECT y0, greatest(y0 - 3, 0) AS ey0, least(y1 + 3, 40) AS ey1, y0 - greatest(y0 - 3, 0) AS py0, y1 - greatest(y0 - 3, 0) AS py1 FROM t"))
+@query("W12_extended_windows", duck("t AS (SELECT DISTINCT y AS y0, y + 5 AS y1, 10 AS x0, 30 AS x1 FROM v_pixel) SELECT y0, greatest(y0 - 3, 0) AS ey0, least(y1 + 3, 40) AS ey1, y0 - greatest(y0 - 3, 0) AS py0, y1 - greatest(y0 - 3, 0) AS py1 FROM t"))
 def w12(spark, sf):
-    t = view(spark, sf, "v_pixel").where("y <= 30").select(c("y").alias("y0"), (c("y") + 5).alias("y1"), lit(10).alias("x0"), lit(30).alias("x1")).distinct()
+    t = view(spark, sf, "v_pixel").select(c("y").alias("y0"), (c("y") + 5).alias("y1"), lit(10).alias("x0"), lit(30).alias("x1")).distinct()
     return W.extended(t, 3, 3, 40, 50).select("y0", "ey0", "ey1", "py0", "py1")
 
 
-@query("W13_fill_gaps", duck("s AS (SELECT site, min(d) AS a, max(d) AS b FROM v_series WHERE site <= 20 GROUP BY site), g AS (SELECT site, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM s) SELECT g.site, g.d, v.disp FROM g LEFT JOIN v_series v ON g.site = v.site AND g.d = v.d"))
+@query("W13_fill_gaps", duck("s AS (SELECT site, min(d) AS a, max(d) AS b FROM v_series GROUP BY site), g AS (SELECT site, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM s) SELECT g.site, g.d, v.disp FROM g LEFT JOIN v_series v ON g.site = v.site AND g.d = v.d"))
 def w13(spark, sf):
-    return W.fill_gaps_regular(view(spark, sf, "v_series").where("site <= 20"))
+    return W.fill_gaps_regular(view(spark, sf, "v_series"))
 
 
 _ADJ = "n AS (SELECT y, x, d, disp, lead(d) OVER w AS nd, lead(disp) OVER w AS nv FROM v_pixel WINDOW w AS (PARTITION BY y, x ORDER BY d)), o AS (SELECT *, CASE WHEN (d <= DATE '1997-02-15' AND nd > DATE '1997-02-15') OR (d <= DATE '1999-05-15' AND nd > DATE '1999-05-15') THEN 1 ELSE 0 END AS opens FROM n), g AS (SELECT *, sum(opens) OVER (PARTITION BY y, x ORDER BY d) AS segment FROM o), f AS (SELECT y, x, d, disp, segment, disp - coalesce(max(CASE WHEN opens = 1 THEN nv - disp END) OVER (PARTITION BY y, x, segment), 0) AS adjusted FROM g)"
@@ -299,9 +299,9 @@ def w16(spark, sf):
 # ------------------------------------------------------------ O, U
 
 
-@query("O01_sorted_pairs", duck("p AS (SELECT a.site, b.d AS i, a.d AS j FROM v_series a JOIN v_series b ON a.site = b.site AND days_between(b.d, a.d) = 365 WHERE a.site <= 20), r AS (SELECT site, i, row_number() OVER (PARTITION BY site ORDER BY i) AS k FROM p), s AS (SELECT site, j, row_number() OVER (PARTITION BY site ORDER BY j) AS k FROM p) SELECT r.site, r.i, s.j FROM r JOIN s ON r.site = s.site AND r.k = s.k"))
+@query("O01_sorted_pairs", duck("p AS (SELECT a.site, b.d AS i, a.d AS j FROM v_series a JOIN v_series b ON a.site = b.site AND days_between(b.d, a.d) = 365), r AS (SELECT site, i, row_number() OVER (PARTITION BY site ORDER BY i) AS k FROM p), s AS (SELECT site, j, row_number() OVER (PARTITION BY site ORDER BY j) AS k FROM p) SELECT r.site, r.i, s.j FROM r JOIN s ON r.site = s.site AND r.k = s.k"))
 def o01(spark, sf):
-    s = view(spark, sf, "v_series").where("site <= 20").select("site", "d")
+    s = view(spark, sf, "v_series").select("site", "d")
     p = s.select("site", c("d").alias("i"), F.date_add("d", 365).alias("d")).join(s, ["site", "d"]).select("site", "i", c("d").alias("j"))
     z = p.groupBy("site").agg(F.arrays_zip(F.sort_array(F.collect_list("i")).alias("i"), F.sort_array(F.collect_list("j")).alias("j")).alias("z"))
     return z.select("site", F.explode("z").alias("z")).select("site", "z.i", "z.j")
@@ -309,8 +309,9 @@ def o01(spark, sf):
 
 @query("O03_first_match", duck("SELECT site, d, min(e) AS e FROM (SELECT a.site, a.d, b.d AS e FROM v_steps a JOIN v_series b ON a.site = b.site AND b.d > a.d) GROUP BY site, d"))
 def o03(spark, sf):
-    e = view(spark, sf, "v_series").select("site", c("d").alias("e"))
-    return view(spark, sf, "v_steps").join(e, "site").where("e > d").groupBy("site", "d").agg(F.min("e").alias("e"))
+    from ..operators.robust import first_after
+
+    return first_after(view(spark, sf, "v_series"), view(spark, sf, "v_steps"))
 
 
 @query("O04_nearest_centroid", duck("g AS (SELECT CAST(site % 4 AS INT) AS plate_ix, avg(lon) AS lon, avg(lat) AS lat FROM v_sites GROUP BY 1), w AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM v_sites), d AS (SELECT plate_ix, acos(least(1e0, sin(radians(lat)) * sin(radians(lat0)) + cos(radians(lat)) * cos(radians(lat0)) * cos(radians(lon0 - lon)))) AS d FROM g, w) SELECT arg_min(plate_ix, d) AS plate_ix FROM d"))

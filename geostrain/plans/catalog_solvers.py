@@ -242,15 +242,14 @@ def v11(spark, sf):
 # ------------------------------------------------------------ collocation
 
 
-def _station_pairs(spark, sf, most: int | None = 100):
-    """Pairs of stations: all of them if ``most`` is None; L01, L11, L12, L15 have the bound of their SQL."""
+def _station_pairs(spark, sf):
+    """All pairs of stations."""
     s = view(spark, sf, "v_sites")
-    s = s if most is None else s.where(f"site <= {most}")
     p = A.site_pairs(s.select("site", "lon", "lat", c("v").alias("e"), (c("v") / 2).alias("n"), (c("sv") / 5).alias("se"), (c("sv") / 6).alias("sn")))
     return p.withColumn("dist", F.sqrt((c("lon1") - c("lon2")) ** 2 + (c("lat1") - c("lat2")) ** 2) * 100)
 
 
-_LP = "p AS (SELECT a.site AS site1, b.site AS site2, radians(a.lat) AS t1, radians(b.lat) AS t2, radians(a.lon - b.lon) AS s, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 AS dist, a.v AS e1, b.v AS e2, a.v / 2 AS n1, b.v / 2 AS n2, a.sv / 5 AS se1, b.sv / 5 AS se2 FROM v_sites a JOIN v_sites b ON a.site < b.site WHERE a.site <= 100 AND b.site <= 100)"
+_LP = "p AS (SELECT a.site AS site1, b.site AS site2, radians(a.lat) AS t1, radians(b.lat) AS t2, radians(a.lon - b.lon) AS s, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 AS dist, a.v AS e1, b.v AS e2, a.v / 2 AS n1, b.v / 2 AS n2, a.sv / 5 AS se1, b.sv / 5 AS se2 FROM v_sites a JOIN v_sites b ON a.site < b.site)"
 
 
 @query("L01_signal_covariance", duck(f"{_LP} SELECT site1, site2, round((sin(t1) * sin(t2) * cos(s) + cos(t1) * cos(t2)) * 4 * exp(-dist / 200e0), 6) AS c_ee, round(cos(s) * 3 * exp(-dist / 150e0), 6) AS c_nn, round(sin(s) * sin(t1) * exp(-dist / 100e0), 6) AS c_en FROM p"))
@@ -267,7 +266,7 @@ def l02(spark, sf):
 
 @query("L03_moving_covariance", None)
 def l03(spark, sf):
-    p = _station_pairs(spark, sf, None)
+    p = _station_pairs(spark, sf)
     s = view(spark, sf, "v_sites")
     around = p.select(c("site1").alias("site"), c("e2").alias("x"), "dist").unionByName(p.select(c("site2").alias("site"), c("e1").alias("x"), "dist")).unionByName(s.select("site", c("v").alias("x"), lit(0.0).alias("dist")))
     sigma = A.moving_variance(around, 4.0, 200.0)
@@ -291,7 +290,7 @@ def l06(spark, sf):
 
 @query("L08_empirical_covariance", None)
 def l08(spark, sf):
-    p = _station_pairs(spark, sf, None)
+    p = _station_pairs(spark, sf)
     edges = GS.edges_of(50.0, 900.0)
     s = view(spark, sf, "v_sites").select(c("v").alias("d1"), (c("v") / 2).alias("d2"), lit(0.1).alias("n1"), lit(0.1).alias("n2"))
     c0, bins = A.covariance_bins(p.withColumnsRenamed({"e1": "a1", "e2": "b2"}), s, edges, 5)

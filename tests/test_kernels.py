@@ -1,6 +1,11 @@
 """Numeric kernels against direct loops, known answers and properties."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -355,9 +360,51 @@ def test_series_files(spark, tmp_path):
     assert stations.load(spark, str(tmp_path / "t")).count() == 1
 
 
-def test_entry_without_corpus_package(spark):
+def test_entry_without_corpus_package(tmp_path):
+    """A copy of the repository without the corpus folders imports and answers."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ("geostrain", "__spark_entry__.py"):
+        source = root / name
+        copy = shutil.copytree if source.is_dir() else shutil.copy
+        copy(source, tmp_path / name, **({"ignore": shutil.ignore_patterns("llm", "__pycache__")} if source.is_dir() else {}))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q); print('fine')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert done.stdout.strip() == "fine", done.stderr
+
+
+def test_entry_gives_rates(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["site", "vel_mm", "n_pairs", "mad_mm"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert math.isfinite(entry.entry(spark).first().vel_mm)
+
+
+def test_pairs_and_windows_against_loops():
+    """Partners by ranges and rates by running sums, against direct loops over epochs."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 40, 300):
+        days = np.sort(rng.choice(2600, n, replace=False)).astype(float)
+        cuts = rng.choice(2600, 3).astype(float)
+        years = days / robust.YEAR_DAYS
+        for run in (years, years[::-1]):
+            part, want = robust.segment_ids(run, cuts / robust.YEAR_DAYS), []
+            along = np.abs(run - run[0]) if n else run
+            for i in range(n - 1):
+                exact = [j for j in range(i + 1, n) if 1 - 0.02 < along[j] - along[i] < 1 + 0.02 and part[j] == part[i]]
+                later = [j for j in range(i + 1, n) if along[j] - along[i] > 1 - 0.02][:1]
+                want += [(i, j) for j in exact] if exact else [(i, j) for j in later if part[j] == part[i] and i != n - 2]
+            got = robust._one_direction(run, cuts / robust.YEAR_DAYS, 0.02)
+            assert got.tolist() == np.sort(np.array(want, np.int64).reshape(-1, 2), axis=0).tolist()
+        disp = rng.normal(size=n)
+        disp[rng.random(n) < 0.1] = np.nan
+        for years_ in (1.1, 3.0):
+            got = windows.window_rates(days, disp, years_, method="ols")
+            want = []
+            for a in windows.anchors(days, years_):
+                m = (days > a) & (days < a + int(365 * years_))
+                vel = windows.ols_rate(days[m], disp[m])
+                want += [(a, vel)] if vel is not None else []
+            assert [w["anchor"] for w in got] == [a for a, _ in want]
+            assert np.allclose([w["vel"] for w in got], [v for _, v in want], atol=1e-8)
+

@@ -21,8 +21,9 @@ def test_all_pairs_of_stations(spark, many):
     run = registry.queries()
     pairs = N * (N - 1) // 2
     assert run["M01_geodesic_distance"](spark, many).count() == pairs
+    assert run["J07_pair_matrix"](spark, many).count() == N * N
     assert run["L03_moving_covariance"](spark, many).count() == pairs
-    assert catalog_solvers._station_pairs(spark, many, None).count() == pairs
+    assert catalog_solvers._station_pairs(spark, many).count() == pairs
 
 
 def test_collocation_of_all_stations(spark, many):
