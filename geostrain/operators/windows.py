@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,17 +117,49 @@ def window_sizes(duration_years: float, least: int = 3) -> list[float]:
     return [1.1 if s == 1 else float(s) for s in range(least, int(0.75 * duration_years))]
 
 
+def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """One series after another from batches sorted by ``keys``; null keys are one key."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        last, first = batch[keys].iloc[-1], held[0][keys].iloc[0]
+        if last.equals(first):
+            continue  # one series over many batches
+        part = pd.concat(held, ignore_index=True)
+        before = part[keys].shift()
+        begins = ((part[keys] != before) & ~(part[keys].isna() & before.isna())).any(axis=1).to_numpy()
+        begins[0] = True
+        cuts = np.flatnonzero(begins)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(part[k].iat[a] for k in keys), part.iloc[a:b]
+        held = [part.iloc[cuts[-1] :]]
+    if held:
+        part = pd.concat(held, ignore_index=True)
+        yield tuple(part[k].iat[0] for k in keys), part
+
+
 def _site_kernel(series: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """Rows of ``f(days, values)`` for each series, in one pass over sorted partitions.
+
+    Many short series share a batch, so there is no exchange with Python for each.
+    """
     t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
     rows = series.where("disp is not null and not isnan(disp)").select(*keys, t, "disp")
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def one(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        found = f(g["t"].to_numpy(float), g["disp"].to_numpy(float))
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | x for x in found], columns=names)
-
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[dict] = []
+        for key, g in series_of(batches, keys):
+            own = {k: None if pd.isna(v) else v for k, v in zip(keys, key, strict=True)}
+            out += [own | x for x in f(g["t"].to_numpy(float), g["disp"].to_numpy(float))]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
 
 
 def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...] = ("site",), method: str = "robust") -> DataFrame:

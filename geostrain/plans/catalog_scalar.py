@@ -382,10 +382,10 @@ def m02(spark, sf):
 _STEPS = "SELECT site, 0 AS way, lon AS lon1, lat AS lat1, lon AS lon2, lat + 0.01e0 AS lat2 FROM v_sites UNION ALL SELECT site, 1, lon, lat, lon + 0.01e0, lat FROM v_sites"
 
 
-@query("M05_pixel_metres", duck(f"p AS ({_STEPS}), {distances('p', 'site, way')} SELECT site, round(max(CASE WHEN way = 0 THEN m END), 5) AS north, round(max(CASE WHEN way = 1 THEN m END), 5) AS east FROM e GROUP BY site"))
+@query("M05_pixel_metres", duck(f"p AS ({_STEPS}), {distances('p', 'site, way')} SELECT site, round(max(CASE WHEN way = 0 THEN m END), 3) AS north, round(max(CASE WHEN way = 1 THEN m END), 3) AS east FROM e GROUP BY site"))
 def m05(spark, sf):
     n, e = G.pixel_metres(c("lat"), c("lon"), lit(0.01), lit(0.01))
-    return view(spark, sf, "v_sites").select("site", F.round(n, 5).alias("north"), F.round(e, 5).alias("east"))
+    return view(spark, sf, "v_sites").select("site", F.round(n, 3).alias("north"), F.round(e, 3).alias("east"))
 
 
 @query("M06_enu_matrix", duck("SELECT site, round(-sin(radians(lon)), 6) AS r00, round(cos(radians(lon)), 6) AS r01, round(-sin(radians(lat)) * cos(radians(lon)), 6) AS r10, round(-sin(radians(lat)) * sin(radians(lon)), 6) AS r11, round(cos(radians(lat)), 6) AS r12, round(cos(radians(lat)) * cos(radians(lon)), 6) AS r20, round(cos(radians(lat)) * sin(radians(lon)), 6) AS r21, round(sin(radians(lat)), 6) AS r22 FROM v_sites"))

@@ -360,6 +360,20 @@ def test_series_files(spark, tmp_path):
     assert stations.load(spark, str(tmp_path / "t")).count() == 1
 
 
+def test_series_of_batches():
+    """Series that end inside a batch, span several, or have null keys."""
+    rng = np.random.default_rng(2)
+    keys = np.repeat([np.nan, 1.0, 2.0, 3.0, 4.0], [3, 1, 40, 2, 9])
+    df = pd.DataFrame({"site": keys, "t": np.arange(len(keys))})
+    for _ in range(30):
+        cuts = np.sort(rng.choice(len(df) + 1, 6))
+        batches = [df.iloc[a:b] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(df)], strict=True)]
+        got = [(k[0], g["t"].tolist()) for k, g in windows.series_of(iter(batches), ["site"])]
+        want = [(k, g["t"].tolist()) for k, g in df.groupby("site", dropna=False, sort=False)]
+        assert [(str(k), t) for k, t in got] == [(str(k), t) for k, t in want]
+    assert list(windows.series_of(iter([df.iloc[:0]]), ["site"])) == []
+
+
 def test_entry_without_corpus_package(tmp_path):
     """A copy of the repository without the corpus folders imports and answers."""
     root = Path(__file__).resolve().parent.parent
