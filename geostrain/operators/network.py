@@ -125,11 +125,12 @@ def barycentric(xy: np.ndarray, tri: np.ndarray, values: np.ndarray, x: np.ndarr
     return out
 
 
-def fill_by_distance(pixels: DataFrame, reach: int, value: str = "value", nodata: float = 0.0) -> DataFrame:
+def fill_by_distance(pixels: DataFrame, reach: int, value: str = "value", nodata: float = 0.0, smoothing: int = 0) -> DataFrame:
     """Fill nodata pixels with the inverse-distance mean of data within ``reach`` pixels.
 
     A range join on blocks of ``reach`` pixels: each hole meets the nine blocks
-    around it.
+    around it.  ``smoothing`` passes then replace each filled pixel by the mean of
+    the 3 x 3 pixels around it that have data or were filled.
     """
     hole = F.col(value).isNull() | (F.col(value) == nodata)
     block = lambda c: F.floor(F.col(c) / reach).cast("int")
@@ -138,4 +139,9 @@ def fill_by_distance(pixels: DataFrame, reach: int, value: str = "value", nodata
     d = F.sqrt((F.col("y") - F.col("y2")) ** 2 + (F.col("x") - F.col("x2")) ** 2)
     near = holes.join(data, ["_by", "_bx"]).withColumn("d", d).where(F.col("d") <= reach)
     filled = near.groupBy("y", "x").agg((F.sum(F.col("v2") / F.col("d")) / F.sum(1 / F.col("d"))).alias("_f"))
-    return pixels.join(filled, ["y", "x"], "left").withColumn(value, F.when(hole, F.coalesce("_f", F.lit(nodata))).otherwise(F.col(value))).drop("_f")
+    rows = pixels.join(filled, ["y", "x"], "left").withColumn("_v", F.when(hole, F.col("_f")).otherwise(F.col(value)))
+    for _ in range(smoothing):
+        around = F.array(*(F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        near = rows.where("_v is not null").select("_v", F.explode(around).alias("_p")).groupBy("_p.y", "_p.x").agg(F.avg("_v").alias("_m"))
+        rows = rows.join(near, ["y", "x"], "left").withColumn("_v", F.when(F.col("_f").isNotNull(), F.col("_m")).otherwise(F.col("_v"))).drop("_m")
+    return rows.withColumn(value, F.coalesce("_v", F.lit(nodata))).drop("_f", "_v")

@@ -64,6 +64,12 @@ def _covariance(days: np.ndarray, step: float, index: float, damping: float = 0.
     return out
 
 
+def _mean_variance(days: np.ndarray, step: float, index: float, damping: float = 0.0) -> float:
+    """Mean of the covariance's diagonal for unit driving noise."""
+    at = np.rint((days - days[0]) / step).astype(int)
+    return float(np.cumsum(power_law_filter(int(at[-1]) + 1, index, damping) ** 2)[at].mean())
+
+
 def _scaled(c: np.ndarray) -> np.ndarray:
     return c / np.trace(c) * len(c)
 
@@ -118,7 +124,8 @@ def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=()) -> dict:
 
     The whole series is fitted: work grows with the cube of its epochs, memory
     with their square.  Of RWFNWN, ``kappa`` is none and ``walk`` is the share of
-    the random walk in the coloured noise.
+    the random walk in the coloured noise.  ``components`` are deviation and index
+    of the white noises that drive each part.
     """
     days, obs = np.asarray(days, float), np.asarray(obs, float)
     ok = np.isfinite(obs)
@@ -145,6 +152,9 @@ def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=()) -> dict:
         of = lambda k: _best_fraction(a, obs, _scaled(_covariance(days, step, k, DAMPING.get(model.noise, 0.0))))
         k, got = (fixed, of(fixed)) if fixed is not None else _greatest(of, np.linspace(-2, -0.05, 7), 1e-3)
     ll, x, q, s2, f = got
+    parts = [(1 - walk["walk"], NOISE["FNWN"]), (walk["walk"], NOISE["RWWN"])] if walk else [(1.0, k)]
+    driving = [(math.sqrt(s2 * f * share / _mean_variance(days, step, index, DAMPING.get(model.noise, 0.0))), index) for share, index in parts] if model.noise != "WN" else []
+    walk["components"] = [(math.sqrt(s2 * (1 - f) if driving else s2), 0.0), *driving]
     return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": None if k is None else float(k), "loglik": float(ll)} | walk
 
 
@@ -178,20 +188,34 @@ def welch(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(n, 1 / fs), p
 
 
-def model_spectrum(f: np.ndarray, sigma: float, index: float, fs: float) -> np.ndarray:
-    return 2 * sigma**2 / fs * (2 * np.sin(np.pi * f / fs)) ** index
+def model_spectrum(f: np.ndarray, sigma: float, index: float, fs: float, damping: float = 0.0) -> np.ndarray:
+    """One-sided density of power-law noise that white noise of ``sigma`` drives; infinite at 0 for an index below 0."""
+    with np.errstate(divide="ignore"):
+        return 2 * sigma**2 / fs * np.abs(1 - (1 - damping) * np.exp(-2j * np.pi * np.asarray(f, float) / fs)) ** index
+
 
+def spectra(series: DataFrame, keys: list[str], sampling_days: float = 1.0, model: TrendModel | None = None) -> DataFrame:
+    """Frequency (cycles per year) and density of every key's series.
 
-def spectra(series: DataFrame, keys: list[str], sampling_days: float = 1.0) -> DataFrame:
-    """Frequency (cycles per year) and density of every key's series."""
+    With ``model``, also the density of the noise model fitted to the series, null
+    at frequency 0 and where the fit failed.
+    """
     types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    fs = 365.25 / sampling_days
 
     def one(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("d")
-        f, p = welch(g["disp"].to_numpy(float), 365.25 / sampling_days)
-        return pd.DataFrame(dict(zip(keys, key, strict=True)) | {"frequency": f, "density": p})
+        g = g.sort_values("t")
+        f, p = welch(g["disp"].to_numpy(float), fs)
+        columns = dict(zip(keys, key, strict=True)) | {"frequency": f, "density": p}
+        if model is not None:
+            parts = ml_trend(g["t"], g["disp"], model).get("components")
+            total = sum(model_spectrum(f, s, k, fs, DAMPING.get(model.noise, 0.0) if k else 0.0) for s, k in parts) if parts else np.full(len(f), np.nan)
+            columns["model"] = [float(v) if np.isfinite(v) else None for v in total]
+        return pd.DataFrame(columns)
 
-    return series.select(*keys, "d", "disp").groupBy(*keys).applyInPandas(one, f"{types}, frequency double, density double")
+    t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
+    schema = f"{types}, frequency double, density double" + (", model double" if model is not None else "")
+    return series.select(*keys, t, "disp").groupBy(*keys).applyInPandas(one, schema)
 
 
 def observation_lines(series: DataFrame, sampling_days: float = 1.0, offsets: list[float] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import decimal_year
 from .robust import trend
 
 
@@ -30,6 +31,18 @@ def difference(series: DataFrame, periods: int = 1, value: str = "disp") -> Data
     return series.withColumns({"diff": diff, "jump": F.abs(diff)})
 
 
+def smoothed_jumps(series: DataFrame, k: int, periods: int = 1, value: str = "disp") -> DataFrame:
+    """Mean time and median value of the last ``k`` rows beside the change of that median.
+
+    Times and values of one row lie side by side, so no join by row number is
+    needed.  Rows before ``k`` are left out; ``change`` is null in the next ``periods``.
+    """
+    w = _by_site().rowsBetween(-(k - 1), 0)
+    rows = rolling(series, k, value).withColumn("mean_time", F.avg(decimal_year(F.col("d"))).over(w))
+    change = F.abs(F.col("median_k") - F.lag("median_k", periods).over(_by_site()))
+    return rows.withColumn("change", change).where("median_k is not null")
+
+
 def jumps(series: DataFrame, k: int, factor: float = 2.0) -> DataFrame:
     """Rows farther than ``factor`` rolling deviations from the rolling mean."""
     return rolling(series, k).withColumn("is_jump", F.coalesce(F.abs(F.col("disp") - F.col("mean_k")) > factor * F.col("std_k"), F.lit(False)))
@@ -162,10 +175,10 @@ def _site_kernel(series: DataFrame, keys: list[str], f, schema: str) -> DataFram
     return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
 
 
-def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...] = ("site",), method: str = "robust") -> DataFrame:
-    """Rates of the moving windows of one width, for each key."""
+def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...] = ("site",), method: str = "robust", offset: float = 0.0) -> DataFrame:
+    """Rates of the moving windows of one width, for each key; windows may begin ``offset`` years after their anchors."""
     types = ", ".join(f"{k} long" if k == "site" else f"{k} int" for k in keys)
-    return _site_kernel(series, list(keys), lambda t, x: window_rates(t, x, years, method=method), f"{types}, anchor double, vel double")
+    return _site_kernel(series, list(keys), lambda t, x: window_rates(t, x, years, method=method, offset=offset), f"{types}, anchor double, vel double")
 
 
 def rate_deviation(series: DataFrame, least: int = 3) -> DataFrame:

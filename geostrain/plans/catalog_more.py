@@ -39,6 +39,15 @@ def s02(spark, sf) -> DataFrame:
     return spark.createDataFrame([(k, v["suffix"], v["epoch"]) for k, v in S.PROVIDERS.items()], "name string, suffix string, epoch double")
 
 
+@query("S07_series_reader", duck("SELECT CAST(site AS VARCHAR) AS site, d, days_between(DATE '1858-11-17', d) AS mjd, round(disp, 6) AS east, round(-disp, 6) AS north, 0.25e0 AS v FROM v_series"))
+def s07(spark, sf):
+    path = _shared(spark)
+    text = {"site": c("site").cast("string"), "yyyymmdd": F.upper(F.date_format("d", "yyMMMdd")), "MJD": F.datediff("d", lit("1858-11-17").cast("date")), "east": F.format_string("%.6f", "disp"), "north": F.format_string("%.6f", -c("disp")), "v": lit("0.250000")}
+    line = F.concat_ws("  ", *(text.get(k, lit("0")).cast("string") for k in S.UNR_COLUMNS))
+    view(spark, sf, "v_series").select(line.alias("value")).write.text(path)
+    return S.read_series(spark, path, "unr").select("site", "d", c("MJD").alias("mjd"), "east", "north", "v")
+
+
 @query("S09_save_and_load", duck("SELECT site, lon, lat, v, sv FROM v_sites"))
 def s09(spark, sf):
     path = _shared(spark)

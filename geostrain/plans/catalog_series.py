@@ -220,6 +220,14 @@ def w01(spark, sf):
     return W.rolling(view(spark, sf, "v_series"), 30).select("site", "d", *(r6(c(k), k) for k in ("median_k", "mean_k", "std_k")))
 
 
+_J16 = f"r AS (SELECT site, d, count(*) {_W} AS k, avg(year(d) + (dayofyear(d) - 1) / 365.25e0) {_W} AS t, median(disp) {_W} AS m FROM v_series), l AS (SELECT *, lag(CASE WHEN k = 30 THEN m END, 2) OVER (PARTITION BY site ORDER BY d) AS b FROM r)"
+
+
+@query("J16_smoothed_jumps", duck(f"{_J16} SELECT site, d, round(t, 6) AS mean_time, round(m, 6) AS median_k, round(abs(m - b), 6) AS change FROM l WHERE k = 30"))
+def j16(spark, sf):
+    return W.smoothed_jumps(view(spark, sf, "v_series"), 30, 2).select("site", "d", *(r6(c(k), k) for k in ("mean_time", "median_k", "change")))
+
+
 @query("W02_difference", duck("SELECT site, d, round(disp - lag(disp, 2) OVER (PARTITION BY site ORDER BY d), 6) AS diff, round(abs(disp - lag(disp, 2) OVER (PARTITION BY site ORDER BY d)), 6) AS jump FROM v_series"))
 def w02(spark, sf):
     return W.difference(view(spark, sf, "v_series"), 2).select("site", "d", r6(c("diff"), "diff"), r6(c("jump"), "jump"))
@@ -250,6 +258,21 @@ def w07(spark, sf):
     return W.rate_deviation(view(spark, sf, "v_series"))
 
 
+@query("W08_window_rates", None)
+def w08(spark, sf):
+    return W.temporal_variability(view(spark, sf, "v_pixel"), 2.0, ("y", "x"), method="ols", offset=0.25)
+
+
+@query("W08_robust_window_rates", None)
+def w08_robust(spark, sf):
+    return W.temporal_variability(view(spark, sf, "v_pixel"), 3.0, ("y", "x"))
+
+
+@query("W09_robust_variability", None)
+def w09_robust(spark, sf):
+    return W.variability(view(spark, sf, "v_pixel"), 2, reduce="median", method="robust")
+
+
 @query("W09_pixel_variability", None)
 def w09(spark, sf):
     return W.variability(view(spark, sf, "v_pixel"), 2, method="ols")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..operators import aggregates as A
 from ..operators import geostatistics as GS
-from ..operators import los, network, noise, parallel, plates, rasters, regression
+from ..operators import los, network, noise, parallel, plates, rasters, regression, tracks
 from ..operators import windows as W
 
 from .registry import query
@@ -159,6 +159,15 @@ def v24(spark, sf):
     return network.fill_by_distance(p, 2).select("y", "x", r6(c("value"), "value"))
 
 
+_HOLES = "p AS (SELECT y, x, CASE WHEN (x * 7 + y) % 5 = 0 THEN 0 ELSE avg(disp) END AS v FROM v_pixel GROUP BY y, x), n AS (SELECT h.y, h.x, d.v, sqrt(pow(h.y - d.y, 2) + pow(h.x - d.x, 2)) AS dist FROM p h JOIN p d ON h.v = 0 AND d.v <> 0 AND d.y BETWEEN h.y - 2 AND h.y + 2 AND d.x BETWEEN h.x - 2 AND h.x + 2), f AS (SELECT y, x, sum(v / dist) / sum(1 / dist) AS v FROM n WHERE dist <= 2 GROUP BY y, x), a AS (SELECT p.y, p.x, CASE WHEN p.v = 0 THEN f.v ELSE p.v END AS v, p.v = 0 AND f.v IS NOT NULL AS hole FROM p LEFT JOIN f ON p.y = f.y AND p.x = f.x)"
+
+
+@query("V24_fill_and_smooth", duck(f"{_HOLES}, s AS (SELECT a.y, a.x, avg(b.v) AS v FROM a JOIN a b ON a.hole AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.y, a.x) SELECT a.y, a.x, round(coalesce(s.v, a.v, 0), 6) AS value FROM a LEFT JOIN s ON a.y = s.y AND a.x = s.x"))
+def v24_smooth(spark, sf):
+    p = view(spark, sf, "v_pixel").groupBy("y", "x").agg(F.avg("disp").alias("value")).withColumn("value", F.when((c("x") * 7 + c("y")) % 5 == 0, 0.0).otherwise(c("value")))
+    return network.fill_by_distance(p, 2, smoothing=1).select("y", "x", r6(c("value"), "value"))
+
+
 @query("V25_gaussian_smoothing", None)
 def v25(spark, sf):
     return rasters.smooth_pixels(_pixels(spark, sf), 2.0, block=16)
@@ -202,9 +211,30 @@ def v31(spark, sf):
 
 @query("V32_track_mosaic", duck("q AS (SELECT y, x, los * cos(radians(inc)) AS qv, 1 / pow(std * cos(radians(inc)), 2) AS w FROM v_los) SELECT y, x, count(*) AS n, round(sum(w * qv) / sum(w), 6) AS mosaic FROM q GROUP BY y, x"))
 def v32(spark, sf):
-    q, s = M.quasi_vertical(c("los"), c("std"), c("inc"))
-    rows = view(spark, sf, "v_los").select("y", "x", q.alias("qv"), (1 / (s * s)).alias("w"))
-    return rows.groupBy("y", "x").agg(F.count("*").alias("n"), r6(F.sum(c("w") * c("qv")) / F.sum("w"), "mosaic"))
+    return tracks.mosaic(tracks.to_quasi_vertical(view(spark, sf, "v_los"))).select("y", "x", "n", r6(c("mosaic"), "mosaic"))
+
+
+def _tracks(spark, sf):
+    return view(spark, sf, "v_los").select("*", (c("x") / 10.0).alias("lon"), (c("y") / 10.0).alias("lat"))
+
+
+@query("V32_overlap_planes", None)
+def v32_planes(spark, sf):
+    planes = tracks.overlap_planes(tracks.to_quasi_vertical(_tracks(spark, sf)), 1)
+    return planes.select("track", "n", F.transform("x", lambda v: F.round(v, 6)).alias("x"), r6(c("mse"), "mse"))
+
+
+@query("V32_levelled_mosaic", None)
+def v32_levelled(spark, sf):
+    got = tracks.mosaic(tracks.level_tracks(tracks.to_quasi_vertical(_tracks(spark, sf)), 0))
+    return got.select("y", "x", "n", r6(c("mosaic"), "mosaic"), r6(c("mosaic_std"), "mosaic_std"))
+
+
+@query("V31_referenced_tracks", duck("g AS (SELECT y, x, track, los, std, CASE WHEN (x + y) % 7 = 0 THEN 0.2e0 + x / 10e0 * cos(radians(inc)) END AS gnss FROM v_los), p AS (SELECT sum((gnss - los) / (std * std + 0.04e0)) / sum(1 / (std * std + 0.04e0)) AS plane, 1 / sum(1 / (std * std + 0.04e0)) AS q FROM g WHERE gnss IS NOT NULL) SELECT y, x, track, round(los + plane, 6) AS corrected, round(sqrt(std * std + q), 6) AS plane_std FROM g, p"))
+def v31_tracks(spark, sf):
+    station = F.when((c("x") + c("y")) % 7 == 0, 0.2 + c("x") / 10.0 * F.cos(F.radians("inc")))
+    rows = _tracks(spark, sf).withColumns({"gnss_los": station, "gnss_std": lit(0.2)})
+    return tracks.reference_tracks(rows, 0).select("y", "x", "track", r6(c("corrected"), "corrected"), r6(c("plane_std"), "plane_std"))
 
 
 _PROFILE = "p AS (SELECT x / 10e0 AS lon, y / 10e0 AS lat, avg(disp) AS value FROM v_pixel GROUP BY y, x), r AS (SELECT value, (lon - 0.55e0) * 0.8e0 + (lat - 0.25e0) * 0.6e0 AS along, (lat - 0.25e0) * 0.8e0 - (lon - 0.55e0) * 0.6e0 AS across FROM p), b AS (SELECT value, least(CAST(floor(along / 0.5e0) AS INT), 9) AS bin FROM r WHERE abs(across) <= 0.4e0 AND along BETWEEN 0 AND 5) SELECT bin, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM b GROUP BY bin"
@@ -239,6 +269,11 @@ def v11(spark, sf):
     return noise.spectra(W.fill_gaps_regular(view(spark, sf, "v_series")), ["site"])
 
 
+@query("V11_spectrum_and_model", None)
+def v11_model(spark, sf):
+    return noise.spectra(W.fill_gaps_regular(view(spark, sf, "v_series")), ["site"], model=noise.TrendModel(periods=()))
+
+
 # ------------------------------------------------------------ collocation
 
 
