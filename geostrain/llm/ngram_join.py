@@ -25,9 +25,10 @@ the group's main component are compared with the whole of it and with each
 other, in blocks.  Pairs are refuted by histograms of their shingles where these
 differ too much, else decided on the whole sets.
 
-That gives the components.  Links lie inside components, so the members of large
-groups meet all others of their component, in blocks again, and what they share
-is counted on the whole sets; only the numbers of links leave a block.
+That gives the components.  On request links are counted too: they lie inside
+components, so the members of large groups meet all others of their component, in
+blocks again, and what they share is counted on the whole sets; only the numbers
+of links leave a block.
 
 Shingles are compared by 64-bit hashes of their words, classes by 128 bits.
 
@@ -55,6 +56,8 @@ from .common import BLOB, ID_BYTES, Words, blob_batch, bucket_count, by_bucket,
 from .components import components
 
 WIDTH = 5
+#: Two sets link from this similarity on, in percent.
+PERCENT = 75
 #: Second-level parts of a partition; a signature takes all but one of them.
 PARTS = 3
 ALL_PAIRS = 8
@@ -298,14 +301,23 @@ def _match(n_buckets: int):
     return match
 
 
-def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def may_link(difference, total, percent: int):
+    """Whether two sets of ``total`` shingles together that differ in so many can be as similar as that."""
+    return (100 + percent) * difference <= (100 - percent) * total
+
+
+def unrefuted(percent: int):
     """Pairs that their histograms don't refute: the sets differ at least as much."""
-    for pdf in batches:
-        if len(pdf):
-            pdf = pdf[7 * (pdf["n_a"] - pdf["n_b"]).abs() <= pdf["n_a"] + pdf["n_b"]]
-            least = [least_difference(x, y) for x, y in zip(pdf["hist_a"], pdf["hist_b"], strict=True)]
-            pdf = pdf[7 * np.array(least, np.int64) <= pdf["n_a"] + pdf["n_b"]]
-        yield pdf[["a", "b"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf[may_link((pdf["n_a"] - pdf["n_b"]).abs(), pdf["n_a"] + pdf["n_b"], percent)]
+                least = [least_difference(x, y) for x, y in zip(pdf["hist_a"], pdf["hist_b"], strict=True)]
+                pdf = pdf[may_link(np.array(least, np.int64), pdf["n_a"] + pdf["n_b"], percent)]
+            yield pdf[["a", "b"]]
+
+    return run
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +341,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return chosen.select("doc_id", "text").mapInArrow(trimmed(made), "id long, shingles binary").dropDuplicates(["id"])
 
 
-def _decide(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def decide(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, shared and united of ``pairs`` (a, b), on the whole sets."""
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = stored(_sets_of(docs, ids, ids.count()), "sets")
@@ -339,37 +351,47 @@ def _decide(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(trimmed(_decided), "a long, b long, shared long, united long"), "decided")
 
 
-_LINKED = "100 * shared >= 75 * united"
+def linking(percent: int) -> str:
+    return f"100 * shared >= {percent} * united"
 
 
 def _folded(hist: np.ndarray, bins: int) -> np.ndarray:
     return hist.reshape(len(hist), -1, bins).sum(axis=1, dtype=np.int32)
 
 
-def _crossing(group: pd.DataFrame) -> pd.DataFrame:
+def crossing(percent: int):
     """Pairs of a row on the left with one on the right that their histograms don't refute.
 
     Only the refutations are many; they stay in here.
     """
-    left, right = group[group["side"] == 0], group[group["side"] == 1]
-    a, b = [], []
-    tables = []
-    for bins, part in right.groupby(right["hist"].map(len)):
-        raw = np.frombuffer(b"".join(part["hist"]), np.uint8).reshape(len(part), bins)
-        tables.append((bins, raw, {}, part["id"].to_numpy(), part["n"].to_numpy(), part["component"].to_numpy()))
-    for u, n, component, hist in zip(left["id"], left["n"], left["component"], left["hist"], strict=True):
-        own = np.frombuffer(hist, np.uint8)[None]
-        for bins, raw, folds, ids, sizes, components_ in tables:
-            least = min(bins, own.shape[1])
-            if least not in folds:
-                folds[least] = _folded(raw, least)
-            gap = np.abs(folds[least] - _folded(own, least)).sum(axis=1)
-            hit = (components_ != component) & (7 * np.maximum(gap, np.abs(sizes - n)) <= sizes + n)
-            if hit.any():
-                a.append(np.full(int(hit.sum()), u))
-                b.append(ids[hit])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        a, b = [], []
+        tables = []
+        for bins, part in right.groupby(right["hist"].map(len)):
+            part = part.sort_values("n")
+            raw = np.frombuffer(b"".join(part["hist"]), np.uint8).reshape(len(part), bins)
+            tables.append((bins, raw, {}, part["id"].to_numpy(), part["n"].to_numpy(), part["component"].to_numpy()))
+        for u, n, component, hist in zip(left["id"], left["n"], left["component"], left["hist"], strict=True):
+            own = np.frombuffer(hist, np.uint8)[None]
+            for bins, raw, folds, ids, sizes, components_ in tables:
+                # sizes alone leave one range of the sorted rows
+                lo, hi = np.searchsorted(sizes, [-(-percent * n // 100), 100 * n // percent + 1])
+                if lo >= hi:
+                    continue
+                least = min(bins, own.shape[1])
+                if least not in folds:
+                    folds[least] = _folded(raw, least)
+                gap = np.abs(folds[least][lo:hi] - _folded(own, least)).sum(axis=1)
+                hit = (components_[lo:hi] != component) & may_link(gap, sizes[lo:hi] + n, percent)
+                if hit.any():
+                    a.append(np.full(int(hit.sum()), u))
+                    b.append(ids[lo:hi][hit])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -447,11 +469,13 @@ def _crowded(docs: DataFrame, crowd: DataFrame, parts: DataFrame) -> DataFrame:
     member = stored(crowd.join(parts, "id"), "crowd")
     size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     size = size.select("component", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    member = stored(member.join(stored(size, "crowd-blocks"), "component").select("id", "component", "nb"), "crowd-members")
+    size = stored(size, "crowd-blocks")
+    member = stored(member.join(size, "component").select("id", "component", "nb"), "crowd-members")
     sets = stored(_sets_of(docs, member.select("id"), member.count()), "crowd-sets")
     rows = member.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(6)), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("id", "component", "piece", F.least("piece", "q").alias("i"), F.greatest("piece", "q").alias("j")).join(sets, "id")
-    rows = rows.repartition(4 * n_partitions(docs.sparkSession), "component", "i", "j")
+    meetings = size.agg(F.sum(F.col("nb") * F.col("nb"))).first()[0] or 0
+    rows = rows.repartition(max(4 * n_partitions(docs.sparkSession), meetings // 4), "component", "i", "j")
     found = stored(rows.groupBy("component", "i", "j").applyInPandas(_degrees, "id long, n long"), "crowd-links")
     return found.groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -478,18 +502,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     info = stored(found.where("kind = 1").select(F.col("a").alias("uid"), F.col("b").alias("id"), "n", "hist"), "info")
     name = lambda c: info.select(F.col("uid").alias(f"u_{c}"), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
     pairs = found.where("kind = 0").select(F.col("a").alias("u_a"), F.col("b").alias("u_b")).distinct().join(name("a"), "u_a").join(name("b"), "u_b")
-    near = stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "hist_a", "hist_b").mapInPandas(_close, "a long, b long"), "near")
+    near = stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "hist_a", "hist_b").mapInPandas(unrefuted(PERCENT), "a long, b long"), "near")
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    decided = _decide(docs, near)
-    linked = decided.where(_LINKED).select("a", "b")
+    decided = decide(docs, near)
+    linked = decided.where(linking(PERCENT)).select("a", "b")
     large = found.where("kind = 2").select(F.col("a").alias("group"), F.col("b").alias("uid")).distinct()
     crowd = stored(large.select("uid").distinct().join(info, "uid").select("id", "n"), "crowded")
     if not large.isEmpty():
-        linked = linked.unionByName(_rest(docs, large, info, decided, linked))
+        linked = linked.unionByName(rest(docs, large, info, decided, linked, PERCENT))
     return members.join(reps.withColumnRenamed("n_shingles", "n"), [members["h1"] == reps["h1"], members["h2"] == reps["h2"], F.col("n_shingles") == F.col("n")], "left").select("doc_id", "n_shingles", "rep"), linked, crowd
 
 
-def _rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame, linked: DataFrame) -> DataFrame:
+def rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Links that the hubs of large groups left open.
 
     In a group with several components, members outside its main component are
@@ -521,17 +545,24 @@ def _rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame
     right2 = own.select("main", "id", "component", (-1 - F.col("i")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("l"), F.lit(1).alias("side"))
     left2 = own.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("na") - 1))).select("main", "id", "component", F.col("i").alias("l"), (-1 - F.col("j")).alias("r"), F.lit(0).alias("side"))
     rows = left.unionByName(right).unionByName(left2).unionByName(right2)
-    rows = rows.join(info.select("id", "n", "hist"), "id").repartition(4 * n_partitions(docs.sparkSession), "main", "l", "r")
-    pairs = rows.groupBy("main", "l", "r").applyInPandas(_crossing, "a long, b long").distinct()
+    meetings = blocks.agg(F.sum(F.col("na") * (F.col("nc") + F.col("na")))).first()[0] or 0
+    rows = rows.join(info.select("id", "n", "hist"), "id").repartition(max(4 * n_partitions(docs.sparkSession), meetings // 4), "main", "l", "r")
+    pairs = rows.groupBy("main", "l", "r").applyInPandas(crossing(percent), "a long, b long").distinct()
     pairs = stored(pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
-    return _decide(docs, pairs).where(_LINKED).select("a", "b")
+    return decide(docs, pairs).where(linking(percent)).select("a", "b")
+
 
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, on request n_links (of its class).
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (of its class) of every row."""
+    Counting links compares every two members of a component's large groups, so
+    its cost grows with the square of a family; components don't need it.
+    """
     members, found, crowd = links(docs)
     found = stored(found.distinct(), "found-links")
     parts = stored(components(found), "found-parts")
+    if not count_links:
+        return labelled(members, parts)
     ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id"))).withColumn("n", F.lit(1))
     if crowd.isEmpty():
         counted = ends(found)
@@ -543,3 +574,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = stored(parts.join(degree, "id", "left").withColumnRenamed("id", "pid"), "components")
     out = members.join(parts, F.col("rep") == F.col("pid"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id from each row's representative and the components of these."""
+    out = members.join(parts.withColumnRenamed("id", "pid"), F.col("rep") == F.col("pid"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

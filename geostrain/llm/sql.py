@@ -107,5 +107,90 @@ FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
 
 
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS txt FROM documents),
+  w AS (SELECT *, {_WORDS.format(text="txt")} AS ws FROM t),
+  v AS (
+    SELECT doc_id, part,
+           CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > 3 * length(txt) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(txt, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN min(doc_id) OVER (PARTITION BY txt) < doc_id THEN 'E' ELSE '' END AS fails
+    FROM w),
+  k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+  c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM v LEFT JOIN k ON v.doc_id = k.doc_id GROUP BY part, fails),
+  x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+  o AS (
+    SELECT x1.f || x2.f || x3.f || x4.f || x5.f AS filter_order FROM x x1, x x2, x x3, x x4, x x5
+    WHERE x2.f <> x1.f AND x3.f NOT IN (x1.f, x2.f) AND x4.f NOT IN (x1.f, x2.f, x3.f) AND x5.f NOT IN (x1.f, x2.f, x3.f, x4.f)),
+  s AS (SELECT filter_order, CAST(i AS INT) AS step, substr(filter_order, i, 1) AS f, substr(filter_order, 1, i - 1) AS before FROM o, range(1, 6) r(i)),
+  r AS (
+    SELECT part, filter_order, step, f,
+           coalesce(sum(n) FILTER (translate(fails, before || f, '') = fails), 0) AS kept,
+           coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS removed,
+           coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') <> fails), 0) AS redundant,
+           coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (contains(fails, f) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+    FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: CRC-32 of the decimal id by one bit or byte a step; prefixes are chains of digests.
+OP12 = f"""
+WITH RECURSIVE
+  o AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key, len({_WORDS.format(text="coalesce(text, '')")}) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS digits FROM o GROUP BY conv_id),
+  z(conv_id, digits, k, crc) AS (
+    SELECT conv_id, digits, 0, CAST(4294967295 AS BIGINT) FROM c
+    UNION ALL
+    SELECT conv_id, digits, k + 1,
+           CASE WHEN k % 9 = 0 THEN xor(crc, CAST(ascii(substr(digits, k // 9 + 1, 1)) AS BIGINT))
+                WHEN crc % 2 = 1 THEN xor(crc // 2, CAST(3988292384 AS BIGINT)) ELSE crc // 2 END
+    FROM z WHERE k < 9 * length(digits)),
+  h AS (SELECT conv_id, xor(crc, CAST(4294967295 AS BIGINT)) % 4 AS h FROM z WHERE k = 9 * length(digits)),
+  b AS (
+    SELECT c.conv_id, h.h, c.conv_id - c.conv_id % 20 AS base, least(h.h, coalesce(d.n, 0)) AS lent
+    FROM c JOIN h ON c.conv_id = h.conv_id LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 20),
+  r AS (
+    SELECT b.conv_id, o.pos AS depth, turn_key, words FROM b JOIN o ON o.conv_id = b.base AND o.pos <= b.lent
+    UNION ALL
+    SELECT b.conv_id, b.lent + o.pos - b.h, turn_key, words FROM b JOIN o ON o.conv_id = b.conv_id AND o.pos > b.h),
+  p AS (
+    SELECT conv_id, depth, words, string_agg(turn_key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS k FROM r
+    UNION ALL
+    SELECT conv_id, 0, 0, '' FROM b),
+  n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY depth, k),
+  e AS (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id),
+  f AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM e GROUP BY k),
+  g AS (SELECT left(k, CAST(32 * (depth - 1) AS BIGINT)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+  u AS (SELECT n.k, n.depth, n.n_convs, n.words, coalesce(g.n_children, 0) AS n_children, unnest(range(0, n.depth + 1)) AS above FROM n LEFT JOIN g ON n.k = g.k),
+  s AS (SELECT left(k, CAST(32 * above AS BIGINT)) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM u GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(g.n_children, 0) AS n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM n JOIN s ON n.k = s.k LEFT JOIN g ON n.k = g.k LEFT JOIN f ON n.k = f.k
+LEFT JOIN n q ON n.depth > 0 AND q.k = left(n.k, CAST(32 * (n.depth - 1) AS BIGINT))
+"""
+
+OP13 = OP5[: OP5.index("  k AS (SELECT")].rstrip().rstrip(",").replace(">= 75 *", ">= 85 *") + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op5_ngram_jaccard_join": OP5, "op6_substring_dedup": OP6, "op7_mixing": OP7}
+    return {
+        "op3_exact_dedup": OP3,
+        "op5_ngram_jaccard_join": OP5,
+        "op6_substring_dedup": OP6,
+        "op7_mixing": OP7,
+        "op11_filter_audit": OP11,
+        "op12_prefix_trie": OP12,
+        "op13_minhash_dedup": OP13,
+    }
