@@ -30,15 +30,24 @@ def _without(docs: DataFrame, decided: DataFrame, dropped: str) -> DataFrame:
     return join_by_size(docs, ids, "doc_id", "left_anti", ID_BYTES * ids.count())
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label every document; those without letters or with an unsure label go."""
     model = language_id.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
-    labelled = language_id.identify(docs, model, rest)
-    kept = labelled.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    label, score = _fresh("label", docs), _fresh("score", docs)
+    labelled = language_id.identify(docs, model, rest, names=(label, score))
+    kept = labelled.where((F.col(label) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(label)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

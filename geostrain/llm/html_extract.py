@@ -41,12 +41,16 @@ from pyspark.sql import functions as F
 from .common import pieces, trimmed
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("aside button canvas datalist dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea title video audio".split())
+SKIPPED = frozenset("aside canvas datalist dialog footer head iframe input menu nav noscript object option script select style svg template textarea title video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div body td".split())
-INLINE = frozenset("a b em font i small span strong u".split())
+INLINE = frozenset("a b button em font i label small span strong u".split())
+#: Elements that a head may hold; any other closes it, as text does.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: Inline elements of forms: a line of nothing else is no text.
+CONTROLS = frozenset({"button", "label"})
 #: Words of class, id and role that mark an element as no part of the article.
-BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus reply replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended widget toolbar pagination pager copyright legal disclaimer search login complementary contentinfo".split())
+BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus reply replies cookie cookies consent discussion discussions notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended widget toolbar pagination pager copyright legal disclaimer search login complementary contentinfo".split())
 #: Words that may stand beside those in one name.
 NEUTRAL = frozenset("area bar block body bottom box button buttons col container content form global google group holder icon icons inner item items left link links list main outer page panel placement post posts primary reader right row secondary section site slot text thread top unit user users widget wrap wrapper".split())
 #: Elements that close an open element of the named kinds.
@@ -55,6 +59,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.5
 #: The threshold is the standard deviation of the smoothed ratios, or this share of their mean if that is less.
 LEAST_SHARE = 0.2
+#: Lines of a container that can stand apart from the content, at least.
+APART = 3
 _SPACES = re.compile(r"\s+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -74,6 +80,7 @@ class Open(NamedTuple):
     region: int  # the outermost article or main element, or 0
     doubt: bool  # a name that stands back, outside the region
     inner_doubt: bool  # one inside it
+    form: int  # the outermost form, or 0
 
 
 class Line(NamedTuple):
@@ -83,7 +90,7 @@ class Line(NamedTuple):
     place: Open
 
 
-_PAGE = Open("", False, 0, 0, False, False)
+_PAGE = Open("", False, 0, 0, False, False, 0)
 
 
 class _Lines(HTMLParser):
@@ -97,18 +104,21 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.above = [0]  # 0 is the page
-        self.tags = self.linked = self.links = self.skips = self.regions = 0
+        self.tags = self.linked = self.links = self.skips = self.regions = self.controls = 0
+        self.free = False  # whether the line has text outside controls
+        self.forms = [True]  # of each form, whether it holds a region; 0 is none
 
     def flush(self) -> None:
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
-        if text:
+        if text and self.free:
             self.lines.append(Line(text, self.tags, self.linked, self.stack[-1]))
-        self.parts, self.tags, self.linked = [], 0, 0
+        self.parts, self.tags, self.linked, self.free = [], 0, 0, False
 
     def push(self, item: Open) -> None:
         self.stack.append(item)
         self.skips += item.skipped
         self.links += item.name == "a"
+        self.controls += item.name in CONTROLS
         if item.name in BLOCKS or item.name in SKIPPED:
             self.blocks[item.name] += 1
             self.inline.append(Counter())
@@ -119,6 +129,7 @@ class _Lines(HTMLParser):
         item = self.stack.pop()
         self.skips -= item.skipped
         self.links -= item.name == "a"
+        self.controls -= item.name in CONTROLS
         if item.name in BLOCKS or item.name in SKIPPED:
             self.blocks[item.name] -= 1
             self.inline.pop()
@@ -126,6 +137,8 @@ class _Lines(HTMLParser):
             self.inline[-1][item.name] -= 1
 
     def handle_starttag(self, tag, attrs):
+        if self.stack[-1].name == "head" and tag not in IN_HEAD:
+            self.pop()
         if tag in BLOCKS:
             self.flush()
             while self.stack[-1].name in INLINE:
@@ -150,10 +163,16 @@ class _Lines(HTMLParser):
             self.above.append(container)
             container = len(self.above) - 1
         inner = around.inner_doubt or doubt and region > 0
-        if tag in ("article", "main") and not region:
-            self.regions += 1
-            region = self.regions
-        self.push(Open(tag, skipped, container, region, around.doubt or doubt and not around.region, inner))
+        form = around.form
+        if tag == "form" and not form:
+            self.forms.append(False)
+            form = len(self.forms) - 1
+        if tag in ("article", "main"):
+            self.forms[form] = True
+            if not region:
+                self.regions += 1
+                region = self.regions
+        self.push(Open(tag, skipped, container, region, around.doubt or doubt and not around.region, inner, form))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -170,8 +189,11 @@ class _Lines(HTMLParser):
             self.pop()
 
     def handle_data(self, data):
+        if self.stack[-1].name == "head" and not data.isspace():
+            self.pop()
         if not self.skips:
             self.parts.append(data)
+            self.free = self.free or not self.controls and not data.isspace()
             if self.links:
                 self.linked += len(data.strip())
 
@@ -222,6 +244,39 @@ def clustered(lines: list[Line], chosen: list[bool]) -> list[bool]:
     return content
 
 
+def outside_forms(lines: list[Line], forms: list[bool]) -> list[Line]:
+    """The lines that don't lie in a form, save one around the page.
+
+    A form is around the page if it holds an article or main element, or most of the text.
+    """
+    if len(forms) == 1:
+        return lines
+    size = [0] * len(forms)
+    for x in lines:
+        size[x.place.form] += len(x.text) - x.linked
+    return [x for x in lines if forms[x.place.form] or 2 * size[x.place.form] > sum(size)]
+
+
+def apart(lines: list[Line], content: list[bool], above: list[int]) -> list[bool]:
+    """Of each container, whether it stands apart from the content around it.
+
+    That is one of ``APART`` lines or more, none of a cluster, most of whose text
+    is links, or which has more tags than characters.
+    """
+    sums = [[0, 0, 0, 0, 0] for _ in above]
+    for x, c in zip(lines, content, strict=True):
+        for i, v in enumerate((c, len(x.text), x.linked, x.tags, 1)):
+            sums[x.place.container][i] += v
+    for c in range(len(above) - 1, 0, -1):
+        for i in range(5):
+            sums[above[c]][i] += sums[c][i]
+    out = [False] * len(above)
+    for c in range(1, len(above)):
+        held, size, linked, tags, n = sums[c]
+        out[c] = out[above[c]] or n >= APART and not held and (2 * linked > size or tags > size)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -229,11 +284,14 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines, above = parser.lines, parser.above
+    lines, above = outside_forms(parser.lines, parser.forms), parser.above
     if not lines:
         return ""
     chosen = candidates(lines)
     content = clustered(lines, chosen)
+    if any(content):
+        gone = apart(lines, content, above)
+        chosen = [c and not gone[x.place.container] for x, c in zip(lines, chosen, strict=True)]
     if any(c and x.place.region for x, c in zip(lines, chosen, strict=True)):
         regions = {x.place.region for x, c in zip(lines, content, strict=True) if c} or {x.place.region for x in lines}
         return "\n".join(x.text for x, c in zip(lines, chosen, strict=True) if c and x.place.region in regions)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -134,11 +135,33 @@ def test_language_of_mixed_text(spark):
     assert got[7].lang_pred in model.languages and got[7].score < 0.5
 
 
+def test_letters_by_unicode_category(spark):
+    """Of each category two characters: a text has a label if and only if it has a letter."""
+    model = language_id.train(spark.createDataFrame([(i, "plain words of it", k) for i, k in enumerate(["en", "de"] * 4)], "doc_id long, text string, lang string"))
+    by_kind = defaultdict(list)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and len(by_kind[unicodedata.category(chr(c))]) < 400:
+            by_kind[unicodedata.category(chr(c))].append(c)
+    texts = [chr(v[i]) for v in by_kind.values() for i in (0, -1) if v]
+    texts += ["😀😀😀", "、。", "×÷", "٣٤", "१२", "𝟏𝟐", "🇫🇷 100% 🎉", "a1", "½ é", "\u0301", "ไทย", "हिन्दी", "ქართული", "ệ", "𠀀"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        assert (got[i].lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in text)), text
+        assert got[i].score > 0 or got[i].lang_pred == "und"
+    every = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    data = "".join(map(chr, every)).encode()
+    bits = language_id.byte_scripts(np.frombuffer(data, np.uint8))
+    first = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    assert np.array_equal(bits[first], language_id.script_bits()[every]) and not bits[~first].any()
+    own = lambda t: int(np.bitwise_or.reduce(language_id.byte_scripts(np.frombuffer(t.encode(), np.uint8))))
+    assert len({own(t) for t in ("ไทย", "हिन्दी", "ქართული", "ệ", "漢", "かな", "한")}) == 7 and own("ệ") == own("e")
+
+
 def test_viterbi_shortcut_equals_the_full_search():
     rng = np.random.default_rng(0)
     for _ in range(60):
         s = rng.normal(0, 6, (rng.integers(1, 30), 3)).astype(np.float32)
-        model = language_id.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros(3, np.uint16))
+        model = language_id.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros(3, np.uint64))
         path = model.labels(s)
         value = s[np.arange(len(s)), path].sum() - language_id.SWITCH * np.count_nonzero(np.diff(path))
         best = s[0].astype(float)
@@ -464,6 +487,34 @@ def test_html_names_are_evidence_only():
     assert html_extract.main_text("<article><table><tr><td>alpha</td><td>beta</td><td>gamma</td></tr></table></article>") == "alpha\nbeta\ngamma"
 
 
+def test_html_of_loose_pages():
+    """A head without its end, a form around the page, controls in sentences, other forms."""
+    text = "Words of the article, and more of them. " * 6
+    want = ("Title\n" + text).strip()
+    article = f"<article><h1>Title</h1><p>{text}</p></article>"
+    assert html_extract.main_text(f"<html><head><title>x</title><meta charset=utf-8><body>{article}") == want
+    assert html_extract.main_text(f"<html><head><title>x</title><link rel=a>{article}") == want
+    assert html_extract.main_text(f"<head><title>x</title>{text}") == text.strip()
+    for inner in (article, article.replace("article>", "div>")):
+        page = f"<body><form id='aspnetForm'><input type=hidden><nav><a>menu</a></nav>{inner}<button>Go</button></form></body>"
+        assert html_extract.main_text(page) == want
+    assert html_extract.main_text(f"<body>{article}<form><p>{text}</p></form></body>") == want
+    assert html_extract.main_text(f"<body><article><h1>Title</h1><p>{text}</p><form><p>Mail</p><label>Your name</label></form></article></body>") == want
+    assert html_extract.main_text("<article><p>Press <button>Save</button> to keep the <label>name</label> there.</p><button>Share</button></article>") == "Press Save to keep the name there."
+    assert html_extract.main_text(f"<body>{article}<div id=discussion><p>{text}</p></div></body>") == want
+
+
+def test_html_clusters_choose_inside_articles(monkeypatch):
+    text = "".join("<p>" + "A sentence that goes on for long enough to count here. " * 5 + "</p>" for _ in range(6))
+    links = "<div>" + "".join(f"<p><a href='/{i}'>another story {i}</a></p>" for i in range(9)) + "</div>"
+    chips = "<section>" + "".join(f"<div>{'<i></i>' * 9}{i}</div>" for i in range(9)) + "</section>"
+    want = html_extract.main_text(f"<article>{text}</article>")
+    assert html_extract.main_text(f"<article>{text}{links}{chips}</article>") == want
+    assert html_extract.main_text(f"<body><div>{text}</div>{links}{chips}</body>") == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda values: [1.0] * len(values))
+    assert html_extract.main_text(f"<article>{text}{chips}</article>") != want
+
+
 def test_html_ratios_decide(monkeypatch):
     """Without smoothing and thresholds, lines full of tags would join the content."""
     long = ["A sentence of the text that goes on for long enough to count. " * 5 for _ in range(8)]
@@ -639,10 +690,11 @@ def test_pipeline(spark, sf):
 
 
 def test_pipeline_on_awkward_tables(spark, tmp_path):
-    """Empty tables, null texts, no labelled language, repeated and null ids, and one more column."""
+    """Empty tables, null texts, no labelled language, repeated and null ids, and columns with the names of results."""
     import corpus_pipeline as pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "lang_pred", "label", "keep_id", "component_id", "n_copies"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, label string, keep_id long, component_id long, n_copies long"
     long = "some words of a text that is long enough to be told apart " * 3
     tables = {
         "empty": ([], set()),
@@ -651,10 +703,10 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
     }
     for name, (rows, want) in tables.items():
         folder = tmp_path / name
-        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(*r, "p", "q", 5, 6, 0) for r in rows], schema).write.parquet(str(folder / "documents.parquet"))
         docs = spark.read.parquet(str(folder / "documents.parquet"))
         for _, stage in pipeline.STAGES[:3]:
             docs = pipeline.stored(stage(spark, docs, str(folder)), "stage")
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+            assert docs.columns == names
         assert {r.doc_id for r in docs.collect()} == want, name
         assert {r.doc_id for r in pipeline.run(spark, str(folder)).collect()} <= want
