@@ -247,14 +247,17 @@ def clustered(lines: list[Line], chosen: list[bool]) -> list[bool]:
 def outside_forms(lines: list[Line], forms: list[bool]) -> list[Line]:
     """The lines that don't lie in a form, save one around the page.
 
-    A form is around the page if it holds an article or main element, or most of the text.
+    A form is around the page if it holds an article or main element, or on a page
+    without any most of the text.
     """
     if len(forms) == 1:
         return lines
+    if any(x.place.region for x in lines):
+        return [x for x in lines if forms[x.place.form]]
     size = [0] * len(forms)
     for x in lines:
         size[x.place.form] += len(x.text) - x.linked
-    return [x for x in lines if forms[x.place.form] or 2 * size[x.place.form] > sum(size)]
+    return [x for x in lines if not x.place.form or 2 * size[x.place.form] > sum(size)]
 
 
 def apart(lines: list[Line], content: list[bool], above: list[int]) -> list[bool]:
