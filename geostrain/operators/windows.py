@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import decimal_year
+from ..functions.time import WINDOW_YEAR_DAYS, YEAR_DAYS, decimal_year
 from .robust import trend
 
 
@@ -79,55 +81,125 @@ def reconstruction_error(df: DataFrame, columns: list[str], k: int = 2) -> DataF
 # ------------------------------------------------------------ moving windows with recursive anchors
 
 
-def anchors(days: np.ndarray, years: float) -> np.ndarray:
-    """Starts of windows: each the first epoch beyond half a width after the last; ``days`` ascend."""
+def anchors(days: np.ndarray, years: float, offset: float | None = None) -> np.ndarray:
+    """Starts of windows; ``days`` ascend.
+
+    Each is the first epoch beyond the last one plus the advance, which is
+    ``offset`` years or half of the width.  Starts that the series goes on after
+    for no more than the width are left out, but for the first.
+    """
     if not len(days):
         return days
-    half, width = int(365 * (years / 2)), 365 * years
+    advance, width = int(WINDOW_YEAR_DAYS * (years / 2 if offset is None else offset)), int(WINDOW_YEAR_DAYS * years)
     out, cur = [days[0]], days[0]
-    while (at := int(np.searchsorted(days, cur + half, "right"))) < len(days):
+    while (at := int(np.searchsorted(days, cur + advance, "right"))) < len(days):
         cur = days[at]
         if int(days[-1] - cur) > width:
             out.append(cur)
     return np.array(out)
 
 
-def window_rates(days, disp, years: float, steps=(), method: str = "robust", offset: float = 0.0) -> list[dict]:
-    """Rate in each window; members lie strictly between its anchor and its end.  ``days`` ascend."""
+class SlidingFits:
+    """Least squares in many ranges of one series, from running sums.
+
+    Running sums of products of the columns (constant, time, periodic terms and
+    steps) give the normal equations of any range of epochs as differences; all
+    ranges are solved in one batch.  A step takes part where it lies strictly
+    between a range's first and last epoch, and of several steps between the same
+    two epochs one does.  The base terms of the whole series are subtracted first,
+    and time is counted from the middle of a range, to keep the sums small.
+    """
+
+    def __init__(self, days: np.ndarray, disp: np.ndarray, periods: Sequence[float] = (), steps: Sequence[float] = ()):
+        ok = np.isfinite(disp)
+        self.days, self.kept = np.asarray(days, float)[ok], np.r_[0, np.cumsum(ok)]
+        self.steps = np.unique(np.asarray(steps, float))
+        y = np.asarray(disp, float)[ok]
+        self.origin = self.days.mean() if len(y) else 0.0
+        t = (self.days - self.origin) / YEAR_DAYS
+        angles = [t * (2 * math.pi / p) for p in periods]
+        base = [np.ones(len(t)), t, *(f(a) for a in angles for f in (np.cos, np.sin))]
+        self.n_base = len(base)
+        self.x0 = np.linalg.lstsq(np.stack(base, 1), y, rcond=None)[0] if len(y) else np.zeros(len(base))
+        self.columns = base + [(self.days > s).astype(float) for s in self.steps]
+        self.y = y - np.stack(base, 1) @ self.x0 if len(y) else y
+
+    def _sums(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        total = np.r_[0.0, np.cumsum(values)]
+        return total[last] - total[first]
+
+    def solve(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rate and its deviation for each range of epochs; NaN where the range doesn't fix them."""
+        first, last = self.kept[np.asarray(first, int)], self.kept[np.maximum(first, last).astype(int)]
+        n, p, w = last - first, len(self.columns), len(first)
+        rate, sigma = np.full(w, np.nan), np.full(w, np.nan)
+        if not w or not len(self.days):
+            return rate, sigma
+        g, r = np.zeros((w, p, p)), np.zeros((w, p))
+        for i in range(p):
+            r[:, i] = self._sums(self.columns[i] * self.y, first, last)
+            for j in range(i, p):
+                g[:, i, j] = g[:, j, i] = self._sums(self.columns[i] * self.columns[j], first, last)
+        yy = self._sums(self.y * self.y, first, last)
+        # time from the middle of the range
+        lo, hi = (self.days[np.clip(x, 0, len(self.days) - 1)] for x in (first, last - 1))
+        shift = np.tile(np.eye(p), (w, 1, 1))
+        shift[:, 0, 1] = -((lo + hi) / 2 - self.origin) / YEAR_DAYS
+        g, r = np.swapaxes(shift, 1, 2) @ g @ shift, np.einsum("wji,wj->wi", shift, r)
+        active = np.ones((w, p), bool)
+        if len(self.steps):
+            inside = (self.steps > lo[:, None]) & (self.steps < hi[:, None])
+            before = np.searchsorted(self.days, self.steps, "right")
+            active[:, self.n_base :] = inside & ~np.c_[np.zeros(w, bool), inside[:, :-1] & (before[1:] == before[:-1])[None]]
+        g *= active[:, :, None] & active[:, None, :]
+        at = np.arange(p)
+        g[:, at, at] += ~active
+        r *= active
+        scale = np.sqrt(np.maximum(g[:, at, at], 1e-300))
+        unit = g / (scale[:, :, None] * scale[:, None, :])
+        dof = n - active.sum(axis=1)
+        fixed = dof > 0
+        fixed[fixed] = np.linalg.eigvalsh(unit[fixed])[:, 0] > 1e-10
+        if fixed.any():
+            inverse = np.linalg.inv(unit[fixed]) / (scale[fixed][:, :, None] * scale[fixed][:, None, :])
+            x = np.einsum("wij,wj->wi", inverse, r[fixed])
+            left = np.maximum(0.0, yy[fixed] - np.einsum("wi,wi->w", x, r[fixed]))
+            rate[fixed] = x[:, 1] + self.x0[1]
+            sigma[fixed] = np.sqrt(left / dof[fixed] * np.maximum(0.0, inverse[:, 1, 1]))
+        return rate, sigma
+
+
+def window_rates(days, disp, years: float, steps=(), method: str = "robust", offset: float | None = None, periods: Sequence[float] = (), fits: SlidingFits | None = None) -> list[dict]:
+    """Rate and deviation in each window; members lie strictly between its anchor and its end.  ``days`` ascend."""
     days, disp = np.asarray(days, float), np.asarray(disp, float)
-    start = anchors(days, years)
-    first = np.searchsorted(days, start + int(365 * offset), "right")
-    last = np.searchsorted(days, start + int(365 * offset) + int(365 * years), "left")
+    start = anchors(days, years, offset)
+    first = np.searchsorted(days, start, "right")
+    last = np.maximum(first, np.searchsorted(days, start + int(WINDOW_YEAR_DAYS * years), "left"))
     if method == "robust":
-        rates = [trend(days[a:b], disp[a:b], steps)["vel"] for a, b in zip(first, last, strict=True)]
-    else:
-        rates = ols_rates(days, disp, first, np.maximum(first, last))
-    return [{"anchor": float(a), "vel": vel} for a, vel in zip(start, rates, strict=True) if vel is not None]
-
-
-def ols_rates(days: np.ndarray, disp: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[float | None]:
-    """Least-squares rate of each range of epochs, from running sums; none for one day alone."""
-    ok = np.isfinite(disp)
-    t = (days - days[:1].sum()) / 365.25
-    x = np.where(ok, disp - (np.mean(disp[ok]) if ok.any() else 0.0), 0.0)
-    n, st, sx, stt, stx = (np.diff(np.r_[0, np.cumsum(v)][np.stack([first, last])], axis=0)[0] for v in (ok.astype(float), t * ok, x, t * t * ok, t * x))
-    with np.errstate(all="ignore"):
-        spread = stt - st * st / n
-        rate = (stx - st * sx / n) / spread
-    return [float(v) if k >= 2 and w > 1e-9 else None for v, k, w in zip(rate, n, spread, strict=True)]
-
-
-def ols_rate(days: np.ndarray, disp: np.ndarray) -> float | None:
-    ok = np.isfinite(disp)
-    if ok.sum() < 2 or np.ptp(days[ok]) == 0:
-        return None
-    t = (days[ok] - days[ok][0]) / 365.25
-    return float(np.linalg.lstsq(np.c_[np.ones(len(t)), t], disp[ok], rcond=None)[0][1])
+        found = [trend(days[a:b], disp[a:b], steps) for a, b in zip(first, last, strict=True)]
+        return [{"anchor": float(a), "vel": x["vel"], "sigma": x["sigma"]} for a, x in zip(start, found, strict=True) if x["vel"] is not None]
+    rate, sigma = (fits or SlidingFits(days, disp, periods, steps)).solve(first, last)
+    return [{"anchor": float(a), "vel": float(v), "sigma": float(s)} for a, v, s in zip(start, rate, sigma, strict=True) if np.isfinite(v)]
+
+
+def whole_rate(days, disp, steps=(), method: str = "robust", fits: SlidingFits | None = None) -> float | None:
+    if method == "robust":
+        return trend(days, disp, steps)["vel"]
+    rate = float(fits.solve(np.array([0]), np.array([len(days)]))[0][0])
+    return rate if np.isfinite(rate) else None
+
+
+def window_sizes(duration_years: float, least: int = 3, most: int | None = None) -> list[float]:
+    """Whole years from ``least`` up to under ``most``, 3/4 of the duration; 1 counts as 1.1."""
+    end = int(0.75 * duration_years) if most is None else most
+    return [1.1 if s == 1 else float(s) for s in range(least, end)]
 
 
-def window_sizes(duration_years: float, least: int = 3) -> list[float]:
-    """Whole years from ``least`` up to under 3/4 of the duration; 1 counts as 1.1."""
-    return [1.1 if s == 1 else float(s) for s in range(least, int(0.75 * duration_years))]
+def _alike(a, b) -> np.ndarray:
+    """Whether values of two arrays are equal, in their own type; null equals null."""
+    a, b = pd.array(a), pd.array(b)
+    both = a.isna() & b.isna()
+    return np.asarray(pd.array(a == b, dtype="boolean").fillna(False), bool) | np.asarray(both, bool)
 
 
 def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -137,14 +209,11 @@ def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tupl
         if not len(batch):
             continue
         held.append(batch)
-        last, first = batch[keys].iloc[-1], held[0][keys].iloc[0]
-        if last.equals(first):
+        if all(_alike(batch[k].array[-1:], held[0][k].array[:1])[0] for k in keys):
             continue  # one series over many batches
         part = pd.concat(held, ignore_index=True)
-        before = part[keys].shift()
-        begins = ((part[keys] != before) & ~(part[keys].isna() & before.isna())).any(axis=1).to_numpy()
-        begins[0] = True
-        cuts = np.flatnonzero(begins)
+        same = np.logical_and.reduce([_alike(part[k].array[1:], part[k].array[:-1]) for k in keys])
+        cuts = np.flatnonzero(np.r_[True, ~same])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield tuple(part[k].iat[a] for k in keys), part.iloc[a:b]
         held = [part.iloc[cuts[-1] :]]
@@ -153,67 +222,143 @@ def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tupl
         yield tuple(part[k].iat[0] for k in keys), part
 
 
-def _site_kernel(series: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
-    """Rows of ``f(days, values)`` for each series, in one pass over sorted partitions.
+#: Integers keep their type beside nulls.
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+
+def _days(d: str) -> Column:
+    return F.datediff(d, F.lit("2000-01-01").cast("date"))
+
+
+def _site_kernel(series: DataFrame, keys: list[str], f, schema: str, steps: DataFrame | None = None) -> DataFrame:
+    """Rows of ``f(days, values, steps)`` for each series, in one pass over sorted partitions.
 
     Many short series share a batch, so there is no exchange with Python for each.
+    ``steps`` has ``d`` and the keys, or ``d`` alone for steps of every series; these
+    come to the driver as a list of dates.
     """
-    t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
-    rows = series.where("disp is not null and not isnan(disp)").select(*keys, t, "disp")
+    rows = series.where("disp is not null and not isnan(disp)").select(*keys, _days("d").alias("t"), "disp")
+    common: list[float] = []
+    if steps is not None and set(keys) <= set(steps.columns):
+        rows = rows.unionByName(steps.where("d is not null").select(*keys, _days("d").alias("t"), F.lit(None).cast("double").alias("disp")).distinct())
+    elif steps is not None:
+        common = sorted(float(r["t"]) for r in steps.where("d is not null").select(_days("d").alias("t")).distinct().collect())
     names = [x.split()[0] for x in schema.split(", ")]
+    arrow = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (x.split() for x in schema.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        for key, g in series_of(batches, keys):
+        for key, g in series_of((b.to_pandas(types_mapper=_NULLABLE.get) for b in batches), keys):
             own = {k: None if pd.isna(v) else v for k, v in zip(keys, key, strict=True)}
-            out += [own | x for x in f(g["t"].to_numpy(float), g["disp"].to_numpy(float))]
+            t, disp = g["t"].to_numpy(float), g["disp"].to_numpy(float, na_value=np.nan)
+            seen = np.isfinite(disp)
+            if seen.any():
+                out += [own | x for x in f(t[seen], disp[seen], np.r_[common, t[~seen]])]
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], arrow)
                 out = []
-        yield pd.DataFrame(out, columns=names)
+        yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
+
+
+def _key_types(keys: Sequence[str]) -> str:
+    return ", ".join(f"{k} long" if k == "site" else f"{k} int" for k in keys)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, schema)
 
+def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...] = ("site",), method: str = "robust", offset: float | None = None, periods: Sequence[float] = (), steps: DataFrame | None = None) -> DataFrame:
+    """Rates and their deviations in the moving windows of one width, for each key.
+
+    Windows begin ``offset`` years after one another, or half a width; least
+    squares (``ols``) fit a line, ``periods`` (years) and the steps inside a window.
+    """
+
+    def f(t, x, cuts):
+        return window_rates(t, x, years, cuts, method, offset, periods)
 
-def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...] = ("site",), method: str = "robust", offset: float = 0.0) -> DataFrame:
-    """Rates of the moving windows of one width, for each key; windows may begin ``offset`` years after their anchors."""
-    types = ", ".join(f"{k} long" if k == "site" else f"{k} int" for k in keys)
-    return _site_kernel(series, list(keys), lambda t, x: window_rates(t, x, years, method=method, offset=offset), f"{types}, anchor double, vel double")
+    return _site_kernel(series, list(keys), f, f"{_key_types(keys)}, anchor double, vel double, sigma double", steps)
 
 
-def rate_deviation(series: DataFrame, least: int = 3) -> DataFrame:
+def rate_deviation(series: DataFrame, least: int = 3, steps: DataFrame | None = None, start: str | None = None) -> DataFrame:
     """Root median square deviation of window rates, over all widths, from the whole series' rate."""
+    if start is not None:
+        series = series.where(F.col("d") > F.lit(start).cast("date"))
+        steps = steps.where(F.col("d") > F.lit(start).cast("date")) if steps is not None else None
 
-    def f(t, x):
-        whole = trend(t, x)["vel"]
-        sizes = window_sizes((t[-1] - t[0]) / 365.25, least) if len(t) else []
-        rates = [w["vel"] for s in sizes for w in window_rates(t, x, s)]
+    def f(t, x, cuts):
+        whole = trend(t, x, cuts)["vel"]
+        rates = [w["vel"] for s in window_sizes((t[-1] - t[0]) / YEAR_DAYS, least) for w in window_rates(t, x, s, cuts)]
         if whole is None or not rates:
             return []
         return [{"vel": whole, "dv": float(np.sqrt(np.median((np.array(rates) - whole) ** 2))), "n_windows": len(rates)}]
 
-    return _site_kernel(series, ["site"], f, "site long, vel double, dv double, n_windows long")
+    return _site_kernel(series, ["site"], f, "site long, vel double, dv double, n_windows long", steps)
 
 
-def variability(stack: DataFrame, least: int = 2, most: int | None = None, reduce: str = "mad", method: str = "robust", keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """One number of the window rates of each pixel: ``mad``, ``median`` or ``wrms``.
+def reduced(off: np.ndarray, sigma: np.ndarray, reduce: str) -> float | None:
+    """One number of deviations ``off``: ``mad`` about their median with scale 1, ``median`` (root of the median square) or ``wrms``.
 
-    ``mad`` is about the median of the deviations, with scale 1.
+    ``wrms`` weights by the rates' inverse variances; rates whose deviation isn't
+    known, or is 0, have no weight, and without any weight there is no number.
     """
+    if reduce == "mad":
+        return float(np.median(np.abs(off - np.median(off))))
+    if reduce == "median":
+        return float(np.sqrt(np.median(off**2)))
+    if reduce != "wrms":
+        raise ValueError(f"no such reduction: {reduce}")
+    known = np.isfinite(sigma) & (sigma > 0)
+    if not known.any():
+        return None
+    weight = (sigma[known].min() / sigma[known]) ** 2
+    return float(np.sqrt((weight * off[known] ** 2).sum() / weight.sum()))
+
 
-    def f(t, x):
-        whole = trend(t, x)["vel"] if method == "robust" else ols_rate(t, x)
-        end = most or int(0.75 * (t[-1] - t[0]) / 365.25)
-        sizes = [1.1 if s == 1 else float(s) for s in range(least, end)]
-        rates = np.array([w["vel"] for s in sizes for w in window_rates(t, x, s, method=method)])
-        if whole is None or not len(rates):
+def variability(stack: DataFrame, least: int = 2, most: int | None = None, reduce: str = "mad", method: str = "robust", keys: tuple[str, ...] = ("y", "x"), offset: float | None = None, periods: Sequence[float] = (), steps: DataFrame | None = None) -> DataFrame:
+    """One number (``reduced``) of the deviations of all window rates of a pixel from its whole rate."""
+
+    def f(t, x, cuts):
+        fits = SlidingFits(t, x, periods, cuts) if method == "ols" else None
+        whole = whole_rate(t, x, cuts, method, fits)
+        found = [w for s in window_sizes((t[-1] - t[0]) / YEAR_DAYS, least, most) for w in window_rates(t, x, s, cuts, method, offset, periods, fits)]
+        if whole is None or not found:
             return []
-        off = rates - whole
-        value = {"mad": lambda: np.median(np.abs(off - np.median(off))), "median": lambda: np.sqrt(np.median(off**2)), "wrms": lambda: np.sqrt(np.mean(off**2))}[reduce]()
-        return [{"vel": whole, "variability": float(value), "n_windows": len(rates)}]
+        rates, sigma = (np.array([w[k] for w in found], float) for k in ("vel", "sigma"))
+        return [{"vel": whole, "variability": reduced(rates - whole, sigma, reduce), "n_windows": len(rates)}]
+
+    return _site_kernel(stack, list(keys), f, f"{_key_types(keys)}, vel double, variability double, n_windows long", steps)
 
-    types = ", ".join(f"{k} long" if k == "site" else f"{k} int" for k in keys)
-    return _site_kernel(stack, list(keys), f, f"{types}, vel double, variability double, n_windows long")
+
+def variability_run(stack: DataFrame, attributes: dict[str, str] | None = None, reference: tuple[int, int] | None = None, dropped: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """(dv of every pixel of ``stack``, key and value of the run's metadata).
+
+    Dates in ``dropped`` don't take part.  Pixels whose values average to 0 or
+    have none are not fitted, save the reference pixel; they, and those without
+    windows, get 0.  A stack in millimetres (attribute UNIT) is turned into metres.
+    """
+    attributes = dict(attributes or {})
+    if dropped:
+        stack = stack.where(~F.col("d").isin([F.lit(x).cast("date") for x in dropped]))
+    if attributes.get("UNIT") == "mm":
+        stack = stack.withColumn("disp", F.col("disp") / 1000.0)
+    means = stack.groupBy("y", "x").agg(F.avg(F.when(~F.isnan("disp"), F.col("disp"))).alias("mean"))
+    fitted = F.coalesce(F.col("mean") != 0, F.lit(False))
+    if reference is not None:
+        fitted = fitted | (F.col("y") == reference[0]) & (F.col("x") == reference[1])
+    mask = means.select("y", "x", fitted.alias("fitted"))
+    found = variability(stack.join(mask.where("fitted"), ["y", "x"], "left_semi"), **options)
+    values = mask.join(found.select("y", "x", "variability"), ["y", "x"], "left").select("y", "x", "fitted", F.coalesce("variability", F.lit(0.0)).alias("dv"))
+    span = stack.agg(F.date_format(F.min("d"), "yyyyMMdd").alias("first"), F.date_format(F.max("d"), "yyyyMMdd").alias("last"))
+    named = {"min_window": options.get("least", 2), "max_window": options.get("most"), "method": options.get("reduce", "mad"), "inv_method": options.get("method", "robust"), "window_offset": options.get("offset")}
+    fixed = attributes | {"FILE_TYPE": "velocity", "UNIT": "m/year"} | {k: str(v) for k, v in named.items() if v is not None}
+    if reference is not None:
+        fixed |= {"REF_Y": str(reference[0]), "REF_X": str(reference[1])}
+    dated = {"START_DATE": F.col("first"), "END_DATE": F.col("last"), "DATE12": F.concat_ws("_", "first", "last"), "REF_DATE": F.lit(attributes["REF_DATE"]) if "REF_DATE" in attributes else F.col("first")}
+    if dropped:
+        fixed["excludeDate"] = ",".join(sorted(dropped))
+    pairs = {k: F.lit(v) for k, v in fixed.items() if k not in dated} | dated
+    metadata = span.select(F.explode(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v)))).alias("key", "value"))
+    return values, metadata
 
 
 # ------------------------------------------------------------ tiles

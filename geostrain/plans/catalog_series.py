@@ -250,17 +250,50 @@ def w05(spark, sf):
 
 @query("W06_temporal_variability", None)
 def w06(spark, sf):
-    return W.temporal_variability(view(spark, sf, "v_series"), 3.0)
+    return W.temporal_variability(view(spark, sf, "v_series"), 3.0, steps=view(spark, sf, "v_steps"))
 
 
 @query("W07_rate_deviation", None)
 def w07(spark, sf):
-    return W.rate_deviation(view(spark, sf, "v_series"))
+    return W.rate_deviation(view(spark, sf, "v_series"), steps=view(spark, sf, "v_steps"))
 
 
-@query("W08_window_rates", None)
+def _window_sql(widths: str, advance: str) -> str:
+    """Lines through moving windows: anchors by recursion over each epoch's next anchor."""
+    return f"""
+e AS (SELECT y, x, min(d) AS d0, max(d) AS d1 FROM v_pixel GROUP BY y, x),
+k AS (SELECT e.*, CAST(size AS DOUBLE) AS years, CAST(floor(365e0 * size) AS INT) AS width, CAST(floor({advance}) AS INT) AS advance FROM e, {widths}),
+t AS (SELECT p.y, p.x, k.years, p.d, min(q.d) AS next FROM v_pixel p JOIN k ON p.y = k.y AND p.x = k.x JOIN v_pixel q ON p.y = q.y AND p.x = q.x AND days_between(p.d, q.d) > k.advance GROUP BY p.y, p.x, k.years, p.d),
+a(y, x, years, d) AS (
+  SELECT y, x, years, d0 FROM k
+  UNION ALL
+  SELECT a.y, a.x, a.years, t.next FROM a JOIN t ON a.y = t.y AND a.x = t.x AND a.years = t.years AND a.d = t.d),
+f AS (
+  SELECT k.y, k.x, k.years, a.d, count(*) AS n, regr_slope(p.disp, days_between(k.d0, p.d) / 365.25e0) AS vel,
+         regr_sxx(p.disp, days_between(k.d0, p.d) / 365.25e0) AS sxx, regr_syy(p.disp, days_between(k.d0, p.d) / 365.25e0) AS syy, regr_sxy(p.disp, days_between(k.d0, p.d) / 365.25e0) AS sxy
+  FROM k JOIN a ON k.y = a.y AND k.x = a.x AND k.years = a.years AND (a.d = k.d0 OR days_between(a.d, k.d1) > k.width)
+  JOIN v_pixel p ON p.y = k.y AND p.x = k.x AND days_between(a.d, p.d) > 0 AND days_between(a.d, p.d) < k.width
+  GROUP BY k.y, k.x, k.years, a.d HAVING count(*) > 2)"""
+
+
+def _recursive(body: str) -> str:
+    return duck(body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+W08_SQL = _recursive(_window_sql("(SELECT 2 AS size)", "365e0 * 0.25e0") + """
+SELECT y, x, CAST(days_between(DATE '2000-01-01', d) AS DOUBLE) AS anchor, round(vel, 6) AS vel, round(sqrt(greatest(0e0, syy - vel * sxy) / (n - 2) / sxx), 6) AS sigma FROM f""")
+
+W09_SQL = _recursive(_window_sql("(SELECT unnest(range(2, 40)) AS size) WHERE size < CAST(floor(0.75e0 * days_between(d0, d1) / 365.25e0) AS INT)", "365e0 * size / 2") + """,
+v AS (SELECT y, x, regr_slope(disp, days_between(DATE '2000-01-01', d) / 365.25e0) AS vel FROM v_pixel GROUP BY y, x HAVING count(*) > 2),
+o AS (SELECT f.y, f.x, v.vel, f.vel - v.vel AS off, sqrt(greatest(0e0, f.syy - f.vel * f.sxy) / (f.n - 2) / f.sxx) AS sigma FROM f JOIN v ON f.y = v.y AND f.x = v.x),
+m AS (SELECT *, median(off) OVER (PARTITION BY y, x) AS centre FROM o)
+""")
+
+
+@query("W08_window_rates", W08_SQL)
 def w08(spark, sf):
-    return W.temporal_variability(view(spark, sf, "v_pixel"), 2.0, ("y", "x"), method="ols", offset=0.25)
+    got = W.temporal_variability(view(spark, sf, "v_pixel"), 2.0, ("y", "x"), method="ols", offset=0.25)
+    return got.select("y", "x", "anchor", r6(c("vel"), "vel"), r6(c("sigma"), "sigma"))
 
 
 @query("W08_robust_window_rates", None)
@@ -268,14 +301,51 @@ def w08_robust(spark, sf):
     return W.temporal_variability(view(spark, sf, "v_pixel"), 3.0, ("y", "x"))
 
 
+@query("W08_seasonal_window_rates", None)
+def w08_seasonal(spark, sf):
+    """Lines, annual terms and the stack's steps in windows."""
+    steps = view(spark, sf, "v_steps").select("d").where("d in (date '1994-03-07', date '1996-08-19') or day(d) = 17 and month(d) = 5")
+    return W.temporal_variability(view(spark, sf, "v_pixel"), 3.0, ("y", "x"), method="ols", periods=[1.0], steps=steps)
+
+
 @query("W09_robust_variability", None)
 def w09_robust(spark, sf):
     return W.variability(view(spark, sf, "v_pixel"), 2, reduce="median", method="robust")
 
 
-@query("W09_pixel_variability", None)
+@query("W09_pixel_variability", W09_SQL + "SELECT y, x, round(any_value(vel), 6) AS vel, round(median(abs(off - centre)), 6) AS variability, count(*) AS n_windows FROM m GROUP BY y, x")
 def w09(spark, sf):
-    return W.variability(view(spark, sf, "v_pixel"), 2, method="ols")
+    got = W.variability(view(spark, sf, "v_pixel"), 2, method="ols")
+    return got.select("y", "x", r6(c("vel"), "vel"), r6(c("variability"), "variability"), "n_windows")
+
+
+@query("W09_median_variability", W09_SQL + "SELECT y, x, round(any_value(vel), 6) AS vel, round(sqrt(median(off * off)), 6) AS variability, count(*) AS n_windows FROM m GROUP BY y, x")
+def w09_median(spark, sf):
+    got = W.variability(view(spark, sf, "v_pixel"), 2, method="ols", reduce="median")
+    return got.select("y", "x", r6(c("vel"), "vel"), r6(c("variability"), "variability"), "n_windows")
+
+
+P06_VALUES_SQL = W09_SQL + """
+, r AS (SELECT y, x, sqrt(median(off * off)) AS dv FROM m GROUP BY y, x)
+SELECT p.y, p.x, p.fitted, round(CASE WHEN p.fitted THEN coalesce(r.dv, 0e0) / 1000e0 ELSE 0e0 END, 9) AS dv
+FROM (SELECT y, x, coalesce(avg(disp) <> 0, FALSE) OR (y = 1 AND x = 1) AS fitted FROM v_pixel GROUP BY y, x) p LEFT JOIN r ON p.y = r.y AND p.x = r.x"""
+
+
+def _patch(spark, sf):
+    return W.variability_run(view(spark, sf, "v_pixel"), {"UNIT": "mm", "PROJECT": "stack"}, (1, 1), least=2, reduce="median", method="ols")
+
+
+@query("P06_patch_variability", P06_VALUES_SQL)
+def p06(spark, sf):
+    return _patch(spark, sf)[0].select("y", "x", "fitted", F.round("dv", 9).alias("dv"))
+
+
+@query("P06_patch_metadata", duck("""
+s AS (SELECT strftime(min(d), '%Y%m%d') AS a, strftime(max(d), '%Y%m%d') AS b FROM v_pixel)
+SELECT unnest(['PROJECT', 'FILE_TYPE', 'UNIT', 'min_window', 'method', 'inv_method', 'REF_Y', 'REF_X', 'START_DATE', 'END_DATE', 'DATE12', 'REF_DATE']) AS key,
+       unnest(['stack', 'velocity', 'm/year', '2', 'median', 'ols', '1', '1', a, b, a || '_' || b, a]) AS value FROM s"""))
+def p06_metadata(spark, sf):
+    return _patch(spark, sf)[1]
 
 
 @query("W10_sliding_windows", "w AS (SELECT length, greatest(1, CAST(ceil((length - 40) / 30e0) AS INT) + 1) AS n FROM (SELECT CAST(range AS INT) AS length FROM range(20, 200))) SELECT length, CAST(i * 30 AS INT) AS start, CASE WHEN i = n - 1 THEN length ELSE CAST(i * 30 + 40 AS INT) END AS stop FROM w, range(10) r(i) WHERE i < n".join(["WITH ", ""]))

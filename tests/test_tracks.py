@@ -123,10 +123,3 @@ def test_model_beside_the_spectrum(spark):
     assert got[0]["model"] is None and all(r["model"] > 0 for r in got[1:])
     high = [r for r in got if r["frequency"] > 60]
     assert np.mean([r["density"] for r in high]) == pytest.approx(np.mean([r["model"] for r in high]), rel=0.35)
-
-
-def test_windows_may_begin_after_their_anchors(spark):
-    df = spark.range(1500).select(F.lit(1).alias("y"), F.lit(2).alias("x"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (F.col("id") * 0.002).alias("disp"))
-    plain = windows.temporal_variability(df, 1.0, ("y", "x"), method="ols").collect()
-    later = windows.temporal_variability(df, 1.0, ("y", "x"), method="ols", offset=0.5).collect()
-    assert len(plain) == len(later) and all(r["vel"] == pytest.approx(0.7305) for r in [*plain, *later])
