@@ -3,78 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import inverse_arrays
+from ..functions.geodesy import geodesic_distance
+from ..sources.shared import written
 from .aggregates import structure_function
+from .triangulation import delaunay, edges, triangle_edges, triangles
 
-
-def delaunay(x, y) -> np.ndarray:
-    """Triangles (indices) by incremental insertion; none for points on a line."""
-    p = np.c_[np.asarray(x, float), np.asarray(y, float)]
-    n = len(p)
-    if n < 3:
-        return np.zeros((0, 3), int)
-    mid, size = (p.max(0) + p.min(0)) / 2, max(1e-9, float(np.ptp(p, axis=0).max())) * 1e4
-    q = np.vstack([p, mid + [-size, -size], mid + [size, -size], mid + [0, size]])
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, r2 = _circles(q, tri)
-    for i in range(n):
-        bad = ((centre - q[i]) ** 2).sum(1) < r2 * (1 + 1e-12)
-        edges: dict[tuple[int, int], int] = {}
-        for a, b, c in tri[bad].tolist():
-            for e in ((a, b), (b, c), (c, a)):
-                k = (min(e), max(e))
-                edges[k] = edges.get(k, 0) + 1
-        new = np.array([[a, b, i] for (a, b), m in edges.items() if m == 1 and abs(_area(q, a, b, i)) > 0]).reshape(-1, 3)
-        c2, s2 = _circles(q, new)
-        tri, centre, r2 = np.vstack([tri[~bad], new]), np.vstack([centre[~bad], c2]), np.r_[r2[~bad], s2]
-    tri = tri[(tri < n).all(1)]
-    area = np.array([abs(_area(q, *t)) for t in tri]) if len(tri) else np.zeros(0)
-    return tri[area > 1e-12 * max(1e-300, float(np.ptp(p, axis=0).max()) ** 2)]
-
-
-def _area(q, a, b, c) -> float:
-    return (q[b, 0] - q[a, 0]) * (q[c, 1] - q[a, 1]) - (q[b, 1] - q[a, 1]) * (q[c, 0] - q[a, 0])
-
-
-def _circles(q: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(tri):
-        return np.zeros((0, 2)), np.zeros(0)
-    a, b, c = q[tri[:, 0]], q[tri[:, 1]], q[tri[:, 2]]
-    b, c = b - a, c - a
-    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    with np.errstate(all="ignore"):
-        ux = (c[:, 1] * (b**2).sum(1) - b[:, 1] * (c**2).sum(1)) / d
-        uy = (b[:, 0] * (c**2).sum(1) - c[:, 0] * (b**2).sum(1)) / d
-    u = np.c_[ux, uy]
-    r2 = np.where(d == 0, np.inf, (u**2).sum(1))
-    return a + np.where(np.isfinite(u), u, 0.0), r2
-
-
-def triangle_edges(tri: np.ndarray) -> np.ndarray:
-    """Undirected edges of triangles, both ways, each once."""
-    e = np.vstack([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]]) if len(tri) else np.zeros((0, 2), int)
-    return np.unique(np.vstack([e, e[:, ::-1]]), axis=0)
+__all__ = ["delaunay", "triangle_edges", "triangles", "edges", "neighbours", "network_structure", "triangle_table", "interpolate", "barycentric", "fill_by_distance"]
 
 
 def neighbours(sites: DataFrame, network: str | None = None) -> DataFrame:
-    """src, dst and distance (km) of Delaunay neighbours, both ways.
-
-    One triangulation a network: a table of stations, thousands at most.
-    """
-    key = F.lit(0) if network is None else F.col(network)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("site", ignore_index=True)
-        e = triangle_edges(delaunay(g["lon"], g["lat"]))
-        a, b = g.iloc[e[:, 0]], g.iloc[e[:, 1]]
-        dist = inverse_arrays(a["lon"], a["lat"], b["lon"], b["lat"])[0] / 1000 if len(e) else np.zeros(0)
-        return pd.DataFrame({"src": a["site"].to_numpy(), "dst": b["site"].to_numpy(), "dist": dist})
-
-    return sites.select(key.alias("_net"), "site", "lon", "lat").groupBy("_net").applyInPandas(one, "src long, dst long, dist double")
+    """src, dst and distance (km) of Delaunay neighbours, both ways, in each network."""
+    net = F.lit("") if network is None else F.col(network).cast("string")
+    at = sites.select(net.alias("_net"), "site", "lon", "lat").dropDuplicates(["_net", "site"])
+    side = lambda k: at.select("_net", F.col("site").alias(k), F.col("lon").alias(f"lon_{k}"), F.col("lat").alias(f"lat_{k}"))
+    rows = edges(triangles(sites, network)).join(side("src"), ["_net", "src"]).join(side("dst"), ["_net", "dst"])
+    # stored: the distance is a long expression, and edges are used several times
+    return written(rows.select("src", "dst", geodesic_distance(F.col("lon_src"), F.col("lat_src"), F.col("lon_dst"), F.col("lat_dst"), "km").alias("dist")))
 
 
 def network_structure(edges: DataFrame, sites: DataFrame, spacing: float = 25.0, dvmax: float = 10.0) -> DataFrame:
@@ -83,8 +30,6 @@ def network_structure(edges: DataFrame, sites: DataFrame, spacing: float = 25.0,
     at = sites.select(F.col("site").alias("member"), "lon", "lat", "v")
     rows = star.join(at, "member")
     a, b = rows.select("centre_site", *(F.col(c).alias(f"{c}_1") for c in ("member", "lon", "lat", "v"))), rows.select("centre_site", *(F.col(c).alias(f"{c}_2") for c in ("member", "lon", "lat", "v")))
-    from ..functions.geodesy import geodesic_distance
-
     pairs = a.join(b, "centre_site").where("member_1 < member_2")
     pairs = pairs.select("centre_site", F.col("v_1").alias("v1"), F.col("v_2").alias("v2"), geodesic_distance(F.col("lon_1"), F.col("lat_1"), F.col("lon_2"), F.col("lat_2"), "km").alias("dist"))
     ssf = structure_function(pairs, ["centre_site"], spacing, dvmax, km=True)
@@ -92,23 +37,50 @@ def network_structure(edges: DataFrame, sites: DataFrame, spacing: float = 25.0,
     return n.join(ssf.groupBy("centre_site").agg(F.median("ssf").alias("ssf")), "centre_site", "left")
 
 
-def interpolate(points: DataFrame, targets: DataFrame, fields: list[str]) -> DataFrame:
-    """Linear interpolation over the triangles of ``points``; null outside their hull.
+def triangle_table(points: DataFrame, fields: list[str]) -> DataFrame:
+    """_net, a, b, c, and the position (xa, ya, ...) and fields (<field>_a, ...) of the corners of each Delaunay triangle."""
+    found = triangles(points)
+    for k in "abc":
+        own = points.groupBy(F.col("site").alias(k)).agg(F.min(F.struct("lon", "lat", *fields)).alias("_p"))
+        found = found.join(own.select(k, F.col("_p.lon").alias(f"x{k}"), F.col("_p.lat").alias(f"y{k}"), *(F.col(f"_p.{f}").alias(f"{f}_{k}") for f in fields)), k)
+    return found
 
-    The triangles of a station network are a few thousand rows and travel with
-    the task's code; targets of any number pass through once.
-    """
-    pdf = points.select("lon", "lat", *fields).toPandas()
-    tri = delaunay(pdf["lon"], pdf["lat"])
-    xy, values = pdf[["lon", "lat"]].to_numpy(), pdf[fields].to_numpy()
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in targets.schema] + [f"{f} double" for f in fields])
 
-    def apply(batches):
-        for batch in batches:
-            out = barycentric(xy, tri, values, batch["lon"].to_numpy(float), batch["lat"].to_numpy(float))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=fields)], axis=1)
+def interpolate(points: DataFrame, targets: DataFrame, fields: list[str]) -> DataFrame:
+    """Linear interpolation over the Delaunay triangles of ``points``; null outside their hull.
 
-    return targets.mapInPandas(apply, schema)
+    A grid of cells, about one for each point, is the index: each triangle is
+    listed in the cells of its box, row by row as far as the triangle reaches
+    there, and a target meets the triangles of its own cell.  Of triangles that
+    share a target on their border the first counts.
+    """
+    corners = written(triangle_table(points, fields))
+    span = corners.agg(F.min(F.least("xa", "xb", "xc")).alias("x0"), F.max(F.greatest("xa", "xb", "xc")).alias("x1"), F.min(F.least("ya", "yb", "yc")).alias("y0"), F.max(F.greatest("ya", "yb", "yc")).alias("y1"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return targets.withColumns({f: F.lit(None).cast("double") for f in fields})
+    m = max(1, int(np.sqrt(span["n"] / 2)))
+    step = lambda c, a, b: F.floor((c - span[a]) / (max(span[b] - span[a], 1e-12) / m)).cast("long")
+    listed = corners.withColumn("_cy", F.explode(F.sequence(step(F.least("ya", "yb", "yc"), "y0", "y1"), step(F.greatest("ya", "yb", "yc"), "y0", "y1"))))
+    # where the triangle crosses the row: its corners inside and the crossings of its sides
+    low, high = span["y0"] + F.col("_cy") * (max(span["y1"] - span["y0"], 1e-12) / m), span["y0"] + (F.col("_cy") + 1) * (max(span["y1"] - span["y0"], 1e-12) / m)
+    xs = [F.when(F.col(f"y{k}").between(low, high), F.col(f"x{k}")) for k in "abc"]
+    for s, t in ("ab", "bc", "ca"):
+        for level in (low, high):
+            share = (level - F.col(f"y{s}")) / F.nullif(F.col(f"y{t}") - F.col(f"y{s}"), F.lit(0.0))
+            xs.append(F.when(share.between(0, 1), F.col(f"x{s}") + share * (F.col(f"x{t}") - F.col(f"x{s}"))))
+    eps = 1e-9 * max(1.0, abs(span["x0"]), abs(span["x1"]))
+    reach = F.array_compact(F.array(*xs))
+    listed = listed.withColumn("_xs", reach).where(F.size("_xs") > 0).withColumn("_cx", F.explode(F.sequence(step(F.array_min("_xs") - eps, "x0", "x1"), step(F.array_max("_xs") + eps, "x0", "x1")))).drop("_xs")
+    at = targets.select(F.col("lon").cast("double").alias("_x"), F.col("lat").cast("double").alias("_y")).distinct()
+    placed = at.withColumns({"_cx": step(F.col("_x"), "x0", "x1"), "_cy": step(F.col("_y"), "y0", "y1")})
+    det = (F.col("yb") - F.col("yc")) * (F.col("xa") - F.col("xc")) + (F.col("xc") - F.col("xb")) * (F.col("ya") - F.col("yc"))
+    u = ((F.col("yb") - F.col("yc")) * (F.col("_x") - F.col("xc")) + (F.col("xc") - F.col("xb")) * (F.col("_y") - F.col("yc"))) / det
+    v = ((F.col("yc") - F.col("ya")) * (F.col("_x") - F.col("xc")) + (F.col("xa") - F.col("xc")) * (F.col("_y") - F.col("yc"))) / det
+    met = placed.join(listed, ["_cx", "_cy"]).withColumns({"_u": u, "_v": v}).withColumn("_w", 1 - F.col("_u") - F.col("_v")).where("_u >= -1e-9 and _v >= -1e-9 and _w >= -1e-9")
+    values = [(F.col("_u") * F.col(f"{f}_a") + F.col("_v") * F.col(f"{f}_b") + F.col("_w") * F.col(f"{f}_c")).alias(f) for f in fields]
+    best = met.groupBy("_x", "_y").agg(F.min(F.struct("a", "b", "c", *values)).alias("_best"))
+    out = targets.join(best, (F.col("lon").cast("double") == F.col("_x")) & (F.col("lat").cast("double") == F.col("_y")), "left")
+    return out.select(*(F.col(c) for c in targets.columns), *(F.col(f"_best.{f}").alias(f) for f in fields))
 
 
 def barycentric(xy: np.ndarray, tri: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

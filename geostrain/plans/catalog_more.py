@@ -16,6 +16,7 @@ from ..operators import geostatistics as GS
 from ..operators import network, plates, regression, robust
 from ..sources import stations as S
 from ..sources.shared import shared_dir
+from .catalog_series import NEIGHBOURS
 from .ellipsoid import distances
 from .registry import query
 from .views import duck, view
@@ -91,10 +92,11 @@ def j07(spark, sf):
     return A.pair_matrix(first, second, "i", "j")
 
 
-@query("J10_neighbour_join", None)
+@query("J10_neighbour_join", duck(NEIGHBOURS + " SELECT src, dst, round(m / 1e3, 4) AS dist, p.v AS v_src, q.v AS v_dst FROM e JOIN v_sites p ON src = p.site JOIN v_sites q ON dst = q.site"))
 def j10(spark, sf):
     s = view(spark, sf, "v_sites").select("site", "v")
     e = network.neighbours(view(spark, sf, "v_sites"))
+    e = e.withColumn("dist", F.round("dist", 4))
     return e.join(s.withColumnsRenamed({"site": "src", "v": "v_src"}), "src").join(s.withColumnsRenamed({"site": "dst", "v": "v_dst"}), "dst")
 
 

@@ -10,6 +10,7 @@ from ..operators import filters as FL
 from ..operators import graph, network, robust
 from ..operators import windows as W
 from .registry import FLAGSHIP, query
+from .ellipsoid import distances
 from .views import duck, view
 
 c, lit = F.col, F.lit
@@ -137,10 +138,31 @@ def a12b(spark, sf):
     return got.select("bin", r6(c("ssf"), "ssf"))
 
 
-@query("A13_neighbour_variability", None)
+#: Triangles of three sites, counter-clockwise, whose circle holds no other site: every triple is tried.
+TRIANGLES = """
+h AS (SELECT a.site AS a, b.site AS b, c.site AS c, a.lon AS xa, a.lat AS ya, b.lon AS xb, b.lat AS yb, c.lon AS xc, c.lat AS yc
+  FROM v_sites a JOIN v_sites b ON a.site < b.site JOIN v_sites c ON b.site < c.site),
+o AS (SELECT *, (xb - xa) * (yc - ya) - (yb - ya) * (xc - xa) AS turn FROM h WHERE abs((xb - xa) * (yc - ya) - (yb - ya) * (xc - xa)) > 1e-9),
+i AS (SELECT a, b, c, max(sign(turn) * (
+    ((xa - s.lon) * (xa - s.lon) + (ya - s.lat) * (ya - s.lat)) * ((xb - s.lon) * (yc - s.lat) - (xc - s.lon) * (yb - s.lat))
+  - ((xb - s.lon) * (xb - s.lon) + (yb - s.lat) * (yb - s.lat)) * ((xa - s.lon) * (yc - s.lat) - (xc - s.lon) * (ya - s.lat))
+  + ((xc - s.lon) * (xc - s.lon) + (yc - s.lat) * (yc - s.lat)) * ((xa - s.lon) * (yb - s.lat) - (xb - s.lon) * (ya - s.lat)))) AS inside
+  FROM o JOIN v_sites s ON s.site NOT IN (a, b, c) GROUP BY a, b, c),
+tri AS (SELECT o.* FROM o JOIN i ON o.a = i.a AND o.b = i.b AND o.c = i.c WHERE i.inside <= 1e-9),
+pair AS (SELECT a AS src, b AS dst FROM tri UNION SELECT b, a FROM tri UNION SELECT a, c FROM tri UNION SELECT c, a FROM tri UNION SELECT b, c FROM tri UNION SELECT c, b FROM tri),
+ends AS (SELECT src, dst, p.lon AS lon1, p.lat AS lat1, q.lon AS lon2, q.lat AS lat2 FROM pair JOIN v_sites p ON src = p.site JOIN v_sites q ON dst = q.site),
+"""
+NEIGHBOURS = TRIANGLES + distances("ends", "src, dst")
+
+
+@query("A13_neighbour_variability", duck(TRIANGLES + """
+f AS (SELECT src, p.v - q.v AS dv FROM pair JOIN v_sites p ON src = p.site JOIN v_sites q ON dst = q.site),
+m AS (SELECT *, median(dv) OVER (PARTITION BY src) AS centre FROM f)
+SELECT src, round(sqrt(avg(dv * dv)), 6) AS rms, count(*) AS n, round(median(abs(dv - centre)), 6) AS mad FROM m GROUP BY src"""))
 def a13(spark, sf):
     sites = view(spark, sf, "v_sites")
-    return A.neighbour_variability(network.neighbours(sites), sites)
+    got = A.neighbour_variability(network.neighbours(sites), sites)
+    return got.select("src", r6(c("rms"), "rms"), "n", r6(c("mad"), "mad"))
 
 
 @query("A14_network_structure", None)
@@ -149,9 +171,10 @@ def a14(spark, sf):
     return network.network_structure(network.neighbours(sites), sites)
 
 
-@query("A15_neighbour_distances", None)
+@query("A15_neighbour_distances", duck(NEIGHBOURS + ", k AS MATERIALIZED (SELECT src, m FROM e) SELECT src, round(min(m) / 1e3, 4) AS dmin, round(max(m) / 1e3, 4) AS dmax, round(avg(m) / 1e3, 4) AS dmean, round(median(m) / 1e3, 4) AS dmedian, count(*) AS n FROM k WHERE m <> 0 GROUP BY src"))
 def a15(spark, sf):
-    return A.neighbour_distances(network.neighbours(view(spark, sf, "v_sites")))
+    got = A.neighbour_distances(network.neighbours(view(spark, sf, "v_sites")))
+    return got.select("src", *(F.round(k, 4).alias(k) for k in ("dmin", "dmax", "dmean", "dmedian")), "n")
 
 
 @query("A16_date_counts", duck("SELECT d, count(*) AS n FROM (SELECT date1 AS d FROM v_ifg UNION ALL SELECT date2 FROM v_ifg) GROUP BY d", "v_ifg"))
@@ -450,9 +473,9 @@ def u07(spark, sf):
     return view(spark, sf, "v_series").withColumn("b", b).dropna(subset=["b"]).select("site", "d")
 
 
-@query("V22_delaunay_edges", None)
+@query("V22_delaunay_edges", duck(NEIGHBOURS + " SELECT src, dst, round(m / 1e3, 4) AS dist FROM e"))
 def v22(spark, sf):
-    return network.neighbours(view(spark, sf, "v_sites"))
+    return network.neighbours(view(spark, sf, "v_sites")).select("src", "dst", F.round("dist", 4).alias("dist"))
 
 
 @query("V01_robust_trend", None)

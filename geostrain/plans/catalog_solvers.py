@@ -12,6 +12,7 @@ from ..operators import geostatistics as GS
 from ..operators import los, network, noise, parallel, plates, rasters, regression, tracks
 from ..operators import windows as W
 
+from .catalog_series import TRIANGLES
 from .registry import query
 from .views import duck, view
 
@@ -146,11 +147,18 @@ def a22(spark, sf):
 # ------------------------------------------------------------ interpolation, rasters
 
 
-@query("V23_linear_interpolation", None)
+@query("V23_linear_interpolation", duck(TRIANGLES + """
+g AS (SELECT y, x, -120 + x / 5e0 AS lon, 33 + y / 4e0 AS lat FROM (SELECT DISTINCT y, x FROM v_pixel)),
+w AS (SELECT g.y, g.x, a, b, c, ((yb - yc) * (g.lon - xc) + (xc - xb) * (g.lat - yc)) / ((yb - yc) * (xa - xc) + (xc - xb) * (ya - yc)) AS u,
+        ((yc - ya) * (g.lon - xc) + (xa - xc) * (g.lat - yc)) / ((yb - yc) * (xa - xc) + (xc - xb) * (ya - yc)) AS t FROM g, tri),
+k AS (SELECT y, x, min(struct_pack(a := a, b := b, c := c, u := u, t := t)) AS s FROM w WHERE u >= -1e-9 AND t >= -1e-9 AND 1 - u - t >= -1e-9 GROUP BY y, x)
+SELECT g.y, g.x, g.lon, g.lat, round(k.s.u * p.v + k.s.t * q.v + (1 - k.s.u - k.s.t) * r.v, 6) AS v, round(k.s.u * p.sv + k.s.t * q.sv + (1 - k.s.u - k.s.t) * r.sv, 6) AS sv
+FROM g LEFT JOIN k ON g.y = k.y AND g.x = k.x LEFT JOIN v_sites p ON k.s.a = p.site LEFT JOIN v_sites q ON k.s.b = q.site LEFT JOIN v_sites r ON k.s.c = r.site"""))
 def v23(spark, sf):
     sites = view(spark, sf, "v_sites")
     targets = view(spark, sf, "v_pixel").select("y", "x").distinct().select("y", "x", (-120 + c("x") / 5.0).alias("lon"), (33 + c("y") / 4.0).alias("lat"))
-    return network.interpolate(sites, targets, ["v", "sv"])
+    got = network.interpolate(sites, targets, ["v", "sv"])
+    return got.select("y", "x", "lon", "lat", r6(c("v"), "v"), r6(c("sv"), "sv"))
 
 
 @query("V24_fill_gaps", duck("p AS (SELECT y, x, CASE WHEN (x * 7 + y) % 5 = 0 THEN 0 ELSE avg(disp) END AS v FROM v_pixel GROUP BY y, x), h AS (SELECT y, x FROM p WHERE v = 0), n AS (SELECT h.y, h.x, d.v, sqrt(pow(h.y - d.y, 2) + pow(h.x - d.x, 2)) AS dist FROM h JOIN p d ON d.v <> 0 AND d.y BETWEEN h.y - 2 AND h.y + 2 AND d.x BETWEEN h.x - 2 AND h.x + 2), f AS (SELECT y, x, sum(v / dist) / sum(1 / dist) AS v FROM n WHERE dist <= 2 GROUP BY y, x) SELECT p.y, p.x, round(CASE WHEN p.v = 0 THEN coalesce(f.v, 0) ELSE p.v END, 6) AS value FROM p LEFT JOIN f ON p.y = f.y AND p.x = f.x"))
