@@ -13,6 +13,9 @@ from ..functions.models import los_sigma, los_value, unit_vector
 from .aggregates import equal_width_bin
 from .regression import fit_plane, plane_on
 
+#: Values of a raster that a task of the transform holds, about.
+BLOCK_VALUES = 1 << 20
+
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     r = int(truncate * sigma + 0.5)
@@ -57,23 +60,27 @@ def smooth_pixels(pixels: DataFrame, sigma: float, value: str = "value", block:
     return halo.groupBy("_by", "_bx").applyInPandas(one, "y int, x int, smooth double")
 
 
-def hamming_lowpass(image: np.ndarray, size_y: int, size_x: int, cut_off: float = 1.0, angle: float = 0.0) -> np.ndarray:
-    """Low-pass in the frequency domain by a centred, rotated square-root Hamming window."""
-    h, w = image.shape
+def hamming_mask(h: int, w: int, size_y: int, size_x: int, cut_off: float, angle: float, columns: np.ndarray) -> np.ndarray:
+    """Some columns of a centred, rotated square-root Hamming window over a raster of h by w frequencies."""
     ky, kx = min(size_y, h), min(size_x, w)
-    window = np.sqrt(np.outer(np.hamming(ky), np.hamming(kx)))
-    mask = np.zeros((h, w))
     y0, x0 = (h - ky) // 2, (w - kx) // 2
-    mask[y0 : y0 + ky, x0 : x0 + kx] = window
+    yy, xx = np.meshgrid(np.arange(h), columns, indexing="ij")
     if angle:
         cy, cx = (h - 1) / 2, (w - 1) / 2
-        yy, xx = np.mgrid[:h, :w]
         a = math.radians(angle)
-        sy, sx = cy + (yy - cy) * math.cos(a) - (xx - cx) * math.sin(a), cx + (yy - cy) * math.sin(a) + (xx - cx) * math.cos(a)
-        iy, ix = np.rint(sy).astype(int), np.rint(sx).astype(int)
-        ok = (iy >= 0) & (iy < h) & (ix >= 0) & (ix < w)
-        mask = np.where(ok, mask[np.clip(iy, 0, h - 1), np.clip(ix, 0, w - 1)], 0.0)
-    return np.real(np.fft.ifft2(np.fft.ifftshift(np.fft.fftshift(np.fft.fft2(image)) * mask**cut_off)))
+        dy, dx = yy - cy, xx - cx
+        yy = np.rint(cy + dy * math.cos(a) - dx * math.sin(a)).astype(int)
+        xx = np.rint(cx + dy * math.sin(a) + dx * math.cos(a)).astype(int)
+    inside = (yy >= y0) & (yy < y0 + ky) & (xx >= x0) & (xx < x0 + kx)
+    window = np.sqrt(np.outer(np.hamming(ky), np.hamming(kx)))
+    return np.where(inside, window[np.clip(yy - y0, 0, ky - 1), np.clip(xx - x0, 0, kx - 1)], 0.0) ** cut_off
+
+
+def hamming_lowpass(image: np.ndarray, size_y: int, size_x: int, cut_off: float = 1.0, angle: float = 0.0) -> np.ndarray:
+    """Low-pass in the frequency domain of a raster in memory."""
+    h, w = image.shape
+    mask = hamming_mask(h, w, size_y, size_x, cut_off, angle, np.arange(w))
+    return np.real(np.fft.ifft2(np.fft.ifftshift(np.fft.fftshift(np.fft.fft2(image)) * mask)))
 
 
 def fft_size(extent: Column, wavelength: float) -> Column:
@@ -81,17 +88,59 @@ def fft_size(extent: Column, wavelength: float) -> Column:
     return (F.rint(F.ceil(extent / wavelength) / 2) * 2).cast("int")
 
 
-def lowpass_pixels(pixels: DataFrame, size_y: int, size_x: int, value: str = "value", cut_off: float = 1.0, angle: float = 0.0) -> DataFrame:
-    """The filter over a whole raster: a global operator, one raster a task."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = g["y"].min(), g["x"].min()
-        image = np.zeros((g["y"].max() - y0 + 1, g["x"].max() - x0 + 1))
-        image[g["y"] - y0, g["x"] - x0] = g[value].fillna(0)
-        s = hamming_lowpass(image, size_y, size_x, cut_off, angle)
-        return pd.DataFrame({"y": g["y"], "x": g["x"], "low": s[g["y"] - y0, g["x"] - x0]})
+def lowpass_pixels(pixels: DataFrame, size_y: int, size_x: int, value: str = "value", cut_off: float = 1.0, angle: float = 0.0, block: int = BLOCK_VALUES) -> DataFrame:
+    """The filter over a whole raster, whose transform is spread over tasks.
 
-    return pixels.select(F.lit(0).alias("_r"), "y", "x", value).groupBy("_r").applyInPandas(one, "y int, x int, low double")
+    Blocks of rows are transformed along x and cut into blocks of columns; a
+    shuffle brings all pieces of such a block together, where it is transformed
+    along y, masked and transformed back; a second shuffle returns the pieces to
+    their rows.  Only columns inside the window travel.  A task holds ``block``
+    values, or one row or column.  Null values and missing pixels count as 0.
+    """
+    span = pixels.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    if span["y0"] is None:
+        return pixels.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(0.0).alias("low"))
+    y0, x0, h, w = span["y0"], span["x0"], span["y1"] - span["y0"] + 1, span["x1"] - span["x0"] + 1
+    # columns of the centred spectrum in which the window isn't 0, and where they are in the transform
+    reach = (min(size_x, w) if not angle else math.ceil(math.hypot(size_y, size_x)) + 2) // 2 + 1
+    centred = np.arange(max(0, w // 2 - reach), min(w, w // 2 + reach + 1))
+    places = (centred - w // 2) % w
+    n_rows, n_columns = max(1, block // w), max(1, block // h)
+    pieces = [slice(i, i + n_columns) for i in range(0, len(centred), n_columns)]
+    rows = pixels.select("y", "x", F.col(value).cast("double").alias("value"), F.floor((F.col("y") - y0) / n_rows).cast("int").alias("yb"))
+    piece = "yb int, xb int, data binary"
+
+    def along_rows(g: pd.DataFrame) -> pd.DataFrame:
+        yb = int(g["yb"].iloc[0])
+        image = np.zeros((min(n_rows, h - yb * n_rows), w))
+        image[g["y"] - y0 - yb * n_rows, g["x"] - x0] = g["value"].fillna(0)
+        found = np.fft.fft(image, axis=1)[:, places]
+        return pd.DataFrame({"yb": yb, "xb": range(len(pieces)), "data": [found[:, s].tobytes() for s in pieces]})
+
+    def along_columns(g: pd.DataFrame) -> pd.DataFrame:
+        xb = int(g["xb"].iloc[0])
+        own = centred[pieces[xb]]
+        image = np.zeros((h, len(own)), complex)
+        for yb, data in zip(g["yb"], g["data"], strict=True):
+            part = np.frombuffer(data, complex).reshape(-1, len(own))
+            image[yb * n_rows : yb * n_rows + len(part)] = part
+        mask = np.fft.ifftshift(hamming_mask(h, w, size_y, size_x, cut_off, angle, own), axes=0)
+        back = np.fft.ifft(np.fft.fft(image, axis=0) * mask, axis=0)
+        starts = range(0, h, n_rows)
+        return pd.DataFrame({"yb": range(len(starts)), "xb": xb, "data": [back[i : i + n_rows].tobytes() for i in starts]})
+
+    def back_in_rows(own: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"y": [], "x": [], "low": []})
+        yb = int(own["yb"].iloc[0])
+        image = np.zeros((min(n_rows, h - yb * n_rows), w), complex)
+        for xb, data in zip(g["xb"], g["data"], strict=True):
+            image[:, places[pieces[xb]]] = np.frombuffer(data, complex).reshape(len(image), -1)
+        low = np.real(np.fft.ifft(image, axis=1))
+        return pd.DataFrame({"y": own["y"], "x": own["x"], "low": low[own["y"] - y0 - yb * n_rows, own["x"] - x0]})
+
+    spectrum = rows.groupBy("yb").applyInPandas(along_rows, piece).groupBy("xb").applyInPandas(along_columns, piece)
+    return rows.groupBy("yb").cogroup(spectrum.groupBy("yb")).applyInPandas(back_in_rows, "y int, x int, low double")
 
 
 def residual_surface(pixels: DataFrame, size_y: int, size_x: int, reach: int = 5) -> DataFrame:
@@ -109,15 +158,29 @@ def project_stations(pixels: DataFrame, compat: bool = False) -> DataFrame:
     return pixels.withColumns({"gnss_los": los_value(F.col("ns"), F.col("ew"), F.col("v"), unit), "gnss_std": los_sigma(F.col("sn"), F.col("se"), F.col("sv"), unit, compat)})
 
 
+def in_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Each pixel with every tile whose extended bounds hold it.
+
+    Tiles are listed in the cells of a grid as wide as a tile, pixels have one
+    cell: an equi-join, whatever the number of tiles.
+    """
+    size = tiles.agg(F.greatest(F.lit(1.0), F.avg(F.col("ey1") - F.col("ey0"))).alias("y"), F.greatest(F.lit(1.0), F.avg(F.col("ex1") - F.col("ex0"))).alias("x")).first()
+    cell = lambda c, by: F.floor(c / (by or 1.0)).cast("long")
+    listed = tiles.where("ey0 < ey1 and ex0 < ex1")
+    for axis in "yx":
+        listed = listed.withColumn(f"_c{axis}", F.explode(F.sequence(cell(F.col(f"e{axis}0"), size[axis]), cell(F.col(f"e{axis}1") - 1, size[axis]))))
+    placed = pixels.withColumns({f"_c{axis}": cell(F.col(axis), size[axis]) for axis in "yx"})
+    inside = (F.col("y") >= F.col("ey0")) & (F.col("y") < F.col("ey1")) & (F.col("x") >= F.col("ex0")) & (F.col("x") < F.col("ex1"))
+    return placed.join(listed, ["_cy", "_cx"]).where(inside).drop("_cy", "_cx")
+
+
 def reference_tiles(pixels: DataFrame, tiles: DataFrame, order: float = 1.5, most_missing: float = 0.99) -> DataFrame:
     """Calibrated pixels: a plane of station minus raster per tile, later tiles over earlier.
 
     ``pixels``: y, x, lon, lat, insar, std, gnss_los, gnss_std; ``tiles``: tile,
-    core bounds y0.. and extended bounds ey0...  A tile list is short, and its
-    range join is by a literal list of bounds on each pixel's row.
+    core bounds y0.. and extended bounds ey0...
     """
-    t = F.broadcast(tiles)  # one row a tile of a raster
-    joined = pixels.join(t, (F.col("y") >= F.col("ey0")) & (F.col("y") < F.col("ey1")) & (F.col("x") >= F.col("ex0")) & (F.col("x") < F.col("ex1")))
+    joined = in_tiles(pixels, tiles)
     core = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
     joined = joined.withColumns({"core": core, "residual": F.col("gnss_los") - F.col("insar"), "both_std": F.sqrt(F.col("std") ** 2 + F.coalesce("gnss_std", F.lit(0.0)) ** 2)})
     missing = F.col("residual").isNull() | F.isnan("residual")

@@ -378,7 +378,8 @@ def moving_windows(pixels: DataFrame, size_y: int, size_x: int, overlap_y: int,
     span = data.agg(F.min("y").alias("lo"), (F.max("y") + 1).alias("hi"))
     strips = span.where("lo is not null").select("lo", F.posexplode(sliding_windows(F.col("hi") - F.col("lo"), size_y, overlap_y)).alias("strip", "t")).select("strip", (F.col("t.start") + F.col("lo")).alias("y0"), (F.col("t.stop") + F.col("lo")).alias("y1"))
     rows = data.groupBy("y").agg(F.min("x").alias("xa"), F.max("x").alias("xb"))
-    strip = rows.join(F.broadcast(strips), (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))).groupBy("strip", "y0", "y1").agg(F.min("xa").alias("lo"), (F.max("xb") + 1).alias("hi"))
+    listed = strips.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    strip = rows.join(listed, "y").groupBy("strip", "y0", "y1").agg(F.min("xa").alias("lo"), (F.max("xb") + 1).alias("hi"))
     tiles = strip.select("strip", "y0", "y1", "lo", F.posexplode(sliding_windows(F.col("hi") - F.col("lo"), size_x, overlap_x)).alias("column", "t"))
     return tiles.select("strip", "column", "y0", "y1", (F.col("t.start") + F.col("lo")).alias("x0"), (F.col("t.stop") + F.col("lo")).alias("x1"))
 
