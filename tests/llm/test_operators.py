@@ -296,7 +296,7 @@ def test_number_of_links(spark, block, monkeypatch):
     sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
     n_links = {x: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in set(sets)) for x in set(sets)}
     assert max(n_links.values()) > 4 * ngram_join.ALL_PAIRS
-    assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()} == {i: n_links[x] for i, x in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs, count_links=True).collect()} == {i: n_links[x] for i, x in enumerate(sets)}
 
 
 def test_shared_counts():
