@@ -13,7 +13,7 @@ from ..functions import models as M
 from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import geostatistics as GS
-from ..operators import network, plates, regression, robust
+from ..operators import collocation, network, plates, regression, robust
 from ..sources import stations as S
 from ..sources.shared import shared_dir
 from .catalog_series import NEIGHBOURS
@@ -172,7 +172,7 @@ def l07(spark, sf):
     xy = spark.range(-6, 7).select((c("id") * 80.0).alias("x")).withColumn("y", F.explode(F.sequence(lit(-480), lit(480), lit(80)).cast("array<double>")))
     grid = xy.select(G.aeqd_inverse(c("x"), c("y"), -115.0, 37.0).alias("p")).select("p.lon", "p.lat")
     obs = view(spark, sf, "v_sites").select("lon", "lat", c("v").alias("ew"), (c("v") / 2).alias("ns"), (c("sv") / 5).alias("noise_ew"), (c("sv") / 6).alias("noise_ns"))
-    return GS.collocate(obs, grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
+    return collocation.collocate(obs, grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
 @query("L09_weighted_beta_bins", duck("p AS (SELECT radians(a.lat) AS t1, radians(b.lat) AS t2, radians(a.lon - b.lon) AS s, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 100 AS dist, a.v AS e1, b.v AS e2, a.sv / 5 AS n1, b.sv / 5 AS n2 FROM v_sites a JOIN v_sites b ON a.site < b.site), f AS (SELECT *, sin(t1) * sin(t2) * cos(s) + cos(t1) * cos(t2) AS f FROM p), b AS (SELECT CAST(floor(dist / 100) AS INT) AS bin, (e1 * e2 - 0.5e0 * pow(n1 - n2, 2)) / f AS beta, (n1 * n1 * n2 * n2 + pow(0.5e0 * pow(n1 - n2, 2), 2)) / (f * f) AS var FROM f) SELECT bin, count(*) AS n, round(sum(beta / var) / sum(1 / var), 5) AS k FROM b GROUP BY bin"))

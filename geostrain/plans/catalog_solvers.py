@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..operators import aggregates as A
 from ..operators import geostatistics as GS
-from ..operators import los, network, noise, parallel, plates, rasters, regression, tracks
+from ..operators import collocation, los, network, noise, parallel, plates, rasters, regression, tracks
 from ..operators import windows as W
 
 from .catalog_series import TRIANGLES
@@ -322,13 +322,13 @@ def _observed(spark, sf):
 
 @query("L05_collocation_at_stations", None)
 def l05(spark, sf):
-    return GS.collocate_stations(_observed(spark, sf), (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
+    return collocation.collocate_stations(_observed(spark, sf), (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
 @query("L06_collocation_on_grid", None)
 def l06(spark, sf):
     grid = view(spark, sf, "v_pixel").select("y", "x").distinct().select((-120 + c("x") / 5.0).alias("lon"), (33 + c("y") / 4.0).alias("lat"))
-    return GS.collocate(_observed(spark, sf), grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
+    return collocation.collocate(_observed(spark, sf), grid, (4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
 
 
 @query("L08_empirical_covariance", None)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geostrain.functions import geodesy as G
 from geostrain.functions import time as T
-from geostrain.operators import geostatistics, graph, los, network, noise, plates, rasters, regression, robust, windows
+from geostrain.operators import collocation, geostatistics, graph, los, network, noise, plates, rasters, regression, robust, windows
 from geostrain.sources import stations
 
 
@@ -245,12 +245,33 @@ def test_collocation_splits_observations(spark):
     s = pd.DataFrame({"lon": -118 + rng.random(30), "lat": 34 + rng.random(30), "ew": rng.normal(size=30), "ns": rng.normal(size=30), "noise_ew": 0.2, "noise_ns": 0.2})
     df = spark.createDataFrame(s)
     args = ((4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
-    got = geostatistics.collocate_stations(df, *args).toPandas().merge(s, on=["lon", "lat"])
+    got = collocation.collocate_stations(df, *args).toPandas().merge(s, on=["lon", "lat"])
     assert np.allclose(got["s_ew"] + got["n_ew"], got["ew"]) and np.allclose(got["s_ns"] + got["n_ns"], got["ns"])
-    grid = geostatistics.collocate(df, df.select("lon", "lat"), *args).toPandas().merge(got, on=["lon", "lat"])
+    grid = collocation.collocate(df, df.select("lon", "lat"), *args).toPandas().merge(got, on=["lon", "lat"])
     assert np.allclose(grid["s_ew_x"], grid["s_ew_y"], atol=1e-6)
 
 
+def test_collocation_in_blocks_equals_the_dense_one(spark):
+    rng = np.random.default_rng(3)
+    n, args = 90, ((4.0, 3.0, 1.0), (200.0, 150.0, 100.0))
+    s = pd.DataFrame({"lon": -118 + 5 * rng.random(n), "lat": 34 + 5 * rng.random(n), "ew": rng.normal(size=n), "ns": rng.normal(size=n), "noise_ew": 0.1 + rng.random(n), "noise_ns": 0.1 + rng.random(n)})
+    s.loc[1, ["lon", "lat"]] = s.loc[0, ["lon", "lat"]]  # two stations at one place
+    grid = pd.DataFrame({"lon": -118 + 5 * rng.random(40), "lat": 34 + 5 * rng.random(40)})
+    grid = pd.concat([grid, grid[:3]])
+    blank = pd.DataFrame({"lon": [-117.0], "lat": [np.nan], "ew": [1.0], "ns": [1.0], "noise_ew": [0.1], "noise_ns": [0.1]})
+    stations, targets = spark.createDataFrame(s).unionByName(spark.createDataFrame(blank)), spark.createDataFrame(grid)
+    got = collocation.collocate(stations, targets, *args, size=32).toPandas().sort_values(["lon", "lat"], ignore_index=True)
+    dense = geostatistics.Collocation(s, *args)
+    want = dense.at(grid["lon"].to_numpy(), grid["lat"].to_numpy()).sort_values(["lon", "lat"], ignore_index=True)
+    assert len(got) == 43 and np.allclose(got, want, atol=1e-9)
+    own = collocation.collocate_stations(stations, *args, size=32).toPandas().sort_values(["lon", "lat", "n_ew"], ignore_index=True)
+    at = dense.at(s["lon"].to_numpy(), s["lat"].to_numpy()).assign(n_ew=lambda d: s["ew"] - d["s_ew"], n_ns=lambda d: s["ns"] - d["s_ns"]).sort_values(["lon", "lat", "n_ew"], ignore_index=True)
+    assert len(own) == n and np.allclose(own, at[own.columns], atol=1e-9)
+    none = collocation.collocate(stations.limit(0), targets, *args).toPandas()
+    assert len(none) == 43 and (none["s_ew"] == 0).all() and np.allclose(none["e_ns"], 3**0.5)
+    assert collocation.collocate(stations, targets.limit(0), *args).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 25), (25, 21), (21, 40)], "a long, b long")
     assert {r.id: r.label for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 25: 20, 21: 20, 40: 20}
