@@ -2,8 +2,8 @@
 
 The lexicon is learned: words that labelled toxic texts have far more often
 than clean ones.  It becomes a trie, and the trie's intersection with a
-Levenshtein automaton becomes one table-driven automaton, over which all words
-of many texts run at once.  A term whose neighbourhood meets ordinary words of
+Levenshtein automaton becomes one table-driven automaton, made as far as words
+reach it, over which all words of many texts run at once.  A term whose neighbourhood meets ordinary words of
 clean training texts takes no misspelling.  A term found counts by its context
 window: other terms near it speak for abuse, quotation marks around it for a
 mention.  A logistic regression on these counts gives the score.
@@ -43,6 +43,8 @@ LOOSE = 0.001
 MISSPELT = 0.8
 #: Words on either side that count as context.
 WINDOW = 12
+#: States of the automaton kept between slices of texts.
+MAX_STATES = 50_000
 _WORD_SQL = r"[^\p{L}\p{N}]+"
 _JOINERS = "*@$!#"
 
@@ -51,96 +53,110 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-@dataclass
 class Automaton:
     """Levenshtein automata of all terms, merged over their trie.
 
-    ``table[state, class]`` is the next state, 0 the dead one; ``edits`` is the
-    least distance at which a state accepts, or -1; ``weight`` is that of the
-    term accepted so.
+    A state is a set of (trie node, edits spent).  States and steps are made when
+    a word first takes them, so building is linear in the terms' letters and
+    memory follows what texts reach; beyond ``MAX_STATES`` all are forgotten and
+    made anew, which changes no result.  ``table[state, class]`` is the next
+    state, 0 the dead one, -1 not yet made; ``edits`` is the least distance at
+    which a state accepts, or -1; ``weight`` is that of the term accepted so and
+    ``term`` its number.  They hold for the states that the last ``run`` returned.
     """
 
-    classes: np.ndarray
-    table: np.ndarray
-    edits: np.ndarray
-    weight: np.ndarray
-    term: np.ndarray
+    def __init__(self, terms: dict[str, float], rigid: frozenset[str] = frozenset()):
+        self.terms = sorted(terms)
+        self.weight_of = [terms[t] for t in self.terms]
+        self.allowed = [0 if t in rigid else edits_allowed(t) for t in self.terms]
+        self.children: list[dict[str, int]] = [{}]
+        self.term_at = [-1]
+        self.reach = [0]  # edits that some term below allows
+        for i, term in enumerate(self.terms):
+            node, allowed = 0, self.allowed[i]
+            for c in term:
+                self.reach[node] = max(self.reach[node], allowed)
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.term_at.append(-1)
+                    self.reach.append(0)
+                node = self.children[node][c]
+            self.reach[node] = max(self.reach[node], allowed)
+            self.term_at[node] = i
+        self.alphabet = [None, *sorted({c for term in terms for c in term})]  # class 0: any other character
+        self.classes = np.zeros(0x110000, np.uint8 if len(self.alphabet) < 256 else np.uint16)
+        for i, c in enumerate(self.alphabet[1:], 1):
+            self.classes[ord(c)] = i
+        self._forget()
 
     @classmethod
     def build(cls, terms: dict[str, float], rigid: frozenset[str] = frozenset()) -> Automaton:
         """``rigid`` terms take no edits; ``term`` numbers the sorted terms."""
-        edits_of = {t: 0 if t in rigid else edits_allowed(t) for t in terms}
-        number_of = {t: i for i, t in enumerate(sorted(terms))}
-        children: list[dict[str, int]] = [{}]
-        term_at: list[str | None] = [None]
-        reach = [0]  # edits that some term below allows
-        for term in sorted(terms):
-            node = 0
-            allowed = edits_of[term]
-            for c in term:
-                reach[node] = max(reach[node], allowed)
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    term_at.append(None)
-                    reach.append(0)
-                node = children[node][c]
-            reach[node] = max(reach[node], allowed)
-            term_at[node] = term
-        alphabet = sorted({c for term in terms for c in term})
-        code = {c: i + 1 for i, c in enumerate(alphabet)}  # class 0: any other character
-        classes = np.zeros(0x110000, np.uint8 if len(alphabet) < 255 else np.uint16)
-        for c, i in code.items():
-            classes[ord(c)] = i
-
-        def closed(items: dict[int, int]) -> frozenset[tuple[int, int]]:
-            todo = list(items.items())
-            while todo:
-                node, e = todo.pop()
-                if items.get(node, 99) < e:
-                    continue
-                for child in children[node].values():  # a missing character
-                    if e + 1 <= reach[child] and e + 1 < items.get(child, 99):
-                        items[child] = e + 1
-                        todo.append((child, e + 1))
-            return frozenset(items.items())
-
-        start = closed({0: 0})
-        number, states, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
-        at = 0
-        while at < len(states):
-            row = []
-            for k in range(len(alphabet) + 1):
-                c = alphabet[k - 1] if k else None
-                items: dict[int, int] = {}
-                for node, e in states[at]:
-                    if e + 1 <= reach[node] and e + 1 < items.get(node, 99):  # an extra character
-                        items[node] = e + 1
-                    for x, child in children[node].items():
-                        cost = e + (x != c)
-                        if cost <= reach[child] and cost < items.get(child, 99):
-                            items[child] = cost
-                state = closed(items)
-                if state not in number:
-                    number[state] = len(states)
-                    states.append(state)
-                row.append(number[state])
-            rows.append(row)
-            at += 1
-        edits, weight, which = np.full(len(states), -1, np.int8), np.zeros(len(states)), np.zeros(len(states), np.int32)
-        for i, state in enumerate(states):
-            found = [(e, -terms[t], number_of[t]) for node, e in state if (t := term_at[node]) and e <= edits_of[t]]
-            if found:
-                edits[i], weight[i], which[i] = min(found)[0], -min(found)[1], min(found)[2]
-        return cls(classes, np.array(rows, np.int32), edits, weight, which)
+        return cls(terms, rigid)
+
+    def _forget(self) -> None:
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.table = np.full((256, len(self.alphabet)), -1, np.int32)
+        self.edits, self.weight, self.term = np.full(256, -1, np.int8), np.zeros(256), np.zeros(256, np.int32)
+        self._state(frozenset())
+        self.table[0] = 0
+        self._state(self._closed({0: 0}))
+
+    def _closed(self, items: dict[int, int]) -> frozenset[tuple[int, int]]:
+        todo = list(items.items())
+        while todo:
+            node, e = todo.pop()
+            if items.get(node, 99) < e:
+                continue
+            for child in self.children[node].values():  # a missing character
+                if e + 1 <= self.reach[child] and e + 1 < items.get(child, 99):
+                    items[child] = e + 1
+                    todo.append((child, e + 1))
+        return frozenset(items.items())
+
+    def _state(self, state: frozenset) -> int:
+        if state in self.number:
+            return self.number[state]
+        i = self.number[state] = len(self.states)
+        self.states.append(state)
+        if i == len(self.table):
+            self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+            self.edits, self.weight, self.term = np.r_[self.edits, np.full_like(self.edits, -1)], np.r_[self.weight, self.weight * 0], np.r_[self.term, self.term * 0]
+        found = [(e, -self.weight_of[t], t) for node, e in state if (t := self.term_at[node]) >= 0 and e <= self.allowed[t]]
+        if found:
+            e, w, t = min(found)
+            self.edits[i], self.weight[i], self.term[i] = e, -w, t
+        return i
+
+    def _step(self, state: int, k: int) -> None:
+        c = self.alphabet[k]
+        items: dict[int, int] = {}
+        for node, e in self.states[state]:
+            if e + 1 <= self.reach[node] and e + 1 < items.get(node, 99):  # an extra character
+                items[node] = e + 1
+            for x, child in self.children[node].items():
+                cost = e + (x != c)
+                if cost <= self.reach[child] and cost < items.get(child, 99):
+                    items[child] = cost
+        to = self._state(self._closed(items))  # may give the table a larger array
+        self.table[state, k] = to
 
     def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Last state of each word; ``edits`` there is -1 where no term is near."""
+        if len(self.states) > MAX_STATES:
+            self._forget()
         states = np.zeros(len(start), np.int32)
         alive = np.arange(len(start))
         state, place = np.ones(len(start), np.int32), start.copy()
         while len(alive):
-            state = self.table[state, self.classes[points[place]]]
+            code = self.classes[points[place]]
+            to = self.table[state, code]
+            new = np.unique(state[to < 0].astype(np.int64) * len(self.alphabet) + code[to < 0])
+            for pair in new.tolist():
+                self._step(*divmod(pair, len(self.alphabet)))
+            state = self.table[state, code] if len(new) else to
             place += 1
             over = place >= end[alive]
             states[alive[over]] = state[over]

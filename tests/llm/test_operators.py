@@ -646,6 +646,32 @@ def test_automaton_is_edit_distance():
         assert e == (min(near) if near else -1), w
 
 
+def test_automaton_of_many_terms_and_forgotten_states(monkeypatch):
+    rng = random.Random(12)
+    terms = {"".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(4, 11))): 1 + rng.random() for _ in range(2000)}
+    rigid = frozenset(sorted(terms)[:300])
+    began = time.perf_counter()
+    automaton = toxicity.Automaton.build(terms, rigid)
+    assert time.perf_counter() - began < 5 and len(automaton.states) == 2
+    tries = rng.sample(sorted(terms), 12)
+    for w in list(tries):
+        k = rng.randrange(len(w))
+        tries += [w[:k] + "z" + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + "y" + w[k:], w[::-1], w[1:] + "zz"]
+    line = " ".join(tries)
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(w) + 1 for w in tries]) - 1
+    start = end - [len(w) for w in tries]
+    names = sorted(terms)
+    for limit in (10**6, 0):  # kept, then forgotten before each run
+        monkeypatch.setattr(toxicity, "MAX_STATES", limit)
+        for _ in range(2):
+            states = automaton.run(points, start, end)
+            got = list(zip(automaton.edits[states].tolist(), automaton.weight[states].tolist(), automaton.term[states].tolist(), strict=True))
+        for w, (e, weight, term) in zip(tries, got, strict=True):
+            near = [(d, -terms[t], i) for i, t in enumerate(names) if abs(len(t) - len(w)) <= 2 and (d := _distance(w, t)) <= (0 if t in rigid else toxicity.edits_allowed(t))]
+            assert (e, -weight, term) == min(near) if near else e == -1, w
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     clean = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
