@@ -25,12 +25,20 @@ NOISE = {"WN": 0.0, "FNWN": -1.0, "RWWN": -2.0, "PLWN": None, "GGMWN": None, "RW
 
 @dataclass(frozen=True)
 class TrendModel:
-    """Options of a maximum-likelihood trend; unknown noise names are refused."""
+    """Options of a maximum-likelihood trend; unknown noise names are refused.
+
+    ``restricted`` takes the likelihood of what the columns leave free, so that
+    noise isn't underestimated by their number.  ``filter_iq`` removes epochs whose
+    residual from ordinary least squares is farther from the median than so many
+    interquartile ranges, again until none is.
+    """
 
     poly_deg: int = 1
     periods: tuple[float, ...] = (1.0, 0.5)
     noise: str = "FNWN"
     sampling_days: float = 1.0
+    restricted: bool = False
+    filter_iq: float | None = None
 
     def __post_init__(self):
         if self.noise not in NOISE:
@@ -96,66 +104,116 @@ def _greatest(f, grid, tol: float) -> tuple[float, tuple]:
     return max([*found, (a, fa), (b, fb)], key=lambda v: v[1][0])
 
 
-def _likelihood(a, y, d) -> tuple[float, np.ndarray, np.ndarray, float]:
+def event_column(days: np.ndarray, kind: str, day: float, tau: float | None = None) -> np.ndarray | None:
+    """Column of a step, a relaxation (log, exp) after a day or a slow slip (tanh) around it; none where the series can't tell it.
+
+    ``tau`` is in days.  A step counts after its day.  Slow slips are centred: their
+    size is that from long before to long after.
+    """
+    if kind not in ("step", "log", "exp", "tanh"):
+        raise ValueError(f"unknown event {kind!r}; known: step, log, exp, tanh")
+    if day is None or not np.isfinite(day) or not len(days) or day >= days[-1] or (kind in ("step", "tanh") and day <= days[0]):
+        return None
+    since = days - day
+    if kind == "step":
+        return (since > 0).astype(float)
+    if tau is None or not tau > 0:
+        raise ValueError(f"{kind} needs a time constant above 0")
+    if kind == "tanh":
+        return 0.5 * np.tanh(since / tau)
+    later = np.maximum(since, 0.0) / tau
+    return np.log1p(later) if kind == "log" else 1 - np.exp(-later)
+
+
+def without_outliers(a: np.ndarray, y: np.ndarray, factor: float) -> np.ndarray:
+    """Epochs that stay when those far outside the residuals' interquartile range are removed until none is."""
+    keep = np.ones(len(y), bool)
+    while keep.sum() > a.shape[1]:
+        r = y - a @ np.linalg.lstsq(a[keep], y[keep], rcond=None)[0]
+        low, mid, high = np.percentile(r[keep], [25, 50, 75])
+        far = keep & (np.abs(r - mid) > factor * (high - low))
+        if not far.any() or high <= low:
+            break
+        keep &= ~far
+    return keep
+
+
+def _likelihood(a, y, d, restricted=False) -> tuple[float, np.ndarray, np.ndarray, float]:
     """Of uncorrelated observations with variances proportional to ``d``."""
     root = np.sqrt(d)
     wa, wy = a / root[:, None], y / root
     q = np.linalg.inv(wa.T @ wa)
     x = q @ (wa.T @ wy)
     r = wy - wa @ x
-    n = len(y)
+    n = len(y) - (a.shape[1] if restricted else 0)
     s2 = float(r @ r) / n
-    return -0.5 * (n * math.log(2 * math.pi) + np.log(d).sum() + n * math.log(max(s2, 1e-300)) + n), x, q, s2
+    value = -0.5 * (n * math.log(2 * math.pi) + np.log(d).sum() + n * math.log(max(s2, 1e-300)) + n)
+    if restricted:
+        value += 0.5 * (np.linalg.slogdet(q)[1] + np.linalg.slogdet(a.T @ a)[1])
+    return value, x, q, s2
 
 
-def _best_fraction(a, y, c) -> tuple:
+def _best_fraction(a, y, c, restricted=False) -> tuple:
     """(likelihood, x, q, s2, fraction) of the best mix of white noise and ``c``.
 
     In the axes of ``c`` every mix is diagonal, so one decomposition serves all.
     """
     w, u = np.linalg.eigh(c)
     w, a, y = np.maximum(w, 0.0), u.T @ a, u.T @ y
-    f, got = _greatest(lambda f: _likelihood(a, y, (1 - f) + f * w), np.linspace(0, 0.9999, 21), 1e-5)
+    f, got = _greatest(lambda f: _likelihood(a, y, (1 - f) + f * w, restricted), np.linspace(0, 0.9999, 21), 1e-5)
     return *got, f
 
 
-def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=()) -> dict:
+def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=(), events=()) -> dict:
     """Rate (per year), its deviation, noise fraction and index of one series.
 
     The whole series is fitted: work grows with the cube of its epochs, memory
     with their square.  Of RWFNWN, ``kappa`` is none and ``walk`` is the share of
-    the random walk in the coloured noise.  ``components`` are deviation and index
+    the random walk in the coloured noise.  ``events`` are (kind, day, tau), as in
+    ``event_column``; ``effects`` gives the size and deviation of those that the
+    series can tell, and ``n`` the epochs that were fitted.  ``components`` are deviation and index
     of the white noises that drive each part.
     """
     days, obs = np.asarray(days, float), np.asarray(obs, float)
     ok = np.isfinite(obs)
     days, obs = days[ok], obs[ok]
-    out = {"rate": None, "sigma": None, "fraction": None, "kappa": None, "loglik": None}
+    out = {"rate": None, "sigma": None, "fraction": None, "kappa": None, "loglik": None, "n": len(days), "effects": []}
     step = model.sampling_days
     t = (days - days.mean()) / 365.25 if len(days) else days
     cols = [t**k for k in range(model.poly_deg + 1)]
     for p in model.periods:
         cols += [np.cos(2 * np.pi * t / p), np.sin(2 * np.pi * t / p)]
     cols += [(days > s).astype(float) for s in steps if len(days) and days[0] < s < days[-1]]
+    told = [(e, column) for e in events if (column := event_column(days, *e)) is not None]
+    first = len(cols)
+    cols += [column for _, column in told]
     if len(days) <= len(cols) + 2:
         return out
     a = np.stack(cols, 1)
+    if model.filter_iq is not None:
+        keep = without_outliers(a, obs, model.filter_iq)
+        days, obs, a = days[keep], obs[keep], a[keep]
+        still = [i for i in range(len(cols)) if i < first or np.ptp(a[:, i]) > 0]  # an event may have lost its epochs
+        told, a = [told[i - first] for i in still if i >= first], a[:, still]
+        if len(days) <= len(cols) + 2:
+            return out | {"n": len(days)}
     fixed = NOISE[model.noise]
     walk = {}
     if model.noise == "WN":
-        got, k = (*_likelihood(a, obs, np.ones(len(days))), 0.0), 0.0
+        got, k = (*_likelihood(a, obs, np.ones(len(days)), model.restricted), 0.0), 0.0
     elif model.noise == "RWFNWN":
         flicker, random = (_scaled(_covariance(days, step, NOISE[n])) for n in ("FNWN", "RWWN"))
-        share, got = _greatest(lambda g: _best_fraction(a, obs, (1 - g) * flicker + g * random), np.linspace(0, 1, 6), 1e-3)
+        share, got = _greatest(lambda g: _best_fraction(a, obs, (1 - g) * flicker + g * random, model.restricted), np.linspace(0, 1, 6), 1e-3)
         k, walk = None, {"walk": float(share)}
     else:
-        of = lambda k: _best_fraction(a, obs, _scaled(_covariance(days, step, k, DAMPING.get(model.noise, 0.0))))
+        of = lambda k: _best_fraction(a, obs, _scaled(_covariance(days, step, k, DAMPING.get(model.noise, 0.0))), model.restricted)
         k, got = (fixed, of(fixed)) if fixed is not None else _greatest(of, np.linspace(-2, -0.05, 7), 1e-3)
     ll, x, q, s2, f = got
     parts = [(1 - walk["walk"], NOISE["FNWN"]), (walk["walk"], NOISE["RWWN"])] if walk else [(1.0, k)]
     driving = [(math.sqrt(s2 * f * share / _mean_variance(days, step, index, DAMPING.get(model.noise, 0.0))), index) for share, index in parts] if model.noise != "WN" else []
     walk["components"] = [(math.sqrt(s2 * (1 - f) if driving else s2), 0.0), *driving]
-    return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": None if k is None else float(k), "loglik": float(ll)} | walk
+    effects = [(*e, float(x[i]), float(math.sqrt(s2 * q[i, i]))) for i, (e, _) in enumerate(told, first)]
+    return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": None if k is None else float(k), "loglik": float(ll), "n": len(days), "effects": effects} | walk
 
 
 def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:
@@ -175,6 +233,36 @@ def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel
     return series.select(*keys, t, "disp").groupBy(*keys).applyInPandas(one, f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, error string")
 
 
+def ml_trends_with_events(series: DataFrame, events: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:
+    """As ``ml_trends``, with the events of each key and a row of their sizes.
+
+    ``events``: the keys, kind (step, log, exp, tanh), d, tau (days; null for a
+    step).  Repeated events count once, those without a day not at all; keys
+    without a series are left out.  ``effects`` are in order of kind and day.
+    """
+    types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    names = ["rate", "sigma", "fraction", "kappa", "loglik", "n", "effects", "error"]
+    schema = f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, n long, effects array<struct<kind:string,t:double,tau:double,size:double,sigma:double>>, error string"
+
+    def one(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if g.empty:
+            return pd.DataFrame(columns=[*keys, *names])
+        g = g.sort_values("t")
+        e = e.drop_duplicates(["kind", "t", "tau"]).sort_values(["kind", "t", "tau"])
+        own = [(r.kind, r.t, None if pd.isna(r.tau) else r.tau) for r in e.itertuples(index=False) if not pd.isna(r.t)]
+        try:
+            row = ml_trend(g["t"], g["disp"], model, events=own) | {"error": None}
+            row["effects"] = [dict(zip(("kind", "t", "tau", "size", "sigma"), v, strict=True)) for v in row["effects"]]
+        except Exception as x:  # one series must not end the job
+            row = dict.fromkeys(names) | {"error": str(x)}
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | row], columns=[*keys, *names]).astype({n: "float64" for n in names[:5]} | {"n": "Int64"})
+
+    t = F.datediff("d", F.lit("2000-01-01").cast("date"))
+    left = series.select(*keys, t.alias("t"), "disp").groupBy(*keys)
+    right = events.select(*keys, "kind", t.cast("double").alias("t"), F.col("tau").cast("double")).groupBy(*keys)
+    return left.cogroup(right).applyInPandas(one, schema)
+
+
 def welch(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     """Power spectral density with Hann windows of n/4 samples that overlap by n/8."""
     x = np.asarray(x, float)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -154,6 +156,36 @@ def plane_on(pixels: DataFrame, planes: DataFrame, keys: list[str], order: float
     return rows.withColumns({"plane": plane_value(F.col("lon"), F.col("lat"), coefficients, order), "plane_std": F.sqrt(total)}).drop("_x", "_q", "mse")
 
 
+def incomplete_beta(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    x = np.asarray(x, float)
+    swap = x > (a + 1) / (a + b + 2)
+    z, p, q = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    tiny = 1e-300
+    c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 400):
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        for term in (even, odd):
+            d, c = 1 + term * d, 1 + term / c
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(z) + q * np.log1p(-z)) / p
+    return np.where(swap, 1 - front * h, front * h)
+
+
+def f_survival(x: np.ndarray, d1: float, d2: float) -> np.ndarray:
+    """Probability that an F value of d1 and d2 degrees of freedom is above x."""
+    x = np.maximum(np.asarray(x, float), 0.0)
+    return incomplete_beta(d2 / (d2 + d1 * x), d2 / 2, d1 / 2)
+
+
 def residual_diagnostics(rows: DataFrame, n_parameters: int) -> DataFrame:
     """Studentised residuals, Cook's distance and residual variance; rows have res, mse, h."""
     stud = F.col("res") / F.sqrt(F.col("mse") * (1 - F.col("h")))
@@ -181,3 +213,23 @@ def is_positive_definite(a: np.ndarray) -> bool:
     except np.linalg.LinAlgError:
         return False
     return True
+
+
+def cook_p_values(rows: DataFrame, n_parameters: int) -> DataFrame:
+    """``residual_diagnostics`` with ``p_value``: that of Cook's distance as an F value of parameters and free rows.
+
+    It is null where the distance is (leverage 1) or no row is free.
+    """
+    free = rows.count() - n_parameters
+    out = residual_diagnostics(rows, n_parameters)
+    if free <= 0:
+        return out.withColumn("p_value", F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def p_value(cook: pd.Series) -> pd.Series:
+        known = cook.notna().to_numpy()
+        value = np.full(len(cook), np.nan)
+        value[known] = f_survival(cook.to_numpy(float)[known], n_parameters, free)
+        return pd.Series(value).astype(object).where(known, None)
+
+    return out.withColumn("p_value", p_value("cook"))

@@ -572,3 +572,8 @@ def v35(spark, sf):
     rows = view(spark, sf, "v_sites").select("site", c("v").alias("res"), lit(2.0).alias("mse"), (c("sv") / 10).alias("h"))
     return regression.residual_diagnostics(rows, 3).select("site", *(r6(c(k), k) for k in ("studentised", "cook", "res_var")))
 
+
+@query("V35_cook_p_values", duck("k AS (SELECT site, v * v / (2 * (1 - sv / 10)) / 2 * (sv / 10) / (1 - sv / 10) AS cook, count(*) OVER () - 2 AS free FROM v_sites) SELECT site, round(cook, 6) AS cook, round(pow(1 + 2 * cook / free, -free / 2e0), 6) AS p_value FROM k"))
+def v35_p(spark, sf):
+    rows = view(spark, sf, "v_sites").select("site", c("v").alias("res"), lit(2.0).alias("mse"), (c("sv") / 10).alias("h"))
+    return regression.cook_p_values(rows, 2).select("site", r6(c("cook"), "cook"), r6(c("p_value"), "p_value"))

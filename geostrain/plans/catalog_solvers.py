@@ -267,6 +267,16 @@ def v08(spark, sf):
     return noise.ml_trends(view(spark, sf, "v_series"), ["site"], noise.TrendModel(periods=(1.0,)))
 
 
+@query("V08_ml_trend_with_events", None)
+def v08_events(spark, sf):
+    """Steps of the sites; after the first one of each a relaxation of 60 days and, half a year on, a slow slip."""
+    steps = view(spark, sf, "v_steps")
+    first = steps.groupBy("site").agg(F.min("d").alias("d"))
+    more = F.explode(F.array(F.struct(lit("log").alias("kind"), c("d"), lit(60.0).alias("tau")), F.struct(lit("tanh").alias("kind"), F.date_add("d", 183).alias("d"), lit(40.0).alias("tau"))))
+    events = steps.select("site", lit("step").alias("kind"), "d", lit(None).cast("double").alias("tau")).unionByName(first.select("site", more.alias("e")).select("site", "e.*"))
+    return noise.ml_trends_with_events(view(spark, sf, "v_series"), events, ["site"], noise.TrendModel(periods=(1.0,), restricted=True, filter_iq=3.0))
+
+
 @query("V10_pixel_ml_trend", None)
 def v10(spark, sf):
     return noise.ml_trends(view(spark, sf, "v_pixel"), ["y", "x"], noise.TrendModel(periods=(), sampling_days=91.3125))

@@ -315,6 +315,67 @@ def _dense(t, y, c):
     return -0.5 * (n * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + n * np.log(s2) + n), x[1]
 
 
+def test_restricted_likelihood_events_and_outliers():
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.choice(900, 400, replace=False)).astype(float)
+    later = np.maximum(t - 300, 0) / 50
+    y = 0.01 * t + 8 * (t > 500) + 5 * np.log1p(later) + 6 * 0.5 * np.tanh((t - 700) / 30) + rng.normal(size=len(t))
+    y[[20, 200]] += [60, -80]
+    events = [("step", 500.0, None), ("log", 300.0, 50.0), ("tanh", 700.0, 30.0), ("step", 2000.0, None), ("exp", 899.0, 10.0)]
+    model = noise.TrendModel(periods=(), noise="WN", restricted=True, filter_iq=3.0)
+    got = noise.ml_trend(t, y, model, events=events)
+    assert got["n"] == 398 and [e[0] for e in got["effects"]] == ["step", "log", "tanh"]
+    for (_, _, _, size, sigma), true in zip(got["effects"], (8, 5, 6), strict=True):
+        assert abs(size - true) < 5 * sigma
+    # the restricted likelihood is that of contrasts free of the columns
+    keep = np.ones(len(t), bool)
+    keep[[20, 200]] = False
+    a = np.stack([np.ones(398), (t[keep] - t.mean()) / 365.25, (t > 500)[keep], np.log1p(later)[keep], 0.5 * np.tanh((t[keep] - 700) / 30)], 1)
+    free = np.linalg.svd(a)[0][:, 5:].T @ y[keep]
+    n, s2 = len(free), (free @ free) / len(free)
+    assert got["loglik"] == pytest.approx(-0.5 * (n * np.log(2 * np.pi) + n * np.log(s2) + n))
+    c = 0.3 * np.eye(398) + 0.7 * np.cov(rng.normal(size=(398, 1500)))
+    w, u = np.linalg.eigh(c)
+    z = np.linalg.svd(a)[0][:, 5:]
+    mine, fz = noise._likelihood(u.T @ a, u.T @ y[keep], w, True)[0], z.T @ c @ z
+    s2 = z.T @ y[keep] @ np.linalg.solve(fz, z.T @ y[keep]) / n
+    assert mine == pytest.approx(-0.5 * (n * np.log(2 * np.pi) + np.linalg.slogdet(fz)[1] + n * np.log(s2) + n))
+    with pytest.raises(ValueError):
+        noise.ml_trend(t, y, model, events=[("ramp", 10.0, None)])
+
+
+def test_trends_with_events_of_each_key(spark):
+    t = np.arange(0.0, 400, 4)
+    day = lambda v: (pd.Timestamp("2000-01-01") + pd.Timedelta(days=float(v))).date()
+    rng = np.random.default_rng(2)
+    rows = [(s, day(v), float(0.02 * v + (7.0 if s == 1 and v > 200 else 0.0) + 0.1 * rng.normal())) for s in (1, 2, 3) for v in t]
+    series = spark.createDataFrame(rows, "site long, d date, disp double")
+    events = [(1, "step", day(200), None), (1, "step", day(200), None), (2, "step", None, None), (3, "log", day(100), None), (9, "step", day(50), None)]
+    found = noise.ml_trends_with_events(series, spark.createDataFrame(events, "site long, kind string, d date, tau double"), ["site"], noise.TrendModel(periods=(), noise="WN"))
+    got = {r.site: r for r in found.collect()}
+    assert sorted(got) == [1, 2, 3] and got[3].error and got[3].rate is None
+    assert [e.kind for e in got[1].effects] == ["step"] and got[1].effects[0]["size"] == pytest.approx(7, abs=0.3)
+    assert got[2].effects == [] and got[2].n == 100 and got[2].rate == pytest.approx(0.02 * 365.25, rel=0.05)
+    empty = series.limit(0)
+    assert noise.ml_trends_with_events(empty, spark.createDataFrame(events, "site long, kind string, d date, tau double"), ["site"]).count() == 0
+
+
+def test_f_values(spark):
+    for d1, d2 in ((2, 10), (2, 998), (3, 7), (40, 60)):
+        x = np.array([0.0, 1e-6, 0.3, 1.0, 2.5, 40.0])
+        got = regression.f_survival(x, d1, d2)
+        if d1 == 2:
+            assert np.allclose(got, (1 + 2 * x / d2) ** (-d2 / 2), rtol=1e-11, atol=1e-300)
+            continue
+        v = np.linspace(0, 1, 400_001)[1:-1] ** 3  # the integral itself, fine near 0
+        dens = v ** (d2 / 2 - 1) * (1 - v) ** (d1 / 2 - 1)
+        area = np.r_[0, np.cumsum((dens[1:] + dens[:-1]) / 2 * np.diff(v))]
+        assert np.allclose(got[1:], np.interp(d2 / (d2 + d1 * x[1:]), v, area / area[-1]), atol=2e-3)
+    df = spark.createDataFrame([(1.0, 2.0, 0.1), (None, 2.0, 0.1), (3.0, 2.0, 1.0)], "res double, mse double, h double")
+    out = [r.p_value for r in regression.cook_p_values(df.where("h < 1 or res is null"), 1).collect()]
+    assert 0 < out[0] < 1 and out[1] is None
+
+
 def test_likelihood_of_whole_series():
     """More than 400 epochs, with gaps: no grid of mixes of the whole covariance is likelier."""
     rng = np.random.default_rng(9)
