@@ -195,3 +195,9 @@ def l14(spark, sf):
 @query("L19_hull_vertices", None)
 def l19(spark, sf):
     return plates.hull_vertices(view(spark, sf, "v_sites").select("lon", "lat", F.when(c("lon") < -115, 1).otherwise(2).alias("plate_ix")))
+
+
+@query("P10_station_position", None)
+def p10_position(spark, sf):
+    rows = view(spark, sf, "v_series").select("site", "d", lit(-115.0).alias("ref_lon"), (c("site") * 100.0).alias("e0"), c("disp").alias("east"), (3.9e6 + c("site") * 50.0).alias("n0"), (-c("disp")).alias("north"))
+    return S.station_positions(rows, ["site"])

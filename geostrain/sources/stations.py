@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import geodesic_forward
+
 from ..functions import time as T
 from ..operators.filters import in_box
 
@@ -146,3 +148,16 @@ def profile_segments(points: DataFrame) -> DataFrame:
     """Segments between consecutive vertices of a line."""
     w = Window.partitionBy("line").orderBy("seq")
     return points.withColumns({"lon2": F.lead("lon").over(w), "lat2": F.lead("lat").over(w)}).where("lon2 is not null")
+
+
+def station_positions(series: DataFrame, keys: list[str], order: str = "d") -> DataFrame:
+    """Position of each station at its first epoch: from the reference longitude on the equator by east and north metres.
+
+    ``series``: keys, order, ref_lon, e0, east, n0, north (whole and fractional
+    metres).  Of epochs that are equal the least values count; a null in them
+    gives a null position.
+    """
+    first = series.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.min(F.struct(order, "ref_lon", "e0", "east", "n0", "north")).alias("_f"))
+    e, n = F.col("_f.e0") + F.col("_f.east"), F.col("_f.n0") + F.col("_f.north")
+    to = geodesic_forward(F.col("_f.ref_lon"), F.lit(0.0), F.degrees(F.atan2(e, n)), F.sqrt(e * e + n * n))
+    return first.select(*keys, F.col(f"_f.{order}").alias(order), to.alias("_p")).select(*keys, order, "_p.lon", "_p.lat")

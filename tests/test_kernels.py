@@ -491,3 +491,11 @@ def test_pairs_and_windows_against_loops():
             assert [w["anchor"] for w in got] == [a for a, _ in want]
             assert np.allclose([w["vel"] for w in got], [v for _, v in want], atol=1e-8)
 
+
+def test_station_position_at_the_first_epoch(spark):
+    rows = [(1, 2, -115.0, 9.0, 0.0, 9.0, 0.0), (1, 1, -115.0, 40000.0, 0.25, 3900000.0, -0.5), (2, 1, 10.0, -5000.0, 0.0, -4100000.0, 0.0), (3, 1, 10.0, None, 0.0, 1.0, 0.0)]
+    got = {r.site: r for r in stations.station_positions(spark.createDataFrame(rows, "site int, d int, ref_lon double, e0 double, east double, n0 double, north double"), ["site"]).collect()}
+    for site, lon, e, n in ((1, -115.0, 40000.25, 3899999.5), (2, 10.0, -5000.0, -4100000.0)):
+        x, y = (float(v[0]) for v in G.direct_arrays(lon, 0.0, np.degrees(np.arctan2(e, n)), np.hypot(e, n))[:2])
+        assert (got[site].lon, got[site].lat) == pytest.approx((x, y), abs=1e-7)
+    assert got[1].d == 1 and got[3].lat is None
