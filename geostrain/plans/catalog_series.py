@@ -210,9 +210,9 @@ _AROUND = "n AS (SELECT a.site, b.v AS x, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat
 
 @query("A20_moving_variance", duck(f"{_AROUND}, s AS (SELECT site, count(*) AS n, sum(x * x) AS ss, avg(x) AS m FROM n WHERE dist < 1 GROUP BY site) SELECT site, n, round(CASE WHEN n < 7 THEN sqrt((ss + (7 - n) * pow((m + 2) / 2, 2)) / 6) ELSE sqrt(ss / (n - 1)) END, 6) AS sigma FROM s"))
 def a20(spark, sf):
-    p = _degree_pairs(spark, sf).where("dist < 1")
-    sites = view(spark, sf, "v_sites")
-    around = p.select(c("site1").alias("site"), c("v2").alias("x"), "dist").unionByName(p.select(c("site2").alias("site"), c("v1").alias("x"), "dist")).unionByName(sites.select("site", c("v").alias("x"), lit(0.0).alias("dist")))
+    s = view(spark, sf, "v_sites")
+    around = A.pair_matrix(s.select("site", "lon", "lat"), s.select(c("site").alias("other"), c("v").alias("x"), c("lon").alias("lon2"), c("lat").alias("lat2")), "site", "other")
+    around = around.select("site", "x", F.sqrt((c("lon") - c("lon2")) ** 2 + (c("lat") - c("lat2")) ** 2).alias("dist")).where("dist < 1")
     return A.moving_variance(around, 2.0, 1.0).withColumn("sigma", F.round("sigma", 6))
 
 
