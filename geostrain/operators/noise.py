@@ -9,10 +9,12 @@ least-squares fit, with a Toeplitz covariance of the fractional difference.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +235,124 @@ def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel
     return series.select(*keys, t, "disp").groupBy(*keys).applyInPandas(one, f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, error string")
 
 
+#: Longest series, steps from first to last epoch at most, and matrix elements at once, that ``_many`` takes together.
+SHORT, SHORT_STEPS, ELEMENTS = 128, 1024, 1 << 22
+
+
+def _many(days: np.ndarray, obs: np.ndarray, model: TrendModel) -> dict[str, np.ndarray]:
+    """``ml_trend`` of many series of one length with finite values, whose noise has a fixed index: rows of ``days`` and ``obs``.
+
+    The steps of the search are those of ``_greatest``, for all series at once.
+    """
+    m, n = days.shape
+    index = NOISE[model.noise]
+    at = np.rint((days - days[:, :1]) / model.sampling_days).astype(int)
+    every = np.arange(int(at.max()) + 1, dtype=float)
+    c = _covariance(every, 1.0, index)[at[:, :, None], at[:, None, :]]
+    c *= (n / np.trace(c, axis1=1, axis2=2))[:, None, None]
+    t = (days - days.mean(axis=1, keepdims=True)) / 365.25
+    cols = [t**k for k in range(model.poly_deg + 1)]
+    for p in model.periods:
+        cols += [np.cos(2 * np.pi * t / p), np.sin(2 * np.pi * t / p)]
+    w, u = np.linalg.eigh(c)
+    w, u = np.maximum(w, 0.0), np.swapaxes(u, 1, 2)
+    a, y = u @ np.stack(cols, 2), (u @ obs[:, :, None])[:, :, 0]
+
+    def fitted(f: np.ndarray) -> tuple[np.ndarray, ...]:
+        d = (1 - f)[:, None] + f[:, None] * w
+        root = np.sqrt(d)
+        wa, wy = a / root[:, :, None], y / root
+        left = np.swapaxes(wa, 1, 2)
+        q = np.linalg.inv(left @ wa)
+        x = q @ (left @ wy[:, :, None])
+        r = wy - (wa @ x)[:, :, 0]
+        s2 = (r * r).sum(axis=1) / n
+        return -0.5 * (n * math.log(2 * math.pi) + np.log(d).sum(axis=1) + n * np.log(np.maximum(s2, 1e-300)) + n), x[:, :, 0], q, s2
+
+    value = lambda f: fitted(f)[0]
+    grid = np.linspace(0, 0.9999, 21)
+    values = np.stack([value(np.full(m, g)) for g in grid])
+    k = values.argmax(axis=0)
+    best, found = grid[k], values[k, np.arange(m)]
+    lo, hi = grid[np.maximum(0, k - 1)], grid[np.minimum(len(grid) - 1, k + 1)]
+    r = (math.sqrt(5) - 1) / 2
+    p, q = hi - r * (hi - lo), lo + r * (hi - lo)
+    fp, fq = value(p), value(q)
+    while True:
+        for f, v in ((p, fp), (q, fq)):
+            more = v > found
+            best, found = np.where(more, f, best), np.where(more, v, found)
+        on = hi - lo > 1e-5
+        if not on.any():
+            break
+        down = on & (fp >= fq)
+        up = on & ~down
+        lo, hi = np.where(up, p, lo), np.where(down, q, hi)
+        p, q, fp, fq = np.where(up, q, p), np.where(down, p, q), np.where(up, fq, fp), np.where(down, fp, fq)
+        p, q = np.where(down, hi - r * (hi - lo), p), np.where(up, lo + r * (hi - lo), q)
+        new = value(np.where(down, p, q))
+        fp, fq = np.where(down, new, fp), np.where(up, new, fq)
+    ll, x, cov, s2 = fitted(best)
+    return {"rate": x[:, 1], "sigma": np.sqrt(s2 * cov[:, 1, 1]), "fraction": best, "kappa": np.full(m, float(index)), "loglik": ll}
+
+
+def ml_trends_of_short(series: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:
+    """As ``ml_trends``, for very many short series such as pixels: those of one length are solved together.
+
+    A row holds a whole series.  Longer series, and noises whose index is sought, go one by one.
+    """
+    types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    names = ["rate", "sigma", "fraction", "kappa", "loglik"]
+    together = NOISE[model.noise] is not None and model.noise != "WN" and not model.restricted and model.filter_iq is None and model.poly_deg > 0
+    parameters = model.poly_deg + 1 + 2 * len(model.periods)
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, obs = (batch.column(k) for k in (len(keys), len(keys) + 1))
+            cuts = np.r_[0, np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))].astype(int)
+            at, obs = (v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for v in (at, obs))
+            ok = np.isfinite(obs)
+            sizes = np.array([int(ok[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], int)
+            out, error = {k: np.full(batch.num_rows, np.nan) for k in names}, [None] * batch.num_rows
+
+            def alone(i: int) -> None:
+                try:
+                    row = ml_trend(at[cuts[i] : cuts[i + 1]], obs[cuts[i] : cuts[i + 1]], model)
+                    for k in names:
+                        out[k][i] = np.nan if row[k] is None else row[k]
+                except Exception as e:  # one series must not end the job
+                    error[i] = str(e)
+
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                if n <= parameters + 2 or n > SHORT or not together:
+                    for i in rows.tolist() if n > parameters + 2 else ():
+                        alone(i)
+                    continue
+                own = np.stack([np.flatnonzero(ok[cuts[i] : cuts[i + 1]]) + cuts[i] for i in rows])
+                days, seen = at[own], obs[own]
+                span = days[:, -1] - days[:, 0]
+                easy = np.isfinite(days).all(axis=1) & (span / model.sampling_days < SHORT_STEPS)
+                for i in rows[~easy].tolist():
+                    alone(i)
+                rows, days, seen = rows[easy], days[easy], seen[easy]
+                size = max(1, ELEMENTS // (n * n))
+                for k in range(0, len(rows), size):
+                    part = slice(k, k + size)
+                    try:
+                        for name, v in _many(days[part], seen[part], model).items():
+                            out[name][rows[part]] = v
+                    except np.linalg.LinAlgError:  # one of them is singular
+                        for i in rows[part].tolist():
+                            alone(i)
+            columns = [batch.column(k) for k in range(len(keys))] + [pa.array(out[k], from_pandas=True) for k in names] + [pa.array(error, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *names, "error"])
+
+    t = F.datediff("d", F.lit("2000-01-01").cast("date"))
+    whole = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col("disp").cast("double").alias("disp")))).alias("_s"))
+    return whole.select(*keys, F.col("_s.t").alias("_t"), F.col("_s.disp").alias("_disp")).mapInArrow(solved, f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, error string")
+
+
 def ml_trends_with_events(series: DataFrame, events: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:
     """As ``ml_trends``, with the events of each key and a row of their sizes.
 
