@@ -56,7 +56,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links stays: that with the least id."""
-    return _without(docs, ngram_join.near_duplicates(docs), "component_id <> doc_id")
+    return _without(docs, ngram_join.near_duplicates(docs, count_links=False), "component_id <> doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -552,8 +552,8 @@ def rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame,
     return decide(docs, pairs).where(linking(percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, on request n_links (of its class).
+def near_duplicates(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, unless left out, n_links (of its class) of every row.
 
     Counting links compares every two members of a component's large groups, so
     its cost grows with the square of a family; components don't need it.
