@@ -118,8 +118,12 @@ def series_paths(sites: DataFrame, base: str, provider: str) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """Write a table, by partitions of ``keys``; written partitions replace themselves alone."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write a table, by partitions of ``keys``; written partitions replace themselves alone.
+
+    Rows are dealt by ``keys`` before, so that there is a file for each partition and
+    not one for each task and partition; adaptive execution divides large ones.
+    """
+    writer = (df.hint("rebalance", *keys) if keys else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
