@@ -26,26 +26,44 @@ TILE = 400
 HALO = 0.25
 #: Tiles that a task triangulates, about.
 TILES_IN_TASK = 8
-#: Relative size of a determinant that counts as zero.
+#: Relative size of a determinant up to which rounding may have turned its sign.
 FLAT = 1e-13
 
 # ------------------------------------------------------------ one tile
 
 
-def _turn(p: np.ndarray, a, b, c) -> np.ndarray:
-    """Twice the signed area of a triangle, and the size of its terms."""
+def _whole(p: np.ndarray) -> list[list[int]]:
+    """Coordinates as integers of one common power of two: exactly those given."""
+    ratios = [[float(v).as_integer_ratio() for v in row] for row in p]
+    unit = max(d for row in ratios for _, d in row)
+    return [[n * (unit // d) for n, d in row] for row in ratios]
+
+
+def _turn(p: np.ndarray, a, b, c, whole: list[list[int]] | None = None) -> np.ndarray:
+    """Twice the signed area of a triangle; 0 where it is lost in rounding, or its exact sign there from ``whole``."""
     u = (p[b, 0] - p[a, 0]) * (p[c, 1] - p[a, 1])
     v = (p[b, 1] - p[a, 1]) * (p[c, 0] - p[a, 0])
     d = u - v
-    return np.where(np.abs(d) > FLAT * (np.abs(u) + np.abs(v)), d, 0.0)
+    d = np.where(np.abs(d) > FLAT * (np.abs(u) + np.abs(v)), d, 0.0)
+    for k in np.flatnonzero(d == 0).tolist() if whole is not None else ():
+        (ax, ay), (bx, by), (cx, cy) = whole[a[k]], whole[b[k]], whole[c[k]]
+        left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+        d[k] = (left > right) - (left < right)
+    return d
 
 
-def _inside_circle(p: np.ndarray, tri: np.ndarray, i: int) -> np.ndarray:
-    """Whether point ``i`` lies strictly in the circles of counter-clockwise triangles."""
+def _inside_circle(p: np.ndarray, tri: np.ndarray, i: int, whole: list[list[int]]) -> np.ndarray:
+    """Whether point ``i`` lies strictly in the circles of counter-clockwise triangles; exact where rounding leaves it open."""
     a, b, c = (p[tri[:, k]] - p[i] for k in range(3))
     a2, b2, c2 = ((v**2).sum(1) for v in (a, b, c))
     terms = [a2 * b[:, 0] * c[:, 1], -a2 * b[:, 1] * c[:, 0], b2 * c[:, 0] * a[:, 1], -b2 * c[:, 1] * a[:, 0], c2 * a[:, 0] * b[:, 1], -c2 * a[:, 1] * b[:, 0]]
-    return sum(terms) > FLAT * sum(np.abs(t) for t in terms)
+    total = sum(terms)
+    inside = total > 0
+    for k in np.flatnonzero(np.abs(total) <= FLAT * sum(np.abs(t) for t in terms)).tolist():
+        x, y = whole[i]
+        (ax, ay), (bx, by), (cx, cy) = ((whole[j][0] - x, whole[j][1] - y) for j in tri[k].tolist())
+        inside[k] = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+    return inside
 
 
 def delaunay(x, y) -> np.ndarray:
@@ -54,15 +72,18 @@ def delaunay(x, y) -> np.ndarray:
     Beyond every edge of the hull lies a triangle with the vertex -1, whose
     "circle" is the half-plane outside, so the hull needs no far-away points.  Of
     equal points only the first takes part.
+
+    Signs that rounding leaves open are taken exactly, of the coordinates as they
+    are given: on a lattice, tolerances would open cavities that don't hang together.
+    Of points on one circle the order of insertion decides alone, so tiles that
+    insert in one order agree.
     """
     p = np.c_[np.asarray(x, float), np.asarray(y, float)]
-    if len(p):
-        p = (p - p.mean(axis=0)) / max(1e-300, float(np.ptp(p, axis=0).max()))
     rest = np.sort(np.unique(p, axis=0, return_index=True)[1]).tolist() if len(p) else []
     if len(rest) < 3:
         return np.zeros((0, 3), int)
-    a, b = rest[0], rest[1]
-    turns = _turn(p, np.full(len(rest), a), np.full(len(rest), b), np.array(rest))
+    a, b, whole = rest[0], rest[1], _whole(p)
+    turns = _turn(p, np.full(len(rest), a), np.full(len(rest), b), np.array(rest), whole)
     if not turns.any():
         return np.zeros((0, 3), int)
     c = rest[int(np.flatnonzero(turns)[0])]
@@ -74,9 +95,9 @@ def delaunay(x, y) -> np.ndarray:
             continue
         ghost = tri[:, 2] < 0
         bad = np.zeros(len(tri), bool)
-        bad[~ghost] = _inside_circle(p, tri[~ghost], i)
+        bad[~ghost] = _inside_circle(p, tri[~ghost], i, whole)
         u, v = tri[ghost, 0], tri[ghost, 1]
-        side = _turn(p, u, v, np.full(len(u), i))
+        side = _turn(p, u, v, np.full(len(u), i), whole)
         along = ((p[u] - p[i]) * (p[v] - p[i])).sum(1)
         bad[ghost] = (side > 0) | (side == 0) & (along < 0)
         out = tri[bad]
@@ -180,7 +201,8 @@ def tile_triangles(p: np.ndarray, own: np.ndarray, boxes: np.ndarray, reach: int
 
     if len(mine):
         centre, radius = circles(p, mine)
-        plain = np.c_[centre[:, 0] - radius, centre[:, 0] + radius, centre[:, 1] - radius, centre[:, 1] + radius]
+        wide = radius + 1e-9 * max(1.0, float(np.abs(corners).max()))  # an unseen point may lie on the circle
+        plain = np.c_[centre[:, 0] - wide, centre[:, 0] + wide, centre[:, 1] - wide, centre[:, 1] + wide]
         cut = np.where(outward * plain > outward * every, every, plain)
         for k in np.flatnonzero((outward * cut > outward * box).any(axis=1)):
             ready &= ask(box_of_cut_circle(centre[k], radius[k], corners) if np.isfinite(radius[k]) else every)

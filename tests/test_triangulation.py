@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from geostrain.operators import network, plates, triangulation
+from geostrain.operators.plates import hull
 
 
 def test_empty_circles_fill_the_hull():
@@ -110,3 +111,30 @@ def test_interpolation_equals_barycentric(spark):
 def test_edges_of_triangles():
     tri = np.array([[0, 1, 2], [1, 3, 2]])
     assert {tuple(e) for e in triangulation.triangle_edges(tri).tolist()} == {e for a, b in ((0, 1), (1, 2), (0, 2), (1, 3), (2, 3)) for e in itertools.permutations((a, b))}
+
+
+def rounded_lattice(box):
+    """Sites of 60 copies of a table: a quarter of a lattice of hundredths, in a box."""
+    k = np.arange(60_000)
+    p = np.c_[-120 + ((k * k * 37 + k * 101) % 1009) / 100, 33 + ((k * k * 53 + k * 211) % 997) / 100]
+    p = p[(p[:, 0] > box[0]) & (p[:, 0] < box[1]) & (p[:, 1] > box[2]) & (p[:, 1] < box[3])]
+    return p[np.sort(np.unique(p, axis=0, return_index=True)[1])]
+
+
+@pytest.mark.parametrize("box", [(-119.2, -118.0, 33.0, 34.0), (-118.4, -117.2, 34.6, 35.7)])
+def test_triangles_of_a_rounded_lattice_cover_their_hull_once(box):
+    """Tolerances broke the cavities: triangles multiplied until a tile never ended."""
+    p = rounded_lattice(box)
+    tri = triangulation.delaunay(*p.T)
+    a, b, c = (p[tri[:, i]] for i in range(3))
+    area = 0.5 * ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0])
+    h = p[hull(*p.T)]
+    whole = 0.5 * abs((h[:, 0] * np.roll(h[:, 1], -1) - h[:, 1] * np.roll(h[:, 0], -1)).sum())
+    assert len(tri) < 2 * len(p) and (area > 0).all() and abs(area.sum() - whole) < 1e-9
+
+
+def test_tiles_of_a_rounded_lattice_agree(spark):
+    p = rounded_lattice((-119.2, -118.0, 33.0, 34.0))
+    want = {tuple(sorted(t)) for t in triangulation.delaunay(*p.T).tolist()}
+    got = [(r.a, r.b, r.c) for r in triangulation.triangles(frame(spark, p), tile=100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
