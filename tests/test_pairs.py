@@ -45,3 +45,28 @@ def test_correlation_is_that_of_distinct_values(spark):
         a, b = own.a1.drop_duplicates(), own.b2.dropna().drop_duplicates()
         p = (own.a1 - a.mean()) * (own.b2 - b.mean()) / (a.std(ddof=0) * b.std(ddof=0))
         assert r.n == len(own) and abs(r.corr - p.sum() / (len(own) - 1)) < 1e-9
+
+
+def test_blocks_of_sites_meet_once(spark, sf):
+    """Every two blocks met both ways, and half of what they made was thrown away; a round went by decimal text."""
+    sites = _sites(spark, 600).unionByName(_sites(spark, 1).withColumn("site", F.lit(None).cast("long")))
+    assert A.site_pairs(sites).distinct().count() == A.site_pairs(sites).count() == 600 * 599 // 2
+    import __spark_entry__  # noqa: F401, the catalog
+
+    for name in ("L11_pair_betas", "L14_kernel_of_distance", "L15_two_sample_variance"):
+        assert "xxhash64" not in registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounding_by_arithmetic(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(0, 1, 2000).tolist(), *rng.normal(0, 1e-6, 500).tolist(), 0.0, -0.0, -2e-7, 0.5e-6, -1.5e-6, 3e15, -7.25e300, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", A.rounded(F.col("x")).alias("a"), F.round("x", 6).alias("b")).collect()
+    same = [r for r in rows if r.a == r.b or r.a != r.a and r.b != r.b]
+    assert len(same) == len(values) and all(np.copysign(1, r.a) == 1 for r in rows if r.a == 0)
+
+
+def test_pairs_of_names_and_of_repeated_ids(spark):
+    names = spark.createDataFrame([(f"s{i}", float(i)) for i in range(40)], "site string, v double")
+    assert A.site_pairs(names).where("site1 < site2").count() == 40 * 39 // 2
+    twice = spark.createDataFrame([(i // 2, float(i)) for i in range(80)], "site long, v double")
+    assert A.site_pairs(twice).count() == 40 * 39 // 2 * 4
