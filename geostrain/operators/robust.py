@@ -80,13 +80,17 @@ def _one_direction(years: np.ndarray, steps: np.ndarray, tolerance: float) -> np
     n = len(years)
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    part = segment_ids(years, steps)  # never falls along the run
+    part = segment_ids(years, steps) if len(steps) else None  # never falls along the run
     along = np.abs(years - years[0])
     i = np.arange(n - 1)
     first = np.maximum(np.searchsorted(along, along[:-1] + 1 - tolerance, "right"), i + 1)
-    last = np.minimum(np.searchsorted(along, along[:-1] + 1 + tolerance, "left"), np.searchsorted(part, part[:-1], "right"))
+    last = np.searchsorted(along, along[:-1] + 1 + tolerance, "left")
+    if part is not None:
+        last = np.minimum(last, np.searchsorted(part, part[:-1], "right"))
     count = np.maximum(0, last - first)
-    stand_in = (count == 0) & (i != n - 2) & (first < n) & (part[np.minimum(first, n - 1)] == part[:-1])
+    stand_in = (count == 0) & (i != n - 2) & (first < n)
+    if part is not None:
+        stand_in &= part[np.minimum(first, n - 1)] == part[:-1]
     count[stand_in] = 1
     own = np.repeat(i, count)
     other = np.repeat(first, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -135,6 +139,31 @@ def trend(days, disp, steps=(), tolerance: float = TOLERANCE) -> dict:
     return out | {"vel": vel, "sigma": 3 * math.sqrt(math.pi / 2) * spread / math.sqrt(n) if n else None, "intercept": level, "n_kept": len(kept), "residual": residual}
 
 
+def _median(x: np.ndarray) -> float:
+    """Median of finite values, without the general form's cost for each call."""
+    x, n = np.sort(x), len(x)
+    return float((x[(n - 1) // 2] + x[n // 2]) / 2)
+
+
+def rate_of(days: np.ndarray, disp: np.ndarray, steps=(), tolerance: float = TOLERANCE) -> tuple[float | None, float | None]:
+    """Rate and sigma as in ``trend``, nothing else; ``days`` ascend.  For very many short windows."""
+    if len(days) < 2:
+        return None, None
+    i, j = select_pairs(days, steps, tolerance).T
+    slope = (disp[j] - disp[i]) / ((days[j] - days[i]) / YEAR_DAYS)
+    slope = slope[np.isfinite(slope)]
+    if not len(slope):
+        return None, None
+    off = np.abs(slope - _median(slope))
+    kept = slope[off < 2 * SCALE * _median(off)]
+    if not len(kept):
+        return None, None
+    vel = _median(kept)
+    spread = SCALE * _median(np.abs(kept - vel))
+    n = len(kept) // 4
+    return vel, 3 * math.sqrt(math.pi / 2) * spread / math.sqrt(n) if n else None
+
+
 TREND = "site long, vel double, sigma double, intercept double, n_pairs long, n_kept long"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import WINDOW_YEAR_DAYS, YEAR_DAYS, decimal_year
-from .robust import trend
+from .robust import rate_of, trend
 
 
 def _by_site():
@@ -169,24 +169,39 @@ class SlidingFits:
         return rate, sigma
 
 
+def _members(days: np.ndarray, years: float, offset: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of windows and the range of epochs in each: strictly between its anchor and its end."""
+    start = anchors(days, years, offset)
+    first = np.searchsorted(days, start, "right")
+    return start, first, np.maximum(first, np.searchsorted(days, start + int(WINDOW_YEAR_DAYS * years), "left"))
+
+
 def window_rates(days, disp, years: float, steps=(), method: str = "robust", offset: float | None = None, periods: Sequence[float] = (), fits: SlidingFits | None = None) -> list[dict]:
     """Rate and deviation in each window; members lie strictly between its anchor and its end.  ``days`` ascend."""
     days, disp = np.asarray(days, float), np.asarray(disp, float)
-    start = anchors(days, years, offset)
-    first = np.searchsorted(days, start, "right")
-    last = np.maximum(first, np.searchsorted(days, start + int(WINDOW_YEAR_DAYS * years), "left"))
+    start, first, last = _members(days, years, offset)
     if method == "robust":
-        found = [trend(days[a:b], disp[a:b], steps) for a, b in zip(first, last, strict=True)]
-        return [{"anchor": float(a), "vel": x["vel"], "sigma": x["sigma"]} for a, x in zip(start, found, strict=True) if x["vel"] is not None]
+        found = [rate_of(days[a:b], disp[a:b], steps) for a, b in zip(first, last, strict=True)]
+        return [{"anchor": float(a), "vel": v, "sigma": s} for a, (v, s) in zip(start, found, strict=True) if v is not None]
     rate, sigma = (fits or SlidingFits(days, disp, periods, steps)).solve(first, last)
     return [{"anchor": float(a), "vel": float(v), "sigma": float(s)} for a, v, s in zip(start, rate, sigma, strict=True) if np.isfinite(v)]
 
 
-def whole_rate(days, disp, steps=(), method: str = "robust", fits: SlidingFits | None = None) -> float | None:
+def all_rates(days, disp, sizes: Sequence[float], steps=(), method: str = "robust", offset: float | None = None, periods: Sequence[float] = ()) -> tuple[float | None, np.ndarray, np.ndarray]:
+    """Rate of the whole series, and rates and deviations in the windows of all ``sizes``.
+
+    Least squares solves the windows of all sizes, and the whole, in one batch.
+    """
+    days, disp = np.asarray(days, float), np.asarray(disp, float)
     if method == "robust":
-        return trend(days, disp, steps)["vel"]
-    rate = float(fits.solve(np.array([0]), np.array([len(days)]))[0][0])
-    return rate if np.isfinite(rate) else None
+        found = [w for s in sizes for w in window_rates(days, disp, s, steps, method, offset)]
+        rate, sigma = (np.array([w[k] for w in found], float) for k in ("vel", "sigma"))
+        return rate_of(days, disp, steps)[0], rate, sigma
+    ranges = [_members(days, s, offset)[1:] for s in sizes]
+    first, last = (np.concatenate([[end], *(r[i] for r in ranges)]) for i, end in enumerate((0, len(days))))
+    rate, sigma = SlidingFits(days, disp, periods, steps).solve(first, last)
+    ok = np.isfinite(rate[1:])
+    return float(rate[0]) if np.isfinite(rate[0]) else None, rate[1:][ok], sigma[1:][ok]
 
 
 def window_sizes(duration_years: float, least: int = 3, most: int | None = None) -> list[float]:
@@ -318,12 +333,9 @@ def variability(stack: DataFrame, least: int = 2, most: int | None = None, reduc
     """One number (``reduced``) of the deviations of all window rates of a pixel from its whole rate."""
 
     def f(t, x, cuts):
-        fits = SlidingFits(t, x, periods, cuts) if method == "ols" else None
-        whole = whole_rate(t, x, cuts, method, fits)
-        found = [w for s in window_sizes((t[-1] - t[0]) / YEAR_DAYS, least, most) for w in window_rates(t, x, s, cuts, method, offset, periods, fits)]
-        if whole is None or not found:
+        whole, rates, sigma = all_rates(t, x, window_sizes((t[-1] - t[0]) / YEAR_DAYS, least, most), cuts, method, offset, periods)
+        if whole is None or not len(rates):
             return []
-        rates, sigma = (np.array([w[k] for w in found], float) for k in ("vel", "sigma"))
         return [{"vel": whole, "variability": reduced(rates - whole, sigma, reduce), "n_windows": len(rates)}]
 
     return _site_kernel(stack, list(keys), f, f"{_key_types(keys)}, vel double, variability double, n_windows long", steps)

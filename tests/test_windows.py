@@ -155,3 +155,26 @@ def test_no_windows(spark):
     assert windows.temporal_variability(empty, 2.0, method="ols").count() == 0
     assert windows.rate_deviation(empty, steps=empty.select("site", "d")).count() == 0
     assert not windows.window_rates([], [], 2.0, method="ols") and not windows.window_rates([5.0], [1.0], 2.0, method="ols")
+
+
+def test_windows_of_all_sizes_are_solved_together(monkeypatch):
+    """Each size was solved alone, and the whole series again: most of a pixel's time."""
+    rng = np.random.default_rng(11)
+    t = np.sort(rng.choice(2600, 40, replace=False)).astype(float)
+    x = rng.gamma(2.0, 1.0, 40)
+    calls, solve = [], windows.SlidingFits.solve
+    monkeypatch.setattr(windows.SlidingFits, "solve", lambda self, *a: calls.append(1) or solve(self, *a))
+    whole, rate, sigma = windows.all_rates(t, x, [2.0, 3.0, 4.0], method="ols")
+    assert len(calls) == 1
+    alone = [w for s in (2.0, 3.0, 4.0) for w in windows.window_rates(t, x, s, method="ols")]
+    assert np.allclose(rate, [w["vel"] for w in alone], rtol=0, atol=1e-12) and np.allclose(sigma, [w["sigma"] for w in alone])
+    assert abs(whole - np.polyfit(t / 365.25, x, 1)[0]) < 1e-9
+
+
+def test_rates_alone_equal_whole_trends():
+    rng = np.random.default_rng(12)
+    for n, cuts in ((0, ()), (1, ()), (2, ()), (30, ()), (60, (900.0, 1500.0)), (61, (1200.0,))):
+        t = np.sort(rng.choice(2600, n, replace=False)).astype(float)
+        x = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n))
+        found = robust.trend(t, x, cuts)
+        assert robust.rate_of(t, x, cuts) == (found["vel"], found["sigma"])
