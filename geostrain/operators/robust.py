@@ -164,6 +164,67 @@ def rate_of(days: np.ndarray, disp: np.ndarray, steps=(), tolerance: float = TOL
     return vel, 3 * math.sqrt(math.pi / 2) * spread / math.sqrt(n) if n else None
 
 
+def medians(group: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Median of each of ``n`` groups of finite values; NaN for an empty one."""
+    x = x[np.lexsort((x, group))]
+    count = np.bincount(group, minlength=n)
+    begin = np.cumsum(count) - count
+    out = np.full(n, np.nan)
+    some = count > 0
+    out[some] = (x[(begin + (count - 1) // 2)[some]] + x[(begin + count // 2)[some]]) / 2
+    return out
+
+
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whole numbers from each ``first`` on, ``count`` of them, one range after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def rates_of(days: np.ndarray, disp: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """``rate_of`` without steps in many ranges of epochs at once; NaN for no rate or no sigma.
+
+    ``key`` ascends over all series: the days of each, moved by more than two years
+    from those of any other, so that partners are looked up once for each epoch.
+    """
+    w = len(first)
+    after = np.searchsorted(key, key + YEAR_DAYS * (1 - tolerance), "right"), np.searchsorted(key, key + YEAR_DAYS * (1 + tolerance), "left")
+    before = np.searchsorted(key, key - YEAR_DAYS * (1 + tolerance), "right"), np.searchsorted(key, key - YEAR_DAYS * (1 - tolerance), "left")
+    size = np.where(last - first > 1, last - first - 1, 0)
+    window = np.repeat(np.arange(w), size)
+    one, two, own = [], [], []
+    # forward: all epochs of a window but its last; one without partners takes the first beyond a year, save the last but one
+    e = _ragged(first, size)
+    stop = last[window]
+    a, b = np.minimum(after[0][e], stop), np.minimum(after[1][e], stop)
+    count = np.maximum(0, b - a)
+    count[(count == 0) & (e != stop - 2) & (a < stop)] = 1
+    one.append(np.repeat(e, count))
+    two.append(_ragged(a, count))
+    own.append(np.repeat(window, count))
+    # backward: all but its first
+    e = e + 1
+    start = first[window]
+    a, b = np.maximum(before[0][e], start), np.maximum(before[1][e], start)
+    count = np.maximum(0, b - a)
+    alone = (count == 0) & (e != start + 1) & (b > start)
+    count[alone], a[alone] = 1, b[alone] - 1
+    one.append(_ragged(a, count))
+    two.append(np.repeat(e, count))
+    own.append(np.repeat(window, count))
+    i, j, k = (np.concatenate(v) for v in (one, two, own))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (disp[j] - disp[i]) / ((days[j] - days[i]) / YEAR_DAYS)
+    ok = np.isfinite(slope)
+    slope, k = slope[ok], k[ok]
+    off = np.abs(slope - medians(k, slope, w)[k])
+    ok = off < 2 * SCALE * medians(k, off, w)[k]
+    slope, k = slope[ok], k[ok]
+    rate = medians(k, slope, w)
+    spread = SCALE * medians(k, np.abs(slope - rate[k]), w)
+    n = np.bincount(k, minlength=w) // 4
+    return rate, np.where(n > 0, 3 * math.sqrt(math.pi / 2) * spread / np.sqrt(np.maximum(n, 1)), np.nan)
+
+
 TREND = "site long, vel double, sigma double, intercept double, n_pairs long, n_kept long"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import WINDOW_YEAR_DAYS, YEAR_DAYS, decimal_year
-from .robust import rate_of, trend
+from .robust import medians, rate_of, rates_of, trend
 
 
 def _by_site():
@@ -99,9 +99,11 @@ def anchors(days: np.ndarray, years: float, offset: float | None = None) -> np.n
     return np.array(out)
 
 
-class SlidingFits:
-    """Least squares in many ranges of one series, from running sums.
+def fitted_ranges(days: np.ndarray, y: np.ndarray, n: np.ndarray, periods: Sequence[float], steps: np.ndarray, owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rate and its deviation in ranges of epochs of many series; NaN where a range doesn't fix them.
 
+    ``days`` and ``y`` hold a series a row, of which the first ``n`` values count;
+    ``steps`` ascend in a row and end in infinities.  ``owner`` is the row of each range.
     Running sums of products of the columns (constant, time, periodic terms and
     steps) give the normal equations of any range of epochs as differences; all
     ranges are solved in one batch.  A step takes part where it lies strictly
@@ -109,64 +111,77 @@ class SlidingFits:
     two epochs one does.  The base terms of the whole series are subtracted first,
     and time is counted from the middle of a range, to keep the sums small.
     """
+    m, length = days.shape
+    seen = (np.arange(length) < n[:, None]).astype(float)
+    origin = (days * seen).sum(axis=1) / np.maximum(n, 1)
+    t = (days - origin[:, None]) / YEAR_DAYS
+    angles = [t * (2 * math.pi / p) for p in periods]
+    base = [seen, t * seen, *(f(a) * seen for a in angles for f in (np.cos, np.sin))]
+    n_base = len(base)
+    design = np.stack(base, 2)
+    across = np.swapaxes(design, 1, 2)
+    x0 = (np.linalg.pinv(across @ design, hermitian=True) @ (across @ (y * seen)[:, :, None]))[:, :, 0]
+    y = (y - (design @ x0[:, :, None])[:, :, 0]) * seen
+    columns = base + [(days > steps[:, k, None]) * seen for k in range(steps.shape[1])]
+    p, w = len(columns), len(first)
+    rate, sigma = np.full(w, np.nan), np.full(w, np.nan)
+    if not w or not length:
+        return rate, sigma
+    total = np.zeros((m, length + 1))
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        np.cumsum(values, axis=1, out=total[:, 1:])
+        return total[owner, last] - total[owner, first]
+
+    g, r = np.zeros((w, p, p)), np.zeros((w, p))
+    for i in range(p):
+        r[:, i] = sums(columns[i] * y)
+        for j in range(i, p):
+            g[:, i, j] = g[:, j, i] = sums(columns[i] * columns[j])
+    yy = sums(y * y)
+    # time from the middle of the range
+    end = np.maximum(n[owner] - 1, 0)
+    lo, hi = (days[owner, np.clip(x, 0, end)] for x in (first, last - 1))
+    shift = -((lo + hi) / 2 - origin[owner]) / YEAR_DAYS
+    g[:, 1] += shift[:, None] * g[:, 0]
+    g[:, :, 1] += shift[:, None] * g[:, :, 0]
+    r[:, 1] += shift * r[:, 0]
+    active = np.ones((w, p), bool)
+    if steps.shape[1]:
+        own = steps[owner]
+        inside = (own > lo[:, None]) & (own < hi[:, None])
+        before = np.stack([((days <= steps[:, k, None]) * seen).sum(axis=1) for k in range(steps.shape[1])], 1)
+        active[:, n_base:] = inside & ~np.c_[np.zeros(w, bool), inside[:, :-1] & (before[:, 1:] == before[:, :-1])[owner]]
+    g *= active[:, :, None] & active[:, None, :]
+    at = np.arange(p)
+    g[:, at, at] += ~active
+    r *= active
+    scale = np.sqrt(np.maximum(g[:, at, at], 1e-300))
+    unit = g / (scale[:, :, None] * scale[:, None, :])
+    dof = last - first - active.sum(axis=1)
+    fixed = dof > 0
+    fixed[fixed] = np.linalg.eigvalsh(unit[fixed])[:, 0] > 1e-10
+    if fixed.any():
+        inverse = np.linalg.inv(unit[fixed]) / (scale[fixed][:, :, None] * scale[fixed][:, None, :])
+        x = (inverse @ r[fixed][:, :, None])[:, :, 0]
+        left = np.maximum(0.0, yy[fixed] - (x * r[fixed]).sum(axis=1))
+        rate[fixed] = x[:, 1] + x0[owner[fixed], 1]
+        sigma[fixed] = np.sqrt(left / dof[fixed] * np.maximum(0.0, inverse[:, 1, 1]))
+    return rate, sigma
+
+
+class SlidingFits:
+    """Least squares in many ranges of one series; see ``fitted_ranges``."""
 
     def __init__(self, days: np.ndarray, disp: np.ndarray, periods: Sequence[float] = (), steps: Sequence[float] = ()):
         ok = np.isfinite(disp)
         self.days, self.kept = np.asarray(days, float)[ok], np.r_[0, np.cumsum(ok)]
-        self.steps = np.unique(np.asarray(steps, float))
-        y = np.asarray(disp, float)[ok]
-        self.origin = self.days.mean() if len(y) else 0.0
-        t = (self.days - self.origin) / YEAR_DAYS
-        angles = [t * (2 * math.pi / p) for p in periods]
-        base = [np.ones(len(t)), t, *(f(a) for a in angles for f in (np.cos, np.sin))]
-        self.n_base = len(base)
-        self.x0 = np.linalg.lstsq(np.stack(base, 1), y, rcond=None)[0] if len(y) else np.zeros(len(base))
-        self.columns = base + [(self.days > s).astype(float) for s in self.steps]
-        self.y = y - np.stack(base, 1) @ self.x0 if len(y) else y
-
-    def _sums(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(values)]
-        return total[last] - total[first]
+        self.y, self.periods, self.steps = np.asarray(disp, float)[ok], periods, np.unique(np.asarray(steps, float))
 
     def solve(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rate and its deviation for each range of epochs; NaN where the range doesn't fix them."""
         first, last = self.kept[np.asarray(first, int)], self.kept[np.maximum(first, last).astype(int)]
-        n, p, w = last - first, len(self.columns), len(first)
-        rate, sigma = np.full(w, np.nan), np.full(w, np.nan)
-        if not w or not len(self.days):
-            return rate, sigma
-        g, r = np.zeros((w, p, p)), np.zeros((w, p))
-        for i in range(p):
-            r[:, i] = self._sums(self.columns[i] * self.y, first, last)
-            for j in range(i, p):
-                g[:, i, j] = g[:, j, i] = self._sums(self.columns[i] * self.columns[j], first, last)
-        yy = self._sums(self.y * self.y, first, last)
-        # time from the middle of the range
-        lo, hi = (self.days[np.clip(x, 0, len(self.days) - 1)] for x in (first, last - 1))
-        shift = np.tile(np.eye(p), (w, 1, 1))
-        shift[:, 0, 1] = -((lo + hi) / 2 - self.origin) / YEAR_DAYS
-        g, r = np.swapaxes(shift, 1, 2) @ g @ shift, np.einsum("wji,wj->wi", shift, r)
-        active = np.ones((w, p), bool)
-        if len(self.steps):
-            inside = (self.steps > lo[:, None]) & (self.steps < hi[:, None])
-            before = np.searchsorted(self.days, self.steps, "right")
-            active[:, self.n_base :] = inside & ~np.c_[np.zeros(w, bool), inside[:, :-1] & (before[1:] == before[:-1])[None]]
-        g *= active[:, :, None] & active[:, None, :]
-        at = np.arange(p)
-        g[:, at, at] += ~active
-        r *= active
-        scale = np.sqrt(np.maximum(g[:, at, at], 1e-300))
-        unit = g / (scale[:, :, None] * scale[:, None, :])
-        dof = n - active.sum(axis=1)
-        fixed = dof > 0
-        fixed[fixed] = np.linalg.eigvalsh(unit[fixed])[:, 0] > 1e-10
-        if fixed.any():
-            inverse = np.linalg.inv(unit[fixed]) / (scale[fixed][:, :, None] * scale[fixed][:, None, :])
-            x = np.einsum("wij,wj->wi", inverse, r[fixed])
-            left = np.maximum(0.0, yy[fixed] - np.einsum("wi,wi->w", x, r[fixed]))
-            rate[fixed] = x[:, 1] + self.x0[1]
-            sigma[fixed] = np.sqrt(left / dof[fixed] * np.maximum(0.0, inverse[:, 1, 1]))
-        return rate, sigma
+        return fitted_ranges(self.days[None], self.y[None], np.array([len(self.y)]), self.periods, self.steps[None], np.zeros(len(first), int), first, last)
 
 
 def _members(days: np.ndarray, years: float, offset: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,8 +232,8 @@ def _alike(a, b) -> np.ndarray:
     return np.asarray(pd.array(a == b, dtype="boolean").fillna(False), bool) | np.asarray(both, bool)
 
 
-def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """One series after another from batches sorted by ``keys``; null keys are one key."""
+def runs_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole series, and where each begins and ends, from batches sorted by ``keys``; null keys are one key."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
@@ -229,12 +244,18 @@ def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tupl
         part = pd.concat(held, ignore_index=True)
         same = np.logical_and.reduce([_alike(part[k].array[1:], part[k].array[:-1]) for k in keys])
         cuts = np.flatnonzero(np.r_[True, ~same])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield tuple(part[k].iat[a] for k in keys), part.iloc[a:b]
+        yield part.iloc[: cuts[-1]], cuts
         held = [part.iloc[cuts[-1] :]]
     if held:
         part = pd.concat(held, ignore_index=True)
-        yield tuple(part[k].iat[0] for k in keys), part
+        yield part, np.array([0, len(part)])
+
+
+def series_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """One series after another from batches sorted by ``keys``; null keys are one key."""
+    for part, cuts in runs_of(batches, keys):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(part[k].iat[a] for k in keys), part.iloc[a:b]
 
 
 #: Integers keep their type beside nulls.
@@ -277,6 +298,108 @@ def _site_kernel(series: DataFrame, keys: list[str], f, schema: str, steps: Data
     return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
 
 
+class ManySeries:
+    """Some series of finite values one after another, and windows of all of them at once.
+
+    ``t`` ascends within a series; series ``k`` is ``begin[k]:begin[k + 1]``.  Its
+    steps are row ``k`` of ``steps``, ascending, then infinities.
+    """
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, begin: np.ndarray, steps: np.ndarray):
+        self.t, self.x, self.begin, self.steps = t, x, begin, steps
+        self.n = np.diff(begin)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+
+    def keys(self, reach: float) -> tuple[np.ndarray, float, float]:
+        """Days of all series in one ascending order: no series comes within ``reach`` days of another."""
+        low = float(self.t.min())
+        far = float(self.t.max()) - low + reach + 2
+        return self.owner * far + (self.t - low), far, low
+
+    def windows(self, years: float, offset: float | None, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Series, anchor and range of epochs of the windows of ``chosen`` series: as ``anchors`` and ``_members``."""
+        advance, width = int(WINDOW_YEAR_DAYS * (years / 2 if offset is None else offset)), int(WINDOW_YEAR_DAYS * years)
+        key, far, low = self.keys(max(advance, width))
+        k, end = chosen, self.t[self.begin[1:] - 1]
+        cur = self.t[self.begin[k]]
+        found = [(k, cur)]
+        while len(k):
+            at = np.searchsorted(key, k * far + (cur + advance - low), "right")
+            on = at < self.begin[k + 1]
+            k, cur = k[on], self.t[at[on]]
+            wide = np.floor(end[k] - cur) > width
+            found.append((k[wide], cur[wide]))
+        k, start = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((start, k))
+        k, start = k[order], start[order]
+        first = np.searchsorted(key, k * far + (start - low), "right")
+        return k, start, first, np.maximum(first, np.searchsorted(key, k * far + (start + width - low), "left"))
+
+    def rates(self, k: np.ndarray, first: np.ndarray, last: np.ndarray, method: str, periods: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Rate and deviation in ranges of epochs; NaN where there is none."""
+        if method == "robust":
+            if not self.steps.shape[1]:
+                return rates_of(self.t, self.x, self.keys(2 * YEAR_DAYS)[0], first, last)
+            found = [rate_of(self.t[a:b], self.x[a:b], self.steps[i][np.isfinite(self.steps[i])]) for i, a, b in zip(k, first, last, strict=True)]
+            return tuple(np.array([np.nan if f[i] is None else f[i] for f in found], float) for i in (0, 1))
+        rate, sigma = np.full(len(k), np.nan), np.full(len(k), np.nan)
+        kind = np.frexp(self.n)[1]  # series of about one length lie side by side
+        for size in np.unique(kind[k]).tolist():
+            rows = np.flatnonzero(kind == size)
+            for part in np.array_split(rows, math.ceil(len(rows) * 2**size / PADDED)):
+                mine = np.flatnonzero((kind[k] == size) & (k >= part[0]) & (k <= part[-1]))
+                n = self.n[part]
+                at = self.begin[part][:, None] + np.minimum(np.arange(n.max()), n[:, None] - 1)
+                own = np.searchsorted(part, k[mine])
+                rate[mine], sigma[mine] = fitted_ranges(self.t[at], self.x[at], n, periods, self.steps[part], own, first[mine] - self.begin[k[mine]], last[mine] - self.begin[k[mine]])
+        return rate, sigma
+
+
+#: Values of padded series that are fitted at once.
+PADDED = 1 << 18
+
+
+def _many_kernel(series: DataFrame, keys: list[str], f, schema: str, steps: DataFrame | None = None) -> DataFrame:
+    """As ``_site_kernel``, with ``f`` of a ``ManySeries``: the series' numbers and a column each of the values after the keys.
+
+    A batch of rows is solved at once, so there is no Python for each series.  Tasks
+    are as many as the shuffle's, not merged by bytes: the rows are few, the work isn't.
+    """
+    rows = series.where("disp is not null and not isnan(disp)").select(*keys, _days("d").alias("t"), F.col("disp").cast("double"))
+    common = np.zeros(0)
+    if steps is not None and set(keys) <= set(steps.columns):
+        rows = rows.unionByName(steps.where("d is not null").select(*keys, _days("d").alias("t"), F.lit(None).cast("double").alias("disp")).distinct())
+    elif steps is not None:
+        common = np.array(sorted(float(r["t"]) for r in steps.where("d is not null").select(_days("d").alias("t")).distinct().collect()))
+    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cuts in runs_of((b.to_pandas(types_mapper=_NULLABLE.get) for b in batches), keys):
+            t, disp = part["t"].to_numpy(float), part["disp"].to_numpy(float, na_value=np.nan)
+            owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            seen, cut = np.isfinite(disp), np.isnan(disp)
+            n = np.bincount(owner[seen], minlength=len(cuts) - 1)
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            if cut.any():
+                own = np.split(t[cut], np.cumsum(np.bincount(owner[cut], minlength=len(cuts) - 1))[:-1])
+                own = [np.unique(own[i]) for i in some]
+                breaks = np.full((len(some), max(map(len, own))), np.inf)
+                for i, v in enumerate(own):
+                    breaks[i, : len(v)] = v
+            else:
+                breaks = np.tile(common, (len(some), 1))
+            k, values = f(ManySeries(t[seen], disp[seen], np.r_[0, np.cumsum(n[some])], breaks))
+            at = cuts[some[k]]
+            columns = [pa.array(part[c].array.take(at), arrow.field(c).type, from_pandas=True) for c in keys]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(v, arrow.field(c).type, from_pandas=True) for c, v in zip(names[len(keys) :], values, strict=True)], schema=arrow)
+
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
+
+
 def _key_types(keys: Sequence[str]) -> str:
     return ", ".join(f"{k} long" if k == "site" else f"{k} int" for k in keys)
 
@@ -288,10 +411,13 @@ def temporal_variability(series: DataFrame, years: float, keys: tuple[str, ...]
     squares (``ols``) fit a line, ``periods`` (years) and the steps inside a window.
     """
 
-    def f(t, x, cuts):
-        return window_rates(t, x, years, cuts, method, offset, periods)
+    def f(many: ManySeries):
+        k, start, first, last = many.windows(years, offset, np.arange(len(many.n)))
+        rate, sigma = many.rates(k, first, last, method, periods)
+        ok = np.isfinite(rate)
+        return k[ok], [start[ok], rate[ok], sigma[ok]]
 
-    return _site_kernel(series, list(keys), f, f"{_key_types(keys)}, anchor double, vel double, sigma double", steps)
+    return _many_kernel(series, list(keys), f, f"{_key_types(keys)}, anchor double, vel double, sigma double", steps)
 
 
 def rate_deviation(series: DataFrame, least: int = 3, steps: DataFrame | None = None, start: str | None = None) -> DataFrame:
@@ -329,16 +455,44 @@ def reduced(off: np.ndarray, sigma: np.ndarray, reduce: str) -> float | None:
     return float(np.sqrt((weight * off[known] ** 2).sum() / weight.sum()))
 
 
+def reduced_by(k: np.ndarray, off: np.ndarray, sigma: np.ndarray, n: int, reduce: str) -> np.ndarray:
+    """``reduced`` of each of ``n`` groups ``k``, none of them empty; NaN for no number."""
+    if reduce == "mad":
+        return medians(k, np.abs(off - medians(k, off, n)[k]), n)
+    if reduce == "median":
+        return np.sqrt(medians(k, off**2, n))
+    if reduce != "wrms":
+        raise ValueError(f"no such reduction: {reduce}")
+    known = np.isfinite(sigma) & (sigma > 0)
+    k, off, sigma = k[known], off[known], sigma[known]
+    least = np.full(n, np.inf)
+    np.minimum.at(least, k, sigma)
+    weight = (least[k] / sigma) ** 2
+    total = np.bincount(k, weight, n)
+    return np.sqrt(np.divide(np.bincount(k, weight * off**2, n), total, out=np.full(n, np.nan), where=total > 0))
+
+
 def variability(stack: DataFrame, least: int = 2, most: int | None = None, reduce: str = "mad", method: str = "robust", keys: tuple[str, ...] = ("y", "x"), offset: float | None = None, periods: Sequence[float] = (), steps: DataFrame | None = None) -> DataFrame:
     """One number (``reduced``) of the deviations of all window rates of a pixel from its whole rate."""
 
-    def f(t, x, cuts):
-        whole, rates, sigma = all_rates(t, x, window_sizes((t[-1] - t[0]) / YEAR_DAYS, least, most), cuts, method, offset, periods)
-        if whole is None or not len(rates):
-            return []
-        return [{"vel": whole, "variability": reduced(rates - whole, sigma, reduce), "n_windows": len(rates)}]
-
-    return _site_kernel(stack, list(keys), f, f"{_key_types(keys)}, vel double, variability double, n_windows long", steps)
+    def f(many: ManySeries):
+        last = (many.t[many.begin[1:] - 1] - many.t[many.begin[:-1]]) / YEAR_DAYS
+        every = np.arange(len(many.n))
+        ends = [int(0.75 * y) if most is None else most for y in last]
+        ranges = [(every, many.begin[:-1], many.begin[1:])]
+        for size in range(least, max(ends)):
+            k, _, a, b = many.windows(1.1 if size == 1 else float(size), offset, np.flatnonzero(np.array(ends) > size))
+            ranges.append((k, a, b))
+        k, a, b = (np.concatenate([r[i] for r in ranges]) for i in range(3))
+        rate, sigma = many.rates(k, a, b, method, periods)
+        whole, k, rate, sigma = rate[: len(every)], k[len(every) :], rate[len(every) :], sigma[len(every) :]
+        ok = np.isfinite(rate) & np.isfinite(whole[k])
+        k, rate, sigma = k[ok], rate[ok], sigma[ok]
+        count = np.bincount(k, minlength=len(every))
+        some = np.flatnonzero(count)
+        return some, [whole[some], reduced_by(np.searchsorted(some, k), rate - whole[k], sigma, len(some), reduce), count[some]]
+
+    return _many_kernel(stack, list(keys), f, f"{_key_types(keys)}, vel double, variability double, n_windows long", steps)
 
 
 def variability_run(stack: DataFrame, attributes: dict[str, str] | None = None, reference: tuple[int, int] | None = None, dropped: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:

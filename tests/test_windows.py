@@ -178,3 +178,36 @@ def test_rates_alone_equal_whole_trends():
         x = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n))
         found = robust.trend(t, x, cuts)
         assert robust.rate_of(t, x, cuts) == (found["vel"], found["sigma"])
+
+
+@pytest.mark.parametrize("method,n_steps", [("ols", 0), ("ols", 5), ("robust", 0), ("robust", 3)])
+def test_many_series_at_once_equal_one_after_another(method, n_steps):
+    """Series of very different lengths, one of a single epoch, some beginning before 2000; a few solves, not one each."""
+    rng = np.random.default_rng(11)
+    rows = [(np.sort(rng.choice(4000, n, replace=False)) - 1500.0) for n in (1, 2, 30, 400, 31, 33, 900, 28)] + [np.arange(0.0, 2600, 91) + i % 3 for i in range(20)]
+    rows = [(t, rng.normal(0, 1, len(t)) + t / 400) for t in rows]
+    own = [np.unique(rng.choice(t, min(len(t), n_steps))) for t, _ in rows]
+    steps = np.full((len(rows), n_steps), np.inf)
+    for i, s in enumerate(own):
+        steps[i, : len(s)] = s
+    periods = (1.0,) if method == "ols" else ()
+    many = windows.ManySeries(*(np.concatenate([r[i] for r in rows]) for i in (0, 1)), np.r_[0, np.cumsum([len(t) for t, _ in rows])], steps)
+    for years, offset in ((2.0, 0.25), (3.0, None)):
+        k, start, first, last = many.windows(years, offset, np.arange(len(rows)))
+        rate, sigma = many.rates(k, first, last, method, periods)
+        for i, (t, x) in enumerate(rows):
+            want = windows.window_rates(t, x, years, own[i], method, offset, periods)
+            mine = (k == i) & np.isfinite(rate)
+            assert start[k == i].tolist() == windows.anchors(t, years, offset).tolist()
+            assert [w["anchor"] for w in want] == start[mine].tolist()
+            got = np.stack([rate[mine], sigma[mine]], 1)
+            assert np.allclose(got, np.array([[w["vel"], w["sigma"]] for w in want], float).reshape(-1, 2), rtol=1e-7, atol=1e-9, equal_nan=True)
+
+
+def test_reductions_of_groups():
+    rng = np.random.default_rng(12)
+    k, off, sigma = rng.integers(0, 5, 60), rng.normal(size=60), np.where(rng.random(60) < 0.2, 0.0, rng.random(60))
+    sigma[k == 2] = np.nan
+    for reduce in ("mad", "median", "wrms"):
+        want = [windows.reduced(off[k == i], sigma[k == i], reduce) for i in range(5)]
+        assert np.allclose(windows.reduced_by(k, off, sigma, 5, reduce), np.array(want, float), equal_nan=True)
