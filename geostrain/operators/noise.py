@@ -74,6 +74,25 @@ def _covariance(days: np.ndarray, step: float, index: float, damping: float = 0.
     return out
 
 
+#: Longest matrix of all steps that a worker keeps (72 MB), and those it has: by index and damping.
+KEPT_STEPS = 3000
+_kept: dict[tuple[float, float], np.ndarray] = {}
+
+
+def _shared_covariance(days: np.ndarray, step: float, index: float, damping: float = 0.0) -> np.ndarray:
+    """``_covariance`` of an index that many series share: noise begins with each series, so all take their epochs from one matrix."""
+    at = np.rint((days - days[0]) / step).astype(int)
+    n = int(at[-1]) + 1
+    if n > KEPT_STEPS:
+        return _covariance(days, step, index, damping)
+    whole = _kept.get((index, damping))
+    if whole is None or len(whole) < n:
+        if len(_kept) > 1 and whole is None:
+            _kept.clear()
+        whole = _kept[index, damping] = _covariance(np.arange(min(KEPT_STEPS, n + n // 8), dtype=float), 1.0, index, damping)
+    return whole[at[:, None], at]
+
+
 def _mean_variance(days: np.ndarray, step: float, index: float, damping: float = 0.0) -> float:
     """Mean of the covariance's diagonal for unit driving noise."""
     at = np.rint((days - days[0]) / step).astype(int)
@@ -204,11 +223,12 @@ def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=(), events=()) -
     if model.noise == "WN":
         got, k = (*_likelihood(a, obs, np.ones(len(days)), model.restricted), 0.0), 0.0
     elif model.noise == "RWFNWN":
-        flicker, random = (_scaled(_covariance(days, step, NOISE[n])) for n in ("FNWN", "RWWN"))
+        flicker, random = (_scaled(_shared_covariance(days, step, NOISE[n])) for n in ("FNWN", "RWWN"))
         share, got = _greatest(lambda g: _best_fraction(a, obs, (1 - g) * flicker + g * random, model.restricted), np.linspace(0, 1, 6), 1e-3)
         k, walk = None, {"walk": float(share)}
     else:
-        of = lambda k: _best_fraction(a, obs, _scaled(_covariance(days, step, k, DAMPING.get(model.noise, 0.0))), model.restricted)
+        covariance = _covariance if fixed is None else _shared_covariance
+        of = lambda k: _best_fraction(a, obs, _scaled(covariance(days, step, k, DAMPING.get(model.noise, 0.0))), model.restricted)
         k, got = (fixed, of(fixed)) if fixed is not None else _greatest(of, np.linspace(-2, -0.05, 7), 1e-3)
     ll, x, q, s2, f = got
     parts = [(1 - walk["walk"], NOISE["FNWN"]), (walk["walk"], NOISE["RWWN"])] if walk else [(1.0, k)]
@@ -218,6 +238,11 @@ def ml_trend(days, obs, model: TrendModel = TrendModel(), steps=(), events=()) -
     return {"rate": float(x[1]), "sigma": float(math.sqrt(s2 * q[1, 1])), "fraction": float(f), "kappa": None if k is None else float(k), "loglik": float(ll), "n": len(days), "effects": effects} | walk
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by their keys over as many tasks as the shuffle's, which aren't merged by bytes: series are small, their work isn't."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel()) -> DataFrame:
     """Maximum-likelihood trend of every key; an ``error`` column instead of failures."""
     types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
@@ -232,7 +257,7 @@ def ml_trends(series: DataFrame, keys: list[str], model: TrendModel = TrendModel
         return pd.DataFrame([dict(zip(keys, key, strict=True)) | row], columns=[*keys, *names]).astype({n: "float64" for n in names[:-1]})
 
     t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
-    return series.select(*keys, t, "disp").groupBy(*keys).applyInPandas(one, f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, error string")
+    return _dealt(series.select(*keys, t, "disp"), keys).groupBy(*keys).applyInPandas(one, f"{types}, rate double, sigma double, fraction double, kappa double, loglik double, error string")
 
 
 #: Longest series, steps from first to last epoch at most, and matrix elements at once, that ``_many`` takes together.
@@ -378,8 +403,8 @@ def ml_trends_with_events(series: DataFrame, events: DataFrame, keys: list[str],
         return pd.DataFrame([dict(zip(keys, key, strict=True)) | row], columns=[*keys, *names]).astype({n: "float64" for n in names[:5]} | {"n": "Int64"})
 
     t = F.datediff("d", F.lit("2000-01-01").cast("date"))
-    left = series.select(*keys, t.alias("t"), "disp").groupBy(*keys)
-    right = events.select(*keys, "kind", t.cast("double").alias("t"), F.col("tau").cast("double")).groupBy(*keys)
+    left = _dealt(series.select(*keys, t.alias("t"), "disp"), keys).groupBy(*keys)
+    right = _dealt(events.select(*keys, "kind", t.cast("double").alias("t"), F.col("tau").cast("double")), keys).groupBy(*keys)
     return left.cogroup(right).applyInPandas(one, schema)
 
 
@@ -423,7 +448,7 @@ def spectra(series: DataFrame, keys: list[str], sampling_days: float = 1.0, mode
 
     t = F.datediff("d", F.lit("2000-01-01").cast("date")).alias("t")
     schema = f"{types}, frequency double, density double" + (", model double" if model is not None else "")
-    return series.select(*keys, t, "disp").groupBy(*keys).applyInPandas(one, schema)
+    return _dealt(series.select(*keys, t, "disp"), keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def observation_lines(series: DataFrame, sampling_days: float = 1.0, offsets: list[float] = ()) -> DataFrame:

@@ -499,3 +499,27 @@ def test_station_position_at_the_first_epoch(spark):
         x, y = (float(v[0]) for v in G.direct_arrays(lon, 0.0, np.degrees(np.arctan2(e, n)), np.hypot(e, n))[:2])
         assert (got[site].lon, got[site].lat) == pytest.approx((x, y), abs=1e-7)
     assert got[1].d == 1 and got[3].lat is None
+
+
+def test_covariance_that_series_share(monkeypatch):
+    """Equal to each series' own to the last bit; one matrix of an index serves all series up to its length, longer series keep none."""
+    made = []
+    own = noise._covariance
+    monkeypatch.setattr(noise, "_kept", {})
+    monkeypatch.setattr(noise, "_covariance", lambda days, *a: made.append(len(days)) or own(days, *a))
+    rng = np.random.default_rng(5)
+    for n in (500, 520, 100, 499):
+        days = np.sort(rng.choice(n, n // 4, replace=False)) * 2.0 + 7
+        for index in (-1.0, -2.0):
+            assert np.array_equal(noise._shared_covariance(days, 2.0, index), own(days, 2.0, index))
+    assert len(made) == 2
+    monkeypatch.setattr(noise, "KEPT_STEPS", 50)
+    days = np.arange(0.0, 120, 3)
+    assert np.array_equal(noise._shared_covariance(days, 1.0, -1.0), own(days, 1.0, -1.0)) and made[2:] == [40]
+
+
+def test_series_are_dealt_over_tasks(spark):
+    """A few hundred kilobytes of series are hours of work: adaptive execution doesn't merge their tasks."""
+    df = spark.range(4000).selectExpr("id % 40 AS site", "date_add(date '2000-01-01', int(id div 40)) AS d", "double(id % 7) AS disp")
+    plan = noise.ml_trends(df, ["site"])._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") <= 2
