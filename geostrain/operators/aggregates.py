@@ -248,15 +248,23 @@ def date_counts(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("date1", "date2")).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
 
 
+#: Rows of a stack that one task counts, about.
+COUNTED_ROWS = 1 << 20
+
+
 def pixel_counts(stack: DataFrame, least: int = 2) -> DataFrame:
     """Per date and pixel, the interferograms with a value; 0 for dates with few pairs.
 
-    ``stack``: date1, date2, y, x, value.
+    ``stack``: date1, date2, y, x, value.  Pixels are dealt over tasks that follow
+    from the counted rows, and the counts of a pixel are made in its task.
     """
-    rows = stack.select(F.explode(F.array("date1", "date2")).alias("d"), "y", "x", "value", F.struct("date1", "date2").alias("pair"))
-    n_pairs = stack.select("date1", "date2").distinct().select(F.explode(F.array("date1", "date2")).alias("d")).groupBy("d").agg(F.count("*").alias("n_pairs"))
+    pairs = written(stack.groupBy("date1", "date2").agg(F.count("*").alias("rows")))
+    n_pairs = pairs.select(F.explode(F.array("date1", "date2")).alias("d")).groupBy("d").agg(F.count("*").alias("n_pairs"))
+    tasks = (pairs.agg(F.sum("rows")).first()[0] or 0) // COUNTED_ROWS
+    tasks = max(int(stack.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    rows = stack.repartition(tasks, "y", "x").select(F.explode(F.array("date1", "date2")).alias("d"), "y", "x", "value")
     counts = rows.groupBy("d", "y", "x").agg(F.count_if(F.col("value") != 0).alias("n"))
-    return counts.join(n_pairs, "d").select("d", "y", "x", F.when(F.col("n_pairs") >= least, F.col("n")).otherwise(0).cast("long").alias("n"))
+    return counts.join(F.broadcast(n_pairs), "d").select("d", "y", "x", F.when(F.col("n_pairs") >= least, F.col("n")).otherwise(0).cast("long").alias("n"))
 
 
 def mean_without_zeros(stack: DataFrame) -> DataFrame:

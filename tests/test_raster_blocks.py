@@ -69,3 +69,28 @@ def test_tiles_of_a_ragged_raster(spark):
         xs = np.flatnonzero(image[a:b].any(axis=0))
         want |= {(a, b, c, d) for c, d in cuts(xs[0], xs[-1] + 1, 20, 5)}
     assert got == want
+
+
+def test_pixel_counts_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks follow from the rows of the stack, and counts equal a loop's."""
+    import datetime
+    import re
+
+    import numpy as np
+
+    from geostrain.operators import aggregates
+
+    rng = np.random.default_rng(8)
+    dates = [datetime.date(2020, 1, 1) + datetime.timedelta(days=30 * i) for i in range(5)]
+    pairs = [(0, 1), (0, 2), (1, 2), (3, 4)]
+    rows = [(dates[i], dates[j], y, x, None if rng.random() < 0.1 else float(rng.integers(0, 3))) for i, j in pairs for y in range(6) for x in range(5) if rng.random() < 0.9]
+    monkeypatch.setattr(aggregates, "COUNTED_ROWS", 10)
+    found = aggregates.pixel_counts(spark.createDataFrame(rows, "date1 date, date2 date, y int, x int, value double"))
+    plan = found._jdf.queryExecution().toString()
+    assert re.search(rf"hashpartitioning\(y#\d+L?, x#\d+L?, {len(rows) // 10}\), REPARTITION_BY_NUM", plan)
+    n_pairs = {k: sum(k in p for p in pairs) for k in range(5)}
+    want = {}
+    for a, b, y, x, v in rows:
+        for d in (a, b):
+            want[d, y, x] = want.get((d, y, x), 0) + (v is not None and v != 0 and n_pairs[dates.index(d)] >= 2)
+    assert {(r.d, r.y, r.x): r.n for r in found.collect()} == want
