@@ -124,8 +124,8 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.when(scaled < 2.0**52, F.signum(value) * F.floor(scaled + 0.5) / 10.0**digits + 0.0).otherwise(F.round(value, digits))
 
 
-#: Rows of a block at most, blocks of a side at least, and tasks that the meetings of blocks are dealt over at most.
-PAIR_BLOCK, LEAST_BLOCKS, MOST_TASKS = 1024, 8, 1000
+#: Rows of a block, blocks of a network at least and at most, and tasks that the meetings of blocks are dealt over at most.
+PAIR_BLOCK, LEAST_BLOCKS, MOST_BLOCKS, MOST_TASKS = 1024, 8, 44, 1000
 
 
 def _meeting(one: DataFrame, two: DataFrame, key1: str, key2: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import filters as FL
-from ..operators import graph, network, robust
+from ..operators import graph, network, robust, structure
 from ..operators import windows as W
 from .registry import FLAGSHIP, query
 from .ellipsoid import distances
@@ -128,13 +128,13 @@ def a11(spark, sf):
 
 @query("A12_structure_function", duck(f"{_DEG}, k AS (SELECT dist, abs(v1 - v2) AS dv FROM p WHERE abs(v1 - v2) < 10 AND dist <> 0), s AS (SELECT max(dist) AS dmax FROM k), b AS (SELECT CAST(floor(dist / 0.5e0) AS INT) AS bin, median(dv) AS m FROM k, s WHERE floor(dist / 0.5e0) < ceil(dmax / 0.5e0) - 1 GROUP BY 1) SELECT bin, round(sqrt(bin * 0.5e0 * (bin + 1) * 0.5e0), 6) AS centre, round((1 / m) / (max(1 / m) OVER ()), 6) AS ssf FROM b UNION ALL SELECT -1, 0e0, 1e0"))
 def a12(spark, sf):
-    got = A.structure_function(_degree_pairs(spark, sf), [], 0.5, km=True)
+    got = structure.network_function(view(spark, sf, "v_sites"), 0.5, km=True)
     return got.select("bin", r6(c("centre"), "centre"), r6(c("ssf"), "ssf"))
 
 
 @query("A12_structure_function_log", duck(f"{_DEG}, k AS (SELECT dist, abs(v1 - v2) AS dv FROM p WHERE abs(v1 - v2) < 10 AND dist <> 0), s AS (SELECT max(dist) AS dmax FROM k), b AS (SELECT CAST(floor((log10(dist) + 2) / 0.25e0) AS INT) AS bin, median(dv) AS m FROM k, s WHERE floor((log10(dist) + 2) / 0.25e0) BETWEEN 0 AND ceil((dmax + 2) / 0.25e0) - 2 GROUP BY 1) SELECT bin, round((1 / m) / (max(1 / m) OVER ()), 6) AS ssf FROM b UNION ALL SELECT -1, 1e0"))
 def a12b(spark, sf):
-    got = A.structure_function(_degree_pairs(spark, sf), [], 0.25)
+    got = structure.network_function(view(spark, sf, "v_sites"), 0.25)
     return got.select("bin", r6(c("ssf"), "ssf"))
 
 
