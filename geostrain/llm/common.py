@@ -235,6 +235,20 @@ def task_count(spark: SparkSession, n_bytes: int) -> int:
     return max(n_partitions(spark), n_bytes // TASK_TEXT)
 
 
+#: Tasks that meetings of blocks are dealt over at most.
+MOST_TASKS = 1000
+
+
+def meeting_tasks(spark: SparkSession, meetings: int) -> int:
+    """Tasks for so many meetings of blocks, which can grow with the square of a group.
+
+    A task streams its meetings, so its memory doesn't follow their number.  But
+    each task of a grouped Python function leaves 0.2 MB outside the heap of its
+    executor for good (Spark 4.1.2), so the number of tasks must not follow it either.
+    """
+    return max(4 * n_partitions(spark), min(meetings // 4, MOST_TASKS))
+
+
 def scatter(keys: np.ndarray, records: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
     """Split a structured array into one blob per bucket of ``keys``."""
     bucket = (keys % np.uint64(n_buckets)).astype(np.int64)

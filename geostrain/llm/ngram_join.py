@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, ID_BYTES, Words, blob_batch, bucket_count, by_bucket, join_by_size, mix, n_partitions, pieces, scatter, stored, task_count, text_buffer, trimmed, window_hashes
+from .common import BLOB, ID_BYTES, Words, blob_batch, bucket_count, by_bucket, join_by_size, meeting_tasks, mix, pieces, scatter, stored, task_count, text_buffer, trimmed, window_hashes
 from .components import components
 
 WIDTH = 5
@@ -475,7 +475,7 @@ def _crowded(docs: DataFrame, crowd: DataFrame, parts: DataFrame) -> DataFrame:
     rows = member.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(6)), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("id", "component", "piece", F.least("piece", "q").alias("i"), F.greatest("piece", "q").alias("j")).join(sets, "id")
     meetings = size.agg(F.sum(F.col("nb") * F.col("nb"))).first()[0] or 0
-    rows = rows.repartition(max(4 * n_partitions(docs.sparkSession), meetings // 4), "component", "i", "j")
+    rows = rows.repartition(meeting_tasks(docs.sparkSession, meetings), "component", "i", "j")
     found = stored(rows.groupBy("component", "i", "j").applyInPandas(_degrees, "id long, n long"), "crowd-links")
     return found.groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -546,7 +546,7 @@ def rest(docs: DataFrame, large: DataFrame, info: DataFrame, decided: DataFrame,
     left2 = own.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("na") - 1))).select("main", "id", "component", F.col("i").alias("l"), (-1 - F.col("j")).alias("r"), F.lit(0).alias("side"))
     rows = left.unionByName(right).unionByName(left2).unionByName(right2)
     meetings = blocks.agg(F.sum(F.col("na") * (F.col("nc") + F.col("na")))).first()[0] or 0
-    rows = rows.join(info.select("id", "n", "hist"), "id").repartition(max(4 * n_partitions(docs.sparkSession), meetings // 4), "main", "l", "r")
+    rows = rows.join(info.select("id", "n", "hist"), "id").repartition(meeting_tasks(docs.sparkSession, meetings), "main", "l", "r")
     pairs = rows.groupBy("main", "l", "r").applyInPandas(crossing(percent), "a long, b long").distinct()
     pairs = stored(pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     return decide(docs, pairs).where(linking(percent)).select("a", "b")
